@@ -1,0 +1,46 @@
+"""Left join that splits hot keys of the left side."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+
+
+def split_hot_left_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread: str,
+    hot_rows: int = HOT_ROWS,
+    hot_keys: DataFrame | None = None,
+) -> DataFrame:
+    """``left`` LEFT JOIN ``right`` on ``key`` (unique in ``right``).
+
+    A key with ``hot_rows`` left rows or more is cut into pieces of about that size by
+    a hash of the column ``spread``; only the right rows of such keys are copied, once
+    per piece.  The set of hot keys has at most ``count(left) / hot_rows`` rows, which
+    is what bounds the broadcast.  All rows are kept.
+    """
+    if hot_keys is None:
+        hot_keys = find_hot_keys(left, key, hot_rows)
+    hot = F.broadcast(hot_keys)
+    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
+    cut = (
+        left.join(hot, key, "left")
+        .withColumn("_piece", F.pmod(F.xxhash64(spread), pieces))
+        .drop("_pieces")
+    )
+    copies = (
+        right.join(hot, key, "left")
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
+        .drop("_pieces")
+    )
+    return cut.join(copies, [key, "_piece"], "left").drop("_piece")
+
+
+def find_hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with ``hot_rows`` rows or more, and the number of pieces to cut each into."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= hot_rows)
+    return counts.select(key, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("bigint").alias("_pieces"))
