@@ -132,6 +132,12 @@ def signals(lines: Column, markers: Column, functions: Column) -> Column:
     )
 
 
+FILE_RECORDS = (
+    "array<struct<pos:bigint,path:string,size:bigint,lines:int,markers:int,functions:int,"
+    "score:int,language:string,root:string,is_entry:boolean,is_violation:boolean,rule:int>>"
+)
+
+
 def file_record(
     pos: Column, path: Column, size: Column, lines: Column, markers: Column, functions: Column
 ) -> Column:

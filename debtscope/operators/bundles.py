@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from debtscope import messages as M
 from debtscope.functions.text import bundle_name, fill
+from debtscope.operators.overlay import SCAFFOLDS
+from debtscope.operators.rows import rows_of
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -30,10 +32,10 @@ def last_writer_wins(files: Column) -> Column:
     return F.filter(files, final)
 
 
-def bundle_array(scaffolds: Column, url: Column, mode: Column) -> Column:
-    """U2 as an array: the scaffold files, then the README, last writer wins."""
+def written_files(scaffolds: Column, url: Column, mode: Column) -> Column:
+    """Scaffold files in order, then the README."""
     named = F.transform(
-        F.coalesce(scaffolds, F.slice(F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("content"))), 1, 0)),
+        F.coalesce(scaffolds, F.expr(f"CAST(array() AS {SCAFFOLDS})")),
         lambda f: F.struct(
             F.coalesce(f.path, F.lit("")).alias("path"),
             F.coalesce(f.content, F.lit("")).alias("content"),
@@ -43,17 +45,20 @@ def bundle_array(scaffolds: Column, url: Column, mode: Column) -> Column:
         F.lit("README.md").alias("path"),
         fill(M.README, url=url, mode=mode).alias("content"),
     )
-    return last_writer_wins(F.concat(named, F.array(readme)))
+    return F.concat(named, F.array(readme))
 
 
 def with_bundle(reports: DataFrame) -> DataFrame:
-    files = bundle_array(F.col("refactor.data.scaffolds"), F.col("url"), F.col("mode"))
-    return reports.withColumn("bundle", files)
+    """U2 as an array column ``bundle``."""
+    files = written_files(F.col("refactor.data.scaffolds"), F.col("url"), F.col("mode"))
+    written = reports.withColumn("_written", files)
+    return written.withColumn("bundle", last_writer_wins(F.col("_written"))).drop("_written")
 
 
 def bundle_rows(reports: DataFrame) -> DataFrame:
     """Files of every bundle as rows."""
-    return with_bundle(reports).select("analysis_id", F.inline("bundle"))
+    rows = rows_of(with_bundle(reports), ["analysis_id"], F.col("bundle"), "file")
+    return rows.select("analysis_id", "file.path", "file.content")
 
 
 def _zip(files) -> bytes:

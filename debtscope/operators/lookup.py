@@ -11,8 +11,9 @@ from debtscope import constants as C
 from debtscope import messages as M
 from debtscope.functions import urls
 from debtscope.functions.text import fill, trim_all
-from debtscope.operators.overlay import apply_overlay
+from debtscope.operators.overlay import overlaid, overlay_inputs
 from debtscope.operators.profile import source_files
+from debtscope.operators.rows import rows_of
 from debtscope.operators.skew import HOT_ROWS, split_hot_left_join
 from debtscope.operators.topk import top_k
 
@@ -94,10 +95,9 @@ def grounded_answers(
         step=F.coalesce("first_step", F.lit("")),
     )
     confidence = F.when(F.col("is_demo"), C.CONFIDENCE_DEMO).otherwise(C.CONFIDENCE_LIVE)
-    merged = apply_overlay(
-        found,
-        "answer",
-        {"answer": text, "confidence": confidence, "source_files": F.col("evidence")},
+    base = {"answer": text, "confidence": confidence, "source_files": F.col("evidence")}
+    merged = found.withColumns(overlay_inputs(["answer"])).withColumn(
+        "answer", overlaid("answer", base)
     )
     answered = F.col("status") == "answered"
 
@@ -152,9 +152,8 @@ def stage_timeline(analyses: DataFrame, events: DataFrame) -> DataFrame:
             for number, (stage, key) in enumerate(zip(C.STAGES, C.STAGE_KEYS), start=1)
         ]
     )
-    return analyses.select("analysis_id").join(firsts, "analysis_id", "left").select(
-        "analysis_id", F.inline(rows)
-    )
+    joined = analyses.select("analysis_id").join(firsts, "analysis_id", "left")
+    return rows_of(joined, ["analysis_id"], rows, "stage").select("analysis_id", "stage.*")
 
 
 def recent_repos(uses: DataFrame, k: int = C.TOP_RECENT) -> DataFrame:

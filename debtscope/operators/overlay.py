@@ -72,16 +72,6 @@ def parsed_fields(payload: Column) -> Column:
     return F.map_entries(F.from_json(payload, "map<string,string>"))
 
 
-def overlay_source(payload: Column) -> Column:
-    """How a stage's result came about."""
-    is_json = F.try_parse_json(payload).isNotNull()
-    return (
-        F.when(payload.isNull(), F.lit(C.SOURCE_BASE))
-        .when(is_json, F.lit(C.SOURCE_OVERLAY))
-        .otherwise(F.lit(C.SOURCE_FALLBACK))
-    )
-
-
 def _read(value: Column, ddl: str) -> Column:
     if ddl == "string":
         return value
@@ -113,18 +103,25 @@ def laid_over(base: Column, fields: Column, key: str, ddl: str) -> Column:
     return F.when(entry.isNotNull() & (value.isNull() | read.isNotNull()), read).otherwise(base)
 
 
-def apply_overlay(df: DataFrame, stage: str, base: dict[str, Column]) -> DataFrame:
-    """Add column ``stage`` = struct(data, source) from the base fields and ``<stage>_payload``."""
-    payload, fields = F.col(f"{stage}_payload"), f"{stage}_fields"
-    source = overlay_source(payload)
-    usable = F.when(source == C.SOURCE_OVERLAY, parsed_fields(payload))
-    names = FIELDS[stage]
-    prepared = df.withColumn(fields, usable)
+def overlay_inputs(stages: list[str]) -> dict[str, Column]:
+    """Columns ``<stage>_source`` and ``<stage>_fields`` from the columns ``<stage>_payload``."""
+    columns = {}
+    for stage in stages:
+        payload = F.col(f"{stage}_payload")
+        is_json = F.try_parse_json(payload).isNotNull()
+        columns[f"{stage}_source"] = (
+            F.when(payload.isNull(), C.SOURCE_BASE)
+            .when(is_json, C.SOURCE_OVERLAY)
+            .otherwise(C.SOURCE_FALLBACK)
+        )
+        columns[f"{stage}_fields"] = F.when(is_json, parsed_fields(payload))
+    return columns
+
+
+def overlaid(stage: str, base: dict[str, Column]) -> Column:
+    """struct(data, source) of a stage; needs the columns of :func:`overlay_inputs`."""
+    names, fields = FIELDS[stage], F.col(f"{stage}_fields")
     data = F.struct(
-        *[
-            laid_over(column, F.col(fields), *names[name]).alias(name)
-            for name, column in base.items()
-        ]
+        *[laid_over(value, fields, *names[name]).alias(name) for name, value in base.items()]
     )
-    merged = F.struct(data.alias("data"), source.alias("source"))
-    return prepared.withColumn(stage, merged).drop(fields, f"{stage}_payload")
+    return F.struct(data.alias("data"), F.col(f"{stage}_source").alias("source"))

@@ -10,6 +10,7 @@ from debtscope import messages as M
 from debtscope.functions import files as X
 from debtscope.functions.text import fill
 from debtscope.operators import sampling
+from debtscope.operators.rows import rows_of
 
 LISTING, ARCHIVE, SAMPLE, ERROR = "listing", "archive", "sample", "error"
 
@@ -72,17 +73,23 @@ def truncated_repos(listing: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
 
 def sample_array() -> Column:
     """The built-in files as a constant array of file records."""
-    rows = []
-    for pos, (path, text) in enumerate(M.SAMPLE_FILES):
-        body = F.lit(text)
-        counts = [X.line_count(body), X.marker_count(body), X.function_count(body)]
-        rows.append(X.file_record(F.lit(pos), F.lit(path), F.length(body), *counts))
-    return F.array(*rows)
+    texts = F.array(
+        *[
+            F.struct(F.lit(pos).alias("pos"), F.lit(path).alias("path"), F.lit(text).alias("text"))
+            for pos, (path, text) in enumerate(M.SAMPLE_FILES)
+        ]
+    )
+    return F.transform(texts, lambda f: _text_record(f.pos, f.path, f.text))
+
+
+def _text_record(pos: Column, path: Column, text: Column) -> Column:
+    counts = [X.line_count(text), X.marker_count(text), X.function_count(text)]
+    return X.file_record(pos, path, F.length(text), *counts)
 
 
 def no_files() -> Column:
     """Empty array of file records."""
-    return F.slice(sample_array(), 1, 0)
+    return F.expr(f"CAST(array() AS {X.FILE_RECORDS})")
 
 
 def record_column() -> Column:
@@ -146,7 +153,7 @@ def pick_route(joined: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
     )
     routed = joined.withColumn("route", route)
     on = {name: F.col("route") == name for name in (LISTING, ARCHIVE, SAMPLE, ERROR)}
-    empty = no_files()
+    empty, sample = no_files(), sample_array()
     return routed.select(
         "repo_id",
         "owner",
@@ -170,7 +177,7 @@ def pick_route(joined: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
         .alias("truncated"),
         F.when(on[LISTING], F.coalesce("listed", empty))
         .when(on[ARCHIVE], F.col("archived"))
-        .when(on[SAMPLE], sample_array())
+        .when(on[SAMPLE], sample)
         .otherwise(empty)
         .alias("files"),
     )
@@ -195,6 +202,6 @@ def missing_snapshots(repos: DataFrame, kept: DataFrame, attempts: DataFrame) ->
 
 def snapshot_rows(resolved: DataFrame) -> DataFrame:
     """The files of all routes as rows."""
-    return resolved.select("repo_id", "route", F.explode("files").alias("file")).select(
+    return rows_of(resolved, ["repo_id", "route"], F.col("files"), "file").select(
         "repo_id", "route", "file.*"
     )

@@ -12,10 +12,23 @@ from debtscope import messages as M
 from debtscope.functions import rules
 from debtscope.functions.text import uuid_of
 from debtscope.operators import profile as P
-from debtscope.operators.overlay import apply_overlay, pivot_overlays
+from debtscope.operators.overlay import overlaid, overlay_inputs, pivot_overlays
 from debtscope.operators.snapshots import ERROR, resolve_snapshots
 
 
+REPORT_COLUMNS = [
+    "repo_id",
+    "owner",
+    "repository",
+    "url",
+    "description",
+    "stars",
+    "default_branch",
+    "fallback_reason",
+    "truncated",
+]
+
+
 def stage_events(run_at: Column) -> Column:
     """Running and complete event of each stage, as an array in order."""
     rows = []
@@ -49,75 +62,91 @@ def analyse(snapshots: DataFrame, overlays: DataFrame | None, run_at: Column) ->
         rows = rows.join(pivot_overlays(overlays, "repo_id"), "repo_id", "left")
 
     files, hot, reason = F.col("files"), F.col("hot"), F.col("fallback_reason")
-    rows = rows.withColumn("hot", P.hotspots(files)).withColumns(
+    target, cost = F.col("base_target"), F.col("base_cost")
+    rows = rows.withColumns({"hot": P.hotspots(files), **overlay_inputs(C.STAGE_KEYS)})
+    rows = rows.withColumns(
         {"base_total": P.debt_total(hot), "base_target": P.refactor_target(hot, files)}
     )
-    rows = apply_overlay(
-        rows,
-        "architecture",
+    rows = rows.withColumns(
         {
-            "framework": P.framework(files),
-            "layers": F.array(*[F.lit(layer) for layer in C.LAYERS]),
-            "structure": P.structure(files),
-            "violations": P.violations(files),
-            "summary": rules.architecture_summary(P.sampled_count(files), reason),
-        },
-    )
-    rows = apply_overlay(
-        rows,
-        "debt",
-        {
-            "hotspots": hot,
-            "total_debt_score": F.col("base_total").cast("double"),
-            "summary": rules.debt_summary(hot, reason),
-        },
+            "architecture": overlaid(
+                "architecture",
+                {
+                    "framework": P.framework(files),
+                    "layers": F.array(*[F.lit(layer) for layer in C.LAYERS]),
+                    "structure": P.structure(files),
+                    "violations": P.violations(files),
+                    "summary": rules.architecture_summary(P.sampled_count(files), reason),
+                },
+            ),
+            "debt": overlaid(
+                "debt",
+                {
+                    "hotspots": hot,
+                    "total_debt_score": F.col("base_total").cast("double"),
+                    "summary": rules.debt_summary(hot, reason),
+                },
+            ),
+            "plan": overlaid(
+                "refactor",
+                {
+                    "target": target,
+                    "steps": rules.plan_steps(target),
+                    "scaffolds": rules.scaffolds(target),
+                    "pull_request_title": rules.pull_request_title(target),
+                },
+            ),
+            "review": overlaid(
+                "review",
+                {
+                    "verdict": F.lit(C.VERDICT),
+                    "checks": rules.review_checks(),
+                    "caveat": rules.review_caveat(F.col("truncated")),
+                },
+            ),
+        }
     )
     score = rules.cost_basis(F.col("debt.data.total_debt_score"), F.col("base_total"))
-    rows = rows.withColumn("base_cost", rules.annual_cost(score))
-    cost = F.col("base_cost")
-    rows = apply_overlay(
-        rows,
-        "cost",
-        {
-            "annual_cost": cost,
-            "priority": rules.cost_priority(cost),
-            "roi_months": rules.payback_months(cost),
-            "assumption": F.lit(M.ASSUMPTION),
-        },
-    )
-    target = F.col("base_target")
-    rows = apply_overlay(
-        rows,
+    rows = rows.withColumns({"base_cost": rules.annual_cost(score), "refactor": with_scaffolds()})
+    return rows.select(
+        *REPORT_COLUMNS,
+        "architecture",
+        "debt",
+        overlaid(
+            "cost",
+            {
+                "annual_cost": cost,
+                "priority": rules.cost_priority(cost),
+                "roi_months": rules.payback_months(cost),
+                "assumption": F.lit(M.ASSUMPTION),
+            },
+        ).alias("cost"),
         "refactor",
-        {
-            "target": target,
-            "steps": rules.plan_steps(target),
-            "scaffolds": rules.scaffolds(target),
-            "pull_request_title": rules.pull_request_title(target),
-        },
-    )
-    refactor = F.col("refactor")
-    ensured = rules.ensured_scaffolds(refactor["data"]["scaffolds"], refactor["data"]["target"])
-    rows = rows.withColumn(
-        "refactor", refactor.withField("data", refactor["data"].withField("scaffolds", ensured))
-    )
-    rows = apply_overlay(
-        rows,
         "review",
-        {
-            "verdict": F.lit(C.VERDICT),
-            "checks": rules.review_checks(),
-            "caveat": rules.review_caveat(F.col("truncated")),
-        },
+        (~is_live()).alias("is_demo"),
+        run_mode().alias("mode"),
+        stage_events(run_at).alias("events"),
+    )
+
+
+def with_scaffolds() -> Column:
+    """The refined plan; B5 when the refinement left it without files."""
+    data = F.col("plan.data")
+    ensured = rules.ensured_scaffolds(data.scaffolds, data.target)
+    return F.struct(
+        F.struct(
+            data.target.alias("target"),
+            data.steps.alias("steps"),
+            ensured.alias("scaffolds"),
+            data.pull_request_title.alias("pull_request_title"),
+        ).alias("data"),
+        F.col("plan.source").alias("source"),
     )
-    return rows.withColumns(
-        {"is_demo": ~is_live(), "mode": run_mode(), "events": stage_events(run_at)}
-    ).drop("files", "hot", "base_total", "base_target", "base_cost")
 
 
 def is_live() -> Column:
     """Some stage was refined."""
-    refined = [F.col(f"{stage}.source") == C.SOURCE_OVERLAY for stage in C.STAGE_KEYS]
+    refined = [F.col(f"{stage}_source") == C.SOURCE_OVERLAY for stage in C.STAGE_KEYS]
     live = refined[0]
     for other in refined[1:]:
         live = live | other

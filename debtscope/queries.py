@@ -18,6 +18,7 @@ from debtscope.functions.text import bundle_name, redact_tokens, short_url, utc_
 from debtscope.operators import bundles, lookup, sampling, snapshots, validate
 from debtscope.operators import overlay as overlay_ops
 from debtscope.operators import profile as P
+from debtscope.operators.rows import rows_of
 from debtscope.plans import report as R
 from debtscope.plans.views import dashboard_view
 from debtscope.session import shared_folder
@@ -125,14 +126,9 @@ def _zip_documents(batches):
 @query("sample_snapshot")
 def _sample_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     resolved = _resolved(spark, sf).filter(F.col("route") == snapshots.SAMPLE)
-    file = F.explode("files").alias("file")
-    return resolved.select("repo_id", "description", "stars", "default_branch", "truncated", "fallback_reason", file).select(
-        "repo_id",
-        "description",
-        "stars",
-        "default_branch",
-        "truncated",
-        "fallback_reason",
+    about = ["repo_id", "description", "stars", "default_branch", "truncated", "fallback_reason"]
+    return rows_of(resolved, about, F.col("files"), "file").select(
+        *about,
         "file.pos",
         "file.path",
         "file.size",
@@ -291,7 +287,8 @@ def _overlay_apply(spark: SparkSession, sf: str) -> DataFrame:
         "total_debt_score": P.debt_total(F.col("hot")).cast("double"),
         "summary": rules.debt_summary(F.col("hot"), F.lit(None).cast("string")),
     }
-    merged = overlay_ops.apply_overlay(rows, "debt", base)
+    inputs = rows.withColumns(overlay_ops.overlay_inputs(["debt"]))
+    merged = inputs.withColumn("debt", overlay_ops.overlaid("debt", base))
     return merged.select(
         "repo_id",
         "debt.source",
@@ -310,7 +307,8 @@ def _report_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_log(reports: DataFrame) -> DataFrame:
-    return reports.select("analysis_id", "repo_id", F.inline("events"))
+    rows = rows_of(reports, ["analysis_id", "repo_id"], F.col("events"), "event")
+    return rows.select("analysis_id", "repo_id", "event.*")
 
 
 @query("stage_timeline")
@@ -363,15 +361,12 @@ def _sampled_count(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("language_histogram")
 def _language_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return _profiled(spark, sf).select("repo_id", F.posexplode(P.languages(F.col("files"))).alias("i", "l")).select(
-        "repo_id", (F.col("i") + 1).alias("rank"), "l.language", "l.n"
-    )
+    rows = _ranked(_profiled(spark, sf), P.languages(F.col("files")), "l")
+    return rows.select("repo_id", "rank", "l.language", "l.n")
 
 
 def _ranked(rows: DataFrame, array: Column, name: str) -> DataFrame:
-    return rows.select("repo_id", F.posexplode(array).alias("i", name)).select(
-        "repo_id", (F.col("i") + 1).alias("rank"), name
-    )
+    return rows_of(rows, ["repo_id"], array, name, "rank")
 
 
 @query("root_directories")
@@ -433,10 +428,10 @@ def _sample_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("hotspots")
 def _hotspots(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _profiled(spark, sf).select("repo_id", F.posexplode(F.col("hot")).alias("i", "h"))
+    rows = _ranked(_profiled(spark, sf), F.col("hot"), "h")
     return rows.select(
         "repo_id",
-        (F.col("i") + 1).alias("rank"),
+        "rank",
         "h.path",
         "h.lines",
         "h.score",
@@ -502,19 +497,21 @@ def _refactor_plan(spark: SparkSession, sf: str) -> DataFrame:
     rows = _targets(spark, sf).select(
         "repo_id",
         rules.pull_request_title(F.col("target")).alias("pull_request_title"),
-        F.posexplode(rules.plan_steps(F.col("target"))).alias("i", "step"),
+        rules.plan_steps(F.col("target")).alias("steps"),
     )
-    return rows.select("repo_id", "pull_request_title", (F.col("i") + 1).alias("step_no"), "step")
+    return rows_of(rows, ["repo_id", "pull_request_title"], F.col("steps"), "step", "step_no")
 
 
 @query("scaffold_rows")
 def _scaffold_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _targets(spark, sf).select("repo_id", F.inline(rules.scaffolds(F.col("target"))))
+    rows = rows_of(_targets(spark, sf), ["repo_id"], rules.scaffolds(F.col("target")), "file")
+    return rows.select("repo_id", "file.*")
 
 
 @query("scaffold_fallback")
 def _scaffold_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    return _targets(spark, sf).select("repo_id", F.inline(rules.fallback_scaffolds(F.col("target"))))
+    rows = rows_of(_targets(spark, sf), ["repo_id"], rules.fallback_scaffolds(F.col("target")), "file")
+    return rows.select("repo_id", "file.*")
 
 
 @query("review_checks")
