@@ -87,10 +87,15 @@ def line_count(content: Column) -> Column:
     return (F.octet_length(content) - F.octet_length(without) + 1).cast("int")
 
 
-def _guarded_count(content: Column, pattern: str, hints: Column) -> Column:
-    """Regex count behind a cheap necessary condition: most files skip the regex."""
+def _guarded_count(content: Column, pattern: str, first: str, hints: Column) -> Column:
+    """Regex count behind two cheap necessary conditions.
+
+    ``hints`` lets most files skip the regex, and the look-ahead on the possible first
+    characters lets the regex skip most positions; neither changes the count.
+    """
+    quick = f"(?=[{first}])(?:{pattern})"
     return (
-        F.when(hints, F.regexp_count(content, F.lit(pattern)))
+        F.when(hints, F.regexp_count(content, F.lit(quick)))
         .when(content.isNotNull(), 0)
         .cast("int")
     )
@@ -102,12 +107,12 @@ def _has_any(text: Column, words: list[str]) -> Column:
 
 def marker_count(content: Column) -> Column:
     """M2: maintenance markers, any case, also inside longer words."""
-    return _guarded_count(content, C.MARKERS, _has_any(F.lower(content), C.MARKER_WORDS))
+    return _guarded_count(content, C.MARKERS, "TtFfHh", _has_any(F.lower(content), C.MARKER_WORDS))
 
 
 def function_count(content: Column) -> Column:
     """M3: named functions and arrow bodies."""
-    return _guarded_count(content, C.FUNCTIONS, _has_any(content, C.FUNCTION_HINTS))
+    return _guarded_count(content, C.FUNCTIONS, "f=", _has_any(content, C.FUNCTION_HINTS))
 
 
 def debt_score(lines: Column, markers: Column, functions: Column) -> Column:

@@ -67,9 +67,27 @@ def pivot_overlays(overlays: DataFrame, key: str, stages: list[str] = C.STAGE_KE
     )
 
 
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def is_json(payload: Column) -> Column:
+    """The whole text is one JSON value.
+
+    ``from_json`` stops after the first value and would accept trailing text, so the
+    payload is read inside brackets and inside braces; only a single value survives both.
+    """
+    listed = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), STRINGS, STRICT)
+    named = F.from_json(
+        F.concat(F.lit('{"v":'), payload, F.lit("}")),
+        "struct<v:string,bad:string>",
+        {**STRICT, "columnNameOfCorruptRecord": "bad"},
+    )
+    return F.coalesce(F.size(listed) == 1, F.lit(False)) & named.bad.isNull()
+
+
 def parsed_fields(payload: Column) -> Column:
     """Top-level fields of a JSON object as (key, value) entries; null for anything else."""
-    return F.map_entries(F.from_json(payload, "map<string,string>"))
+    return F.map_entries(F.from_json(payload, "map<string,string>", STRICT))
 
 
 def _read(value: Column, ddl: str) -> Column:
@@ -108,13 +126,13 @@ def overlay_inputs(stages: list[str]) -> dict[str, Column]:
     columns = {}
     for stage in stages:
         payload = F.col(f"{stage}_payload")
-        is_json = F.try_parse_json(payload).isNotNull()
+        parsed = payload.isNotNull() & is_json(payload)
         columns[f"{stage}_source"] = (
             F.when(payload.isNull(), C.SOURCE_BASE)
-            .when(is_json, C.SOURCE_OVERLAY)
+            .when(parsed, C.SOURCE_OVERLAY)
             .otherwise(C.SOURCE_FALLBACK)
         )
-        columns[f"{stage}_fields"] = F.when(is_json, parsed_fields(payload))
+        columns[f"{stage}_fields"] = F.when(parsed, parsed_fields(payload))
     return columns
 
 

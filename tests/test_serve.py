@@ -1,0 +1,234 @@
+"""Lookups, answers, recents, timeline, bundles, error rows, stored and streamed reports."""
+
+from __future__ import annotations
+
+import io
+import random
+import zipfile
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import functions as F
+
+from debtscope import constants as C
+from debtscope import messages as M
+from debtscope.functions import errors
+from debtscope.functions.text import bundle_name, redact_tokens, short_url, utc_text
+from debtscope.operators import bundles, lookup
+from debtscope.operators.skew import find_hot_keys, split_hot_left_join
+from debtscope.operators.topk import top_k
+from debtscope.sources import reports as store
+from debtscope.streaming import live_reports as job
+
+AS_OF = datetime(2024, 5, 1, 12, tzinfo=timezone.utc)
+UUIDS = [f"00000000-0000-4000-8000-{n:012d}" for n in range(10)]
+
+
+def test_expiry_boundary(spark):
+    ages = [timedelta(hours=1), timedelta(hours=1, milliseconds=1), timedelta(0), timedelta(minutes=59)]
+    df = spark.createDataFrame([(str(i), AS_OF - a) for i, a in enumerate(ages)], "analysis_id string, created_at timestamp")
+    assert sorted(r.analysis_id for r in lookup.live_reports(df, AS_OF).collect()) == ["0", "2", "3"]
+
+
+def test_hot_key_join_keeps_all_rows(spark):
+    rows = [(n, "hot" if n % 3 == 0 else f"k{n % 17}") for n in range(600)]
+    left = spark.createDataFrame(rows, "id int, key string")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("alone", 4)], "key string, v int")
+    hot = find_hot_keys(left, "key", 30)
+    assert [(r.key, r["_pieces"]) for r in hot.collect()] == [("hot", 7)]
+    split = split_hot_left_join(left, right, "key", "id", hot_rows=30)
+    plain = left.join(right, "key", "left")
+    assert sorted(split.select("id", "key", "v").collect(), key=str) == sorted(plain.select("id", "key", "v").collect(), key=str)
+    none_hot = split_hot_left_join(left, right, "key", "id", hot_rows=10_000)
+    assert none_hot.count() == 600
+
+
+def make_reports(spark):
+    hot = [("p%d.ts" % n, 10, 50.0, ["large file"]) for n in range(6)]
+    rows = [
+        (UUIDS[0], AS_OF, True, "https://github.com/o/a", "demo", ("t.ts", ["first", "x"], [("a.ts", "1"), ("b.ts", "2")], "pr"), (hot, 50.0, "sum")),
+        (UUIDS[1], AS_OF - timedelta(minutes=10), False, "https://github.com/o/b", "live", (None, None, [("README.md", "x"), ("c.ts", "old"), ("c.ts", "new")], "pr"), ([], 0.0, None)),
+        (UUIDS[2], AS_OF - timedelta(hours=2), True, "https://github.com/o/c", "demo", ("o.ts", ["f"], None, "pr"), ([], 0.0, "s")),
+    ]
+    schema = (
+        "analysis_id string, created_at timestamp, is_demo boolean, url string, mode string, "
+        "r struct<target:string,steps:array<string>,scaffolds:array<struct<path:string,content:string>>,pull_request_title:string>, "
+        "d struct<hotspots:array<struct<path:string,lines:int,score:double,signals:array<string>>>,total_debt_score:double,summary:string>"
+    )
+    df = spark.createDataFrame(rows, schema)
+    return df.withColumns({"refactor": F.struct(F.col("r").alias("data")), "debt": F.struct(F.col("d").alias("data"))})
+
+
+def test_answers(spark):
+    asked = [
+        (0, UUIDS[0], "  what first? "),
+        (1, UUIDS[1], "what first?"),
+        (2, UUIDS[2], "what first?"),
+        (3, UUIDS[9], "what first?"),
+        (4, "nope", "what first?"),
+        (5, UUIDS[0], "hm"),
+        (6, UUIDS[0], "refined?"),
+        (7, UUIDS[0], "null wins?"),
+    ]
+    questions = spark.createDataFrame(asked, "question_id bigint, analysis_id string, question string")
+    overlays = spark.createDataFrame(
+        [(6, '{"answer": "A", "confidence": 0.5, "sourceFiles": ["q"]}'), (7, '{"confidence": null}'), (0, "broken")],
+        "question_id bigint, payload string")
+    answers = lookup.grounded_answers(questions, make_reports(spark), AS_OF, overlays, hot_rows=2)
+    got = {r.question_id: r for r in answers.collect()}
+    assert {i: r.status for i, r in got.items()} == {
+        0: "answered", 1: "answered", 2: "not_found", 3: "not_found", 4: "rejected", 5: "rejected", 6: "answered", 7: "answered"}
+    assert got[0].answer == "Per the stored report, begin with t.ts. sum Next step: first"
+    assert (got[0].confidence, got[1].confidence) == (0.68, 0.78)
+    assert got[0].source_files == ["p0.ts", "p1.ts", "p2.ts", "p3.ts"] and got[1].source_files == []
+    assert got[0].question == "what first?" and got[2].answer is None
+    assert (got[6].answer, got[6].confidence, got[6].source_files) == ("A", 0.5, ["q"])
+    assert got[7].confidence is None and got[7].answer == got[0].answer
+    view = {r.question_id: r for r in lookup.answer_view(answers).collect()}
+    assert (view[0].confidence_pct, view[1].confidence_pct) == (68, 78)
+    assert view[0].sources == "p0.ts, p1.ts, p2.ts, p3.ts"
+
+
+def test_recents_like_a_moving_list(spark):
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    events, lists = [], {}
+    for n in range(1500):
+        user, url, ok = rng.randrange(6) ** 2 // 8, f"u{rng.randrange(12)}", rng.random() < 0.8
+        events.append((user, url, start + timedelta(seconds=n), ok))
+        if ok:
+            old = lists.get(user, [])
+            lists[user] = [url, *[u for u in old if u != url]][:5]
+    df = spark.createDataFrame(events, "user_id int, url string, ts timestamp_ntz, ok boolean")
+    got = {}
+    for r in lookup.recent_repos(df).orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append(r.url)
+    assert got == lists
+
+
+def test_top_k_like_python(spark):
+    rng = random.Random(7)
+    rows = [(0 if rng.random() < 0.4 else rng.randrange(1, 9), rng.randrange(20), n) for n in range(2000)]
+    df = spark.createDataFrame(rows, "k int, score int, pos int").repartition(7)
+    got = top_k(df, ["k"], [F.col("score").desc(), F.col("pos")], 10).collect()
+    want = []
+    for key in {r[0] for r in rows}:
+        ordered = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))[:10]
+        want += [(*r, i) for i, r in enumerate(ordered, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_timeline(spark):
+    log = [
+        ("a", 0, "Architecture", "running", "r"),
+        ("a", 1, "Architecture", "complete", "done 1"),
+        ("a", 3, "Architecture", "complete", "again"),
+        ("a", 2, "Review", "complete", ""),
+    ]
+    events = spark.createDataFrame(log, "analysis_id string, seq int, agent string, status string, rationale string")
+    analyses = spark.createDataFrame([("a",), ("b",)], "analysis_id string")
+    rows = [tuple(r) for r in lookup.stage_timeline(analyses, events).orderBy("analysis_id", "stage_no").collect()]
+    assert len(rows) == 10
+    assert rows[0] == ("a", 1, "Architecture", True, "done 1")
+    assert rows[4] == ("a", 5, "Review", True, M.STAGE_WAITING)
+    assert all(r[3] is False and r[4] == M.STAGE_WAITING for r in rows[5:])
+
+
+def test_bundles(spark, tmp_path):
+    reports = make_reports(spark)
+    rows = {(r.analysis_id, r.path): r.content for r in bundles.bundle_rows(reports).collect()}
+    assert {p for i, p in rows if i == UUIDS[0]} == {"a.ts", "b.ts", "README.md"}
+    assert rows[UUIDS[1], "c.ts"] == "new"
+    readme = rows[UUIDS[1], "README.md"]
+    assert "https://github.com/o/b" in readme and "live" in readme
+    bundles.write_bundles(reports, str(tmp_path / "zips"), AS_OF)
+    for r in spark.read.parquet(str(tmp_path / "zips")).collect():
+        assert r.file_name.endswith("2024-05-01T12-00-00-000Z.zip")
+        with zipfile.ZipFile(io.BytesIO(bytes(r.zip))) as archive:
+            assert r.n_files == len(archive.namelist())
+            for name in archive.namelist():
+                assert rows[r.analysis_id, name] == archive.read(name).decode()
+
+
+def test_report_table(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    for day in (1, 2):
+        rows = [(UUIDS[day], datetime(2024, 5, day, 23, 30, tzinfo=timezone.utc))]
+        store.write_reports(spark.createDataFrame(rows, "analysis_id string, created_at timestamp"), path)
+    back = store.read_reports(spark, path)
+    assert sorted(str(r.created_date) for r in back.collect()) == ["2024-05-01", "2024-05-02"]
+    plan = back.filter("created_date = DATE'2024-05-02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    arriving, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    schema = "analysis_id string, created_at timestamp"
+    rows = [(f"id{n}", AS_OF - timedelta(minutes=n)) for n in range(0, 120, 3)]
+    rows.append(("edge", AS_OF - timedelta(hours=1)))
+
+    def arrive(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(arriving)
+
+    def run():
+        stream = job.report_stream(spark, arriving, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        job.register(stream, table, checkpoint).awaitTermination()
+
+    arrive(rows[:20])
+    arrive(rows[10:30])  # ten of them again
+    run()
+    arrive(rows[25:])
+    run()
+    run()  # nothing new
+    stored = job.registered(spark, table)
+    live = sorted(r.analysis_id for r in lookup.live_reports(stored, AS_OF).collect())
+    batch = spark.createDataFrame(rows, schema)
+    assert live == sorted(r.analysis_id for r in lookup.live_reports(batch, AS_OF).collect())
+    assert "edge" in live
+
+
+def test_errors(evaluate):
+    rows = [
+        (400, "own text Bearer abc", False),
+        (404, "x", False),
+        (403, "x", False),
+        (504, "x", False),
+        (500, "Timeout here", False),
+        (502, "OpenAI down", False),
+        (None, "bearer abc.def and BEARER  q", False),
+        (None, "field wrong", True),
+        (0, None, False),
+        (None, "", False),
+    ]
+    status = errors.error_status(F.col("s"), F.col("v"))
+    got = evaluate(F.struct(status, errors.user_message(status, F.col("m"))), rows, "s int, m string, v boolean")
+    assert [tuple(g) for g in got] == [
+        (400, "own text Bearer abc"),
+        (404, M.ERROR_NOT_FOUND),
+        (403, M.ERROR_RATE_LIMIT),
+        (504, M.ERROR_TIMEOUT),
+        (500, M.ERROR_TIMEOUT),
+        (502, M.ERROR_PROVIDER),
+        (500, "Bearer [redacted] and Bearer [redacted]"),
+        (400, "field wrong"),
+        (500, M.ERROR_DEFAULT),
+        (500, M.ERROR_DEFAULT),
+    ]
+
+
+def test_text(evaluate, spark):
+    assert evaluate(redact_tokens(F.col("m")), [("a Bearer x.y-z, b",), ("bearers",)], "m string") == [
+        "a Bearer [redacted] b", "bearers"]
+    assert evaluate(short_url(F.col("m")), [("https://github.com/a/b",), ("http://github.com/a",)], "m string") == [
+        "a/b", "http://github.com/a"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        ts = F.lit(datetime(2024, 5, 1, 12, 0, 0, 123000, tzinfo=timezone.utc))
+        assert evaluate(utc_text(ts), [(1,)], "m int") == ["2024-05-01T12:00:00.123Z"]
+        assert evaluate(bundle_name(ts), [(1,)], "m int") == ["refactor-bundle-2024-05-01T12-00-00-123Z.zip"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_stage_names():
+    assert len(C.STAGES) == len(C.STAGE_KEYS) == len(M.STAGE_RUNNING) == len(M.STAGE_COMPLETE) == 5
