@@ -87,32 +87,27 @@ def line_count(content: Column) -> Column:
     return (F.octet_length(content) - F.octet_length(without) + 1).cast("int")
 
 
-def _guarded_count(content: Column, pattern: str, first: str, hints: Column) -> Column:
-    """Regex count behind two cheap necessary conditions.
+def _hinted_count(content: Column, pattern: str, first: str, text: Column, hints: list[str]) -> Column:
+    """Regex count behind two cheap necessary conditions that leave the count as it is.
 
-    ``hints`` lets most files skip the regex, and the look-ahead on the possible first
-    characters lets the regex skip most positions; neither changes the count.
+    A file without any of ``hints`` skips the regex, and the look-ahead on the possible
+    first characters lets the regex skip most positions.
     """
-    quick = f"(?=[{first}])(?:{pattern})"
+    hinted = reduce(lambda a, b: a | b, [F.contains(text, F.lit(hint)) for hint in hints])
+    quick = F.lit(f"(?=[{first}])(?:{pattern})")
     return (
-        F.when(hints, F.regexp_count(content, F.lit(quick)))
-        .when(content.isNotNull(), 0)
-        .cast("int")
+        F.when(hinted, F.regexp_count(content, quick)).when(content.isNotNull(), 0).cast("int")
     )
 
 
-def _has_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(word)) for word in words])
-
-
 def marker_count(content: Column) -> Column:
     """M2: maintenance markers, any case, also inside longer words."""
-    return _guarded_count(content, C.MARKERS, "TtFfHh", _has_any(F.lower(content), C.MARKER_WORDS))
+    return _hinted_count(content, C.MARKERS, "TtFfHh", F.lower(content), C.MARKER_WORDS)
 
 
 def function_count(content: Column) -> Column:
     """M3: named functions and arrow bodies."""
-    return _guarded_count(content, C.FUNCTIONS, "f=", _has_any(content, C.FUNCTION_HINTS))
+    return _hinted_count(content, C.FUNCTIONS, "f=", content, C.FUNCTION_HINTS)
 
 
 def debt_score(lines: Column, markers: Column, functions: Column) -> Column:

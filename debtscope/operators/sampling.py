@@ -47,13 +47,17 @@ def sample_cap(df: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
 
 
 def measure(df: DataFrame, max_chars: int = C.MAX_FILE_BYTES) -> DataFrame:
-    """Replace ``content`` by ``lines``, ``markers``, ``functions``, ``has_content``, ``chars``."""
+    """Replace ``content`` by ``lines``, ``markers``, ``functions``, ``has_content``, ``chars``.
+
+    Whether a body is empty does not depend on its truncation, so that test is on the
+    column as read and a filter on it can reach the scan.
+    """
     body = F.col("content")
+    filled = F.coalesce(F.octet_length(body) > 0, F.lit(False))
     return (
-        truncate_content(df, max_chars)
+        truncate_content(df.withColumn("has_content", filled), max_chars)
         .withColumns(
             {
-                "has_content": F.coalesce(body != "", F.lit(False)),
                 "chars": F.length(body),
                 "lines": X.line_count(body),
                 "markers": X.marker_count(body),
