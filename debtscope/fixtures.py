@@ -129,7 +129,7 @@ URL_CASES = [
     "'https://github.com/org/.git'",
     "'https://github.com/../repo' || CAST(page_id AS STRING)",
     "'https://github.com.example.com/org/repo' || CAST(page_id AS STRING)",
-    "'https://github.com:' || CAST(65000 + page_id AS STRING) || '/o/r'",
+    "'https://github.com:' || CAST(65400 + page_id AS STRING) || '/o/r'",
     "'https://github.com/or' || chr(10) || 'g/repo' || CAST(page_id AS STRING)",
     "''",
     "url || 'https://github.com/org/repo'",

@@ -26,7 +26,7 @@ def dashboard_view(reports: DataFrame) -> DataFrame:
         "repo_id",
         short_url(F.col("url")).alias("repository_label"),
         score.alias("debt_score"),
-        F.least(F.lit(float(C.MAX_SCORE)), score).alias("bar_width"),
+        F.least(F.lit(float(C.MAX_SCORE)), F.coalesce(score, F.lit(0.0))).alias("bar_width"),
         F.concat(F.lit("$"), F.expr("format_number(cost.data.annual_cost, '#,##0.###')")).alias("annual_cost"),
         F.col("cost.data.roi_months").alias("roi_months"),
         F.col("cost.data.priority").alias("priority"),

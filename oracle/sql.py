@@ -450,7 +450,7 @@ F["strip_archive_root"] = """
 SELECT repo_id, branch, pos, array_to_string(string_split(name, '/')[2:], '/') AS path FROM archives WHERE contains(name, '/')"""
 F["dashboard_view"] = f"""
 SELECT repo_id, owner || '/' || repository AS repository_label, total_debt_score AS debt_score,
-       least(100, total_debt_score) AS bar_width,
+       CASE WHEN total_debt_score > 100 THEN 100 ELSE coalesce(total_debt_score, 0) END AS bar_width,
        '$' || regexp_replace(regexp_replace(format('{{:,.3f}}', annual_cost), '0+$', ''), '[.]$', '') AS annual_cost,
        roi_months, priority, verdict, o_framework AS framework, CAST(o_sampled AS INTEGER) AS files_sampled,
        coalesce(nullif(replace(o_roots, '|', ' / '), ''), {q(M.EMPTY_ROOTS)}) AS roots,
