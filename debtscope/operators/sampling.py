@@ -14,6 +14,9 @@ from debtscope.functions import files as X
 from debtscope.operators.topk import top_k
 
 
+HOT_ENTRIES = 1_000_000
+
+
 def code_files(df: DataFrame, path: str = "path") -> DataFrame:
     """P1."""
     return df.filter(X.is_code_file(F.col(path)))
@@ -73,13 +76,46 @@ def listing_sample(listing: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
     return sample_cap(code_files(eligible_files(listing)), k)
 
 
-def join_bodies(sample: DataFrame, bodies: DataFrame) -> DataFrame:
+def listing_sizes(listing: DataFrame) -> DataFrame:
+    """Entries of any kind per repository; counted in the map tasks first."""
+    return listing.groupBy("repo_id").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def skip_unsampled(
+    bodies: DataFrame, sample: DataFrame, sizes: DataFrame, hot_entries: int = HOT_ENTRIES
+) -> DataFrame:
+    """Drop bodies outside the sample that belong to very large repositories.
+
+    Those are the ones worth dropping before they are measured, and few enough to
+    broadcast: at most ``entries / hot_entries`` repositories with ``MAX_FILES`` paths
+    each.  Bodies of other repositories pass and meet the sample in the join.
+    """
+    large = sizes.filter(F.col("entries") >= hot_entries)
+    kept = (
+        sample.join(large, "repo_id", "inner")
+        .groupBy("repo_id")
+        .agg(F.collect_set("path").alias("_kept"))
+    )
+    is_wanted = F.col("_kept").isNull() | F.array_contains("_kept", F.col("path"))
+    return bodies.join(F.broadcast(kept), "repo_id", "left").filter(is_wanted).drop("_kept")
+
+
+def join_bodies(
+    sample: DataFrame,
+    bodies: DataFrame,
+    sizes: DataFrame | None = None,
+    hot_entries: int = HOT_ENTRIES,
+) -> DataFrame:
     """Capped listing with its bodies' measures; failed or empty bodies drop out.
 
     The join is on (repository, path), so a repository that holds a third of all
-    bodies is still spread over all partitions.
+    bodies is still spread over all partitions.  With ``sizes`` the bodies of very large
+    repositories are reduced to the sample first.
     """
-    measured = nonempty_files(measure(code_files(bodies)))
+    wanted = code_files(bodies)
+    if sizes is not None:
+        wanted = skip_unsampled(wanted, sample, sizes, hot_entries)
+    measured = nonempty_files(measure(wanted))
     columns = ["repo_id", "path", "lines", "markers", "functions"]
     return sample.join(measured.select(*columns), ["repo_id", "path"], "inner")
 

@@ -66,9 +66,9 @@ def fallback_reasons(attempts: DataFrame) -> DataFrame:
     )
 
 
-def truncated_repos(listing: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
+def truncated_repos(sizes: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
     """A7, listing route: repositories with more than ``k`` entries of any kind."""
-    return listing.groupBy("repo_id").agg((F.count(F.lit(1)) > k).alias("listing_truncated"))
+    return sizes.select("repo_id", (F.col("entries") > k).alias("listing_truncated"))
 
 
 def sample_array() -> Column:
@@ -120,7 +120,8 @@ def resolve_snapshots(
 
     Both file routes are capped before they meet ``repos``, so no join key is skewed.
     """
-    listed = sampling.join_bodies(sampling.listing_sample(listing, k), bodies)
+    sizes = sampling.listing_sizes(listing)
+    listed = sampling.join_bodies(sampling.listing_sample(listing, k), bodies, sizes)
     columns = ["repo_id", "pos", "path", "size", "lines", "markers", "functions"]
     listed = listed.select(*columns, F.lit(None).cast("string").alias("branch"))
     archived = prefer_branch(archive_files(archives), k).select(*columns, "branch")
@@ -137,7 +138,7 @@ def resolve_snapshots(
     )
     joined = (
         repos.join(nested, "repo_id", "left")
-        .join(truncated_repos(listing, k), "repo_id", "left")
+        .join(truncated_repos(sizes, k), "repo_id", "left")
         .join(fallback_reasons(attempts), "repo_id", "left")
     )
     return pick_route(joined, k)

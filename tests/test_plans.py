@@ -76,6 +76,18 @@ def test_bodies_join_on_path_too(spark, landed):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
 
 
+def test_large_repositories_are_cut_before_measuring(landed):
+    listing, bodies = landed["listing"], landed["bodies"]
+    sample, sizes = sampling.listing_sample(listing), sampling.listing_sizes(listing)
+    cut = sampling.skip_unsampled(sampling.code_files(bodies), sample, sizes, hot_entries=20)
+    assert cut.count() < sampling.code_files(bodies).count()
+    plan = plan_of(sampling.measure(cut))
+    assert plan.index("regexp_extract_all") < plan.index("BroadcastHashJoin")
+    plain = sampling.join_bodies(sample, bodies)
+    quick = sampling.join_bodies(sample, bodies, sizes, hot_entries=20)
+    assert sorted(plain.collect()) == sorted(quick.collect())
+
+
 def test_filters_and_columns_reach_the_scan(landed):
     df = sampling.listing_sample(landed["listing"])
     (scan,) = node_blocks(df, "Scan parquet")
@@ -83,7 +95,7 @@ def test_filters_and_columns_reach_the_scan(landed):
     df = landed["repo_files"].transform(sampling.sample_files).groupBy("repo_id").count()
     (scan,) = node_blocks(df, "Scan parquet")
     assert "EqualTo(type,blob)" in scan
-    df = snapshots.truncated_repos(landed["listing"])
+    df = snapshots.truncated_repos(sampling.listing_sizes(landed["listing"]))
     (scan,) = node_blocks(df, "Scan parquet")
     assert re.search(r"ReadSchema: struct<repo_id:bigint>\n", scan)
 
@@ -108,4 +120,4 @@ def test_scans_per_table(landed):
     scans = node_blocks(full_report(landed), "Scan parquet")
     with_content = [s for s in scans if re.search(r"Output \[\d+\]: \[[^\]]*content#", s)]
     assert len(with_content) == 2
-    assert len(scans) == 7
+    assert len(scans) == 9
