@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,26 +45,29 @@ def pull_request_title(target: Column) -> Column:
 
 
 # --- B4, B5 ---------------------------------------------------------------
-def _scaffold_files(name: Column, function: Column) -> Column:
+def _scaffold_files(name: Column, function: Callable[[Column], Column]) -> Column:
+    """Module and test file of a name.  The name is bound once, for the templates use it often."""
     pairs = [
         (M.SCAFFOLD_PATH, M.SCAFFOLD_MODULE),
         (M.SCAFFOLD_TEST_PATH, M.SCAFFOLD_TEST),
     ]
-    return F.array(
-        *[
-            F.struct(
-                fill(path, name=name).alias("path"),
-                fill(content, name=name, fn=function).alias("content"),
-            )
-            for path, content in pairs
-        ]
-    )
+
+    def files(bound: Column) -> Column:
+        slots = {"name": bound["name"], "fn": bound["fn"]}
+        return F.array(
+            *[
+                F.struct(fill(path, **slots).alias("path"), fill(content, **slots).alias("content"))
+                for path, content in pairs
+            ]
+        )
+
+    named = F.transform(F.array(name), lambda n: F.struct(n.alias("name"), function(n).alias("fn")))
+    return F.flatten(F.transform(named, files))
 
 
 def scaffolds(target: Column) -> Column:
     """Module and test for the target; its name is used as it is."""
-    name = module_name(target)
-    return _scaffold_files(name, F.concat(F.lit("create"), name))
+    return _scaffold_files(module_name(target), lambda name: F.concat(F.lit("create"), name))
 
 
 def fallback_scaffolds(target: Column) -> Column:
@@ -70,9 +75,12 @@ def fallback_scaffolds(target: Column) -> Column:
     path = F.coalesce(F.nullif(target, F.lit("")), F.lit(M.FALLBACK_TARGET))
     plain = F.coalesce(base_name(path), F.lit(M.FALLBACK_MODULE))
     word = F.nullif(F.regexp_replace(plain, r"[^\w]", ""), F.lit(""))
-    name = F.coalesce(word, F.lit(M.FALLBACK_MODULE))
-    capital = F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2)))
-    return _scaffold_files(name, F.concat(F.lit("create"), capital))
+
+    def function(name: Column) -> Column:
+        first, rest = F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2))
+        return F.concat(F.lit("create"), first, rest)
+
+    return _scaffold_files(F.coalesce(word, F.lit(M.FALLBACK_MODULE)), function)
 
 
 def ensured_scaffolds(files: Column, target: Column) -> Column:

@@ -91,8 +91,6 @@ def parsed_fields(payload: Column) -> Column:
 
 
 def _read(value: Column, ddl: str) -> Column:
-    if ddl == "string":
-        return value
     if ddl == "double":
         return value.try_cast("double")
     parsed = F.from_json(value, ddl)
@@ -117,8 +115,10 @@ def laid_over(base: Column, fields: Column, key: str, ddl: str) -> Column:
     """One field: the payload's value when the key is there and readable, else the base."""
     entry = F.try_element_at(F.filter(fields, lambda e: e.key == key), F.lit(-1))
     value = entry.value
+    if ddl == "string":
+        return F.when(entry.isNotNull(), value).otherwise(base)
     read = _read(value, ddl)
-    return F.when(entry.isNotNull() & (value.isNull() | read.isNotNull()), read).otherwise(base)
+    return F.when(entry.isNotNull() & value.isNull(), F.lit(None)).otherwise(F.coalesce(read, base))
 
 
 def overlay_inputs(stages: list[str]) -> dict[str, Column]:
