@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,16 @@ from debtscope.shipping import ship_by_value
 ship_by_value(__name__)
 
 ENTRY_SCHEMA = (
-    "repo_id bigint, branch string, pos bigint, path string, size bigint, content string"
+    "repo_id bigint, branch string, pos bigint, path string, size bigint, content string, error string"
+)
+ENTRY_COLUMNS = ["repo_id", "branch", "pos", "path", "size", "content", "error"]
+UNREADABLE = (
+    zipfile.BadZipFile,
+    zipfile.LargeZipFile,
+    zlib.error,
+    NotImplementedError,
+    RuntimeError,
+    EOFError,
 )
 BYTES_PER_CHAR = 4
 CODE_FILE = re.compile(C.CODE_FILE.replace(r"\z", r"\Z"))
@@ -62,23 +72,43 @@ def entries_of(blob: bytes, max_files: int, max_chars: int) -> Iterator[tuple[in
                 return
 
 
-def archive_scan(
+def unpack_archives(
     archives: DataFrame, max_files: int = C.MAX_FILES, max_chars: int = C.MAX_FILE_BYTES
 ) -> DataFrame:
-    """S3: archives ``(repo_id, branch, zip)`` to code files.  Unreadable archives give no row."""
+    """Archives ``(repo_id, branch, zip)`` to code files, or to one row with ``error``.
+
+    An archive with any unreadable entry counts as unreadable as a whole.  Batches of
+    archives are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 try:
                     entries = list(entries_of(bytes(row.zip), max_files, max_chars))
-                except (zipfile.BadZipFile, zipfile.LargeZipFile, NotImplementedError, RuntimeError, EOFError):
-                    continue
-                if entries:
                     out = pd.DataFrame(entries, columns=["pos", "path", "content"])
-                    out.insert(0, "repo_id", row.repo_id)
-                    out.insert(1, "branch", row.branch)
-                    out["size"] = out["content"].str.len()
-                    yield out[["repo_id", "branch", "pos", "path", "size", "content"]]
+                    out["size"], out["error"] = out["content"].str.len(), None
+                except UNREADABLE as failure:
+                    text = f"{type(failure).__name__}: {failure}"
+                    out = pd.DataFrame(
+                        {"pos": [None], "path": [None], "content": [None], "size": [None], "error": [text]}
+                    )
+                out.insert(0, "repo_id", row.repo_id)
+                out.insert(1, "branch", row.branch)
+                yield out[ENTRY_COLUMNS].astype({"pos": "Int64", "size": "Int64"})
 
     return archives.select("repo_id", "branch", "zip").mapInPandas(unpack, ENTRY_SCHEMA)
+
+
+def archive_scan(
+    archives: DataFrame, max_files: int = C.MAX_FILES, max_chars: int = C.MAX_FILE_BYTES
+) -> DataFrame:
+    """S3: the code files of all readable archives."""
+    unpacked = unpack_archives(archives, max_files, max_chars)
+    return unpacked.filter(F.col("error").isNull()).drop("error")
+
+
+def archive_attempts(unpacked: DataFrame) -> DataFrame:
+    """Unreadable archives as attempts ``(repo_id, branch, status, error)`` for J4."""
+    failed = unpacked.filter(F.col("error").isNotNull())
+    return failed.select("repo_id", "branch", F.lit(200).alias("status"), "error")

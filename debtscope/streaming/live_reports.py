@@ -5,6 +5,8 @@ within the watermark and lands each micro-batch under its own id, so a batch tha
 run again after a failure replaces itself.  Expiry is decided by the reader
 (:func:`debtscope.operators.lookup.live_reports`); the watermark only bounds the state.
 Its delay is longer than the life of a report, so none is dropped while it can be live.
+The state holds the ids of about an hour; on a busy cluster give it the RocksDB provider
+(``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations

@@ -139,6 +139,8 @@ def test_archive_source(spark, tmp_path):
     rows = A.archive_scan(found).orderBy("pos").collect()
     assert [(r.repo_id, r.branch, r.path, r.size) for r in rows] == [
         (1, "main", "src/main.ts", 9), (1, "main", "long.ts", 45_000)]
+    (failed,) = A.archive_attempts(A.unpack_archives(found)).collect()
+    assert (failed.repo_id, failed.branch, failed.status) == (2, "dev", 200) and "zip" in failed.error
     capped = A.archive_scan(found, max_files=1, max_chars=3).collect()
     assert [(r.path, r.content) for r in capped] == [("src/main.ts", "exp")]
 
