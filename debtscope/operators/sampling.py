@@ -82,20 +82,17 @@ def listing_sizes(listing: DataFrame) -> DataFrame:
 
 
 def skip_unsampled(
-    bodies: DataFrame, sample: DataFrame, sizes: DataFrame, hot_entries: int = HOT_ENTRIES
+    bodies: DataFrame, listing: DataFrame, hot_entries: int = HOT_ENTRIES, k: int = C.MAX_FILES
 ) -> DataFrame:
     """Drop bodies outside the sample that belong to very large repositories.
 
     Those are the ones worth dropping before they are measured, and few enough to
-    broadcast: at most ``entries / hot_entries`` repositories with ``MAX_FILES`` paths
-    each.  Bodies of other repositories pass and meet the sample in the join.
+    broadcast: at most ``entries / hot_entries`` repositories, with ``k`` paths each.
+    Bodies of other repositories pass and meet the sample in the join.
     """
-    large = sizes.filter(F.col("entries") >= hot_entries)
-    kept = (
-        sample.join(large, "repo_id", "inner")
-        .groupBy("repo_id")
-        .agg(F.collect_set("path").alias("_kept"))
-    )
+    large = listing_sizes(listing).filter(F.col("entries") >= hot_entries).select("repo_id")
+    of_large = listing.join(F.broadcast(large), "repo_id", "left_semi")
+    kept = listing_sample(of_large, k).groupBy("repo_id").agg(F.collect_set("path").alias("_kept"))
     is_wanted = F.col("_kept").isNull() | F.array_contains("_kept", F.col("path"))
     return bodies.join(F.broadcast(kept), "repo_id", "left").filter(is_wanted).drop("_kept")
 
@@ -103,18 +100,19 @@ def skip_unsampled(
 def join_bodies(
     sample: DataFrame,
     bodies: DataFrame,
-    sizes: DataFrame | None = None,
+    listing: DataFrame | None = None,
     hot_entries: int = HOT_ENTRIES,
+    k: int = C.MAX_FILES,
 ) -> DataFrame:
     """Capped listing with its bodies' measures; failed or empty bodies drop out.
 
     The join is on (repository, path), so a repository that holds a third of all
-    bodies is still spread over all partitions.  With ``sizes`` the bodies of very large
-    repositories are reduced to the sample first.
+    bodies is still spread over all partitions.  With ``listing`` the bodies of very
+    large repositories are reduced to the sample first.
     """
     wanted = code_files(bodies)
-    if sizes is not None:
-        wanted = skip_unsampled(wanted, sample, sizes, hot_entries)
+    if listing is not None:
+        wanted = skip_unsampled(wanted, listing, hot_entries, k)
     measured = nonempty_files(measure(wanted))
     columns = ["repo_id", "path", "lines", "markers", "functions"]
     return sample.join(measured.select(*columns), ["repo_id", "path"], "inner")

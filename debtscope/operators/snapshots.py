@@ -121,7 +121,7 @@ def resolve_snapshots(
     Both file routes are capped before they meet ``repos``, so no join key is skewed.
     """
     sizes = sampling.listing_sizes(listing)
-    listed = sampling.join_bodies(sampling.listing_sample(listing, k), bodies, sizes)
+    listed = sampling.join_bodies(sampling.listing_sample(listing, k), bodies, listing, k=k)
     columns = ["repo_id", "pos", "path", "size", "lines", "markers", "functions"]
     listed = listed.select(*columns, F.lit(None).cast("string").alias("branch"))
     archived = prefer_branch(archive_files(archives), k).select(*columns, "branch")

@@ -78,13 +78,13 @@ def test_bodies_join_on_path_too(spark, landed):
 
 def test_large_repositories_are_cut_before_measuring(landed):
     listing, bodies = landed["listing"], landed["bodies"]
-    sample, sizes = sampling.listing_sample(listing), sampling.listing_sizes(listing)
-    cut = sampling.skip_unsampled(sampling.code_files(bodies), sample, sizes, hot_entries=20)
+    sample = sampling.listing_sample(listing)
+    cut = sampling.skip_unsampled(sampling.code_files(bodies), listing, hot_entries=20)
     assert cut.count() < sampling.code_files(bodies).count()
     plan = plan_of(sampling.measure(cut))
     assert plan.index("regexp_extract_all") < plan.index("BroadcastHashJoin")
     plain = sampling.join_bodies(sample, bodies)
-    quick = sampling.join_bodies(sample, bodies, sizes, hot_entries=20)
+    quick = sampling.join_bodies(sample, bodies, listing, hot_entries=20)
     assert sorted(plain.collect()) == sorted(quick.collect())
 
 
