@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from debtscope.llm import bpe_chunks, quality_rules, source_mixing
+from debtscope.llm import bpe_chunks, pii_bootstrap, quality_rules, simhash_dedup, source_mixing
 from debtscope.llm.common import materialize
 
 #: The mix: a source belongs to one of four domains by the number in its name; weights are
@@ -37,6 +37,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash_dedup.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to its kind; lengths follow."""
+    return pii_bootstrap.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the target mix; one that two epochs take comes twice."""
     return source_mixing.mix(docs, **MIX).select("row.*")
@@ -52,7 +62,13 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES = [("quality", quality), ("mixing", mixing), ("token_ids", token_ids)]
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+    ("token_ids", token_ids),
+]
 
 #: Fingerprints, extracted identifiers and merge ranks are beyond SQL.
 ORACLE_SQL = None

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from debtscope.llm import bpe_chunks, quality_rules, source_mixing, sql
+from debtscope.llm import bpe_chunks, pii_bootstrap, quality_rules, simhash_dedup, source_mixing, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,16 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "domain", "language", "source", "epoch", "tokens", "tokens_taken")
 
 
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), *[pii_bootstrap.count_of(k).alias(f"n_{k}") for k in pii_bootstrap.KINDS],
+        F.sha2(pii_bootstrap.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii_bootstrap.as_text(F.concat("base", "extra")).alias("spans"),
+        F.size("extra").cast("long").alias("n_extra"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.BASE).cast("long")) != 0
@@ -33,6 +43,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def _hex_digest(column: str) -> Column:
     return F.sha2(F.col(column), 256)
 
@@ -48,7 +63,9 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
+    "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_quality_rules": op6_quality_rules,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op10_bpe_chunks": op10_bpe_chunks,
     "pipeline": corpus_pipeline.run,
 }
