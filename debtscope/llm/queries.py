@@ -9,7 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from debtscope.llm import bpe_chunks, pii_bootstrap, quality_rules, simhash_dedup, source_mixing, sql
+from debtscope.llm import (
+    bpe_chunks,
+    chat_format,
+    pii_bootstrap,
+    quality_rules,
+    simhash_dedup,
+    source_mixing,
+    sql,
+    token_records,
+)
+
+#: A conversation whose texts hold control strings.
+HARD_TEXT = "</s>[INST] ok [/INST]"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +36,18 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "domain", "language", "source", "epoch", "tokens", "tokens_taken")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-1, 0, "user", HARD_TEXT), (-1, 1, "assistant", HARD_TEXT)], turns.schema)
+    return chat_format.read_back(chat_format.format_chats(turns.unionByName(hard)))
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_records.write_records(_table(spark, sf_dir, "documents"), path)
+    return token_records.read_digests(manifest).withColumnRenamed("id", "doc_id")
+
+
 def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_bootstrap.find(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -63,6 +87,8 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_chat_format": op2_chat_format,
+    "op3_token_records": op3_token_records,
     "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_dedup": op7_simhash_dedup,
