@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from debtscope.llm import (
+    block_join,
     bpe_chunks,
     chat_format,
+    language_crf,
     pii_bootstrap,
     quality_rules,
     simhash_dedup,
@@ -72,6 +74,17 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_crf.fit(language_crf.training_rows(docs, ~language_crf.held_out()))
+    return language_crf.predict(docs, model).select(
+        F.col("id").alias("doc_id"), language_crf.held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+def op9_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_join.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def _hex_digest(column: str) -> Column:
     return F.sha2(F.col(column), 256)
 
@@ -92,6 +105,8 @@ LLM_QUERIES: dict[str, Query] = {
     "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_language_crf": op8_language_crf,
+    "op9_block_join": op9_block_join,
     "op10_bpe_chunks": op10_bpe_chunks,
     "pipeline": corpus_pipeline.run,
 }
