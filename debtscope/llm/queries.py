@@ -14,6 +14,7 @@ from debtscope.llm import (
     bpe_chunks,
     chat_format,
     language_crf,
+    license_rules,
     pii_bootstrap,
     quality_rules,
     simhash_dedup,
@@ -50,6 +51,11 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_digests(manifest).withColumnRenamed("id", "doc_id")
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_rules.scan(docs).select(F.col("row.doc_id").alias("doc_id"), "n_sentences", "sequence", "licences", "verdict")
+
+
 def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_bootstrap.find(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -102,6 +108,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_chat_format": op2_chat_format,
     "op3_token_records": op3_token_records,
+    "op4_license_rules": op4_license_rules,
     "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -110,6 +117,9 @@ LLM_QUERIES: dict[str, Query] = {
     "op10_bpe_chunks": op10_bpe_chunks,
     "pipeline": corpus_pipeline.run,
 }
-LLM_SQL: dict[str, str] = {"op6_quality_rules": sql.OP6}
+LLM_SQL: dict[str, str] = {
+    "op4_license_rules": sql.licence_sql(license_rules.SENTENCES, license_rules.RULES, license_rules.CLASSES),
+    "op6_quality_rules": sql.OP6,
+}
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

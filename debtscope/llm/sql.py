@@ -25,3 +25,36 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+
+def licence_sql(sentences: dict[str, list[str]], rules: list[tuple[str, str, str, str]], classes: list[str]) -> str:
+    """Sentence by sentence as rows, against tables of the fixed values."""
+    known = ", ".join(f"('{s}', '{i}')" for i, forms in sentences.items() for s in forms)
+    steps, before = [], "seq"
+    for k, (rule, pattern, _, _) in enumerate(rules):
+        steps.append(
+            f"r{k} AS (SELECT *, CASE WHEN n_sentences > 0 THEN len(regexp_extract_all(rest{k}, '{pattern}')) ELSE 0 END AS h{k}, "
+            f"regexp_replace(rest{k}, '{pattern}', '|', 'g') AS rest{k + 1} FROM {before})"
+        )
+        before = f"r{k}"
+    lists = ", ".join(f"list_resize([CAST(NULL AS VARCHAR)], 0) || list_transform(range(h{k}), lambda x: '{lic}')" for k, (_, _, lic, _) in enumerate(rules))
+    verdict = " ".join(
+        "WHEN " + " + ".join(f"h{k}" for k, r in enumerate(rules) if r[3] == kind) + f" > 0 THEN '{kind}'" for kind in classes
+    )
+    return rf"""
+WITH known(s, id) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT rid, doc_id, regexp_replace(regexp_replace(t, '([.!?;:])[ \t\n\r\f]+', '\1' || chr(1), 'g'),
+        '([^,A-Z \t\n\r\f])[ \t\r\f]*\n[ \t\n\r\f]*([^a-z \t\n\r\f])', '\1' || chr(1) || '\2', 'g') AS t FROM d),
+p AS (SELECT rid, doc_id, string_split(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), chr(1)) AS ss FROM m),
+s AS (SELECT rid, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM p),
+i AS (SELECT rid, count(id) AS n, string_agg('<' || coalesce(id, '?') || '>', '' ORDER BY pos) AS q
+      FROM s LEFT JOIN known ON known.s = trim(s.s, ' ') GROUP BY rid),
+seq AS (SELECT doc_id, n AS n_sentences, CASE WHEN n > 0 THEN regexp_replace(q, '(<[?]>)+', '<?>', 'g') ELSE '' END AS sequence,
+        sequence AS rest0 FROM p JOIN i USING (rid)),
+{", ".join(steps)}
+SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, sequence,
+       array_to_string(flatten([{lists}]), ',') AS licences, CASE {verdict} ELSE 'none' END AS verdict
+FROM {before}
+"""
