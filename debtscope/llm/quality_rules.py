@@ -83,7 +83,10 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     })
     for name, step in [*_window_hashes(), *_REPEATS]:
         df = df.withColumn(name, F.expr(step))
-    return df.select("row", *MEASURES)
+    # A filter on a measurement may not go below this generator, where it would be written
+    # out in terms of the text and evaluate each step many times.
+    df = df.select("row", F.explode(F.array(F.struct(*MEASURES))).alias("m"))
+    return df.select("row", "m.*")
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
