@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,8 +241,6 @@ def redact_text(text: str, extra: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with all spans in the texts replaced; null texts stay null."""
-    import pandas as pd
-
     found = materialize(find(docs, id_col, text_col, **how).filter("size(extra) > 0")
                         .select(F.coalesce("id", F.lit(0)).alias("_id"), "digest", "extra").distinct(), "extra")
 
