@@ -16,8 +16,9 @@ Files are written from range-partitioned, sorted rows, so that file after file g
 documents in ascending order.  A task writes under a name of its own and reports the file
 in the manifest; files of tasks that were lost are in no manifest and are never read.
 
-Texts are cut at spaces that follow a character other than white space, where every
-pre-token ends, and each different piece is encoded by the tokenizer once per task.
+Texts are cut where every pre-token ends, as at spaces that follow a character other than
+white space, and each different piece is encoded by the tokenizer once per task.  Fewer,
+larger tasks meet fewer new pieces, so their number follows the bytes of text.
 
 Defined results: null and empty texts have the end id alone; rows without an id come
 first, rows with equal ids by text; repeated rows are repeated records; only the id and
@@ -45,11 +46,14 @@ MAGIC = b"TOKREC01"
 #: Added to the rotated checksum, as in other record formats.
 MASK_DELTA = 0xA282EAD8
 INDEX = [("offset", "<u8"), ("before", "<u8"), ("n_ids", "<u4"), ("has_id", "<u4"), ("id", "<i8")]
-#: Pieces a task remembers before it starts afresh, and the longest one worth it.
-CACHE, CACHED_CHARS = 600_000, 64
+#: Parts a task remembers before it starts afresh, and the longest one it keeps.
+CACHE, CACHED_CHARS = 700_000, 64
+#: Bytes of text for one file, and the least for which another task is worth starting.
+FILE_BYTES, TASK_BYTES = 256 << 20, 16 << 20
 MANIFEST = "data_file string, index_file string, has_id boolean, first_id long, n_records long, n_ids long, n_bytes long, width int"
 _UNSAFE = re.compile(r"\s ")
 _SPACE = re.compile(r"\s")
+_LINES = re.compile(r"(\S+)\n(\S+)")
 _CUT = re.compile(r"(?<=\S) ")
 
 
@@ -67,53 +71,56 @@ class PieceTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.atoms: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def _spaced(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece with a space before it.
-
-        One text with a line break after each piece costs a fraction of single calls: no
-        pre-token spans the break, and its id occurs nowhere else if no piece has white space.
-        """
-        import numpy as np
-
-        mark = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        if len(mark) == 1 and not any(map(_SPACE.search, pieces)) and all(pieces):
-            text = "".join(f" {p}\n" for p in pieces) + "."  # the last break is followed by a character, too
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            ends = np.flatnonzero(ids == mark[0])
-            if len(ends) == len(pieces):
-                raw, starts = ids.tobytes(), [0, *(ends[:-1] + 1).tolist()]
-                return [raw[s * self.width:e * self.width] for s, e in zip(starts, ends.tolist())]
-        got = self.tokenizer.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
-        return [self.pack(x.ids) for x in got]
+    def _learn(self, parts: set[str]) -> None:
+        """Ids of parts, each with a space before it, from those of their atoms."""
+        cuts = {part: atoms_of(part) for part in parts}
+        new = list({a for cut in cuts.values() for a in cut if a not in self.atoms})
+        for at in range(0, len(new), 20_000):
+            some = new[at:at + 20_000]
+            for atom, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.atoms[atom] = self.pack(got.ids)
+        self.known.update((part, b"".join(map(self.atoms.__getitem__, cut))) for part, cut in cuts.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [(_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, local = self.known, {}
-        missing = list({p for parts in split for p in parts[1:] if p not in known})
-        plain = [p for p in missing if p and not _SPACE.search(p)]
-        other = [p for p in missing if not p or _SPACE.search(p)]
-        for pieces in (plain, other):
-            for at in range(0, len(pieces), 4_000):
-                some = pieces[at:at + 4_000]
-                for piece, packed in zip(some, self._spaced(some)):
-                    (known if len(piece) <= CACHED_CHARS else local)[piece] = packed
-        heads = self.tokenizer.encode_batch_fast([parts[0] for parts in split], add_special_tokens=False)
-        out = []
-        for parts, head in zip(split, heads):
-            try:
-                rest = map(known.__getitem__, parts[1:])
-                out.append(b"".join([self.pack(head.ids), *rest]))
-            except KeyError:
-                out.append(b"".join([self.pack(head.ids), *(known.get(p) or local[p] for p in parts[1:])]))
+        parts = set().union(*(x[1:] for x in split))
+        if not parts <= self.known.keys():
+            missing = parts - self.known.keys()
+            if len(self.known) + len(missing) > CACHE:
+                self.known, self.atoms, missing = {}, {}, parts
+            self._learn(missing)
+        heads = self.tokenizer.encode_batch_fast([x[0] for x in split], add_special_tokens=False)
+        known = self.known
+        out = [b"".join([self.pack(head.ids), *map(known.__getitem__, x[1:])]) for x, head in zip(split, heads)]
+        for part in parts:
+            if len(part) > CACHED_CHARS:
+                for piece in (part, *atoms_of(part)):
+                    self.known.pop(piece, None)
+                    self.atoms.pop(piece, None)
         return out
 
 
+def atoms_of(part: str) -> list[str]:
+    """Pieces of a space and a part between which a pre-token always ends: before and after
+    a single line break, and between a Latin letter and closing punctuation."""
+    lines = _LINES.fullmatch(part)
+    if lines:
+        return [*_ending(" " + lines[1]), "\n", *_ending(lines[2])]
+    return [" " + part] if _SPACE.search(part) else _ending(" " + part)
+
+
+def _ending(piece: str) -> list[str]:
+    stem = piece.rstrip(".,;:!?)")
+    if len(stem) < len(piece) and stem[-1:].isalpha() and stem[-1] < "\u0250":
+        return [stem, piece[len(stem):]]
+    return [piece]
+
+
 # --- framing ------------------------------------------------------------------
 def masked_crc(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -210,7 +217,10 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
     """
     folder = folder or shared_folder(docs.sparkSession, "records")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    ordered = texts.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    files = max(1, -(-size // FILE_BYTES), min(tasks, -(-size // TASK_BYTES)))
+    ordered = texts.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     files = materialize(ordered.mapInArrow(_write(tokenizer_path, folder, end_id), MANIFEST), "manifest")
     # one row per file, so a single window over them stays small
     upto = F.sum("n_ids").over(W.orderBy("has_id", "first_id"))
