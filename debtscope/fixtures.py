@@ -57,7 +57,7 @@ FILE_LAYERS: list[dict[str, str]] = [
     },
     {
         "path": "dir || base || CASE WHEN doc_id % 11 = 10 THEN CAST(doc_id AS STRING) ELSE '' END || '.' || ext",
-        "content": "CASE WHEN doc_id % 47 = 3 THEN '' WHEN doc_id % 29 = 0 THEN rpad(text, 46000, 'x') ELSE "
+        "content": "CASE WHEN doc_id % 47 = 3 THEN '' WHEN doc_id % 29 = 0 THEN text || repeat('x', 46000) ELSE "
         f"repeat({_part('doc_id % 3', FUNCTION_LINES)} || chr(10), CAST(CASE level WHEN 0 THEN 0 WHEN 1 THEN doc_id % 11 ELSE doc_id % 23 END AS INT)) "
         f"|| repeat({_part('doc_id % 3', MARKER_LINES)} || chr(10), CAST(CASE level WHEN 0 THEN 0 WHEN 1 THEN doc_id % 4 ELSE doc_id % 6 END AS INT)) "
         "|| repeat(CASE WHEN doc_id % 5 = 0 THEN 'row' || chr(13) ELSE 'row' END || chr(10), "
@@ -80,6 +80,8 @@ REPO_COLUMNS = {
     "url": "'https://github.com/org' || CAST(repo_id % 5 AS STRING) || '/repo' || CAST(repo_id AS STRING) "
     "|| CASE repo_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.git' ELSE '/' END",
     "status": "CAST(CASE WHEN repo_id % 5 = 1 THEN 403 WHEN repo_id % 13 = 7 THEN 500 ELSE 200 END AS INT)",
+    "message": "CASE WHEN repo_id % 13 = 7 THEN CASE repo_id % 3 WHEN 0 THEN 'upstream TimeOut' "
+    "WHEN 1 THEN 'failed: bearer abc.' || CAST(repo_id AS STRING) ELSE '' END END",
     "metadata": "'{' || CASE repo_id % 3 WHEN 0 THEN '\"description\": null, ' WHEN 1 THEN '' "
     "ELSE '\"description\": \"Repository ' || CAST(repo_id AS STRING) || '\", ' END "
     "|| CASE WHEN repo_id % 4 = 0 THEN '' ELSE '\"stargazers_count\": ' || CAST(repo_id * 7 AS STRING) || ', ' END "
@@ -146,7 +148,8 @@ def uuid_text(seed: str) -> str:
     return " || '-' || ".join(f"substr(md5({seed}), {start}, {n})" for start, n in cut)
 
 
-REPORT_SEED = "'run|' || CAST(repo_id AS STRING)"
+RUN_ID = "run"
+REPORT_SEED = f"'{RUN_ID}|' || CAST(repo_id AS STRING)"
 REPORT_AGE_MINUTES = "(repo_id % 40) * 4"
 
 # A third of all questions ask about one report.
@@ -157,8 +160,8 @@ QUESTIONS = {
     + " WHEN conv_id % 41 = 40 THEN 'not-a-report-id' ELSE "
     + uuid_text("'run|' || CAST(CASE WHEN conv_id % 41 = 39 THEN -1 ELSE conv_id % 41 END AS STRING)")
     + " END",
-    "question": "CASE conv_id % 9 WHEN 0 THEN substr(text, 1, 2) WHEN 1 THEN repeat(text, 30) "
-    "WHEN 2 THEN chr(160) || '  ' || chr(10) || substr(text, 1, 40) || chr(9) || ' ' ELSE substr(text, 1, 400) END",
+    "question": "CASE conv_id % 9 WHEN 0 THEN 'hm' WHEN 1 THEN repeat(text, 30) "
+    "WHEN 2 THEN chr(160) || '  ' || chr(10) || text || chr(9) || ' ' ELSE text END",
 }
 ANSWER_OVERLAY = (
     "CASE conv_id % 7 WHEN 1 THEN '{\"answer\": \"Refined.\", \"confidence\": 0.9, \"sourceFiles\": [\"z.ts\"]}' "
@@ -225,7 +228,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings as JSON documents of at most ``PAGE_ENTRIES`` entries."""
+    """Listings as JSON documents of at most ``PAGE_ENTRIES`` entries, and one without a tree each."""
     page = F.expr(f"CAST(floor(pos / {PAGE_ENTRIES}) AS BIGINT)")
     pages = (
         listing(spark, sf_dir)
@@ -233,12 +236,15 @@ def listing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("pos", "type", "path", "size"))).alias("entries"))
     )
     tree = F.transform("entries", lambda e: F.struct(e.type.alias("type"), e.path.alias("path"), e.size.alias("size")))
-    has_tree = F.col("page") % 5 != 3
-    return pages.select(
+    landed = pages.select(
         "repo_id",
         (F.col("page") * PAGE_ENTRIES).alias("first_pos"),
-        F.when(has_tree, F.to_json(F.struct(tree.alias("tree")))).otherwise('{"message": "empty"}').alias("payload"),
+        F.to_json(F.struct(tree.alias("tree"))).alias("payload"),
     )
+    empty = repo_ids(spark, sf_dir).select(
+        "repo_id", F.lit(0).cast("bigint").alias("first_pos"), F.lit('{"message": "empty"}').alias("payload")
+    )
+    return landed.unionByName(empty)
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def module_name(path: Column) -> Column:
 
 
 # --- bodies ---------------------------------------------------------------
-def truncate(content: Column, max_chars: int = C.MAX_FILE_BYTES) -> Column:
+def truncate(content: Column, max_chars: int) -> Column:
     """First ``max_chars`` characters.  Short bodies skip the character walk."""
     return F.when(F.octet_length(content) > max_chars, F.substring(content, 1, max_chars)).otherwise(
         content
@@ -130,29 +130,3 @@ def signals(lines: Column, markers: Column, functions: Column) -> Column:
             F.when(functions > C.FREE_FUNCTIONS, F.lit(C.SIGNAL_FUNCTIONS)),
         )
     )
-
-
-FILE_RECORDS = (
-    "array<struct<pos:bigint,path:string,size:bigint,lines:int,markers:int,functions:int,"
-    "score:int,language:string,root:string,is_entry:boolean,is_violation:boolean,rule:int>>"
-)
-
-
-def file_record(
-    pos: Column, path: Column, size: Column, lines: Column, markers: Column, functions: Column
-) -> Column:
-    """One sampled file as the narrow struct the per-repository profile works on."""
-    return F.struct(
-        pos.cast("bigint").alias("pos"),
-        path.alias("path"),
-        size.cast("bigint").alias("size"),
-        lines.cast("int").alias("lines"),
-        markers.cast("int").alias("markers"),
-        functions.cast("int").alias("functions"),
-        debt_score(lines, markers, functions).alias("score"),
-        file_language(path).alias("language"),
-        path_root(path).alias("root"),
-        is_entry_point(path).alias("is_entry"),
-        is_layer_violation(path).alias("is_violation"),
-        framework_rule(path).alias("rule"),
-    )

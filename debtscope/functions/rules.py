@@ -37,7 +37,14 @@ def payback_months(cost: Column) -> Column:
 
 # --- B3 -------------------------------------------------------------------
 def plan_steps(target: Column) -> Column:
-    return F.array(fill(M.STEP_EXTRACT, target=target), F.lit(M.STEP_CONTRACT), F.lit(M.STEP_TEST))
+    """What the scaffold of the target brings, and how to go on from it."""
+    name = module_name(target)
+    module = fill(M.SCAFFOLD_PATH, name=name)
+    test = fill(M.SCAFFOLD_TEST_PATH, name=name)
+    return F.array(
+        fill(M.STEP_MODULE, path=module, fn=F.concat(F.lit("create"), name)),
+        fill(M.STEP_TEST, path=test, target=target),
+    )
 
 
 def pull_request_title(target: Column) -> Column:
@@ -89,8 +96,11 @@ def ensured_scaffolds(files: Column, target: Column) -> Column:
 
 
 # --- B6 -------------------------------------------------------------------
-def review_checks() -> Column:
-    return F.array(*[F.lit(check) for check in M.CHECKS])
+def review_checks(count: Column, hotspots: Column, total: Column) -> Column:
+    """What the recommendation rests on."""
+    return F.array(
+        fill(M.CHECK_FILES, count=count), fill(M.CHECK_HOTSPOTS, count=F.size(hotspots), total=total)
+    )
 
 
 def review_caveat(truncated: Column) -> Column:
@@ -98,10 +108,15 @@ def review_caveat(truncated: Column) -> Column:
 
 
 # --- B7 -------------------------------------------------------------------
-def architecture_summary(count: Column, fallback_reason: Column) -> Column:
+def architecture_summary(profile: Column, fallback_reason: Column) -> Column:
     return F.coalesce(
         fill(M.SUMMARY_FALLBACK, reason=F.nullif(fallback_reason, F.lit(""))),
-        fill(M.SUMMARY_SAMPLED, count=count),
+        fill(
+            M.SUMMARY_SAMPLED,
+            count=profile["n"],
+            entries=F.size(profile["entries"]),
+            mixed=F.size(profile["violating"]),
+        ),
     )
 
 

@@ -6,42 +6,28 @@ column expressions (see :func:`debtscope.functions.text.fill`).
 
 from __future__ import annotations
 
-VIOLATION = "{path}: user-interface and service code share this path."
+from debtscope import constants as C
 
-SUMMARY_SAMPLED = "{count} source files were sampled."
-SUMMARY_FALLBACK = "No repository snapshot ({reason}); figures come from the built-in sample."
-DEBT_FOUND = "{count} hotspots worth acting on."
-DEBT_FALLBACK = "Repository files were unavailable; this is an estimate from the built-in sample."
-DEBT_NONE = "The sampled files show no major hotspot."
+VIOLATION = "{path} matches the interface and the service pattern"
 
-ASSUMPTION = "Derived from static complexity signals at a blended maintenance rate."
+SUMMARY_SAMPLED = "{count} code files measured, {entries} entry points, {mixed} mixed paths"
+SUMMARY_FALLBACK = "built-in sample measured: {reason}"
+DEBT_FOUND = f"{{count}} files score above {C.HOTSPOT_MIN_SCORE}"
+DEBT_FALLBACK = "no file of the repository was measured"
+DEBT_NONE = f"no file scores above {C.HOTSPOT_MIN_SCORE}"
 
-STEP_EXTRACT = "Move one focused behaviour out of {target}."
-STEP_CONTRACT = "Give it a small, stable public contract."
-STEP_TEST = "Pin that contract with unit tests."
-PR_TITLE = "refactor: split up {target}"
+ASSUMPTION = f"{C.COST_PER_POINT} a year for each score point, {C.COST_PER_MONTH} a month pay back"
 
-CHECKS = [
-    "Metrics of sampled files back the recommendation.",
-    "The scaffold only adds files; nothing existing changes.",
-    "The proposed contract is covered by a test.",
-]
-CAVEAT = "Only part of the repository was sampled; check the rest before merging."
-
-STAGE_RUNNING = [
-    "Reading layers and boundaries.",
-    "Scoring complexity and upkeep.",
-    "Turning debt into cost and priority.",
-    "Drafting scaffold files and tests.",
-    "Checking the recommendation.",
-]
-STAGE_COMPLETE = [
-    "Structure passed on to Technical Debt.",
-    "Hotspots passed on to Risk & Cost.",
-    "Cost case passed on to Refactor Planner.",
-    "Scaffold passed on to Review.",
-    "Review finished.",
-]
+STEP_MODULE = "create {path} exporting {fn}"
+STEP_TEST = "run {path} after each move out of {target}"
+PR_TITLE = "refactor: move code out of {target}"
+
+CHECK_FILES = "{count} files measured"
+CHECK_HOTSPOTS = f"{{count}} of them above {C.HOTSPOT_MIN_SCORE}, mean score {{total}}"
+CAVEAT = "files beyond the limits of the run were not measured"
+
+STAGE_STARTED = "{stage} started"
+STAGE_ENDED = "{stage} ended"
 STAGE_WAITING = "Not finished yet"
 
 DEFAULT_TARGET = "src/feature.ts"
@@ -70,7 +56,7 @@ test('{fn} returns an equal copy of its input', () => {{
 }})
 """
 
-ANSWER = "Per the stored report, begin with {target}. {summary} Next step: {step}"
+ANSWER = "{target} first: {summary}; {step}"
 
 README = "# Refactor bundle\n\nRepository: {url}\nRun mode: {mode}\n"
 BUNDLE_NAME = "refactor-bundle-{stamp}.zip"

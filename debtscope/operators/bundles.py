@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from debtscope import messages as M
+from debtscope.functions import urls
 from debtscope.functions.text import bundle_name, fill
+from debtscope.operators.lookup import lookup_reports
 from debtscope.operators.overlay import SCAFFOLDS
 from debtscope.operators.rows import rows_of
 from debtscope.shipping import ship_by_value
@@ -61,6 +63,22 @@ def bundle_rows(reports: DataFrame) -> DataFrame:
     return rows.select("analysis_id", "file.path", "file.content")
 
 
+def bundle_requests(requests: DataFrame, reports: DataFrame, as_of: datetime, request_id: str) -> DataFrame:
+    """Download requests: V3, J6, then U2; requests without a bundle keep a row with their status."""
+    reason = urls.id_reject_reason(F.col("analysis_id"))
+    checked = requests.select(request_id, "analysis_id", reason.alias("_reason"))
+    day = ["created_date"] if "created_date" in reports.columns else []
+    packed = with_bundle(reports).select(*day, "analysis_id", "created_at", "bundle")
+    found = lookup_reports(checked, packed, as_of, F.col("_reason").isNull())
+    status = (
+        F.when(F.col("_reason").isNotNull(), F.lit("rejected"))
+        .when(F.col("lookup") == "found", F.lit("ready"))
+        .otherwise(F.col("lookup"))
+    )
+    rows = found.select(request_id, "analysis_id", status.alias("status"), F.explode_outer("bundle").alias("file"))
+    return rows.select(request_id, "analysis_id", "status", "file.path", "file.content")
+
+
 def _zip(files) -> bytes:
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:

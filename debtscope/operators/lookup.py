@@ -14,36 +14,45 @@ from debtscope.functions.text import fill, trim_all
 from debtscope.operators.overlay import overlaid, overlay_inputs
 from debtscope.operators.profile import source_files
 from debtscope.operators.rows import rows_of
-from debtscope.operators.skew import HOT_ROWS, split_hot_left_join
 from debtscope.operators.topk import top_k
 
 
 def live_reports(reports: DataFrame, as_of: datetime, ttl: str = C.REPORT_TTL) -> DataFrame:
-    """Reports not older than ``ttl``; one aged exactly ``ttl`` still counts."""
-    return reports.filter(F.col("created_at") >= F.lit(as_of) - F.expr(f"INTERVAL {ttl}"))
+    """Reports not older than ``ttl``; one aged exactly ``ttl`` still counts.
 
+    A table partitioned by ``created_date`` is read from the first day that can count.
+    """
+    oldest = F.lit(as_of) - F.expr(f"INTERVAL {ttl}")
+    if "created_date" in reports.columns:
+        first_day = F.to_date(F.to_utc_timestamp(oldest, F.current_timezone()))
+        reports = reports.filter(F.col("created_date") >= first_day)
+    return reports.filter(F.col("created_at") >= oldest)
 
-def lookup_reports(
-    requests: DataFrame,
-    reports: DataFrame,
-    as_of: datetime,
-    request_id: str = "request_id",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+
+def lookup_reports(requests: DataFrame, reports: DataFrame, as_of: datetime, wanted: Column | None = None) -> DataFrame:
     """Each request with its live report; ``lookup`` says found or not found.
 
-    Pass only the report columns the request needs.  A report that a third of all
-    requests ask for is handled by the hot-key join.
+    Requests that cannot match, without an id or refused by ``wanted``, do not enter the
+    join and come back by union, so they never meet in one partition.  A report that a
+    third of all requests ask for is left to the join's own splitting of skewed partitions.
+    Pass only the report columns the request needs.
     """
+    asks = F.col("analysis_id").isNotNull()
+    if wanted is not None:
+        asks = asks & F.coalesce(wanted, F.lit(False))
     live = live_reports(reports, as_of).withColumn("_found", F.lit(True))
-    joined = split_hot_left_join(requests, live, "analysis_id", request_id, hot_rows)
+    joined = requests.filter(asks).join(live, "analysis_id", "left")
+    apart = requests.filter(~asks)
+    both = joined.unionByName(apart, allowMissingColumns=True)
     status = F.when(F.col("_found"), F.lit("found")).otherwise(F.lit(M.NOT_FOUND))
-    return joined.withColumn("lookup", status).drop("_found")
+    return both.withColumn("lookup", status).drop("_found", "created_date")
 
 
 def answer_basis(reports: DataFrame) -> DataFrame:
     """The few report columns an answer is made of (refined values)."""
+    day = ["created_date"] if "created_date" in reports.columns else []
     return reports.select(
+        *day,
         "analysis_id",
         "created_at",
         "is_demo",
@@ -59,7 +68,6 @@ def grounded_answers(
     reports: DataFrame,
     as_of: datetime,
     overlays: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Checked questions (V3, V4) answered from live reports (J6), refined by overlays.
 
@@ -76,7 +84,7 @@ def grounded_answers(
         trim_all(F.col("question")).alias("question"),
         reason.alias("reject_reason"),
     )
-    found = lookup_reports(checked, answer_basis(reports), as_of, "question_id", hot_rows)
+    found = lookup_reports(checked, answer_basis(reports), as_of, F.col("reject_reason").isNull())
     status = (
         F.when(F.col("reject_reason").isNotNull(), F.lit("rejected"))
         .when(F.col("lookup") == "found", F.lit("answered"))

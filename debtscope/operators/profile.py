@@ -1,9 +1,9 @@
-"""Per-repository figures from its sampled files.
+"""Per-repository figures from all of its files.
 
-Works on one row per repository with ``files``: the sample of at most ``MAX_FILES``
-narrow records in listing order (:func:`debtscope.operators.snapshots.nest_files`).
-The cap is what bounds the array.  Everything here is local to the row, so the whole
-profile costs the one shuffle that brought the sample together.
+:func:`profile` goes from narrow measured rows to one row per key without ever bringing
+the files of a repository together.  Counts by language and root are keyed aggregates with
+map-side partial sums; hotspots, entry points, violations and context paths are top lists
+cut in every map task before the shuffle.  Only these bounded lists become arrays.
 """
 
 from __future__ import annotations
@@ -15,80 +15,154 @@ from debtscope import constants as C
 from debtscope import messages as M
 from debtscope.functions import files as X
 from debtscope.functions.text import fill
-from debtscope.operators.snapshots import no_files
-
-FILES = "files"
-
-
-def with_files(repos: DataFrame, nested: DataFrame) -> DataFrame:
-    """Every repository, with an empty array where nothing was kept."""
-    joined = repos.join(nested, "repo_id", "left")
-    return joined.withColumn(FILES, F.coalesce(FILES, no_files()))
+from debtscope.operators.topk import top_k
+
+PROFILE = (
+    "struct<n:int,rule:int,first_path:string,roots:array<string>,"
+    "languages:array<struct<language:string,n:int>>,entries:array<string>,"
+    "hot:array<struct<path:string,lines:int,score:double,signals:array<string>>>,"
+    "violating:array<string>,context:array<string>>"
+)
+
+
+def _counted(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """A2, A3 and the totals: counts and first places by value, the leading ones only."""
+    values = F.array(
+        F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")),
+        F.struct(F.lit("language").alias("kind"), F.col("language").alias("value")),
+        F.struct(F.lit("root").alias("kind"), F.col("root").alias("value")),
+    )
+    rows = scored.select(*keys, "pos", "path", "rule", F.explode(values).alias("v"))
+    counts = (
+        rows.filter("v.value IS NOT NULL")
+        .groupBy(*keys, F.col("v.kind").alias("kind"), F.col("v.value").alias("text"))
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("n"),
+            F.min("pos").alias("first"),
+            F.min("rule").alias("rule"),
+        )
+    )
+    order = [F.when(F.col("kind") == "language", -F.col("n")).otherwise(0), F.col("first")]
+    most = max(C.TOP_LANGUAGES, C.TOP_ROOTS)
+    return top_k(counts, [*keys, "kind"], order, most)
+
+
+def _listed(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """The leading files of each list."""
+    kind = lambda name, order, test: F.when(test, F.struct(F.lit(name).alias("kind"), order.cast("int").alias("order")))
+    kinds = F.array(
+        kind("context", F.lit(0), F.lit(True)),
+        kind("hot", -F.col("score"), F.col("score") > C.HOTSPOT_MIN_SCORE),
+        kind("entry", F.lit(0), F.col("is_entry")),
+        kind("violation", F.lit(0), F.col("is_violation")),
+    )
+    rows = scored.select(
+        *keys, "pos", "path", "lines", "markers", "functions", "score", F.explode(kinds).alias("k")
+    ).filter("k IS NOT NULL")
+    rows = rows.withColumns({"kind": F.col("k.kind"), "order": F.col("k.order")}).drop("k")
+    return top_k(rows, [*keys, "kind"], [F.col("order"), F.col("pos")], C.TOP_CONTEXT_PATHS)
+
+
+def profile(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and ``profile``, from rows ``(keys, pos, path, lines, markers, functions)``."""
+    lines, markers, functions = F.col("lines"), F.col("markers"), F.col("functions")
+    scored = files.select(
+        *keys,
+        "pos",
+        "path",
+        "lines",
+        "markers",
+        "functions",
+        X.debt_score(lines, markers, functions).alias("score"),
+        X.file_language(F.col("path")).alias("language"),
+        X.path_root(F.col("path")).alias("root"),
+        X.is_entry_point(F.col("path")).alias("is_entry"),
+        X.is_layer_violation(F.col("path")).alias("is_violation"),
+        X.framework_rule(F.col("path")).alias("rule"),
+    )
+    none = F.lit(None)
+    counted = _counted(scored, keys).select(
+        *keys, "kind", "rank", "text", "n", "rule", none.cast("double").alias("score"), none.cast("array<string>").alias("signals")
+    )
+    listed = _listed(scored, keys).select(
+        *keys,
+        "kind",
+        "rank",
+        F.col("path").alias("text"),
+        lines.alias("n"),
+        none.cast("int").alias("rule"),
+        F.col("score").cast("double").alias("score"),
+        X.signals(lines, markers, functions).alias("signals"),
+    )
+    rows = counted.unionByName(listed)
+    item = F.struct("kind", "rank", "text", "n", "rule", "score", "signals")
+    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def items(kind: str, k: int) -> Column:
+        return F.filter("items", lambda x: (x["kind"] == kind) & (x["rank"] <= k))
+
+    def texts(kind: str, k: int) -> Column:
+        return F.transform(items(kind, k), lambda x: x["text"])
+
+    total = F.get(items("all", 1), F.lit(0))
+    built = F.struct(
+        total["n"].alias("n"),
+        total["rule"].alias("rule"),
+        F.get(texts("context", 1), F.lit(0)).alias("first_path"),
+        texts("root", C.TOP_ROOTS).alias("roots"),
+        F.transform(
+            items("language", C.TOP_LANGUAGES),
+            lambda x: F.struct(x["text"].alias("language"), x["n"].alias("n")),
+        ).alias("languages"),
+        texts("entry", C.TOP_ENTRY_POINTS).alias("entries"),
+        F.transform(
+            items("hot", C.TOP_HOTSPOTS),
+            lambda x: F.struct(
+                x["text"].alias("path"), x["n"].alias("lines"), x["score"].alias("score"), x["signals"].alias("signals")
+            ),
+        ).alias("hot"),
+        texts("violation", C.TOP_VIOLATIONS).alias("violating"),
+        texts("context", C.TOP_CONTEXT_PATHS).alias("context"),
+    )
+    return gathered.select(*keys, built.cast(PROFILE).alias("profile"))
 
 
-def sampled_count(files: Column) -> Column:
-    """A1."""
-    return F.size(files)
-
-
-def languages(files: Column, k: int = C.TOP_LANGUAGES) -> Column:
-    """A2, T4: most frequent first, ties in order of first appearance."""
-    names = F.transform(files, lambda f: f.language)
-    counted = F.transform(
-        F.array_distinct(names),
-        lambda name: F.struct(
-            (-F.size(F.filter(names, lambda other: other == name))).alias("less"),
-            F.array_position(names, name).alias("first"),
-            name.alias("language"),
-        ),
-    )
-    top = F.slice(F.array_sort(counted), 1, k)
-    return F.transform(top, lambda c: F.struct(c.language.alias("language"), (-c.less).alias("n")))
+def no_files() -> Column:
+    """The profile of a repository in which nothing was kept."""
+    empty = ["roots", "languages", "entries", "hot", "violating", "context"]
+    return F.struct(
+        F.lit(0).alias("n"),
+        F.lit(None).alias("rule"),
+        F.lit(None).alias("first_path"),
+        *[F.array().alias(name) for name in empty],
+    ).cast(PROFILE)
 
 
-def root_directories(files: Column, k: int = C.TOP_ROOTS) -> Column:
-    """Distinct first segments in order of first appearance."""
-    roots = F.array_compact(F.transform(files, lambda f: f.root))
-    return F.slice(F.array_distinct(roots), 1, k)
+def with_profile(repos: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every repository, with an empty profile where nothing was kept, and its hotspots."""
+    joined = repos.join(profiles, "repo_id", "left")
+    filled = joined.withColumn("profile", F.coalesce("profile", no_files()))
+    return filled.withColumn("hot", F.col("profile.hot"))
 
 
-def entry_points(files: Column, k: int = C.TOP_ENTRY_POINTS) -> Column:
-    """A4, T5."""
-    return F.slice(F.transform(F.filter(files, lambda f: f.is_entry), lambda f: f.path), 1, k)
+def sampled_count(p: Column) -> Column:
+    """A1."""
+    return p["n"]
 
 
-def structure(files: Column) -> Column:
+def structure(p: Column) -> Column:
     """A5."""
     return F.struct(
-        sampled_count(files).alias("sampled_file_count"),
-        root_directories(files).alias("root_directories"),
-        languages(files).alias("languages"),
-        entry_points(files).alias("entry_points"),
+        p["n"].alias("sampled_file_count"),
+        p["roots"].alias("root_directories"),
+        p["languages"].alias("languages"),
+        p["entries"].alias("entry_points"),
     )
 
 
-def framework(files: Column) -> Column:
+def framework(p: Column) -> Column:
     """The earliest rule that any file satisfies."""
-    return X.framework_name(F.array_min(F.transform(files, lambda f: f.rule)))
-
-
-def hotspots(
-    files: Column, k: int = C.TOP_HOTSPOTS, min_score: int = C.HOTSPOT_MIN_SCORE
-) -> Column:
-    """Highest scores above ``min_score``; ties stay in listing order."""
-    scored = F.transform(
-        F.filter(files, lambda f: f.score > min_score),
-        lambda f: F.struct((-f.score).alias("less"), f.pos.alias("pos"), f.alias("file")),
-    )
-    return F.transform(
-        F.slice(F.array_sort(scored), 1, k),
-        lambda s: F.struct(
-            s.file.path.alias("path"),
-            s.file.lines.alias("lines"),
-            s.file.score.cast("double").alias("score"),
-            X.signals(s.file.lines, s.file.markers, s.file.functions).alias("signals"),
-        ),
-    )
+    return X.framework_name(p["rule"])
 
 
 def debt_total(hot: Column) -> Column:
@@ -97,24 +171,16 @@ def debt_total(hot: Column) -> Column:
     return F.round(total / F.greatest(F.size(hot), F.lit(1))).cast("int")
 
 
-def violations(files: Column, k: int = C.TOP_VIOLATIONS) -> Column:
+def violations(p: Column) -> Column:
     """A10, T6."""
-    mixed = F.slice(F.filter(files, lambda f: f.is_violation), 1, k)
-    return F.transform(mixed, lambda f: fill(M.VIOLATION, path=f.path))
+    return F.transform(p["violating"], lambda path: fill(M.VIOLATION, path=path))
 
 
-def refactor_target(hot: Column, files: Column) -> Column:
+def refactor_target(hot: Column, p: Column) -> Column:
     """B2: worst hotspot, else first file, else a default."""
-    return F.coalesce(
-        F.get(hot, 0).path, F.nullif(F.get(files, 0).path, F.lit("")), F.lit(M.DEFAULT_TARGET)
-    )
+    return F.coalesce(F.get(hot, 0).path, F.nullif(p["first_path"], F.lit("")), F.lit(M.DEFAULT_TARGET))
 
 
 def source_files(hot: Column, k: int = C.TOP_SOURCE_FILES) -> Column:
     """Evidence for answers."""
     return F.slice(F.transform(hot, lambda h: h.path), 1, k)
-
-
-def context_paths(files: Column, k: int = C.TOP_CONTEXT_PATHS) -> Column:
-    """Paths handed to the refinement step."""
-    return F.slice(F.transform(files, lambda f: f.path), 1, k)

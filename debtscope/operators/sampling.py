@@ -1,7 +1,8 @@
-"""From listing entries and bodies to the capped sample.
+"""From listing entries and bodies to measured files.
 
 ``content`` is the only wide column.  :func:`measure` turns it into three counts in
-the task that read it, and no operator here ships it through a shuffle.
+the task that read it, and no operator here ships it through a shuffle.  All files and
+all of their text count; a limit holds only where one is given.
 """
 
 from __future__ import annotations
@@ -9,25 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debtscope import constants as C
 from debtscope.functions import files as X
 from debtscope.operators.topk import top_k
 
 
-HOT_ENTRIES = 1_000_000
-
-
 def code_files(df: DataFrame, path: str = "path") -> DataFrame:
     """P1."""
     return df.filter(X.is_code_file(F.col(path)))
 
 
-def eligible_files(df: DataFrame, max_bytes: int = C.MAX_FILE_BYTES) -> DataFrame:
+def eligible_files(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Plain comparisons, so both reach the Parquet scan."""
-    return df.filter((F.col("type") == "blob") & (F.col("size") <= max_bytes))
+    blobs = df.filter(F.col("type") == "blob")
+    return blobs if max_bytes is None else blobs.filter(F.col("size") <= max_bytes)
 
 
-def truncate_content(df: DataFrame, max_chars: int = C.MAX_FILE_BYTES) -> DataFrame:
+def truncate_content(df: DataFrame, max_chars: int) -> DataFrame:
     """P3."""
     return df.withColumn("content", X.truncate(F.col("content"), max_chars))
 
@@ -44,12 +42,12 @@ def strip_archive_root(df: DataFrame, name: str = "name") -> DataFrame:
     return df.filter(X.has_root(F.col(name))).withColumn("path", X.strip_root(F.col(name)))
 
 
-def sample_cap(df: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
+def sample_cap(df: DataFrame, k: int) -> DataFrame:
     """First ``k`` rows of each repository in listing order."""
     return top_k(df, ["repo_id"], [F.col("pos")], k)
 
 
-def measure(df: DataFrame, max_chars: int = C.MAX_FILE_BYTES) -> DataFrame:
+def measure(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Replace ``content`` by ``lines``, ``markers``, ``functions``, ``has_content``, ``chars``.
 
     Whether a body is empty does not depend on its truncation, so that test is on the
@@ -57,23 +55,23 @@ def measure(df: DataFrame, max_chars: int = C.MAX_FILE_BYTES) -> DataFrame:
     """
     body = F.col("content")
     filled = F.coalesce(F.octet_length(body) > 0, F.lit(False))
-    return (
-        truncate_content(df.withColumn("has_content", filled), max_chars)
-        .withColumns(
-            {
-                "chars": F.length(body),
-                "lines": X.line_count(body),
-                "markers": X.marker_count(body),
-                "functions": X.function_count(body),
-            }
-        )
-        .drop("content")
-    )
+    df = df.withColumn("has_content", filled)
+    if max_chars is not None:
+        df = truncate_content(df, max_chars)
+    return df.withColumns(
+        {
+            "chars": F.length(body),
+            "lines": X.line_count(body),
+            "markers": X.marker_count(body),
+            "functions": X.function_count(body),
+        }
+    ).drop("content")
 
 
-def listing_sample(listing: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
-    """P1, P2, T1 on listing entries: what to fetch, before any body is touched."""
-    return sample_cap(code_files(eligible_files(listing)), k)
+def listing_sample(listing: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """P1, P2, T1 on listing entries: which files count, before any body is touched."""
+    wanted = code_files(eligible_files(listing, max_bytes))
+    return wanted if max_files is None else sample_cap(wanted, max_files)
 
 
 def listing_sizes(listing: DataFrame) -> DataFrame:
@@ -81,44 +79,23 @@ def listing_sizes(listing: DataFrame) -> DataFrame:
     return listing.groupBy("repo_id").agg(F.count(F.lit(1)).alias("entries"))
 
 
-def skip_unsampled(
-    bodies: DataFrame, listing: DataFrame, hot_entries: int = HOT_ENTRIES, k: int = C.MAX_FILES
-) -> DataFrame:
-    """Drop bodies outside the sample that belong to very large repositories.
-
-    Those are the ones worth dropping before they are measured, and few enough to
-    broadcast: at most ``entries / hot_entries`` repositories, with ``k`` paths each.
-    Bodies of other repositories pass and meet the sample in the join.
-    """
-    large = listing_sizes(listing).filter(F.col("entries") >= hot_entries).select("repo_id")
-    of_large = listing.join(F.broadcast(large), "repo_id", "left_semi")
-    kept = listing_sample(of_large, k).groupBy("repo_id").agg(F.collect_set("path").alias("_kept"))
-    is_wanted = F.col("_kept").isNull() | F.array_contains("_kept", F.col("path"))
-    return bodies.join(F.broadcast(kept), "repo_id", "left").filter(is_wanted).drop("_kept")
-
-
-def join_bodies(
-    sample: DataFrame,
-    bodies: DataFrame,
-    listing: DataFrame | None = None,
-    hot_entries: int = HOT_ENTRIES,
-    k: int = C.MAX_FILES,
-) -> DataFrame:
-    """Capped listing with its bodies' measures; failed or empty bodies drop out.
+def join_bodies(sample: DataFrame, bodies: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Listing entries with their bodies' measures; failed or empty bodies drop out.
 
     The join is on (repository, path), so a repository that holds a third of all
-    bodies is still spread over all partitions.  With ``listing`` the bodies of very
-    large repositories are reduced to the sample first.
+    bodies is still spread over all partitions.
     """
-    wanted = code_files(bodies)
-    if listing is not None:
-        wanted = skip_unsampled(wanted, listing, hot_entries, k)
-    measured = nonempty_files(measure(wanted))
+    measured = nonempty_files(measure(code_files(bodies), max_chars))
     columns = ["repo_id", "path", "lines", "markers", "functions"]
     return sample.join(measured.select(*columns), ["repo_id", "path"], "inner")
 
 
-def sample_files(repo_files: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
+def sample_files(
+    repo_files: DataFrame,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
+    max_chars: int | None = None,
+) -> DataFrame:
     """Same result as J1 when entry and body are in one table: one scan, no join."""
-    measured = measure(code_files(eligible_files(repo_files)))
-    return nonempty_files(sample_cap(measured, k))
+    measured = measure(code_files(eligible_files(repo_files, max_bytes)), max_chars)
+    return nonempty_files(measured if max_files is None else sample_cap(measured, max_files))

@@ -1,58 +1,59 @@
-"""Which files stand for a repository: its listing, an archive, or the sample."""
+"""Which files stand for a repository: its listing, an archive, or the sample.
+
+Files stay rows ``(repo_id, branch_rank, branch, pos, path, size, lines, markers,
+functions)``: rank 0 is the listing, then come the branches in order of preference, and the
+built-in sample is last.  Each (repository, rank) gets a profile by keyed aggregates, and
+choosing a route is choosing a profile, so no step gathers the files of a repository.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from debtscope import constants as C
 from debtscope import messages as M
 from debtscope.functions import files as X
 from debtscope.functions.text import fill
+from debtscope.operators import profile as P
 from debtscope.operators import sampling
-from debtscope.operators.rows import rows_of
+from debtscope.operators.topk import top_k
 
 LISTING, ARCHIVE, SAMPLE, ERROR = "listing", "archive", "sample", "error"
+SAMPLE_RANK = len(C.BRANCHES) + 1
+FILE_COLUMNS = ["repo_id", "branch_rank", "branch", "pos", "path", "size", "lines", "markers", "functions"]
 
 
 def branch_rank(branch: Column) -> Column:
     """Position of a branch name in the order of preference; null for any other."""
-    return F.nullif(F.array_position(F.array(*[F.lit(b) for b in C.BRANCHES]), branch), F.lit(0))
+    return F.nullif(F.array_position(F.array(*[F.lit(b) for b in C.BRANCHES]), branch).cast("int"), F.lit(0))
+
 
+def archive_files(archives: DataFrame, max_files: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """P5, P1, P3, P4 and T1 on archive entries of the branches that are tried.
 
-def archive_files(archives: DataFrame) -> DataFrame:
-    """P5, P1, P3, P4 on archive entries.  Archives have no size filter; size is the kept length."""
-    entries = archives.filter(~F.endswith("name", F.lit("/")))
+    Archives have no size filter; size is the kept length.
+    """
+    entries = archives.filter(~F.endswith("name", F.lit("/"))).filter(branch_rank(F.col("branch")).isNotNull())
     kept = sampling.nonempty_files(
-        sampling.measure(sampling.code_files(sampling.strip_archive_root(entries)))
+        sampling.measure(sampling.code_files(sampling.strip_archive_root(entries)), max_chars)
     )
-    return kept.withColumn("size", F.col("chars").cast("bigint"))
+    kept = kept.withColumns({"size": F.col("chars").cast("bigint"), "branch_rank": branch_rank(F.col("branch"))})
+    return kept if max_files is None else top_k(kept, ["repo_id", "branch"], [F.col("pos")], max_files)
 
 
-def prefer_branch(kept: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
-    """The first ``k`` files of the first usable branch of each repository.
+def prefer_branch(kept: DataFrame) -> DataFrame:
+    """The files of the first usable branch of each repository.
 
-    One window does both: ordered by (branch rank, pos) the preferred branch comes first,
-    so the first ``k`` rows contain all that can be kept of it.
+    The best branch is an aggregate with one row per repository, so the files meet it in a
+    join that the optimizer broadcasts or, where keys are skewed, splits.
     """
-    window = Window.partitionBy("repo_id").orderBy("branch_rank", "pos")
-    so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        kept.withColumn("branch_rank", branch_rank(F.col("branch")))
-        .filter(F.col("branch_rank").isNotNull())
-        .withColumns(
-            {
-                "rank": F.row_number().over(window),
-                "best": F.first("branch_rank").over(so_far),
-            }
-        )
-        .filter((F.col("rank") <= k) & (F.col("branch_rank") == F.col("best")))
-        .drop("best", "branch_rank")
-    )
+    best = kept.groupBy("repo_id").agg(F.min("branch_rank").alias("branch_rank"))
+    return kept.join(best, ["repo_id", "branch_rank"], "left_semi")
 
 
 def fallback_reasons(attempts: DataFrame) -> DataFrame:
-    """What went wrong at the last branch tried, per repository."""
+    """What went wrong at the last branch tried, per repository; a read error comes first."""
     message = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(
@@ -62,99 +63,105 @@ def fallback_reasons(attempts: DataFrame) -> DataFrame:
         .otherwise(fill(M.ARCHIVE_EMPTY, branch=F.col("branch")))
     )
     return attempts.groupBy("repo_id").agg(
-        F.max_by(message, branch_rank(F.col("branch"))).alias("reason")
+        F.max_by(message, F.struct(branch_rank(F.col("branch")), F.col("error").isNotNull())).alias("reason")
     )
 
 
-def truncated_repos(sizes: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
+def truncated_repos(sizes: DataFrame, k: int) -> DataFrame:
     """A7, listing route: repositories with more than ``k`` entries of any kind."""
     return sizes.select("repo_id", (F.col("entries") > k).alias("listing_truncated"))
 
 
-def sample_array() -> Column:
-    """The built-in files as a constant array of file records."""
+def sample_rows(repos: DataFrame) -> DataFrame:
+    """The built-in files for every rate-limited repository, of which the last resort."""
     texts = F.array(
         *[
-            F.struct(F.lit(pos).alias("pos"), F.lit(path).alias("path"), F.lit(text).alias("text"))
+            F.struct(F.lit(pos).cast("bigint").alias("pos"), F.lit(path).alias("path"), F.lit(text).alias("content"))
             for pos, (path, text) in enumerate(M.SAMPLE_FILES)
         ]
     )
-    return F.transform(texts, lambda f: _text_record(f.pos, f.path, f.text))
-
-
-def _text_record(pos: Column, path: Column, text: Column) -> Column:
-    counts = [X.line_count(text), X.marker_count(text), X.function_count(text)]
-    return X.file_record(pos, path, F.length(text), *counts)
-
-
-def no_files() -> Column:
-    """Empty array of file records."""
-    return F.expr(f"CAST(array() AS {X.FILE_RECORDS})")
-
-
-def record_column() -> Column:
-    names = ["pos", "path", "size", "lines", "markers", "functions"]
-    return X.file_record(*[F.col(name) for name in names])
-
-
-def nest_files(sampled: DataFrame, name: str = "files") -> DataFrame:
-    """One row per repository with its sample, at most ``MAX_FILES`` narrow records, by pos."""
-    return sampled.groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(record_column())).alias(name)
+    rows = repos.filter(F.col("status") == 403).select("repo_id", F.explode(texts).alias("f")).select("repo_id", "f.*")
+    return sampling.measure(rows).select(
+        "repo_id",
+        F.lit(SAMPLE_RANK).alias("branch_rank"),
+        F.lit(M.SAMPLE_BRANCH).alias("branch"),
+        "pos",
+        "path",
+        F.col("chars").cast("bigint").alias("size"),
+        "lines",
+        "markers",
+        "functions",
     )
 
 
-def resolve_snapshots(
+def snapshot_files(
     repos: DataFrame,
     listing: DataFrame,
     bodies: DataFrame,
     archives: DataFrame,
-    attempts: DataFrame,
-    k: int = C.MAX_FILES,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
+    max_chars: int | None = None,
+    metrics: str | None = None,
+) -> DataFrame:
+    """The measured files of all routes, narrow.
+
+    With ``metrics``, a folder, they are written there once and read back, so that texts
+    are read once however often the rows are used.
+    """
+    wanted = sampling.listing_sample(listing, max_files, max_bytes)
+    listed = sampling.join_bodies(wanted, bodies, max_chars).withColumns(
+        {"branch_rank": F.lit(0), "branch": F.lit(None).cast("string")}
+    )
+    archived = archive_files(archives, max_files, max_chars)
+    files = (
+        listed.select(*FILE_COLUMNS)
+        .unionByName(archived.select(*FILE_COLUMNS))
+        .unionByName(sample_rows(repos).select(*FILE_COLUMNS))
+    )
+    if metrics is None:
+        return files
+    files.write.parquet(metrics)
+    return files.sparkSession.read.schema(files.schema).parquet(metrics)
+
+
+def resolve_snapshots(
+    repos: DataFrame, listing: DataFrame, files: DataFrame, attempts: DataFrame, max_files: int | None = None
 ) -> DataFrame:
-    """One row per repository with its route and its files.
+    """One row per repository with its route and the profile of its files.
 
     ``repos.status`` is 200 when metadata and listing were both read, else the failing
     status.  200 -> listing; 403 -> archive, or the sample when no archive has a usable
-    file; anything else -> error (kept as a row, without files).
-
-    Both file routes are capped before they meet ``repos``, so no join key is skewed.
+    file; anything else -> error (kept as a row with its message, without files).
     """
-    sizes = sampling.listing_sizes(listing)
-    listed = sampling.join_bodies(sampling.listing_sample(listing, k), bodies, listing, k=k)
-    columns = ["repo_id", "pos", "path", "size", "lines", "markers", "functions"]
-    listed = listed.select(*columns, F.lit(None).cast("string").alias("branch"))
-    archived = prefer_branch(archive_files(archives), k).select(*columns, "branch")
-
-    is_archived = F.col("branch").isNotNull()
-    nested = (
-        listed.unionByName(archived)
-        .groupBy("repo_id")
-        .agg(
-            F.array_sort(F.collect_list(F.when(~is_archived, record_column()))).alias("listed"),
-            F.array_sort(F.collect_list(F.when(is_archived, record_column()))).alias("archived"),
-            F.max("branch").alias("branch"),
-        )
+    profiles = P.profile(files, ["repo_id", "branch_rank", "branch"]).withColumn("n", F.col("profile.n"))
+    is_listing = F.col("branch_rank") == 0
+    record = F.struct("branch_rank", "branch", "profile")
+    chosen = profiles.groupBy("repo_id").agg(
+        F.min_by(record, F.when(is_listing, 0)).alias("listed"),
+        F.min_by(record, F.when(~is_listing, F.col("branch_rank"))).alias("other"),
     )
-    joined = (
-        repos.join(nested, "repo_id", "left")
-        .join(truncated_repos(sizes, k), "repo_id", "left")
-        .join(fallback_reasons(attempts), "repo_id", "left")
-    )
-    return pick_route(joined, k)
+    joined = repos.join(chosen, "repo_id", "left").join(fallback_reasons(attempts), "repo_id", "left")
+    if max_files is None:
+        joined = joined.withColumn("listing_truncated", F.lit(False))
+    else:
+        joined = joined.join(truncated_repos(sampling.listing_sizes(listing), max_files), "repo_id", "left")
+    return pick_route(joined, max_files)
 
 
-def pick_route(joined: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
-    """Route and everything that depends on it, from the nested inputs of one repository."""
+def pick_route(joined: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Route and everything that depends on it, from the profiles of one repository."""
+    rank = F.col("other.branch_rank")
     route = (
         F.when(F.col("status") == 200, F.lit(LISTING))
-        .when((F.col("status") == 403) & (F.size("archived") > 0), F.lit(ARCHIVE))
+        .when((F.col("status") == 403) & (rank < SAMPLE_RANK), F.lit(ARCHIVE))
         .when(F.col("status") == 403, F.lit(SAMPLE))
         .otherwise(F.lit(ERROR))
     )
+    message = F.col("message") if "message" in joined.columns else F.lit(None).cast("string")
     routed = joined.withColumn("route", route)
     on = {name: F.col("route") == name for name in (LISTING, ARCHIVE, SAMPLE, ERROR)}
-    empty, sample = no_files(), sample_array()
+    full = F.lit(False) if max_files is None else F.col("other.profile.n") >= max_files
     return routed.select(
         "repo_id",
         "owner",
@@ -168,25 +175,25 @@ def pick_route(joined: DataFrame, k: int = C.MAX_FILES) -> DataFrame:
         .alias("description"),
         F.when(on[LISTING], F.col("stars")).otherwise(F.lit(0)).cast("bigint").alias("stars"),
         F.when(on[LISTING], F.col("default_branch"))
-        .when(on[ARCHIVE], F.col("branch"))
-        .when(on[SAMPLE], F.lit(M.SAMPLE_BRANCH))
+        .when(on[ARCHIVE] | on[SAMPLE], F.col("other.branch"))
         .alias("default_branch"),
         F.when(on[SAMPLE], F.coalesce("reason", F.lit(M.ARCHIVE_DEFAULT))).alias("fallback_reason"),
         F.when(on[LISTING], F.coalesce("listing_truncated", F.lit(False)))
-        .when(on[ARCHIVE], F.size("archived") >= k)
+        .when(on[ARCHIVE], full)
         .otherwise(F.lit(False))
         .alias("truncated"),
-        F.when(on[LISTING], F.coalesce("listed", empty))
-        .when(on[ARCHIVE], F.col("archived"))
-        .when(on[SAMPLE], sample)
-        .otherwise(empty)
-        .alias("files"),
+        F.when(on[LISTING], F.lit(0)).when(on[ARCHIVE] | on[SAMPLE], rank).alias("branch_rank"),
+        F.coalesce(
+            F.when(on[LISTING], F.col("listed.profile")).when(on[ARCHIVE] | on[SAMPLE], F.col("other.profile")),
+            P.no_files(),
+        ).alias("profile"),
+        F.when(on[ERROR], message).alias("message"),
     )
 
 
 def missing_snapshots(repos: DataFrame, kept: DataFrame, attempts: DataFrame) -> DataFrame:
     """Rate-limited repositories without a usable archive, and why."""
-    usable = kept.filter(branch_rank(F.col("branch")).isNotNull()).select("repo_id").distinct()
+    usable = kept.select("repo_id").distinct()
     return (
         repos.filter(F.col("status") == 403)
         .join(usable, "repo_id", "left_anti")
@@ -201,8 +208,8 @@ def missing_snapshots(repos: DataFrame, kept: DataFrame, attempts: DataFrame) ->
     )
 
 
-def snapshot_rows(resolved: DataFrame) -> DataFrame:
+def snapshot_rows(resolved: DataFrame, files: DataFrame) -> DataFrame:
     """The files of all routes as rows."""
-    return rows_of(resolved, ["repo_id", "route"], F.col("files"), "file").select(
-        "repo_id", "route", "file.*"
-    )
+    chosen = resolved.select("repo_id", "branch_rank", "route")
+    score = X.debt_score(F.col("lines"), F.col("markers"), F.col("functions"))
+    return files.join(chosen, ["repo_id", "branch_rank"]).withColumn("score", score)

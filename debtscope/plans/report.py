@@ -13,7 +13,7 @@ from debtscope.functions import rules
 from debtscope.functions.text import uuid_of
 from debtscope.operators import profile as P
 from debtscope.operators.overlay import overlaid, overlay_inputs, pivot_overlays
-from debtscope.operators.snapshots import ERROR, resolve_snapshots
+from debtscope.operators.snapshots import ERROR, resolve_snapshots, snapshot_files
 
 
 REPORT_COLUMNS = [
@@ -33,7 +33,7 @@ def stage_events(run_at: Column) -> Column:
     """Running and complete event of each stage, as an array in order."""
     rows = []
     for number, stage in enumerate(C.STAGES):
-        texts = [("running", M.STAGE_RUNNING[number]), ("complete", M.STAGE_COMPLETE[number])]
+        texts = [("running", M.STAGE_STARTED.format(stage=stage)), ("complete", M.STAGE_ENDED.format(stage=stage))]
         for offset, (status, text) in enumerate(texts):
             rows.append(
                 F.struct(
@@ -61,9 +61,9 @@ def analyse(snapshots: DataFrame, overlays: DataFrame | None, run_at: Column) ->
     else:
         rows = rows.join(pivot_overlays(overlays, "repo_id"), "repo_id", "left")
 
-    files, hot, reason = F.col("files"), F.col("hot"), F.col("fallback_reason")
+    files, hot, reason = F.col("profile"), F.col("hot"), F.col("fallback_reason")
     target, cost = F.col("base_target"), F.col("base_cost")
-    rows = rows.withColumns({"hot": P.hotspots(files), **overlay_inputs(C.STAGE_KEYS)})
+    rows = rows.withColumns({"hot": files["hot"], **overlay_inputs(C.STAGE_KEYS)})
     rows = rows.withColumns(
         {"base_total": P.debt_total(hot), "base_target": P.refactor_target(hot, files)}
     )
@@ -76,7 +76,7 @@ def analyse(snapshots: DataFrame, overlays: DataFrame | None, run_at: Column) ->
                     "layers": F.array(*[F.lit(layer) for layer in C.LAYERS]),
                     "structure": P.structure(files),
                     "violations": P.violations(files),
-                    "summary": rules.architecture_summary(P.sampled_count(files), reason),
+                    "summary": rules.architecture_summary(files, reason),
                 },
             ),
             "debt": overlaid(
@@ -100,7 +100,7 @@ def analyse(snapshots: DataFrame, overlays: DataFrame | None, run_at: Column) ->
                 "review",
                 {
                     "verdict": F.lit(C.VERDICT),
-                    "checks": rules.review_checks(),
+                    "checks": rules.review_checks(P.sampled_count(files), hot, F.col("base_total")),
                     "caveat": rules.review_caveat(F.col("truncated")),
                 },
             ),
@@ -166,13 +166,20 @@ def repo_report(
     attempts: DataFrame,
     overlays: DataFrame | None,
     run_at: datetime,
+    metrics: str | None = None,
+    **limits: int | None,
 ) -> DataFrame:
-    """From landed tables to one report per readable repository."""
-    resolved = resolve_snapshots(repos, listing, bodies, archives, attempts)
+    """From landed tables to one report per readable repository.
+
+    ``metrics`` is a folder for the measured files; ``limits`` (max_files, max_bytes,
+    max_chars) hold only where given.
+    """
+    files = snapshot_files(repos, listing, bodies, archives, metrics=metrics, **limits)
+    resolved = resolve_snapshots(repos, listing, files, attempts, limits.get("max_files"))
     return analyse(resolved, overlays, F.lit(run_at))
 
 
-def as_records(reports: DataFrame, created_at: Column, run_id: str = "run") -> DataFrame:
+def as_records(reports: DataFrame, created_at: Column, run_id: str) -> DataFrame:
     """Add ``analysis_id`` and ``created_at``.
 
     The id is derived from run and repository, not drawn at random: a task that is
@@ -180,6 +187,7 @@ def as_records(reports: DataFrame, created_at: Column, run_id: str = "run") -> D
     """
     return reports.withColumns(
         {
+            "run_id": F.lit(run_id),
             "analysis_id": uuid_of(F.lit(run_id), F.col("repo_id").cast("string")),
             "created_at": created_at,
         }

@@ -18,7 +18,13 @@ def dashboard_view(reports: DataFrame) -> DataFrame:
     def line(hotspot):
         labels = F.coalesce(hotspot.signals, F.array().cast("array<string>"))
         shown = F.when(F.size(labels) > 0, F.array_join(labels, " / ")).otherwise(M.EMPTY_SIGNALS)
-        return fill("{path} ({why})", path=F.coalesce(hotspot.path, F.lit("")), why=shown)
+        return fill(
+            "{path} {lines} lines {score} ({why})",
+            path=F.coalesce(hotspot.path, F.lit("")),
+            lines=F.coalesce(hotspot.lines, F.lit(0)),
+            score=F.coalesce(hotspot.score, F.lit(0.0)).cast("int"),
+            why=shown,
+        )
 
     hotspots = F.array_join(F.transform("debt.data.hotspots", line), "; ")
     roots = F.array_join(structure.root_directories, " / ")
@@ -39,5 +45,14 @@ def dashboard_view(reports: DataFrame) -> DataFrame:
             ", ",
         ).alias("languages"),
         F.coalesce(F.nullif(hotspots, F.lit("")), F.lit(M.NO_HOTSPOTS)).alias("hotspots"),
+        F.array_join("architecture.data.layers", " / ").alias("layers"),
+        F.array_join("architecture.data.violations", "; ").alias("violations"),
+        F.col("architecture.data.summary").alias("architecture_summary"),
+        F.col("debt.data.summary").alias("debt_summary"),
+        F.col("cost.data.assumption").alias("assumption"),
+        F.col("refactor.data.pull_request_title").alias("pull_request_title"),
+        F.array_join("refactor.data.steps", "; ").alias("steps"),
+        F.array_join("review.data.checks", "; ").alias("checks"),
+        F.col("review.data.caveat").alias("caveat"),
         F.col("is_demo"),
     )

@@ -47,15 +47,10 @@ def _join(array: str | Column, sep: str = "|") -> Column:
 
 
 # --- shared inputs ----------------------------------------------------------
-def _sampled(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.sample_files(X.repo_files(spark, sf))
-
-
 def _profiled(spark: SparkSession, sf: str) -> DataFrame:
-    """Every repository with its sampled files and hotspots."""
-    nested = snapshots.nest_files(_sampled(spark, sf))
-    rows = P.with_files(X.repo_ids(spark, sf), nested)
-    return rows.withColumn("hot", P.hotspots(F.col("files")))
+    """Every repository with the profile of its files."""
+    files = sampling.sample_files(X.repo_files(spark, sf))
+    return P.with_profile(X.repo_ids(spark, sf), P.profile(files, ["repo_id"]))
 
 
 def _repos(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,18 +59,30 @@ def _repos(spark: SparkSession, sf: str) -> DataFrame:
     return landed.metadata_scan(parsed.drop("url").withColumnRenamed("canonical_url", "url"))
 
 
-def _resolved(spark: SparkSession, sf: str) -> DataFrame:
-    repos = _repos(spark, sf)
-    return snapshots.resolve_snapshots(
-        repos, X.listing(spark, sf), X.bodies(spark, sf), X.archives(spark, sf), X.attempts(repos)
+def _snapshots(spark: SparkSession, sf: str, **limits: int) -> tuple[DataFrame, DataFrame]:
+    """Resolved repositories, and the measured files of all routes, which are written once."""
+    repos, listing = _repos(spark, sf), X.listing(spark, sf)
+    files = snapshots.snapshot_files(
+        repos, listing, X.bodies(spark, sf), X.archives(spark, sf), metrics=shared_folder(spark, "metrics"), **limits
     )
+    resolved = snapshots.resolve_snapshots(repos, listing, files, X.attempts(repos), limits.get("max_files"))
+    return resolved, files
+
+
+def _resolved(spark: SparkSession, sf: str, **limits: int) -> DataFrame:
+    return _snapshots(spark, sf, **limits)[0]
 
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
     report = R.analyse(_resolved(spark, sf), X.overlays(X.repo_ids(spark, sf)), F.lit(X.AS_OF))
-    return R.as_records(report, X.created_at(X.REPORT_AGE_MINUTES))
+    return R.as_records(report, X.created_at(X.REPORT_AGE_MINUTES), X.RUN_ID)
 
 
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The report table, as those who serve requests read it."""
+    folder = shared_folder(spark, "reports")
+    report_table.write_reports(_reports(spark, sf), folder)
+    return report_table.read_reports(spark, folder)
 
 
 # --- sources and sinks ------------------------------------------------------
@@ -125,22 +132,16 @@ def _zip_documents(batches):
 
 @query("sample_snapshot")
 def _sample_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    resolved = _resolved(spark, sf).filter(F.col("route") == snapshots.SAMPLE)
+    resolved, files = _snapshots(spark, sf)
     about = ["repo_id", "description", "stars", "default_branch", "truncated", "fallback_reason"]
-    return rows_of(resolved, about, F.col("files"), "file").select(
-        *about,
-        "file.pos",
-        "file.path",
-        "file.size",
-        "file.score",
-    )
+    sample = resolved.filter(F.col("route") == snapshots.SAMPLE)
+    rows = snapshots.snapshot_rows(sample, files).select("repo_id", "pos", "path", "size", "score")
+    return sample.select(*about).join(rows, "repo_id").select(*about, "pos", "path", "size", "score")
 
 
 @query("report_write")
 def _report_write(spark: SparkSession, sf: str) -> DataFrame:
-    folder = shared_folder(spark, "reports")
-    report_table.write_reports(_reports(spark, sf), folder)
-    return report_table.read_reports(spark, folder).select(
+    return _stored(spark, sf).select(
         "analysis_id",
         utc_text(F.col("created_at")).alias("created_at"),
         F.date_format("created_date", "yyyy-MM-dd").alias("created_date"),
@@ -205,12 +206,12 @@ def _code_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("eligible_files")
 def _eligible_files(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.eligible_files(X.listing(spark, sf)).select("repo_id", "pos", "path", "size")
+    return sampling.eligible_files(X.listing(spark, sf), C.MAX_FILE_BYTES).select("repo_id", "pos", "path", "size")
 
 
 @query("content_truncate")
 def _content_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    cut = sampling.truncate_content(X.repo_files(spark, sf))
+    cut = sampling.truncate_content(X.repo_files(spark, sf), C.MAX_FILE_BYTES)
     return cut.select(
         "repo_id",
         "pos",
@@ -231,7 +232,7 @@ def _strip_archive_root(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dashboard_view")
 def _dashboard(spark: SparkSession, sf: str) -> DataFrame:
-    return dashboard_view(_reports(spark, sf))
+    return dashboard_view(_stored(spark, sf))
 
 
 @query("answer_view")
@@ -260,7 +261,8 @@ def _snapshot_resolve(spark: SparkSession, sf: str) -> DataFrame:
         "default_branch",
         "fallback_reason",
         "truncated",
-        F.size("files").alias("n_files"),
+        F.col("profile.n").alias("n_files"),
+        F.when(F.col("route") == snapshots.ERROR, errors.user_message(F.col("status"), F.col("message"))).alias("user_message"),
     )
 
 
@@ -301,8 +303,8 @@ def _overlay_apply(spark: SparkSession, sf: str) -> DataFrame:
 @query("report_lookup")
 def _report_lookup(spark: SparkSession, sf: str) -> DataFrame:
     requests = X.questions(spark, sf).select("question_id", "analysis_id")
-    reports = _reports(spark, sf).select("analysis_id", "created_at", "url", "mode")
-    found = lookup.lookup_reports(requests, reports, X.AS_OF, "question_id")
+    reports = _stored(spark, sf).select("created_date", "analysis_id", "created_at", "url", "mode")
+    found = lookup.lookup_reports(requests, reports, X.AS_OF)
     return found.select("question_id", "analysis_id", "lookup", "url", "mode")
 
 
@@ -356,12 +358,12 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
 # --- aggregations -----------------------------------------------------------
 @query("sampled_count")
 def _sampled_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _profiled(spark, sf).select("repo_id", P.sampled_count(F.col("files")).alias("sampled_count"))
+    return _profiled(spark, sf).select("repo_id", P.sampled_count(F.col("profile")).alias("sampled_count"))
 
 
 @query("language_histogram")
 def _language_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _ranked(_profiled(spark, sf), P.languages(F.col("files")), "l")
+    rows = _ranked(_profiled(spark, sf), F.col("profile.languages"), "l")
     return rows.select("repo_id", "rank", "l.language", "l.n")
 
 
@@ -371,12 +373,12 @@ def _ranked(rows: DataFrame, array: Column, name: str) -> DataFrame:
 
 @query("root_directories")
 def _root_directories(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(_profiled(spark, sf), P.root_directories(F.col("files")), "root")
+    return _ranked(_profiled(spark, sf), F.col("profile.roots"), "root")
 
 
 @query("entry_points")
 def _entry_points(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(_profiled(spark, sf), P.entry_points(F.col("files")), "path")
+    return _ranked(_profiled(spark, sf), F.col("profile.entries"), "path")
 
 
 def _languages_text(languages: Column) -> Column:
@@ -385,7 +387,7 @@ def _languages_text(languages: Column) -> Column:
 
 @query("structure_summary")
 def _structure_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _profiled(spark, sf).select("repo_id", P.structure(F.col("files")).alias("s"))
+    rows = _profiled(spark, sf).select("repo_id", P.structure(F.col("profile")).alias("s"))
     return rows.select(
         "repo_id",
         "s.sampled_file_count",
@@ -397,12 +399,13 @@ def _structure_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("framework_classify")
 def _framework_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return _profiled(spark, sf).select("repo_id", P.framework(F.col("files")).alias("framework"))
+    return _profiled(spark, sf).select("repo_id", P.framework(F.col("profile")).alias("framework"))
 
 
 @query("truncated_flag")
 def _truncated_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return _resolved(spark, sf).select("repo_id", "route", "truncated")
+    limits = {"max_files": C.MAX_FILES, "max_bytes": C.MAX_FILE_BYTES, "max_chars": C.MAX_FILE_BYTES}
+    return _resolved(spark, sf, **limits).select("repo_id", "route", "truncated")
 
 
 @query("debt_total")
@@ -417,13 +420,14 @@ def _run_mode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("violations")
 def _violations(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(_profiled(spark, sf), P.violations(F.col("files")), "message")
+    return _ranked(_profiled(spark, sf), P.violations(F.col("profile")), "message")
 
 
 # --- top-k --------------------------------------------------------------------
 @query("sample_cap")
 def _sample_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.listing_sample(X.listing(spark, sf)).select("repo_id", "pos", "path", "rank")
+    sample = sampling.listing_sample(X.listing(spark, sf), C.MAX_FILES, C.MAX_FILE_BYTES)
+    return sample.select("repo_id", "pos", "path", "rank")
 
 
 @query("hotspots")
@@ -446,7 +450,7 @@ def _source_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("context_paths")
 def _context_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(_profiled(spark, sf), P.context_paths(F.col("files")), "path")
+    return _ranked(_profiled(spark, sf), F.col("profile.context"), "path")
 
 
 @query("recent_repos")
@@ -484,7 +488,7 @@ def _cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
-    return _profiled(spark, sf).select("repo_id", P.refactor_target(F.col("hot"), F.col("files")).alias("target"))
+    return _profiled(spark, sf).select("repo_id", P.refactor_target(F.col("hot"), F.col("profile")).alias("target"))
 
 
 @query("refactor_target")
@@ -543,7 +547,7 @@ def _stage_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.grounded_answers(
-        X.questions(spark, sf), _reports(spark, sf), X.AS_OF, X.answer_overlays(spark, sf)
+        X.questions(spark, sf), _stored(spark, sf), X.AS_OF, X.answer_overlays(spark, sf)
     )
 
 
@@ -613,14 +617,23 @@ def _repo_report(spark: SparkSession, sf: str) -> DataFrame:
 # --- set operations -----------------------------------------------------------
 @query("snapshot_union")
 def _snapshot_union(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.snapshot_rows(_resolved(spark, sf)).select(
+    return snapshots.snapshot_rows(*_snapshots(spark, sf)).select(
         "repo_id", "route", "pos", "path", "size", "lines", "score"
     )
 
 
 @query("bundle_rows")
 def _bundle_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return bundles.bundle_rows(_reports(spark, sf))
+    return bundles.bundle_rows(_stored(spark, sf))
+
+
+@query("bundle_requests")
+def _bundle_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Downloads: the files of the live report that each accepted request asks for."""
+    asked = X.questions(spark, sf).select("question_id", "analysis_id")
+    return bundles.bundle_requests(asked, _stored(spark, sf), X.AS_OF, "question_id").select(
+        "question_id", "analysis_id", "status", "path", F.md5(F.encode("content", "utf-8")).alias("content_md5")
+    )
 
 
 # --- scalar functions ---------------------------------------------------------
@@ -658,7 +671,7 @@ def _live_reports_stream(spark: SparkSession, sf: str) -> DataFrame:
     arriving = X.stream_reports(spark, sf)
     arriving.write.parquet(f"{folder}/arriving")
     stream = stream_job.report_stream(spark, f"{folder}/arriving", arriving.schema)
-    job = stream_job.register(stream, f"{folder}/table", f"{folder}/checkpoint")
-    job.awaitTermination()
-    live = lookup.live_reports(stream_job.registered(spark, f"{folder}/table"), X.AS_OF)
+    for job in stream_job.register(stream, f"{folder}/table", f"{folder}/checkpoint", X.AS_OF):
+        job.awaitTermination()
+    live = lookup.live_reports(stream_job.registered(spark, f"{folder}/table", X.AS_OF), X.AS_OF)
     return live.select("analysis_id", utc_text(F.col("created_at")).alias("created_at"))

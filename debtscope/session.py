@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,6 +33,14 @@ def local_session(app: str = "debtscope", cores: str | int = "*", partitions: in
     return spark
 
 
+@functools.cache
+def _own_folder() -> str:
+    """One folder of this machine for a local process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="debtscope-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for ``name`` under the folder every executor can reach.
 
@@ -40,5 +51,5 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="debtscope-")
+        root = _own_folder()
     return os.path.join(root.rstrip("/"), f"{name}-{uuid.uuid4().hex}")

@@ -18,9 +18,9 @@ from debtscope.shipping import ship_by_value
 ship_by_value(__name__)
 
 ENTRY_SCHEMA = (
-    "repo_id bigint, branch string, pos bigint, path string, size bigint, content string, error string"
+    "repo_id bigint, branch string, pos bigint, name string, path string, size bigint, content string, error string"
 )
-ENTRY_COLUMNS = ["repo_id", "branch", "pos", "path", "size", "content", "error"]
+ENTRY_COLUMNS = ["repo_id", "branch", "pos", "name", "path", "size", "content", "error"]
 UNREADABLE = (
     zipfile.BadZipFile,
     zipfile.LargeZipFile,
@@ -49,11 +49,13 @@ def read_archive_files(spark: SparkSession, path: str, name_pattern: str) -> Dat
     )
 
 
-def entries_of(blob: bytes, max_files: int, max_chars: int) -> Iterator[tuple[int, str, str]]:
-    """Kept entries ``(pos, path, content)`` of one archive.
+def entries_of(
+    blob: bytes, max_files: int | None = None, max_chars: int | None = None
+) -> Iterator[tuple[int, str, str, str]]:
+    """Kept entries ``(pos, name, path, content)`` of one archive.
 
-    Stops at the cap, and reads no more of an entry than its kept characters can
-    occupy, so a small archive cannot unpack into a huge one.
+    With limits it stops at ``max_files`` and reads no more of an entry than its kept
+    characters can occupy, so a small archive cannot unpack into a huge one.
     """
     kept = 0
     with zipfile.ZipFile(io.BytesIO(blob)) as archive:
@@ -63,17 +65,17 @@ def entries_of(blob: bytes, max_files: int, max_chars: int) -> Iterator[tuple[in
             if info.is_dir() or not slash or not CODE_FILE.search(path):
                 continue
             with archive.open(info) as stream:
-                raw = stream.read(max_chars * BYTES_PER_CHAR)
+                raw = stream.read(-1 if max_chars is None else max_chars * BYTES_PER_CHAR)
             content = raw.decode("utf-8", errors="replace")[:max_chars]
             if content:
-                yield pos, path, content
+                yield pos, name, path, content
                 kept += 1
-            if kept >= max_files:
+            if max_files is not None and kept >= max_files:
                 return
 
 
 def unpack_archives(
-    archives: DataFrame, max_files: int = C.MAX_FILES, max_chars: int = C.MAX_FILE_BYTES
+    archives: DataFrame, max_files: int | None = None, max_chars: int | None = None
 ) -> DataFrame:
     """Archives ``(repo_id, branch, zip)`` to code files, or to one row with ``error``.
 
@@ -86,12 +88,12 @@ def unpack_archives(
             for row in batch.itertuples(index=False):
                 try:
                     entries = list(entries_of(bytes(row.zip), max_files, max_chars))
-                    out = pd.DataFrame(entries, columns=["pos", "path", "content"])
+                    out = pd.DataFrame(entries, columns=["pos", "name", "path", "content"])
                     out["size"], out["error"] = out["content"].str.len(), None
                 except UNREADABLE as failure:
                     text = f"{type(failure).__name__}: {failure}"
                     out = pd.DataFrame(
-                        {"pos": [None], "path": [None], "content": [None], "size": [None], "error": [text]}
+                        {"pos": [None], "name": [None], "path": [None], "content": [None], "size": [None], "error": [text]}
                     )
                 out.insert(0, "repo_id", row.repo_id)
                 out.insert(1, "branch", row.branch)
@@ -101,9 +103,9 @@ def unpack_archives(
 
 
 def archive_scan(
-    archives: DataFrame, max_files: int = C.MAX_FILES, max_chars: int = C.MAX_FILE_BYTES
+    archives: DataFrame, max_files: int | None = None, max_chars: int | None = None
 ) -> DataFrame:
-    """S3: the code files of all readable archives."""
+    """S3: the code files of all readable archives, ready for the archive route."""
     unpacked = unpack_archives(archives, max_files, max_chars)
     return unpacked.filter(F.col("error").isNull()).drop("error")
 

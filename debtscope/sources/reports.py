@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def created_date(column: str = "created_at"):
+    """UTC day of a time."""
+    return F.to_date(F.to_utc_timestamp(column, F.current_timezone()))
+
+
 def write_reports(records: DataFrame, path: str) -> None:
-    """Append reports, one folder per UTC day of creation."""
-    day = F.to_date(F.to_utc_timestamp("created_at", F.current_timezone()))
-    records.withColumn("created_date", day).write.mode("append").partitionBy(
-        "created_date"
-    ).parquet(path)
+    """One folder per UTC day and run; a run that is repeated replaces its folders."""
+    (
+        records.withColumn("created_date", created_date())
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("created_date", "run_id")
+        .parquet(path)
+    )
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

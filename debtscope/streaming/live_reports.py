@@ -11,7 +11,11 @@ The state holds the ids of about an hour; on a busy cluster give it the RocksDB
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 WATERMARK = "61 minutes"
 
@@ -30,20 +34,34 @@ def distinct_reports(stream: DataFrame) -> DataFrame:
     )
 
 
-def register(stream: DataFrame, table: str, checkpoint: str):
-    """Start the job on what has arrived; returns the query."""
+def register(stream: DataFrame, table: str, checkpoint: str, as_of: datetime) -> list[StreamingQuery]:
+    """Start the job on what has arrived; returns its two queries.
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    The watermark follows the largest time seen, so a row stamped after ``as_of`` would
+    drop genuine rows of later batches.  Such rows go to a table of their own, which
+    :func:`registered` reads as soon as their time has come.
+    """
 
-    return (
-        distinct_reports(stream)
-        .writeStream.foreachBatch(land)
-        .option("checkpointLocation", checkpoint)
+    def land(path: str):
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+        return write
+
+    on_time = distinct_reports(stream.filter(F.col("created_at") <= F.lit(as_of)))
+    early = stream.filter(F.col("created_at") > F.lit(as_of))
+    return [
+        rows.writeStream.foreachBatch(land(f"{table}/{name}"))
+        .option("checkpointLocation", f"{checkpoint}/{name}")
         .trigger(availableNow=True)
         .start()
-    )
+        for name, rows in (("reports", on_time), ("early", early))
+    ]
 
 
-def registered(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(table).drop("batch")
+def registered(spark: SparkSession, table: str, as_of: datetime) -> DataFrame:
+    """All registered reports, each once; early ones from their time on."""
+    reports = spark.read.parquet(f"{table}/reports").drop("batch")
+    early = spark.read.schema(reports.schema).parquet(f"{table}/early").select(*reports.columns)
+    due = early.filter(F.col("created_at") <= F.lit(as_of)).dropDuplicates(["analysis_id"])
+    return reports.unionByName(due.join(reports.select("analysis_id"), "analysis_id", "left_anti").select(*reports.columns))

@@ -102,7 +102,7 @@ SELECT repo_id, 'org' || (repo_id % 5) AS owner, 'repo' || repo_id AS repository
        'https://github.com/org' || (repo_id % 5) || '/repo' || repo_id AS url, status,
        coalesce(json_extract_string(metadata, '$.description'), '') AS description,
        coalesce(CAST(json_extract(metadata, '$.stargazers_count') AS BIGINT), 0) AS stars,
-       json_extract_string(metadata, '$.default_branch') AS default_branch
+       json_extract_string(metadata, '$.default_branch') AS default_branch, message
 FROM landed"""
 CTES["bodies"] = "SELECT repo_id, path, content FROM repo_files WHERE type = 'blob' AND pos % 17 <> 0"
 CTES["archives"] = f"""
@@ -133,12 +133,9 @@ SELECT analysis_id, {created('age_minutes')} AS created_at FROM (SELECT {columns
 # --- sampling and metrics -----------------------------------------------------
 CTES["measured"] = f"""
 SELECT *, {LINES} AS lines, {MARKERS} AS markers, {FUNCTIONS} AS functions
-FROM (SELECT *, substr(content, 1, 45000) AS body FROM repo_files)"""
-CTES["capped"] = f"""
-SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY pos) AS rn
-FROM measured WHERE type = 'blob' AND size <= 45000 AND {CODE}
-QUALIFY rn <= 75"""
-CTES["s_files"] = "SELECT repo_id, pos, path, size, lines, markers, functions FROM capped WHERE body <> ''"
+FROM (SELECT *, content AS body FROM repo_files)"""
+CTES["s_files"] = f"""
+SELECT repo_id, pos, path, size, lines, markers, functions FROM measured WHERE type = 'blob' AND body <> '' AND {CODE}"""
 
 
 def profile(prefix: str, repos: str) -> None:
@@ -171,7 +168,8 @@ SELECT r.repo_id, coalesce(c.n, 0) AS sampled, coalesce(c.framework, {q(C.FRAMEW
        coalesce(h.total, 0) AS total, coalesce(h.n, 0) AS n_hot, h.paths AS hot_paths, h.hot_text,
        coalesce(h.first_path, c.first_path, {q(M.DEFAULT_TARGET)}) AS target,
        coalesce(ro.roots, '') AS roots, coalesce(l.languages, '') AS languages,
-       coalesce(e.entries, '') AS entries, coalesce(v.violations, '') AS violations
+       coalesce(e.entries, '') AS entries, coalesce(v.violations, '') AS violations,
+       coalesce(e.n, 0) AS n_entries, coalesce(v.n, 0) AS n_violations
 FROM {repos} r
 LEFT JOIN (SELECT repo_id, CAST(count(*) AS INTEGER) AS n, {FRAMEWORK} AS framework,
                   arg_min(path, pos) AS first_path FROM {p}_scored GROUP BY repo_id) c USING (repo_id)
@@ -182,8 +180,8 @@ LEFT JOIN (SELECT repo_id, CAST(round(avg(score)) AS INTEGER) AS total, CAST(cou
 LEFT JOIN (SELECT repo_id, string_agg(root, '|' ORDER BY rn) AS roots FROM {p}_roots GROUP BY repo_id) ro USING (repo_id)
 LEFT JOIN (SELECT repo_id, string_agg(language || ' ' || n, '|' ORDER BY rn) AS languages
            FROM {p}_languages GROUP BY repo_id) l USING (repo_id)
-LEFT JOIN (SELECT repo_id, string_agg(path, '|' ORDER BY rn) AS entries FROM {p}_entries GROUP BY repo_id) e USING (repo_id)
-LEFT JOIN (SELECT repo_id, string_agg(message, '|' ORDER BY rn) AS violations
+LEFT JOIN (SELECT repo_id, string_agg(path, '|' ORDER BY rn) AS entries, count(*) AS n FROM {p}_entries GROUP BY repo_id) e USING (repo_id)
+LEFT JOIN (SELECT repo_id, string_agg(message, '|' ORDER BY rn) AS violations, count(*) AS n
            FROM {p}_violations GROUP BY repo_id) v USING (repo_id)"""
 
 
@@ -195,19 +193,16 @@ SELECT repo_id, pos, path, size, row_number() OVER (PARTITION BY repo_id ORDER B
 FROM repo_files WHERE type = 'blob' AND size <= 45000 AND {CODE} QUALIFY rn <= 75"""
 CTES["listed"] = f"""
 SELECT c.repo_id, c.pos, c.path, c.size, {LINES} AS lines, {MARKERS} AS markers, {FUNCTIONS} AS functions
-FROM listing_capped c JOIN (SELECT repo_id, path, substr(content, 1, 45000) AS body FROM bodies) b
-  ON c.repo_id = b.repo_id AND c.path = b.path WHERE body <> ''"""
+FROM repo_files c JOIN (SELECT repo_id, path, content AS body FROM bodies) b
+  ON c.repo_id = b.repo_id AND c.path = b.path WHERE body <> '' AND c.type = 'blob' AND {CODE.replace('path', 'c.path', 1)}"""
 CTES["archive_kept"] = f"""
 SELECT *, {LINES} AS lines, {MARKERS} AS markers, {FUNCTIONS} AS functions, {BRANCH_RANK} AS brank FROM (
-  SELECT repo_id, branch, pos, substr(name, strpos(name, '/') + 1) AS path, substr(content, 1, 45000) AS body,
-         CAST(length(substr(content, 1, 45000)) AS BIGINT) AS size
+  SELECT repo_id, branch, pos, substr(name, strpos(name, '/') + 1) AS path, content AS body,
+         CAST(length(content) AS BIGINT) AS size
   FROM archives WHERE strpos(name, '/') > 0 AND name NOT LIKE '%/')
 WHERE {CODE} AND body <> ''"""
 CTES["archived"] = """
-SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo_id, branch ORDER BY pos) AS rn,
-         min(brank) OVER (PARTITION BY repo_id) AS best FROM archive_kept)
-WHERE brank = best AND rn <= 75"""
+SELECT * FROM (SELECT *, min(brank) OVER (PARTITION BY repo_id) AS best FROM archive_kept) WHERE brank = best"""
 CTES["reasons"] = f"""
 SELECT repo_id, arg_max(coalesce(error, CASE WHEN http_status <> 200
          THEN {slots(M.ARCHIVE_STATUS, branch='branch', status='http_status')}
@@ -228,7 +223,7 @@ SELECT repo_id, owner, repository, url, status, route,
                   WHEN 'sample' THEN {q(M.SAMPLE_BRANCH)} END AS default_branch,
        CASE route WHEN 'sample' THEN coalesce(reason, {q(M.ARCHIVE_DEFAULT)}) END AS fallback_reason,
        CASE route WHEN 'listing' THEN coalesce(entries, 0) > 75 WHEN 'archive' THEN n_archived >= 75
-                  ELSE false END AS truncated
+                  ELSE false END AS over_75, false AS truncated, CASE route WHEN 'error' THEN message END AS message
 FROM (
   SELECT r.*, a.branch, a.n_archived, t.entries, reasons.reason,
          CASE WHEN r.status = 200 THEN 'listing' WHEN r.status = 403 AND a.repo_id IS NOT NULL THEN 'archive'
@@ -292,7 +287,9 @@ def fallback_scaffolds(target: str) -> str:
 
 
 def steps(target: str) -> str:
-    return f"[{slots(M.STEP_EXTRACT, target=target)}, {q(M.STEP_CONTRACT)}, {q(M.STEP_TEST)}]"
+    name = f"coalesce({BASE_NAME.format(t=target)}, {q(M.DEFAULT_MODULE)})"
+    module = slots(M.STEP_MODULE, path=slots(M.SCAFFOLD_PATH, name=name), fn=f"('create' || {name})")
+    return f"[{module}, {slots(M.STEP_TEST, path=slots(M.SCAFFOLD_TEST_PATH, name=name), target=target)}]"
 
 
 def cost_of(score: str) -> str:
@@ -334,7 +331,7 @@ SELECT *,
   {over('architecture_j', 'structure', "array_to_string(list_transform(CAST(json_extract(architecture_j, '$.structure.languages') AS VARCHAR[][]), lambda p: p[1] || ' ' || p[2]), '|')", 'languages')} AS o_languages,
   {over('architecture_j', 'structure', "array_to_string(" + string_list('architecture_j', 'structure.entryPoints') + ", '|')", 'entries')} AS o_entries,
   {over('architecture_j', 'summary', text('architecture_j', 'summary'),
-        f"CASE WHEN coalesce(fallback_reason, '') <> '' THEN {slots(M.SUMMARY_FALLBACK, reason='fallback_reason')} ELSE {slots(M.SUMMARY_SAMPLED, count='sampled')} END")} AS architecture_summary,
+        f"CASE WHEN coalesce(fallback_reason, '') <> '' THEN {slots(M.SUMMARY_FALLBACK, reason='fallback_reason')} ELSE {slots(M.SUMMARY_SAMPLED, count='sampled', entries='n_entries', mixed='n_violations')} END")} AS architecture_summary,
   {over('debt_j', 'hotspots', HOT_JSON, f"coalesce({SIGNED}, [])")} AS o_hot,
   {over('debt_j', 'summary', text('debt_j', 'summary'),
         f"CASE WHEN n_hot > 0 THEN {slots(M.DEBT_FOUND, count='n_hot')} WHEN coalesce(fallback_reason, '') <> '' THEN {q(M.DEBT_FALLBACK)} ELSE {q(M.DEBT_NONE)} END")} AS debt_summary,
@@ -346,7 +343,7 @@ SELECT *,
   {over('refactor_j', 'pullRequestTitle', text('refactor_j', 'pullRequestTitle'), slots(M.PR_TITLE, target='target'))} AS pull_request_title,
   {over('refactor_j', 'scaffolds', FILES_JSON, base_scaffolds('target'))} AS plan_scaffolds,
   {over('review_j', 'verdict', text('review_j', 'verdict'), q(C.VERDICT))} AS verdict,
-  {over('review_j', 'checks', string_list('review_j', 'checks'), '[' + ', '.join(q(c) for c in M.CHECKS) + ']')} AS checks,
+  {over('review_j', 'checks', string_list('review_j', 'checks'), '[' + slots(M.CHECK_FILES, count='sampled') + ', ' + slots(M.CHECK_HOTSPOTS, count='n_hot', total='total') + ']')} AS checks,
   {over('review_j', 'caveat', text('review_j', 'caveat'), f"CASE WHEN truncated THEN {q(M.CAVEAT)} END")} AS caveat,
   ({' OR '.join(f"{s}_source = {q(C.SOURCE_OVERLAY)}" for s in C.STAGE_KEYS)}) AS is_live,
   {X.uuid_text(X.REPORT_SEED)} AS analysis_id,
@@ -359,9 +356,9 @@ FROM report_fields"""
 CTES["live"] = f"SELECT * FROM reports WHERE created_at >= {AS_OF} - INTERVAL 1 HOUR"
 CTES["event_log"] = " UNION ALL ".join(
     f"SELECT analysis_id, repo_id, CAST({2 * i + k} AS INTEGER) AS seq, {q(stage)} AS agent, {q(status)} AS status, "
-    f"{q(words[i])} AS rationale FROM reports"
+    f"{q(words.format(stage=stage))} AS rationale FROM reports"
     for i, stage in enumerate(C.STAGES)
-    for k, (status, words) in enumerate([("running", M.STAGE_RUNNING), ("complete", M.STAGE_COMPLETE)])
+    for k, (status, words) in enumerate([("running", M.STAGE_STARTED), ("complete", M.STAGE_ENDED)])
 )
 CTES["bundle_files"] = f"""
 SELECT analysis_id, path, arg_max(content, seq) AS content FROM (
@@ -408,6 +405,18 @@ FROM (
          list_transform(l.o_hot, lambda h: h.path)[1:4] AS base_sources, o.j
   FROM checked_questions c LEFT JOIN live l USING (analysis_id) LEFT JOIN answer_overlays o USING (question_id))"""
 
+
+
+def user_message(status: str, raw: str) -> str:
+    redacted = f"regexp_replace({raw}, {q(C.BEARER)}, {q(M.REDACTED)}, 'g')"
+    return (
+        f"CASE WHEN {status} = 400 THEN {raw} WHEN {status} = 404 THEN {q(M.ERROR_NOT_FOUND)} "
+        f"WHEN {status} = 403 THEN {q(M.ERROR_RATE_LIMIT)} "
+        f"WHEN {status} = 504 OR {raw} ILIKE '%timeout%' THEN {q(M.ERROR_TIMEOUT)} "
+        f"WHEN {raw} ILIKE '%openai%' THEN {q(M.ERROR_PROVIDER)} ELSE {redacted} END"
+    )
+
+
 FINAL: dict[str, str] = {}
 F = FINAL
 
@@ -415,12 +424,12 @@ F = FINAL
 F["listing_scan"] = f"""
 SELECT repo_id, CAST(page * {X.PAGE_ENTRIES} + row_number() OVER (PARTITION BY repo_id, page ORDER BY pos) - 1 AS BIGINT) AS pos,
        type, path, size
-FROM (SELECT *, CAST(floor(pos / {X.PAGE_ENTRIES}) AS BIGINT) AS page FROM repo_files) WHERE page % 5 <> 3"""
+FROM (SELECT *, CAST(floor(pos / {X.PAGE_ENTRIES}) AS BIGINT) AS page FROM repo_files)"""
 F["metadata_scan"] = "SELECT repo_id, owner, repository, url, description, stars, default_branch FROM repos"
 F["archive_scan"] = f"""
 SELECT repo_id, 'b' || (pos % 5) AS branch, CAST(2 AS BIGINT) AS pos, path,
        CAST(length(body) AS BIGINT) AS size, md5(body) AS content_md5
-FROM (SELECT *, substr(content, 1, 45000) AS body FROM repo_files) WHERE {CODE} AND body <> ''
+FROM (SELECT *, content AS body FROM repo_files) WHERE {CODE} AND body <> ''
 UNION ALL
 SELECT repo_id, 'b' || (pos % 5), 4, 'lib/extra.go', length('extra ' || pos), md5('extra ' || pos) FROM repo_files"""
 F["sample_snapshot"] = f"""
@@ -455,9 +464,11 @@ SELECT repo_id, owner || '/' || repository AS repository_label, total_debt_score
        roi_months, priority, verdict, o_framework AS framework, CAST(o_sampled AS INTEGER) AS files_sampled,
        coalesce(nullif(replace(o_roots, '|', ' / '), ''), {q(M.EMPTY_ROOTS)}) AS roots,
        replace(o_languages, '|', ', ') AS languages,
-       coalesce(nullif(array_to_string(list_transform(o_hot, lambda h: h.path || ' (' ||
+       coalesce(nullif(array_to_string(list_transform(o_hot, lambda h: h.path || ' ' || h.lines || ' lines ' || CAST(h.score AS INTEGER) || ' (' ||
          CASE WHEN len(h.signals) > 0 THEN array_to_string(h.signals, ' / ') ELSE {q(M.EMPTY_SIGNALS)} END || ')'), '; '), ''),
-         {q(M.NO_HOTSPOTS)}) AS hotspots, is_demo
+         {q(M.NO_HOTSPOTS)}) AS hotspots, is_demo, {q(' / '.join(C.LAYERS))} AS layers,
+       array_to_string(o_violations, '; ') AS violations, architecture_summary, debt_summary, {q(M.ASSUMPTION)} AS assumption,
+       pull_request_title, array_to_string(o_steps, '; ') AS steps, array_to_string(checks, '; ') AS checks, caveat
 FROM reports"""
 F["answer_view"] = """
 SELECT question_id, answer, CAST(round(confidence * 100) AS INTEGER) AS confidence_pct,
@@ -465,9 +476,10 @@ SELECT question_id, answer, CAST(round(confidence * 100) AS INTEGER) AS confiden
 
 # --- joins ----------------------------------------------------------------------
 F["listing_join_content"] = "SELECT repo_id, pos, path, size, lines, markers, functions FROM listed"
-F["snapshot_resolve"] = """
+F["snapshot_resolve"] = f"""
 SELECT r.repo_id, url, status, route, description, stars, default_branch, fallback_reason, truncated,
-       CAST(coalesce(n, 0) AS INTEGER) AS n_files
+       CAST(coalesce(n, 0) AS INTEGER) AS n_files,
+       CASE WHEN route = 'error' THEN {user_message('status', f"coalesce(nullif(message, ''), {q(M.ERROR_DEFAULT)})")} END AS user_message
 FROM resolved r LEFT JOIN (SELECT repo_id, count(*) AS n FROM r_files GROUP BY repo_id) c USING (repo_id)"""
 F["branch_prefer"] = "SELECT repo_id, branch, pos, path, size, lines FROM archived"
 F["missing_snapshots"] = f"""
@@ -512,7 +524,7 @@ F["entry_points"] = "SELECT repo_id, CAST(rn AS INTEGER) AS rank, path FROM s_en
 F["structure_summary"] = """
 SELECT repo_id, sampled AS sampled_file_count, roots AS root_directories, languages, entries AS entry_points FROM s_profile"""
 F["framework_classify"] = "SELECT repo_id, framework FROM s_profile"
-F["truncated_flag"] = "SELECT repo_id, route, truncated FROM resolved"
+F["truncated_flag"] = "SELECT repo_id, route, over_75 AS truncated FROM resolved"
 F["debt_total"] = "SELECT repo_id, total AS debt_total FROM s_profile"
 F["run_mode"] = "SELECT repo_id, mode, is_demo FROM reports"
 F["violations"] = "SELECT repo_id, CAST(rn AS INTEGER) AS rank, message FROM s_violations"
@@ -541,7 +553,7 @@ SELECT repo_id, total_debt_score, cost_source AS source, annual_cost, priority,
 F["refactor_target"] = "SELECT repo_id, target FROM s_profile"
 F["refactor_plan"] = f"""
 SELECT repo_id, {slots(M.PR_TITLE, target='target')} AS pull_request_title,
-       CAST(unnest([1, 2, 3]) AS INTEGER) AS step_no, unnest({steps('target')}) AS step FROM s_profile"""
+       CAST(unnest([1, 2]) AS INTEGER) AS step_no, unnest({steps('target')}) AS step FROM s_profile"""
 for _name, _files in (("scaffold_rows", base_scaffolds("target")), ("scaffold_fallback", fallback_scaffolds("target"))):
     F[_name] = f"SELECT repo_id, f.path AS path, f.content AS content FROM (SELECT repo_id, unnest({_files}) AS f FROM s_profile)"
 F["review_checks"] = """
@@ -569,17 +581,17 @@ FROM reports"""
 F["snapshot_union"] = """
 SELECT repo_id, route, pos, path, size, lines, score FROM r_scored JOIN resolved USING (repo_id)"""
 F["bundle_rows"] = "SELECT analysis_id, path, content FROM bundle_files"
+F["bundle_requests"] = """
+SELECT c.question_id, c.analysis_id, CASE WHEN id_reason IS NOT NULL THEN 'rejected'
+         WHEN l.analysis_id IS NOT NULL THEN 'ready' ELSE 'not_found' END AS status, b.path, md5(b.content) AS content_md5
+FROM checked_questions c LEFT JOIN (SELECT analysis_id FROM live) l ON c.analysis_id = l.analysis_id AND c.id_reason IS NULL
+LEFT JOIN bundle_files b ON b.analysis_id = l.analysis_id"""
 
 # --- scalar functions -------------------------------------------------------------------
 _redacted = f"regexp_replace({{c}}, {q(C.BEARER)}, {q(M.REDACTED)}, 'g')"
 F["redact_tokens"] = f"SELECT row_id, {_redacted.format(c='message')} AS message FROM error_rows"
 F["classify_errors"] = f"""
-SELECT row_id, CAST(final AS INTEGER) AS status,
-       CASE WHEN final = 400 THEN raw WHEN final = 404 THEN {q(M.ERROR_NOT_FOUND)}
-            WHEN final = 403 THEN {q(M.ERROR_RATE_LIMIT)}
-            WHEN final = 504 OR raw ILIKE '%timeout%' THEN {q(M.ERROR_TIMEOUT)}
-            WHEN raw ILIKE '%openai%' THEN {q(M.ERROR_PROVIDER)}
-            ELSE {_redacted.format(c='raw')} END AS user_message
+SELECT row_id, CAST(final AS INTEGER) AS status, {user_message('final', 'raw')} AS user_message
 FROM (SELECT *, coalesce(message, {q(M.ERROR_DEFAULT)}) AS raw,
              CASE WHEN coalesce(status, 0) <> 0 THEN status WHEN is_validation THEN 400 ELSE 500 END AS final
       FROM error_rows)"""

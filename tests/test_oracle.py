@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 import pytest
 from compare import connect, difference
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.QUERIES, entry.all_sql()
 
 
 @pytest.fixture(scope="module")

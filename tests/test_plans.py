@@ -76,48 +76,39 @@ def test_bodies_join_on_path_too(spark, landed):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
 
 
-def test_large_repositories_are_cut_before_measuring(landed):
-    listing, bodies = landed["listing"], landed["bodies"]
-    sample = sampling.listing_sample(listing)
-    cut = sampling.skip_unsampled(sampling.code_files(bodies), listing, hot_entries=20)
-    assert cut.count() < sampling.code_files(bodies).count()
-    plan = plan_of(sampling.measure(cut))
-    assert plan.index("regexp_extract_all") < plan.index("BroadcastHashJoin")
-    plain = sampling.join_bodies(sample, bodies)
-    quick = sampling.join_bodies(sample, bodies, listing, hot_entries=20)
-    assert sorted(plain.collect()) == sorted(quick.collect())
-
-
 def test_filters_and_columns_reach_the_scan(landed):
-    df = sampling.listing_sample(landed["listing"])
+    df = sampling.listing_sample(landed["listing"], 75, 45_000)
     (scan,) = node_blocks(df, "Scan parquet")
     assert "EqualTo(type,blob)" in scan and "LessThanOrEqual(size,45000)" in scan
     df = landed["repo_files"].transform(sampling.sample_files).groupBy("repo_id").count()
     (scan,) = node_blocks(df, "Scan parquet")
     assert "EqualTo(type,blob)" in scan
-    df = snapshots.truncated_repos(sampling.listing_sizes(landed["listing"]))
+    df = snapshots.truncated_repos(sampling.listing_sizes(landed["listing"]), 75)
     (scan,) = node_blocks(df, "Scan parquet")
     assert re.search(r"ReadSchema: struct<repo_id:bigint>\n", scan)
 
 
 def test_caps_are_partial_before_the_shuffle(landed):
     for df in (
-        sampling.listing_sample(landed["listing"]),
-        snapshots.prefer_branch(snapshots.archive_files(landed["archives"])),
+        sampling.listing_sample(landed["listing"], 75),
+        snapshots.archive_files(landed["archives"], 75),
     ):
         plan = plan_of(df)
         assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
 
 
-def test_profile_costs_one_shuffle(landed):
-    nested = snapshots.nest_files(sampling.sample_files(landed["repo_files"]))
-    df = nested.select("repo_id", P.structure(F.col("files")), P.hotspots(F.col("files")))
-    assert plan_of(df).count("Exchange") == 1
+def test_profile_gathers_no_files(landed):
+    """Top lists are cut before the shuffle, counts are summed before it."""
+    df = P.profile(sampling.sample_files(landed["repo_files"]), ["repo_id"])
+    plan = plan_of(df)
+    assert plan.count("WindowGroupLimit") >= 3 and "partial_count" in plan
+    collects = [line for line in plan.splitlines() if "collect_list" in line]
+    assert collects and all("kind#" in line for line in collects)
 
 
-def test_scans_per_table(landed):
-    """Each content table is read once; the narrow listing once per use."""
-    scans = node_blocks(full_report(landed), "Scan parquet")
-    with_content = [s for s in scans if re.search(r"Output \[\d+\]: \[[^\]]*content#", s)]
-    assert len(with_content) == 2
-    assert len(scans) == 9
+def test_texts_are_read_once_for_all_uses(spark, landed, tmp_path):
+    names = ["repos", "listing", "bodies", "archives"]
+    files = snapshots.snapshot_files(*[landed[n] for n in names], metrics=str(tmp_path / "metrics"))
+    resolved = snapshots.resolve_snapshots(landed["repos"], landed["listing"], files, landed["attempts"])
+    scans = node_blocks(resolved, "Scan parquet")
+    assert not [s for s in scans if re.search(r"Output \[\d+\]: \[[^\]]*content#", s)]

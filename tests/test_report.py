@@ -50,6 +50,18 @@ def report(spark, tables, overlays=None):
     return {r.repo_id: r for r in R.repo_report(*tables, laid, RUN_AT).collect()}
 
 
+CAPS = {"max_files": 75, "max_bytes": 45_000, "max_chars": 45_000}
+
+
+def resolve(tables, **limits):
+    """The resolved repository, and its files in order."""
+    repos, listing, bodies, archives, attempts = tables
+    files = snapshots.snapshot_files(repos, listing, bodies, archives, **limits)
+    resolved = snapshots.resolve_snapshots(repos, listing, files, attempts, limits.get("max_files"))
+    (row,) = resolved.collect()
+    return row, snapshots.snapshot_rows(resolved, files).orderBy("pos").collect()
+
+
 def test_structure_of_three_files(spark):
     paths = ["src/main.ts", "src/components/Card.tsx", "api/server.py"]
     row = report(spark, simple(spark, [(p, "x") for p in paths]))[1]
@@ -101,24 +113,37 @@ def test_listing_route_filters(spark):
     bodies = [(1, "src/main.ts", "export {}"), (1, "src/edge.ts", "y" * 50_000), (1, "src/empty.ts", ""),
               (1, "README.md", "text"), (1, "src/big.ts", "z"), (1, "src/nosize.ts", "n")]
     tables = inputs(spark, [repo(1)], listing, bodies)
-    (row,) = snapshots.resolve_snapshots(*tables).collect()
-    assert [(f.path, f.size) for f in row.files] == [("src/main.ts", 20), ("src/edge.ts", 45_000)]
+    row, files = resolve(tables, **CAPS)
+    assert [(f.path, f.size) for f in files] == [("src/main.ts", 20), ("src/edge.ts", 45_000)]
+    whole = resolve(tables)[1]
+    assert [f.path for f in whole] == ["src/main.ts", "src/big.ts", "src/edge.ts", "src/nosize.ts"]
     assert (row.route, row.truncated, row.description, row.stars) == ("listing", False, "about", 3)
 
 
 def test_cap_comes_before_empty_files_drop(spark):
     files = [(f"src/f{n}.ts", "" if n < 10 else "x") for n in range(100)]
-    (row,) = snapshots.resolve_snapshots(*simple(spark, files)).collect()
-    assert len(row.files) == 65 and row.files[-1].path == "src/f74.ts"
+    row, kept = resolve(simple(spark, files), **CAPS)
+    assert len(kept) == row.profile.n == 65 and kept[-1].path == "src/f74.ts"
     assert row.truncated
+    row, kept = resolve(simple(spark, files))
+    assert len(kept) == row.profile.n == 90 and not row.truncated
+
+
+def test_large_repository_counts_as_a_whole(spark):
+    files = [(f"d{n % 9}/f{n}.{'ts' if n % 3 else 'py'}", "x\n" * (130 + n // 100)) for n in range(10_000)]
+    row = report(spark, simple(spark, files))[1]
+    s = row.architecture.data.structure
+    assert s.sampled_file_count == 10_000
+    assert [(p.language, p.n) for p in s.languages] == [("TypeScript", 6666), ("Python", 3334)]
+    assert [h.path for h in row.debt.data.hotspots] == [f"d{n % 9}/f{n}.{'ts' if n % 3 else 'py'}" for n in range(9_700, 9_706)]
 
 
 def test_truncated_counts_every_entry(spark):
     for extra, truncated in ((74, False), (75, True)):
         listing = [(1, 0, "blob", "a.ts", 1)] + [(1, n + 1, "tree", f"d{n}", None) for n in range(extra)]
         tables = inputs(spark, [repo(1)], listing, [(1, "a.ts", "x")])
-        (row,) = snapshots.resolve_snapshots(*tables).collect()
-        assert row.truncated is truncated
+        assert resolve(tables, **CAPS)[0].truncated is truncated
+        assert resolve(tables)[0].truncated is False
 
 
 def archive(entries):
@@ -138,11 +163,19 @@ def test_archive_source(spark, tmp_path):
     assert found.count() == 2
     rows = A.archive_scan(found).orderBy("pos").collect()
     assert [(r.repo_id, r.branch, r.path, r.size) for r in rows] == [
-        (1, "main", "src/main.ts", 9), (1, "main", "long.ts", 45_000)]
+        (1, "main", "src/main.ts", 9), (1, "main", "long.ts", 50_000)]
     (failed,) = A.archive_attempts(A.unpack_archives(found)).collect()
     assert (failed.repo_id, failed.branch, failed.status) == (2, "dev", 200) and "zip" in failed.error
     capped = A.archive_scan(found, max_files=1, max_chars=3).collect()
     assert [(r.path, r.content) for r in capped] == [("src/main.ts", "exp")]
+    none = [spark.createDataFrame([], schema) for schema in (LISTING, BODIES)]
+    repos = spark.createDataFrame([repo(1, 403), repo(2, 403)], REPOS)
+    files = snapshots.snapshot_files(repos, *none, A.archive_scan(found))
+    tried = A.archive_attempts(A.unpack_archives(found)).unionByName(
+        spark.createDataFrame([(2, "dev", 200, None)], ATTEMPTS))
+    routes = {r.repo_id: r for r in snapshots.resolve_snapshots(repos, none[0], files, tried).collect()}
+    assert (routes[1].route, routes[1].profile.context) == ("archive", ["src/main.ts", "long.ts"])
+    assert routes[2].route == "sample" and "zip" in routes[2].fallback_reason
 
 
 def test_rate_limit_uses_archive(spark):
@@ -154,17 +187,17 @@ def test_rate_limit_uses_archive(spark):
         (1, "trunk", 1, "main.ts", "no root"),
         (1, "feature", 0, "r/z.ts", "never tried"),
     ]
-    (row,) = snapshots.resolve_snapshots(*inputs(spark, [repo(1, 403)], archives=archives)).collect()
+    row, files = resolve(inputs(spark, [repo(1, 403)], archives=archives))
     assert (row.route, row.default_branch, row.truncated) == ("archive", "trunk", False)
-    assert [f.path for f in row.files] == ["src/main.ts"]
+    assert [f.path for f in files] == ["src/main.ts"]
     assert (row.description, row.stars, row.fallback_reason) == ("", 0, None)
 
 
 def test_archive_cap_keeps_75_nonempty(spark):
     archives = [(1, "main", n, f"r/f{n}.ts", "" if n % 2 else "x") for n in range(160)]
-    (row,) = snapshots.resolve_snapshots(*inputs(spark, [repo(1, 403)], archives=archives)).collect()
-    assert len(row.files) == 75 and row.truncated
-    assert row.files[-1].path == "f148.ts"
+    row, files = resolve(inputs(spark, [repo(1, 403)], archives=archives), **CAPS)
+    assert len(files) == 75 and row.truncated
+    assert files[-1].path == "f148.ts"
 
 
 def test_sample_stands_in(spark):
@@ -310,19 +343,19 @@ def test_landed_documents(spark):
 def test_join_equals_one_table(spark):
     files = [(1, n, "blob", f"s/f{n % 50}-{n}.ts", 5, "" if n % 7 == 0 else f"function a{n}") for n in range(300)]
     table = spark.createDataFrame(files, LISTING + ", content string")
-    one = sampling.sample_files(table).select("repo_id", "pos", "path", "lines", "functions")
+    one = sampling.sample_files(table, 75).select("repo_id", "pos", "path", "lines", "functions")
     joined = sampling.join_bodies(
-        sampling.listing_sample(table.drop("content")), table.select("repo_id", "path", "content"))
+        sampling.listing_sample(table.drop("content"), 75), table.select("repo_id", "path", "content"))
     two = joined.select("repo_id", "pos", "path", "lines", "functions")
     assert sorted(one.collect()) == sorted(two.collect()) and one.count() == 64
 
 
-def test_context_and_sources(evaluate, spark):
-    nested = snapshots.nest_files(
-        spark.createDataFrame(
-            [(1, n, f"f{n}.ts", 1, 200 + n, 0, 0) for n in range(40)],
-            "repo_id bigint, pos bigint, path string, size bigint, lines int, markers int, functions int"))
-    rows = nested.select("*", P.hotspots(F.col("files")).alias("hot"))
-    row = rows.select(P.source_files(F.col("hot")).alias("s"), P.context_paths(F.col("files")).alias("c")).first()
-    assert row.s == ["f36.ts", "f37.ts", "f38.ts", "f39.ts"]
-    assert row.c == [f"f{n}.ts" for n in range(25)]
+def test_context_and_sources(spark):
+    files = spark.createDataFrame(
+        [(1, n, f"f{n}.ts", 200 + n, 0, 0) for n in range(40)],
+        "repo_id bigint, pos bigint, path string, lines int, markers int, functions int")
+    rows = P.with_profile(spark.createDataFrame([(1,), (2,)], "repo_id bigint"), P.profile(files, ["repo_id"]))
+    got = {r.repo_id: r for r in rows.select("repo_id", P.source_files(F.col("hot")).alias("s"), "profile").collect()}
+    assert got[1].s == ["f36.ts", "f37.ts", "f38.ts", "f39.ts"]
+    assert got[1].profile.context == [f"f{n}.ts" for n in range(25)]
+    assert got[2].s == [] and got[2].profile.n == 0

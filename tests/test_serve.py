@@ -14,7 +14,6 @@ from debtscope import messages as M
 from debtscope.functions import errors
 from debtscope.functions.text import bundle_name, redact_tokens, short_url, utc_text
 from debtscope.operators import bundles, lookup
-from debtscope.operators.skew import find_hot_keys, split_hot_left_join
 from debtscope.operators.topk import top_k
 from debtscope.sources import reports as store
 from debtscope.streaming import live_reports as job
@@ -29,17 +28,14 @@ def test_expiry_boundary(spark):
     assert sorted(r.analysis_id for r in lookup.live_reports(df, AS_OF).collect()) == ["0", "2", "3"]
 
 
-def test_hot_key_join_keeps_all_rows(spark):
-    rows = [(n, "hot" if n % 3 == 0 else f"k{n % 17}") for n in range(600)]
-    left = spark.createDataFrame(rows, "id int, key string")
-    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("alone", 4)], "key string, v int")
-    hot = find_hot_keys(left, "key", 30)
-    assert [(r.key, r["_pieces"]) for r in hot.collect()] == [("hot", 7)]
-    split = split_hot_left_join(left, right, "key", "id", hot_rows=30)
-    plain = left.join(right, "key", "left")
-    assert sorted(split.select("id", "key", "v").collect(), key=str) == sorted(plain.select("id", "key", "v").collect(), key=str)
-    none_hot = split_hot_left_join(left, right, "key", "id", hot_rows=10_000)
-    assert none_hot.count() == 600
+def test_requests_that_cannot_match_stay_out_of_the_join(spark):
+    ids = [None] * 200 + [UUIDS[0]] * 50 + [UUIDS[9]]
+    asked = spark.createDataFrame(list(enumerate(ids)), "question_id bigint, analysis_id string").repartition(5)
+    reports = make_reports(spark).select("analysis_id", "created_at", "url")
+    found = lookup.lookup_reports(asked, reports, AS_OF)
+    assert [(r.lookup, r["count"]) for r in found.groupBy("lookup").count().orderBy("lookup").collect()] == [("found", 50), ("not_found", 201)]
+    parts = found.filter("analysis_id IS NULL").select(F.spark_partition_id()).distinct().count()
+    assert parts == 5
 
 
 def make_reports(spark):
@@ -73,11 +69,11 @@ def test_answers(spark):
     overlays = spark.createDataFrame(
         [(6, '{"answer": "A", "confidence": 0.5, "sourceFiles": ["q"]}'), (7, '{"confidence": null}'), (0, "broken")],
         "question_id bigint, payload string")
-    answers = lookup.grounded_answers(questions, make_reports(spark), AS_OF, overlays, hot_rows=2)
+    answers = lookup.grounded_answers(questions, make_reports(spark), AS_OF, overlays)
     got = {r.question_id: r for r in answers.collect()}
     assert {i: r.status for i, r in got.items()} == {
         0: "answered", 1: "answered", 2: "not_found", 3: "not_found", 4: "rejected", 5: "rejected", 6: "answered", 7: "answered"}
-    assert got[0].answer == "Per the stored report, begin with t.ts. sum Next step: first"
+    assert got[0].answer == "t.ts first: sum; first"
     assert (got[0].confidence, got[1].confidence) == (0.68, 0.78)
     assert got[0].source_files == ["p0.ts", "p1.ts", "p2.ts", "p3.ts"] and got[1].source_files == []
     assert got[0].question == "what first?" and got[2].answer is None
@@ -149,12 +145,29 @@ def test_bundles(spark, tmp_path):
                 assert rows[r.analysis_id, name] == archive.read(name).decode()
 
 
+def test_bundle_requests(spark):
+    asked = spark.createDataFrame(
+        [(0, UUIDS[0]), (1, UUIDS[2]), (2, "nope"), (3, None), (4, UUIDS[0])], "question_id bigint, analysis_id string")
+    got = {}
+    for r in bundles.bundle_requests(asked, make_reports(spark), AS_OF, "question_id").collect():
+        got.setdefault((r.question_id, r.status), []).append(r.path)
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {
+        (0, "ready"): ["README.md", "a.ts", "b.ts"], (4, "ready"): ["README.md", "a.ts", "b.ts"],
+        (1, "not_found"): [None], (2, "rejected"): [None], (3, "rejected"): [None]}
+
+
 def test_report_table(spark, tmp_path):
     path = str(tmp_path / "reports")
     for day in (1, 2):
-        rows = [(UUIDS[day], datetime(2024, 5, day, 23, 30, tzinfo=timezone.utc))]
-        store.write_reports(spark.createDataFrame(rows, "analysis_id string, created_at timestamp"), path)
+        rows = [(UUIDS[day], datetime(2024, 5, day, 23, 30, tzinfo=timezone.utc), f"run{day}")]
+        for _ in range(2):  # a run that is repeated replaces its reports
+            store.write_reports(spark.createDataFrame(rows, "analysis_id string, created_at timestamp, run_id string"), path)
     back = store.read_reports(spark, path)
+    asked = spark.createDataFrame([(n, UUIDS[2]) for n in range(4)], "question_id bigint, analysis_id string")
+    found = lookup.lookup_reports(asked, back, datetime(2024, 5, 2, 23, 40, tzinfo=timezone.utc))
+    assert [r.lookup for r in found.collect()] == ["found"] * 4
+    live = lookup.live_reports(back, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in live
     assert sorted(str(r.created_date) for r in back.collect()) == ["2024-05-01", "2024-05-02"]
     plan = back.filter("created_date = DATE'2024-05-02'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_date" in plan
@@ -171,7 +184,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
     def run():
         stream = job.report_stream(spark, arriving, spark.createDataFrame([], schema).schema, files_per_batch=1)
-        job.register(stream, table, checkpoint).awaitTermination()
+        for query in job.register(stream, table, checkpoint, AS_OF):
+            query.awaitTermination()
 
     arrive(rows[:20])
     arrive(rows[10:30])  # ten of them again
@@ -179,7 +193,13 @@ def test_stream_equals_batch(spark, tmp_path):
     arrive(rows[25:])
     run()
     run()  # nothing new
-    stored = job.registered(spark, table)
+    arrive([("early", AS_OF + timedelta(days=2))])
+    run()
+    arrive([("late batch", AS_OF - timedelta(minutes=5))])
+    run()
+    rows.append(("late batch", AS_OF - timedelta(minutes=5)))
+    stored = job.registered(spark, table, AS_OF)
+    assert "early" in {r.analysis_id for r in job.registered(spark, table, AS_OF + timedelta(days=3)).collect()}
     live = sorted(r.analysis_id for r in lookup.live_reports(stored, AS_OF).collect())
     batch = spark.createDataFrame(rows, schema)
     assert live == sorted(r.analysis_id for r in lookup.live_reports(batch, AS_OF).collect())
@@ -231,4 +251,4 @@ def test_text(evaluate, spark):
 
 
 def test_stage_names():
-    assert len(C.STAGES) == len(C.STAGE_KEYS) == len(M.STAGE_RUNNING) == len(M.STAGE_COMPLETE) == 5
+    assert len(C.STAGES) == len(C.STAGE_KEYS) == 5
