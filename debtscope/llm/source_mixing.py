@@ -11,7 +11,8 @@ holds its budget is selected.  Full epochs take every document; in the one parti
 document is taken if its (hash, id) is at or before the leaf's cut, so selecting is a
 filter against one row per leaf and texts are not shuffled.  The cut is found in two
 steps: token sums per hash bucket, then single documents of the one bucket where the
-budget ends; a leaf with a third of all rows is never brought together.
+budget ends.  A leaf of n documents has the square root of n buckets, so either step brings
+about that many rows together, and a leaf with a third of all rows never meets as a whole.
 
 Defined results: null and empty texts have no tokens and are taken with the epochs that
 reach them; a null level is a node of its own, shown as ``(null)``; rows with equal id and
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 
 from debtscope.llm.common import materialize, packed, whole_text
 
-#: Documents per hash bucket, on average, when a leaf's cut is searched.
-PER_BUCKET = 4096
 #: Leaves up to this number are sent to every executor (some 200 bytes each); beyond it
 #: the join with the leaf table is left to the optimizer.
 BROADCAST_LEAVES = 20_000
@@ -112,7 +111,7 @@ def plan(tokens: DataFrame, levels: list[str], weights: dict[str, dict[str, int]
     leaves = given.withColumns({
         "full_epochs": full.cast("long"),
         "wanted": F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(0),
-        "n_buckets": F.ceil(F.col("n_docs") / PER_BUCKET),
+        "n_buckets": F.ceil(F.sqrt("n_docs")),
     })
     leaves = materialize(leaves, "budgets")
     open_leaves = leaves.filter("wanted > 0").select(*levels, "full_epochs", "wanted", "n_buckets")
