@@ -26,7 +26,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "many_symbols": "10 * n_symbols > n_words",
-    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines",
+    "duplicate_lines": "n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
 }

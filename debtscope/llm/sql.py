@@ -19,7 +19,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 b AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END
         + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
         + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
-        + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+        + CASE WHEN n_dup_lines > 3 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
         + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
