@@ -17,8 +17,7 @@ documents in ascending order.  A task writes under a name of its own and reports
 in the manifest; files of tasks that were lost are in no manifest and are never read.
 
 Texts are cut where every pre-token ends, as at spaces that follow a character other than
-white space, and each different piece is encoded by the tokenizer once per task.  Fewer,
-larger tasks meet fewer new pieces, so their number follows the bytes of text.
+white space, and each different piece is encoded by the tokenizer once per task.
 
 Defined results: null and empty texts have the end id alone; rows without an id come
 first, rows with equal ids by text; repeated rows are repeated records; only the id and
@@ -48,12 +47,10 @@ MASK_DELTA = 0xA282EAD8
 INDEX = [("offset", "<u8"), ("before", "<u8"), ("n_ids", "<u4"), ("has_id", "<u4"), ("id", "<i8")]
 #: Parts a task remembers before it starts afresh, and the longest one it keeps.
 CACHE, CACHED_CHARS = 700_000, 64
-#: Bytes of text for one file, and the least for which another task is worth starting.
-FILE_BYTES, TASK_BYTES = 256 << 20, 16 << 20
 MANIFEST = "data_file string, index_file string, has_id boolean, first_id long, n_records long, n_ids long, n_bytes long, width int"
+#: A space as byte-level vocabularies write it.
+SPACE = "\u0120"
 _UNSAFE = re.compile(r"\s ")
-_SPACE = re.compile(r"\s")
-_LINES = re.compile(r"(\S+)\n(\S+)")
 _CUT = re.compile(r"(?<=\S) ")
 
 
@@ -71,56 +68,49 @@ class PieceTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
-    def _learn(self, parts: set[str]) -> None:
-        """Ids of parts, each with a space before it, from those of their atoms."""
-        cuts = {part: atoms_of(part) for part in parts}
-        new = list({a for cut in cuts.values() for a in cut if a not in self.atoms})
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            for atom, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.atoms[atom] = self.pack(got.ids)
-        self.known.update((part, b"".join(map(self.atoms.__getitem__, cut))) for part, cut in cuts.items())
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [self.pack(x.ids) for x in got]
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts, each with a space before it.
+
+        A space and ASCII letters are one pre-token, which the model takes as it is, and a
+        full stop or comma after them is another; all else goes through the whole tokenizer.
+        """
+        new, rest, model = {}, [], self.tokenizer.model
+        known, ends = self.known, {end: self._ids_of([end])[0] for end in ".,"}
+        for part in parts:
+            stem, end = (part[:-1], ends[part[-1]]) if part[-1:] in ends else (part, b"")
+            if stem.isascii() and stem.isalpha():
+                ids = known.get(stem) or new.get(stem)
+                if ids is None:
+                    ids = new[stem] = self.pack([token.id for token in model.tokenize(SPACE + stem)])
+                new[part] = ids + end
+            else:
+                rest.append(part)
+        for at in range(0, len(rest), 20_000):
+            some = rest[at:at + 20_000]
+            new.update(zip(some, self._ids_of([" " + p for p in some])))
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text.  A part costs one look-up; only unknown ones cost more."""
         split = [(_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) for t in texts]
-        parts = set().union(*(x[1:] for x in split))
-        if not parts <= self.known.keys():
-            missing = parts - self.known.keys()
-            if len(self.known) + len(missing) > CACHE:
-                self.known, self.atoms, missing = {}, {}, parts
-            self._learn(missing)
-        heads = self.tokenizer.encode_batch_fast([x[0] for x in split], add_special_tokens=False)
-        known = self.known
-        out = [b"".join([self.pack(head.ids), *map(known.__getitem__, x[1:])]) for x, head in zip(split, heads)]
-        for part in parts:
-            if len(part) > CACHED_CHARS:
-                for piece in (part, *atoms_of(part)):
-                    self.known.pop(piece, None)
-                    self.atoms.pop(piece, None)
+        heads = self._ids_of([parts[0] for parts in split])
+        found = [[head, *map(self.known.get, parts[1:])] for head, parts in zip(heads, split)]
+        new = self._learn({p for parts, ids in zip(split, found) for p, i in zip(parts, ids) if i is None})
+        out = [b"".join([new[p] if i is None else i for p, i in zip(parts, ids)]) for parts, ids in zip(split, found)]
+        if len(self.known) + len(new) > CACHE:
+            self.known = {}
+        self.known.update(x for x in new.items() if len(x[0]) <= CACHED_CHARS)
         return out
 
 
-def atoms_of(part: str) -> list[str]:
-    """Pieces of a space and a part between which a pre-token always ends: before and after
-    a single line break, and between a Latin letter and closing punctuation."""
-    lines = _LINES.fullmatch(part)
-    if lines:
-        return [*_ending(" " + lines[1]), "\n", *_ending(lines[2])]
-    return [" " + part] if _SPACE.search(part) else _ending(" " + part)
-
-
-def _ending(piece: str) -> list[str]:
-    stem = piece.rstrip(".,;:!?)")
-    if len(stem) < len(piece) and stem[-1:].isalpha() and stem[-1] < "\u0250":
-        return [stem, piece[len(stem):]]
-    return [piece]
-
-
 # --- framing ------------------------------------------------------------------
 def masked_crc(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -217,10 +207,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
     """
     folder = folder or shared_folder(docs.sparkSession, "records")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    files = max(1, -(-size // FILE_BYTES), min(tasks, -(-size // TASK_BYTES)))
-    ordered = texts.repartitionByRange(files, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    ordered = texts.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     files = materialize(ordered.mapInArrow(_write(tokenizer_path, folder, end_id), MANIFEST), "manifest")
     # one row per file, so a single window over them stays small
     upto = F.sum("n_ids").over(W.orderBy("has_id", "first_id"))
