@@ -1,7 +1,10 @@
 """Licence recognition by sentences and ordered rules.
 
-A text is cut into sentences, which are normalised and looked up among known licence
-sentences.  The identifiers found, with ``?`` for what stands between them, form a sequence;
+Comment marks and list numbers are taken out of a text, places where a sentence may start or
+end are marked, and case and punctuation go.  A known licence sentence is found where it runs
+from one mark to another, whatever marks lie inside it, so line wraps and ``;``, ``:`` or
+``v.`` in its wording do not matter; of several that start at a mark the longest counts.  The
+identifiers found, with ``?`` for what stands between them, form a sequence;
 ordered rules match parts of it, longer and more exact ones first, and what a rule has
 matched is taken out.  Rules name a licence and its class; the strictest class found is the
 document's verdict.
@@ -21,11 +24,6 @@ from debtscope.llm.common import packed, whole_text
 
 #: Normalised sentences of public licences and notices, by identifier.
 SENTENCES: dict[str, list[str]] = {
-    "mit_ref": [
-        "released under the mit license",
-        "licensed under the mit license",
-        "this project is licensed under the mit license",
-    ],
     "mit_grant": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
         " documentation files the software to deal in the software without restriction including without limitation the"
@@ -45,14 +43,13 @@ SENTENCES: dict[str, list[str]] = {
         " action of contract tort or otherwise arising from out of or in connection with the software or the use or other"
         " dealings in the software",
     ],
-    "apache_ref": [
-        "licensed under the apache license version 2 0",
-        "released under the apache license version 2 0",
-        "this work is licensed under the apache license version 2 0",
-    ],
     "apache_header": ["licensed under the apache license version 2 0 the license"],
     "apache_maynot": ["you may not use this file except in compliance with the license"],
-    "apache_copy": ["you may obtain a copy of the license at"],
+    "apache_copy": [
+        "you may obtain a copy of the license at",
+        "you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "you may obtain a copy of the license at https www apache org licenses license 2 0",
+    ],
     "apache_unless": [
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on"
         " an as is basis without warranties or conditions of any kind either express or implied",
@@ -73,39 +70,63 @@ SENTENCES: dict[str, list[str]] = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
         " products derived from this software without specific prior written permission",
     ],
-    "gpl3_ref": [
-        "this work is licensed under the gnu general public license version 3",
-        "licensed under the gnu general public license version 3",
-        "released under the gnu general public license version 3",
-    ],
-    "gpl2_ref": [
-        "this work is licensed under the gnu general public license version 2",
-        "licensed under the gnu general public license version 2",
-    ],
-    "gpl3_later": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
-        " license as published by the free software foundation either version 3 of the license or at your option any later"
-        " version",
-    ],
-    "gpl2_later": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
-        " license as published by the free software foundation either version 2 of the license or at your option any later"
-        " version",
-    ],
     "gpl_hope": [
-        "this program is distributed in the hope that it will be useful but without any warranty without even the implied"
-        " warranty of merchantability or fitness for a particular purpose",
+        f"this {work} is distributed in the hope that it will be useful but without any warranty without even the implied"
+        " warranty of merchantability or fitness for a particular purpose"
+        for work in ("program", "library", "software")
     ],
     "gpl_see": ["see the gnu general public license for more details"],
-    "lgpl_ref": ["licensed under the gnu lesser general public license version 3"],
-    "mpl_ref": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "cc0_ref": ["licensed under cc0 1 0", "released into the public domain", "this work is in the public domain"],
-    "ccby_ref": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0"],
-    "ccbysa_ref": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0"],
-    "ccbync_ref": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0"],
+    "lgpl_see": ["see the gnu lesser general public license for more details"],
+    "mpl_notice": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "public_domain": ["released into the public domain", "this work is in the public domain"],
     "reserved": ["all rights reserved"],
     "confidential": ["proprietary and confidential", "unauthorized copying of this file via any medium is strictly prohibited"],
 }
+#: Notices of the GNU licences, by identifier: name of the licence, version.
+for _id, _name, _version in [("gpl3_later", "general", 3), ("gpl2_later", "general", 2), ("lgpl3_later", "lesser general", 3)]:
+    SENTENCES[_id] = [
+        f"this {work} is free software you can redistribute it and or modify it under the terms of the gnu {_name} public"
+        f" license as published by the free software foundation either version {_version} of the license or at your option"
+        " any later version"
+        for work in ("program", "library", "software")
+    ]
+
+#: Ways to name a licence, the same for all: a lead-in and a name, or the tag and an SPDX identifier.
+LEADS = ["licensed under", "released under", "distributed under",
+         *(f"this {work} is licensed under" for work in ("work", "project", "software", "program"))]
+TAG = "spdx license identifier"
+
+
+def _gnu(name: str, short: str, version: str, later: bool) -> list[str]:
+    names = [f"the gnu {n} {v}{version}" for n in (name, short) for v in ("version ", "v")]
+    ends = ("or later", "or any later version", "or at your option any later version") if later else ("", "only")
+    return [f"{n} {end}".rstrip() for n in names for end in ends]
+
+
+def _cc(kinds: str, short: str) -> list[str]:
+    long = [f"{a} creative commons {kinds} 4 0 {rest}" for a in ("a", "the") for rest in ("international license", "license")]
+    return [*long, f"{short} 4 0", f"the {short} 4 0 license"]
+
+
+#: (names in sentences, SPDX identifiers) by identifier.
+NAMES: dict[str, tuple[list[str], list[str]]] = {
+    "mit_ref": (["the mit license", "mit license", "the terms of the mit license"], ["mit"]),
+    "bsd2_ref": (["the bsd 2 clause license", "the 2 clause bsd license", "the simplified bsd license"], ["bsd 2 clause"]),
+    "bsd3_ref": (["the bsd 3 clause license", "the 3 clause bsd license", "the new bsd license"], ["bsd 3 clause"]),
+    "apache_ref": ([f"the apache license{v} 2 0" for v in ("", " version", " v")] + ["the apache 2 0 license", "the apache license v2 0"], ["apache 2 0"]),
+    "gpl3_ref": (_gnu("general public license", "gpl", "3", False), ["gpl 3 0 only", "gpl 3 0"]),
+    "gpl3_later_ref": (_gnu("general public license", "gpl", "3", True), ["gpl 3 0 or later"]),
+    "gpl2_ref": (_gnu("general public license", "gpl", "2", False), ["gpl 2 0 only", "gpl 2 0"]),
+    "gpl2_later_ref": (_gnu("general public license", "gpl", "2", True), ["gpl 2 0 or later"]),
+    "lgpl_ref": (_gnu("lesser general public license", "lgpl", "3", False), ["lgpl 3 0 only", "lgpl 3 0"]),
+    "lgpl_later_ref": (_gnu("lesser general public license", "lgpl", "3", True), ["lgpl 3 0 or later"]),
+    "mpl_ref": ([f"the mozilla public license{v} 2 0" for v in ("", " version", " v")], ["mpl 2 0"]),
+    "cc0_ref": (["cc0 1 0", "cc0 1 0 universal", "the cc0 1 0 universal license", "the creative commons cc0 1 0 universal license"], ["cc0 1 0"]),
+    "ccby_ref": (_cc("attribution", "cc by"), ["cc by 4 0"]),
+    "ccbysa_ref": (_cc("attribution sharealike", "cc by sa"), ["cc by sa 4 0"]),
+    "ccbync_ref": (_cc("attribution noncommercial", "cc by nc"), ["cc by nc 4 0"]),
+}
+SENTENCES |= {i: [f"{lead} {name}" for lead in LEADS for name in names] + [f"{TAG} {tag}" for tag in tags] for i, (names, tags) in NAMES.items()}
 
 #: (rule, pattern over the identifiers, licence, class), applied in this order.
 RULES: list[tuple[str, str, str, str]] = [
@@ -115,13 +136,19 @@ RULES: list[tuple[str, str, str, str]] = [
     ("apache_text", "<apache_header><apache_maynot>(?:<apache_copy>)?(?:<[?]>)?(?:<apache_unless>)?", "Apache-2.0", "permissive"),
     ("gpl3_text", "<gpl3_later>(?:<gpl_hope>)?(?:<gpl_see>)?", "GPL-3.0-or-later", "copyleft"),
     ("gpl2_text", "<gpl2_later>(?:<gpl_hope>)?(?:<gpl_see>)?", "GPL-2.0-or-later", "copyleft"),
+    ("lgpl3_text", "<lgpl3_later>(?:<gpl_hope>)?(?:<lgpl_see>)?", "LGPL-3.0-or-later", "copyleft"),
     ("mit_ref", "<mit_ref>", "MIT", "permissive"),
+    ("bsd3_ref", "<bsd3_ref>", "BSD-3-Clause", "permissive"),
+    ("bsd2_ref", "<bsd2_ref>", "BSD-2-Clause", "permissive"),
     ("apache_ref", "<apache_ref>", "Apache-2.0", "permissive"),
     ("gpl3_ref", "<gpl3_ref>", "GPL-3.0-only", "copyleft"),
     ("gpl2_ref", "<gpl2_ref>", "GPL-2.0-only", "copyleft"),
+    ("gpl3_later_ref", "<gpl3_later_ref>", "GPL-3.0-or-later", "copyleft"),
+    ("gpl2_later_ref", "<gpl2_later_ref>", "GPL-2.0-or-later", "copyleft"),
+    ("lgpl_later_ref", "<lgpl_later_ref>", "LGPL-3.0-or-later", "copyleft"),
     ("lgpl_ref", "<lgpl_ref>", "LGPL-3.0-only", "copyleft"),
-    ("mpl_ref", "<mpl_ref>", "MPL-2.0", "copyleft"),
-    ("cc0_ref", "<cc0_ref>", "CC0-1.0", "permissive"),
+    ("mpl_ref", "<mpl_ref>|<mpl_notice>", "MPL-2.0", "copyleft"),
+    ("cc0_ref", "<cc0_ref>|<public_domain>", "CC0-1.0", "permissive"),
     ("ccby_ref", "<ccby_ref>", "CC-BY-4.0", "permissive"),
     ("ccbysa_ref", "<ccbysa_ref>", "CC-BY-SA-4.0", "copyleft"),
     ("ccbync_ref", "<ccbync_ref>", "CC-BY-NC-4.0", "noncommercial"),
@@ -131,26 +158,60 @@ RULES: list[tuple[str, str, str, str]] = [
 #: Classes from the strictest.
 CLASSES = ["proprietary", "noncommercial", "copyleft", "reserved", "permissive"]
 
-#: Marks sentence ends: after punctuation, and at line breaks unless the line goes on, that
-#: is, ends with a comma or capital or is followed by a small letter.
-ENDS = [(r"([.!?;:])[ \t\n\r\f]+", "$1\x01"), (r"([^,A-Z \t\n\r\f])[ \t\r\f]*\n[ \t\n\r\f]*([^a-z \t\n\r\f])", "$1\x01$2")]
+#: Taken out: comment marks that start a line, and list marks after a sentence or an empty line.
+COMMENT = r"""(?m)^[ \t]*(?:<!--+|/\*+|\*+/?|//+!?|#+|--+|;+|%+|>+|"{3}|'{3}|(?:dnl|rem|REM|[.]{2})(?=[ \t\r\n]))[ \t]*"""
+LISTED = r"(\A[ \t\n\r\f]*|[.!?;:][ \t\n\r\f]+|\n[ \t\r\f]*\n[ \t\n\r\f]*)(?:\(?(?:[0-9]{1,2}|[a-z])[.)]|[-*•])[ \t\n\r\f]+"
+#: Marks where a sentence may start or end: at empty lines, after punctuation, and at line
+#: breaks unless the line goes on, that is, ends with a comma or capital or is followed by a
+#: small letter.
+ENDS = [
+    (r"([^ \t\n\r\f])[ \t\r\f]*\n[ \t\r\f]*\n[ \t\n\r\f]*(?=[^ \t\n\r\f])", "$1\x01"),
+    (r"([.!?;:])[ \t\n\r\f]+", "$1\x01"),
+    (r"([^,A-Z \t\n\r\f])[ \t\r\f]*\n[ \t\n\r\f]*([^a-z \t\n\r\f])", "$1\x01$2"),
+]
+#: A tag ends with its line; the + of an identifier is punctuation and would go.
+TAGGED = [
+    (r"([^ \t\n\r\f])[ \t\r\f]*\n[ \t\n\r\f]*(?=SPDX-License-Identifier:)", "$1\x01"),
+    (r"(SPDX-License-Identifier:[^\n]*[^ \t\n\r\f])[ \t\r\f]*\n[ \t\n\r\f]*(?=[^ \t\n\r\f])", "$1\x01"),
+    (r"(SPDX-License-Identifier:[ \t]*L?GPL-[0-9.]+)\+", "$1-or-later"),
+]
 #: ASCII characters that normalising turns into one space.
 NOISE = r"[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _known() -> str:
+    """Pattern of all known sentences between marks, longer ones first, by their first words."""
+    heads: dict[str, list[str]] = {}
+    for form in sorted((s for forms in SENTENCES.values() for s in forms), key=len, reverse=True):
+        heads.setdefault(form.split(" ", 1)[0], []).append(form)
+    rest = ["(?:" + "|".join(f[len(h):].replace(" ", "[ \x01]") for f in forms) + ")" for h, forms in heads.items()]
+    return "(?<=\x01)(" + "|".join(h + r for h, r in zip(heads, rest)) + ")(?=\x01)"
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text."""
+    """Known sentences of a text, and what stands before, between and after them.
+
+    Where two of them, or one and an end of the text, meet, the mark alone is between.
+    """
+    tagged = text
+    for pattern, mark in [(COMMENT, ""), *TAGGED]:
+        tagged = F.regexp_replace(tagged, pattern, mark)
+    text = F.when(text.contains("SPDX-License-Identifier:"), tagged).otherwise(F.regexp_replace(text, COMMENT, ""))
+    text = F.regexp_replace(text, LISTED, "$1")
     for pattern, mark in ENDS:
         text = F.regexp_replace(text, pattern, mark)
     plain = F.regexp_replace(F.translate(text, UPPER, LOWER), NOISE, " ")
-    return F.split(plain, " *\x01 *")
+    plain = F.regexp_replace(F.concat(F.lit("\x01"), plain, F.lit("\x01")), " *\x01 *", "\x01")
+    return F.split(F.regexp_replace(plain, _known(), "\x02$1\x02"), "\x02")
 
 
 def identifiers(found: Column) -> Column:
-    """Sentence identifiers, null for unknown sentences."""
+    """Identifiers of known sentences, null for what is none; without what is only a mark."""
     known = F.create_map(*[F.lit(x) for i, forms in SENTENCES.items() for s in forms for x in (s, i)])
-    return F.transform(found, lambda s: F.try_element_at(known, F.trim(s)))
+    parts = F.filter(found, lambda s: s != "\x01")
+    # what stands between starts with a mark
+    return F.transform(parts, lambda s: F.when(~s.startswith("\x01"), F.try_element_at(known, F.translate(s, "\x01", " "))))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
