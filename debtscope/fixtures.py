@@ -67,14 +67,16 @@ FILE_LAYERS: list[dict[str, str]] = [
 ]
 
 ARCHIVE_NAME = (
-    "CASE WHEN doc_id % 23 = 0 THEN base || '.' || ext "
+    "CASE WHEN doc_id % 23 = 0 OR (repo_id % 10 = 1 AND repo_id > 1) THEN base || '.' || ext "
     "WHEN type = 'tree' THEN 'root/' || path || '/' ELSE 'root/' || path END"
 )
 ARCHIVE_BRANCH = (
-    "CASE WHEN repo_id % 4 = 0 THEN 'main' WHEN ext = 'md' THEN 'main' "
+    "CASE WHEN repo_id < 2 AND ext <> 'md' THEN CASE WHEN doc_id % 4 = 0 THEN 'dev' ELSE 'master' END "
+    "WHEN repo_id % 4 = 0 THEN 'main' WHEN ext = 'md' THEN 'main' "
     "WHEN repo_id % 8 = 6 AND doc_id % 2 = 0 THEN 'master' ELSE 'dev' END"
 )
-ARCHIVE_FILTER = "repo_id % 10 = 6"
+# Every document is an archive entry; which repositories use theirs is the route's choice.
+ARCHIVE_FILTER = "TRUE"
 
 REPO_COLUMNS = {
     "url": "'https://github.com/org' || CAST(repo_id % 5 AS STRING) || '/repo' || CAST(repo_id AS STRING) "
