@@ -2,7 +2,9 @@
 
 Fixed patterns find emails, IP addresses, cards and phone numbers.  Around each of these
 seeds, and around every other token that could be an identifier, the neighbouring words
-form lexical patterns.  Patterns and instances are the two sides of a graph that Spark
+form lexical patterns.  Such a token is one without white space, or a run of digit groups
+that single spaces, brackets, dots, slashes and hyphens join; its context lies outside the
+whole run.  Patterns and instances are the two sides of a graph that Spark
 scores in rounds: a pattern is as reliable as the share of its occurrences that hold known
 instances of a kind, an instance is as good as the patterns that surround it (noisy or).
 Patterns that are reliable and rest on enough different instances then name the unseen
@@ -41,6 +43,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]\S*")
+#: Digit groups, a plus sign or bracket before them; what joins two groups has a space or a bracket at most on either side.
+_RUN = re.compile(r"(?<![0-9])\+?\(?[0-9]++(?:(?: ?[(./-] ?|\)[ ./-]?| )\(?[0-9]++)++")
 _TRIM = "()[]{}<>.,;:!?\"'"
 
 
@@ -80,9 +84,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- contexts -----------------------------------------------------------------
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with a digit or an @ that no fixed pattern touches, without outer punctuation."""
-    found, free = [], 0
+    """Tokens with a digit or an @, and runs of digit groups, that no fixed pattern touches.
+
+    Outer punctuation is left out.  A run that could be an identifier stands for the tokens
+    that it covers.
+    """
     covered = sorted((s, e) for _, s, e in taken)
+    runs = []
+    k, reach = 0, 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        if m[0][0] == "(" and ")" not in m[0]:
+            start += 1  # the bracket is around more than the run
+        while k < len(covered) and covered[k][0] < end:
+            reach = max(reach, covered[k][1])
+            k += 1
+        whole = (start == 0 or not (text[start - 1].isalnum() or text[start - 1] == "_")) and not (text[end:end + 1].isalnum() or text[end:end + 1] in ("_", "@"))
+        if reach <= start and whole and any(c in " ()" for c in text[start:end]) and may_be(text[start:end]):
+            runs.append((start, end))
+    found, free = [], 0
+    covered = sorted(covered + runs)
     k, reach = 0, 0
     for m in _MARK.finditer(text):
         start, end = m.span()
@@ -99,7 +120,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         end -= len(token) - len(token.rstrip(_TRIM))
         if end - start >= 4:
             found.append((start, end))
-    return found
+    return sorted(found + runs)
 
 
 def may_be(token: str) -> list[int]:

@@ -74,3 +74,31 @@ def test_redact(spark, edge_docs, no_docs):
 def test_edge_rows_are_answered_one_by_one(edge_docs, edge_rows):
     got = P.find(edge_docs).select("id", P.as_text(P.F.concat("base", "extra")).alias("spans")).collect()
     assert sorted(str(r.id) for r in got) == sorted(str(i) for i, *_ in edge_rows) and all(r.spans == "" for r in got)
+
+
+def test_identifiers_with_spaces(spark):
+    new = ["(555) 123-4567", "030 1234 5678", "555 123.4567", "(030) 1234/5678", "020 (7946) 0958"]
+    rows = corpus() + [(300 + i, contact(i, p), "en", "s") for i, p in enumerate(new)]
+    cards = [f"4111 1111 1111 {n:04d}" for n in range(9999) if P.luhn(f"411111111111{n:04d}")]
+    paid = "Order {} was paid by card {} last week."
+    rows += [(400 + i, paid.format(i, c), "en", "s") for i, c in enumerate(cards[:30])] + [(500, paid.format(7, "4111 1111 1111 1112"), "en", "s")]
+    docs = docs_frame(spark, rows)
+    got = {r.id: [tuple(s) for s in r.extra] for r in P.find(docs).collect()}
+    for i, p in enumerate(new):
+        at = contact(i, p).index(p)
+        assert got[300 + i] == [(3, at, at + len(p))]
+    texts = {r.doc_id: r.text for r in P.redact(docs).collect()}
+    assert all(texts[300 + i] == contact(i, "[PHONE]") for i in range(len(new)))
+    assert texts[500] == paid.format(7, "[CARD]")
+
+
+def test_candidate_runs():
+    def found(text):
+        return [text[s:e] for s, e in P.candidates(text, P.base_spans(text))]
+    assert found("call (555) 123-4567, or 030 1234 5678.") == ["(555) 123-4567", "030 1234 5678"]
+    assert found("in 1999 and 2001 2002 x 555-0142-77") == ["1999", "2001 2002", "555-0142-77"]
+    assert found("v2 12 3 a1234 5678 900 1234") == ["a1234", "5678", "1234"]
+    assert found("Office (030 1234 5678), (see 020 7946 0958)") == ["030 1234 5678", "020 7946 0958"]
+    assert found("mail a@b.co 4111 1111 1111 1111") == []
+    long = "1 " * 60_000
+    assert found(long) == []
