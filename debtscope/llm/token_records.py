@@ -58,14 +58,14 @@ _CUT = re.compile(r"(?<=\S) ")
 class PieceTokenizer:
     """Ids of whole texts as packed bytes, by way of remembered pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain  # if so, their strings in a text are ordinary text
         self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
         self.known: dict[str, bytes] = {}
 

@@ -70,3 +70,16 @@ def test_damage_is_found(spark, edge_docs):
         file.write(bytes([byte[0] ^ 1]))
     with pytest.raises(Exception, match="RecordError|payload"):
         R.read_digests(manifest).collect()
+
+
+def test_ids_of_the_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    r, letters = random.Random(6), [*"ab  \n\t's.,", "\x1c", "\x85", "\u3000", "日", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>."]
+    got = [np.frombuffer(x, "<u2").tolist() for x in R.PieceTokenizer(PATH).encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[-3] == [50256]
+    (ordinary,) = R.PieceTokenizer(PATH, plain=True).encode(["<|endoftext|>"])
+    assert len(ordinary) > 2
