@@ -15,6 +15,7 @@ from debtscope.llm import (
     chat_format,
     language_crf,
     license_rules,
+    line_runs,
     pii_bootstrap,
     quality_rules,
     simhash_dedup,
@@ -104,6 +105,12 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped",
+                        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_chat_format": op2_chat_format,
@@ -115,11 +122,13 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_language_crf": op8_language_crf,
     "op9_block_join": op9_block_join,
     "op10_bpe_chunks": op10_bpe_chunks,
+    "op11_line_runs": op11_line_runs,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
     "op4_license_rules": sql.licence_sql(license_rules.SENTENCES, license_rules.RULES, license_rules.CLASSES),
     "op6_quality_rules": sql.OP6,
+    "op11_line_runs": sql.OP11,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -26,6 +26,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT rid, id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(id) AS owner FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT id) >= 5),
+g AS (SELECT rid, k.pos, line, coalesce(owner <> id, false) AS gone FROM k LEFT JOIN f USING (key)),
+r AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM g GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN r USING (rid)
+"""
+
 
 def licence_sql(sentences: dict[str, list[str]], rules: list[tuple[str, str, str, str]], classes: list[str]) -> str:
     """Sentence by sentence as rows, against tables of the fixed values."""
