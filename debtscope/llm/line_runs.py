@@ -21,7 +21,6 @@ rows.  A text's lines meet in one task, whole documents never.
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,10 +113,16 @@ def scan(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, id
 
 
 # --- runs ---------------------------------------------------------------------
-def merged(runs: list[DataFrame]) -> DataFrame:
-    """Several runs as one.  Their buckets are alike, so a bucket is merged where it is read."""
-    whole = functools.reduce(DataFrame.unionByName, [run.select(*RUN) for run in runs])
-    return whole.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("owner").alias("owner"))
+def merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two runs as one; a merge join of sorted buckets.
+
+    (A union of bucketed tables would claim their buckets without joining them: Spark 4.1
+    then groups each of them apart.)
+    """
+    one, other = one.alias("x"), other.alias("y")
+    both = one.join(other, F.expr("x.a = y.a AND x.b = y.b"), "full")
+    n = F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))
+    return both.select(*[F.coalesce(f"x.{k}", f"y.{k}").alias(k) for k in KEY], n.alias("n"), F.greatest("x.owner", "y.owner").alias("owner"))
 
 
 class LineRuns:
@@ -158,12 +163,20 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:  # compact
             runs, self.levels[level] = self.levels[level], []
-            self._put(level + 1, merged(runs))
+            self._put(level + 1, self._all(runs))
+
+    def _all(self, runs: list[DataFrame]) -> DataFrame:
+        """Several runs as one, the smaller levels first; all merges but the last are written."""
+        whole, *others = runs
+        for k, other in enumerate(others, 1):
+            whole = merged(whole, other)
+            whole = self._write(whole) if k < len(others) else whole
+        return whole
 
     def frequent(self) -> DataFrame:
         """(a, b, n, owner) of the keys that enough documents hold; n may leave out documents
         that came when the key was settled."""
-        return merged(self.runs()).filter(F.col("n") >= self.min_docs)
+        return self._all(self.runs()).filter(F.col("n") >= self.min_docs)
 
 
 # --- dropping -----------------------------------------------------------------
