@@ -17,6 +17,7 @@ from debtscope.llm import (
     license_rules,
     line_runs,
     pii_bootstrap,
+    prefix_trie,
     quality_rules,
     simhash_dedup,
     source_mixing,
@@ -111,6 +112,10 @@ def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), group=20, most=3)
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_chat_format": op2_chat_format,
@@ -123,12 +128,14 @@ LLM_QUERIES: dict[str, Query] = {
     "op9_block_join": op9_block_join,
     "op10_bpe_chunks": op10_bpe_chunks,
     "op11_line_runs": op11_line_runs,
+    "op12_prefix_trie": op12_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
     "op4_license_rules": sql.licence_sql(license_rules.SENTENCES, license_rules.RULES, license_rules.CLASSES),
     "op6_quality_rules": sql.OP6,
     "op11_line_runs": sql.OP11,
+    "op12_prefix_trie": sql.OP12,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

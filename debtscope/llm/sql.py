@@ -38,6 +38,30 @@ r AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN r USING (rid)
 """
 
+#: CRC-32 by its reflected polynomial, bit by bit; a turn is known by a digest of fixed length,
+#: so a node is a string of them and its ancestors are its beginnings.
+OP12 = r"""
+WITH t AS (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS dg,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(dg ORDER BY turn NULLS FIRST, dg) AS dgs, list(words ORDER BY turn NULLS FIRST, dg) AS ws FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+          lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))),
+          4294967295) % 4 AS h FROM o),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.dgs[1:h], []), o.dgs[h + 1:]) AS dgs, list_concat(coalesce(b.ws[1:h], []), o.ws[h + 1:]) AS ws
+      FROM o JOIN c USING (conv_id) LEFT JOIN o AS b ON b.conv_id = o.conv_id - o.conv_id % 20),
+v AS (SELECT conv_id, dgs, ws, unnest(range(len(dgs) + 1)) AS d FROM r),
+p AS (SELECT array_to_string(dgs[1:d], '') AS node, d, CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS w, conv_id, d = len(dgs) AS e FROM v),
+n AS (SELECT node, d, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (e), '')) AS ends_sha256 FROM p GROUP BY node, d),
+h AS (SELECT left(node, 32 * (d - 1)) AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN h USING (node)),
+a AS (SELECT left(node, 32 * j) AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+      FROM (SELECT *, unnest(range(d + 1)) AS j FROM k) GROUP BY 1)
+SELECT k.conv_id, k.d AS depth, q.conv_id AS parent_conv_id, k.n_convs, CAST(k.n_children AS BIGINT) AS n_children,
+       CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM k JOIN a USING (node) LEFT JOIN n AS q ON k.d > 0 AND q.node = left(k.node, 32 * (k.d - 1))
+"""
+
 
 def licence_sql(sentences: dict[str, list[str]], rules: list[tuple[str, str, str, str]], classes: list[str]) -> str:
     """Sentence by sentence as rows, against tables of the fixed values."""
