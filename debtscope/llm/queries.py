@@ -20,6 +20,7 @@ from debtscope.llm import (
     prefix_trie,
     quality_rules,
     simhash_dedup,
+    source_audit,
     source_mixing,
     sql,
     token_records,
@@ -116,6 +117,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), group=20, most=3)
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_chat_format": op2_chat_format,
@@ -129,6 +134,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op10_bpe_chunks": op10_bpe_chunks,
     "op11_line_runs": op11_line_runs,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_source_audit": op13_source_audit,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {
@@ -136,6 +142,7 @@ LLM_SQL: dict[str, str] = {
     "op6_quality_rules": sql.OP6,
     "op11_line_runs": sql.OP11,
     "op12_prefix_trie": sql.OP12,
+    "op13_source_audit": sql.OP13,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -62,6 +62,30 @@ SELECT k.conv_id, k.d AS depth, q.conv_id AS parent_conv_id, k.n_convs, CAST(k.n
 FROM k JOIN a USING (node) LEFT JOIN n AS q ON k.d > 0 AND q.node = left(k.node, 32 * (k.d - 1))
 """
 
+#: Every kept term of every pair of sources as a row.
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT rid, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS lang_total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(lang_total), 0) AS lang_total, coalesce(any_value(t), 0) AS t
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS t FROM c GROUP BY ALL) USING (lang, source)
+      GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (t + v) AS p, coalesce(c.n, 0) AS n,
+        1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (lang_total + v) AS q
+      FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS x
+      FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x, 0) AS BIGINT) AS value
+      FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def licence_sql(sentences: dict[str, list[str]], rules: list[tuple[str, str, str, str]], classes: list[str]) -> str:
     """Sentence by sentence as rows, against tables of the fixed values."""
