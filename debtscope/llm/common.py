@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+import types
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debtscope.session import shared_folder
@@ -33,3 +37,21 @@ def packed(docs: DataFrame, *extra: Column) -> DataFrame:
     Working columns can then have any name without meeting one of the table's.
     """
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *extra)
+
+
+def per_process(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a worker process and kept for its later tasks.
+
+    Functions that are shipped by value have their globals made anew for every task, so the
+    things kept are in a module of their own.
+    """
+    kept = sys.modules.setdefault("debtscope_worker", types.ModuleType("debtscope_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A path with its scheme, as the cluster's default file system has it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

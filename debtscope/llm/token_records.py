@@ -13,21 +13,24 @@ record its offset, the ids before it in the file, their number and the document'
 of fixed width, for reads in any order.
 
 Files are written from range-partitioned, sorted rows, so that file after file gives the
-documents in ascending order.  A task writes under a name of its own and reports the file
+documents in ascending order.  Ranges go by id, digest of the text and place, so rows that
+share an id, or have none, spread over as many files as their size asks for.  A task writes under a name of its own and reports the file
 in the manifest; files of tasks that were lost are in no manifest and are never read.
 
 Texts are cut where every pre-token ends, as at spaces that follow a character other than
-white space, and each different piece is encoded by the tokenizer once per task.
+white space, and each different piece is encoded by the tokenizer once per worker process.
 
 Defined results: null and empty texts have the end id alone; rows without an id come
-first, rows with equal ids by text; repeated rows are repeated records; only the id and
+first, rows with equal ids by digest; repeated rows are repeated records; only the id and
 text columns are read; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
+import array
 import re
 import struct
+import sys
 import uuid
 import zlib
 
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from debtscope.llm.common import materialize, whole_text
+from debtscope.llm.common import materialize, per_process, qualified, whole_text
 from debtscope.session import shared_folder
 from debtscope.shipping import ship_by_value
 
@@ -46,10 +49,15 @@ MAGIC = b"TOKREC01"
 MASK_DELTA = 0xA282EAD8
 INDEX = [("offset", "<u8"), ("before", "<u8"), ("n_ids", "<u4"), ("has_id", "<u4"), ("id", "<i8")]
 #: Parts a task remembers before it starts afresh, and the longest one it keeps.
-CACHE, CACHED_CHARS = 700_000, 64
-MANIFEST = "data_file string, index_file string, has_id boolean, first_id long, n_records long, n_ids long, n_bytes long, width int"
+CACHE, CACHED_CHARS = 1_000_000, 64
+MANIFEST = "part int, data_file string, index_file string, has_id boolean, first_id long, n_records long, n_ids long, n_bytes long, width int"
 #: A space as byte-level vocabularies write it.
 SPACE = "\u0120"
+#: Other bytes as these vocabularies write them: those without a mark of their own go from U+0100 on.
+WRITTEN = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Letters of the Latin blocks, then ASCII marks.
+_WORD = re.compile(r"((?:[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F])+)([!-/:-@\[-`{-~]*)")
+LITTLE = sys.byteorder == "little"
 _UNSAFE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -67,47 +75,53 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain  # if so, their strings in a text are ordinary text
         self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of parts, each with a space before it
+        self.tails: dict[str, bytes] = {"": b""}
 
     def pack(self, ids) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return array.array(self.code, ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [self.pack(x.ids) for x in got]
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts, each with a space before it.
-
-        A space and ASCII letters are one pre-token, which the model takes as it is, and a
-        full stop or comma after them is another; all else goes through the whole tokenizer.
-        """
-        new, rest, model = {}, [], self.tokenizer.model
-        known, ends = self.known, {end: self._ids_of([end])[0] for end in ".,"}
+    def _learn(self, parts) -> None:
+        """A space and letters are one pre-token, which the model takes as its bytes are
+        written, and marks after them another; all else goes through the whole tokenizer."""
+        known, tails, rest, pack, tokenize = self.known, self.tails, [], self.pack, self.tokenizer.model.tokenize
         for part in parts:
-            stem, end = (part[:-1], ends[part[-1]]) if part[-1:] in ends else (part, b"")
-            if stem.isascii() and stem.isalpha():
-                ids = known.get(stem) or new.get(stem)
-                if ids is None:
-                    ids = new[stem] = self.pack([token.id for token in model.tokenize(SPACE + stem)])
-                new[part] = ids + end
+            if part.isascii() and part.isalpha():
+                stem, tail = part, ""
+            elif word := _WORD.fullmatch(part):
+                stem, tail = word.groups()
             else:
                 rest.append(part)
+                continue
+            ids = known.get(stem)
+            if ids is None:
+                written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(WRITTEN)
+                ids = known[stem] = pack([token.id for token in tokenize(SPACE + written)])
+            if tail:
+                if tail not in tails:
+                    tails[tail] = self._ids_of([tail])[0]
+                known[part] = ids + tails[tail]
         for at in range(0, len(rest), 20_000):
             some = rest[at:at + 20_000]
-            new.update(zip(some, self._ids_of([" " + p for p in some])))
-        return new
+            known.update(zip(some, self._ids_of([" " + p for p in some])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text.  A part costs one look-up; only unknown ones cost more."""
+        if len(self.known) > CACHE:
+            self.known, self.tails = {}, {"": b""}
         split = [(_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) for t in texts]
-        heads = self._ids_of([parts[0] for parts in split])
-        found = [[head, *map(self.known.get, parts[1:])] for head, parts in zip(heads, split)]
-        new = self._learn({p for parts, ids in zip(split, found) for p, i in zip(parts, ids) if i is None})
-        out = [b"".join([new[p] if i is None else i for p, i in zip(parts, ids)]) for parts, ids in zip(split, found)]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-        self.known.update(x for x in new.items() if len(x[0]) <= CACHED_CHARS)
+        heads, parts = self._ids_of([s[0] for s in split]), [s[1:] for s in split]
+        unknown = set().union(*parts).difference(self.known)
+        self._learn(unknown)
+        ids_of = self.known.__getitem__
+        out = [head + b"".join(map(ids_of, some)) for head, some in zip(heads, parts)]
+        for part in unknown:
+            if len(part) > CACHED_CHARS:
+                self.known.pop(part, None)
         return out
 
 
@@ -171,8 +185,9 @@ def _write(path: str, folder: str, end_id: int):
     def write(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        tokenizer = PieceTokenizer(path)
+        tokenizer = per_process(("tokenizer", path), lambda: PieceTokenizer(path))
         end = tokenizer.pack([end_id])
         out, index, entries, offset, before, first = None, None, 0, 0, 0, None
         for batch in batches:
@@ -200,9 +215,9 @@ def _write(path: str, folder: str, end_id: int):
         if out is not None:
             out.close()
             index.close()
-            row = {"data_file": data_file, "index_file": index_file, "has_id": first is not None, "first_id": first or 0,
+            row = {"part": TaskContext.get().partitionId(), "data_file": data_file, "index_file": index_file, "has_id": first is not None, "first_id": first or 0,
                    "n_records": entries, "n_ids": before, "n_bytes": offset, "width": tokenizer.width}
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds)], names=list(row))
 
     return run
@@ -214,12 +229,15 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
 
     ``start`` is the number of ids in all files before.
     """
-    folder = folder or shared_folder(docs.sparkSession, "records")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    ordered = texts.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    folder = qualified(docs.sparkSession, folder or shared_folder(docs.sparkSession, "records"))
+    text = whole_text(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"),
+                        F.monotonically_increasing_id().alias("place"))
+    order = [F.col("id").asc_nulls_first(), F.col("digest"), F.col("place")]
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     files = materialize(ordered.mapInArrow(_write(tokenizer_path, folder, end_id), MANIFEST), "manifest")
-    # one row per file, so a single window over them stays small
-    upto = F.sum("n_ids").over(W.orderBy("has_id", "first_id"))
+    # one row per file, so a single window over them stays small; the files of one id go by part
+    upto = F.sum("n_ids").over(W.orderBy("part"))
     return materialize(files.withColumn("start", upto - F.col("n_ids")), "manifest")
 
 

@@ -47,7 +47,7 @@ def test_files(spark, edge_docs, edge_rows, no_docs, tokenizer):
     manifest = R.write_records(edge_docs.repartition(3), PATH)
     rows = manifest.collect()
     assert sum(r.n_records for r in rows) == len(edge_rows)
-    assert all(os.path.getsize(r.index_file) == r.n_records * np.dtype(R.INDEX).itemsize for r in rows)
+    assert all(os.path.getsize(r.index_file.removeprefix("file:")) == r.n_records * np.dtype(R.INDEX).itemsize for r in rows)
     want, start = [], 0
     for i, text, _, _ in sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = whole(tokenizer, text) + [0]
@@ -60,9 +60,42 @@ def test_files(spark, edge_docs, edge_rows, no_docs, tokenizer):
     assert R.read_digests(R.write_records(no_docs, PATH)).count() == 0
 
 
+def test_words_of_every_make(tokenizer):
+    """Letters beyond ASCII, marks after words, each byte value, and every character that ends a run of letters."""
+    r = random.Random(7)
+    latin = [chr(c) for c in range(0x250)]
+    words = ["".join(r.choice(latin) for _ in range(r.randint(1, 9))) for _ in range(4000)]
+    words += ["".join(r.choice("éüßaÉzÿŁ") for _ in range(r.randint(1, 7))) + r.choice(["", ".", "...", "'", "',", "!?", "\")", "_", "'s", ".5"]) for _ in range(4000)]
+    texts = [" ".join(["start", *words[k:k + 40]]) for k in range(0, len(words), 40)]
+    for _ in range(2):  # once to learn, once from what is known
+        assert [np.frombuffer(x, "<u2").tolist() for x in tokenizer.encode(texts)] == [whole(tokenizer, t) for t in texts]
+    tokenizer.known = dict.fromkeys(map(str, range(R.CACHE + 1)), b"")
+    assert [np.frombuffer(x, "<u2").tolist() for x in tokenizer.encode(texts[:3])] == [whole(tokenizer, t) for t in texts[:3]]
+    assert len(tokenizer.known) < R.CACHE
+
+
+def test_rows_without_an_id_spread_over_files(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3000).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(5, "five"), (-5, "minus five")], "doc_id long, text string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = R.write_records(docs, PATH).orderBy("part").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) >= 3 and max(r.n_records for r in rows) < 5000
+    got = sorted(map(tuple, R.read_digests(spark.createDataFrame(rows)).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 10_000 + [-5, 5]
+    at = 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+
+
 def test_damage_is_found(spark, edge_docs):
     manifest = R.write_records(edge_docs, PATH)
-    path = manifest.first().data_file
+    path = manifest.first().data_file.removeprefix("file:")
     with open(path, "r+b") as file:
         file.seek(40)
         byte = file.read(1)
