@@ -43,6 +43,7 @@ def plan_steps(target: Column) -> Column:
     test = fill(M.SCAFFOLD_TEST_PATH, name=name)
     return F.array(
         fill(M.STEP_MODULE, path=module, fn=F.concat(F.lit("create"), name)),
+        fill(M.STEP_CONTRACT, name=name),
         fill(M.STEP_TEST, path=test, target=target),
     )
 
@@ -96,10 +97,13 @@ def ensured_scaffolds(files: Column, target: Column) -> Column:
 
 
 # --- B6 -------------------------------------------------------------------
-def review_checks(count: Column, hotspots: Column, total: Column) -> Column:
-    """What the recommendation rests on."""
+def review_checks(count: Column, hotspots: Column, total: Column, files: Column) -> Column:
+    """What the recommendation rests on, and what the scaffold ``files`` touch."""
+    tests = F.filter(files, lambda f: f["path"].endswith(M.TEST_SUFFIX))
     return F.array(
-        fill(M.CHECK_FILES, count=count), fill(M.CHECK_HOTSPOTS, count=F.size(hotspots), total=total)
+        fill(M.CHECK_FILES, count=count),
+        fill(M.CHECK_HOTSPOTS, count=F.size(hotspots), total=total),
+        fill(M.CHECK_ADDITIVE, count=F.size(files), tests=F.size(tests)),
     )
 
 

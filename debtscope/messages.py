@@ -19,11 +19,13 @@ DEBT_NONE = f"no file scores above {C.HOTSPOT_MIN_SCORE}"
 ASSUMPTION = f"{C.COST_PER_POINT} a year for each score point, {C.COST_PER_MONTH} a month pay back"
 
 STEP_MODULE = "create {path} exporting {fn}"
+STEP_CONTRACT = "let callers reach the moved code through {name}Input alone"
 STEP_TEST = "run {path} after each move out of {target}"
 PR_TITLE = "refactor: move code out of {target}"
 
 CHECK_FILES = "{count} files measured"
 CHECK_HOTSPOTS = f"{{count}} of them above {C.HOTSPOT_MIN_SCORE}, mean score {{total}}"
+CHECK_ADDITIVE = "{count} files are proposed, of them {tests} with tests; no file of the repository changes"
 CAVEAT = "files beyond the limits of the run were not measured"
 
 STAGE_STARTED = "{stage} started"
@@ -35,6 +37,7 @@ DEFAULT_MODULE = "Feature"
 FALLBACK_TARGET = "src/features/feature.ts"
 FALLBACK_MODULE = "feature"
 
+TEST_SUFFIX = ".test.ts"
 SCAFFOLD_PATH = "src/features/{name}/{name}.ts"
 SCAFFOLD_TEST_PATH = "src/features/{name}/{name}.test.ts"
 SCAFFOLD_MODULE = """\

@@ -100,7 +100,7 @@ def analyse(snapshots: DataFrame, overlays: DataFrame | None, run_at: Column) ->
                 "review",
                 {
                     "verdict": F.lit(C.VERDICT),
-                    "checks": rules.review_checks(P.sampled_count(files), hot, F.col("base_total")),
+                    "checks": rules.review_checks(P.sampled_count(files), hot, F.col("base_total"), rules.scaffolds(target)),
                     "caveat": rules.review_caveat(F.col("truncated")),
                 },
             ),

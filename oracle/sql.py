@@ -289,7 +289,7 @@ def fallback_scaffolds(target: str) -> str:
 def steps(target: str) -> str:
     name = f"coalesce({BASE_NAME.format(t=target)}, {q(M.DEFAULT_MODULE)})"
     module = slots(M.STEP_MODULE, path=slots(M.SCAFFOLD_PATH, name=name), fn=f"('create' || {name})")
-    return f"[{module}, {slots(M.STEP_TEST, path=slots(M.SCAFFOLD_TEST_PATH, name=name), target=target)}]"
+    return f"[{module}, {slots(M.STEP_CONTRACT, name=name)}, {slots(M.STEP_TEST, path=slots(M.SCAFFOLD_TEST_PATH, name=name), target=target)}]"
 
 
 def cost_of(score: str) -> str:
@@ -343,7 +343,7 @@ SELECT *,
   {over('refactor_j', 'pullRequestTitle', text('refactor_j', 'pullRequestTitle'), slots(M.PR_TITLE, target='target'))} AS pull_request_title,
   {over('refactor_j', 'scaffolds', FILES_JSON, base_scaffolds('target'))} AS plan_scaffolds,
   {over('review_j', 'verdict', text('review_j', 'verdict'), q(C.VERDICT))} AS verdict,
-  {over('review_j', 'checks', string_list('review_j', 'checks'), '[' + slots(M.CHECK_FILES, count='sampled') + ', ' + slots(M.CHECK_HOTSPOTS, count='n_hot', total='total') + ']')} AS checks,
+  {over('review_j', 'checks', string_list('review_j', 'checks'), '[' + slots(M.CHECK_FILES, count='sampled') + ', ' + slots(M.CHECK_HOTSPOTS, count='n_hot', total='total') + ', ' + slots(M.CHECK_ADDITIVE, count="'2'", tests="'1'") + ']')} AS checks,
   {over('review_j', 'caveat', text('review_j', 'caveat'), f"CASE WHEN truncated THEN {q(M.CAVEAT)} END")} AS caveat,
   ({' OR '.join(f"{s}_source = {q(C.SOURCE_OVERLAY)}" for s in C.STAGE_KEYS)}) AS is_live,
   {X.uuid_text(X.REPORT_SEED)} AS analysis_id,
@@ -553,7 +553,7 @@ SELECT repo_id, total_debt_score, cost_source AS source, annual_cost, priority,
 F["refactor_target"] = "SELECT repo_id, target FROM s_profile"
 F["refactor_plan"] = f"""
 SELECT repo_id, {slots(M.PR_TITLE, target='target')} AS pull_request_title,
-       CAST(unnest([1, 2]) AS INTEGER) AS step_no, unnest({steps('target')}) AS step FROM s_profile"""
+       CAST(unnest([1, 2, 3]) AS INTEGER) AS step_no, unnest({steps('target')}) AS step FROM s_profile"""
 for _name, _files in (("scaffold_rows", base_scaffolds("target")), ("scaffold_fallback", fallback_scaffolds("target"))):
     F[_name] = f"SELECT repo_id, f.path AS path, f.content AS content FROM (SELECT repo_id, unnest({_files}) AS f FROM s_profile)"
 F["review_checks"] = """
