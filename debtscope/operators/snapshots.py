@@ -21,6 +21,8 @@ from debtscope.operators.topk import top_k
 
 LISTING, ARCHIVE, SAMPLE, ERROR = "listing", "archive", "sample", "error"
 SAMPLE_RANK = len(C.BRANCHES) + 1
+#: Ids of repositories up to this number are broadcast to choose a route before bodies are measured.
+ROUTE_IDS = 2_000_000
 FILE_COLUMNS = ["repo_id", "branch_rank", "branch", "pos", "path", "size", "lines", "markers", "functions"]
 
 
@@ -94,6 +96,17 @@ def sample_rows(repos: DataFrame) -> DataFrame:
     )
 
 
+def on_route(df: DataFrame, repos: DataFrame, status: int) -> DataFrame:
+    """The rows of repositories with this status, dropped where they are read.
+
+    Only ids travel, and only up to ``ROUTE_IDS`` of them (16 bytes each).  Beyond that the
+    rows stay as they are, for an exchange of bodies would cost more than measuring them;
+    :func:`resolve_snapshots` then chooses among all profiles, with the same result.
+    """
+    ids = repos.filter(F.col("status") == status).select("repo_id").distinct()
+    return df.join(F.broadcast(ids), "repo_id", "left_semi") if ids.count() <= ROUTE_IDS else df
+
+
 def snapshot_files(
     repos: DataFrame,
     listing: DataFrame,
@@ -106,14 +119,16 @@ def snapshot_files(
 ) -> DataFrame:
     """The measured files of all routes, narrow.
 
+    A repository's status settles which route is read: listing and bodies at 200, archives
+    at 403.  Other texts are not measured.
     With ``metrics``, a folder, they are written there once and read back, so that texts
     are read once however often the rows are used.
     """
-    wanted = sampling.listing_sample(listing, max_files, max_bytes)
-    listed = sampling.join_bodies(wanted, bodies, max_chars).withColumns(
+    wanted = sampling.listing_sample(on_route(listing, repos, 200), max_files, max_bytes)
+    listed = sampling.join_bodies(wanted, on_route(bodies, repos, 200), max_chars).withColumns(
         {"branch_rank": F.lit(0), "branch": F.lit(None).cast("string")}
     )
-    archived = archive_files(archives, max_files, max_chars)
+    archived = archive_files(on_route(archives, repos, 403), max_files, max_chars)
     files = (
         listed.select(*FILE_COLUMNS)
         .unionByName(archived.select(*FILE_COLUMNS))

@@ -275,7 +275,7 @@ def _branch_prefer(spark: SparkSession, sf: str) -> DataFrame:
 @query("missing_snapshots")
 def _missing_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     repos = _repos(spark, sf)
-    kept = snapshots.archive_files(X.archives(spark, sf))
+    kept = snapshots.archive_files(snapshots.on_route(X.archives(spark, sf), repos, 403))
     return snapshots.missing_snapshots(repos, kept, X.attempts(repos))
 
 

@@ -112,3 +112,24 @@ def test_texts_are_read_once_for_all_uses(spark, landed, tmp_path):
     resolved = snapshots.resolve_snapshots(landed["repos"], landed["listing"], files, landed["attempts"])
     scans = node_blocks(resolved, "Scan parquet")
     assert not [s for s in scans if re.search(r"Output \[\d+\]: \[[^\]]*content#", s)]
+
+
+def test_route_is_chosen_before_texts_are_measured(spark, landed, monkeypatch):
+    """Each text scan meets the semi join below the counting of its patterns."""
+    names = ["repos", "listing", "bodies", "archives"]
+    files = snapshots.snapshot_files(*[landed[n] for n in names])
+    lines = plan_of(files).splitlines()
+    scans = [k for k, line in enumerate(lines) if "FileScan" in line and "content#" in line]
+    assert len(scans) == 2
+    for scan in scans:
+        semi = max(k for k in range(scan) if "LeftSemi" in lines[k])
+        counted = max(k for k in range(scan) if "regexp_count" in lines[k] or "functions#" in lines[k])
+        assert counted < semi < scan and "BroadcastHashJoin" in lines[semi]
+    # beyond the bound nothing is broadcast, and the routes come out the same
+    chosen = [snapshots.resolve_snapshots(landed["repos"], landed["listing"], files, landed["attempts"])]
+    monkeypatch.setattr(snapshots, "ROUTE_IDS", 0)
+    whole = snapshots.snapshot_files(*[landed[n] for n in names])
+    assert "LeftSemi" not in plan_of(whole) and whole.count() > files.count()
+    chosen.append(snapshots.resolve_snapshots(landed["repos"], landed["listing"], whole, landed["attempts"]))
+    first, second = (sorted(map(str, df.collect())) for df in chosen)
+    assert first == second and len(first) == landed["repos"].count()
