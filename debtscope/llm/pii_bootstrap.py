@@ -4,7 +4,7 @@ Fixed patterns find emails, IP addresses, cards and phone numbers.  Around each
 seeds, and around every other token that could be an identifier, the neighbouring words
 form lexical patterns.  Such a token is one without white space, or a run of digit groups
 that single spaces, brackets, dots, slashes and hyphens join; its context lies outside the
-whole run.  Patterns and instances are the two sides of a graph that Spark
+whole run.  Tokens under four characters are too short for any kind and no evidence.  Patterns and instances are the two sides of a graph that Spark
 scores in rounds: a pattern is as reliable as the share of its occurrences that hold known
 instances of a kind, an instance is as good as the patterns that surround it (noisy or).
 Patterns that are reliable and rest on enough different instances then name the unseen
@@ -34,7 +34,9 @@ ROUNDS = 3
 #: A pattern extracts if this share of its occurrences, over so many different instances,
 #: is known to be of the kind.
 RELIABLE, SUPPORT = 0.9, 8
-#: Found spans beside the fixed ones, up to this number, go to every executor for redaction.
+#: Scores are added up in this type, so that no order of the rows changes a sum.
+EXACT = "decimal(24,12)"
+#: Found spans beside the fixed ones, up to this number in all, go to every executor for redaction.
 BROADCAST_SPANS = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -72,7 +74,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     found = [(0, *span) for span in emails(text)]
-    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -144,10 +146,27 @@ def _word(token: str) -> str:
     return "#" if any(c.isdigit() or c == "@" for c in token) else token
 
 
-def patterns(text: str, start: int, end: int, reach: int = 80) -> list[str]:
+def words_before(text: str, at: int, n: int, reach: int = 80) -> list[str]:
+    """The last ``n`` words before a place, whole: the stretch looked at doubles until it has them."""
+    while True:
+        found = text[max(0, at - reach):at].split()
+        if len(found) > n or reach >= at:
+            return found[-n:]
+        reach *= 2
+
+
+def words_after(text: str, at: int, n: int, reach: int = 80) -> list[str]:
+    while True:
+        found = text[at:at + reach].split()
+        if len(found) > n or at + reach >= len(text):
+            return found[:n]
+        reach *= 2
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
     """The two words before, and the words on both sides, as context of a span."""
-    before = [_word(t) for t in text[max(0, start - reach):start].split()[-2:]]
-    after = [_word(t) for t in text[end:end + reach].split()[:1]]
+    before = [_word(t) for t in words_before(text, start, 2)]
+    after = [_word(t) for t in words_after(text, end, 1)]
     before, after = ["^"] * (2 - len(before)) + before, after or ["$"]
     return [f"{before[0]} {before[1]} _", f"{before[1]} _ {after[0]}"]
 
@@ -191,9 +210,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def _score_patterns(edges: DataFrame, instances: DataFrame) -> DataFrame:
     """Share of a pattern's occurrences that hold instances of a kind, and how many differ."""
     known = edges.join(instances, "instance").groupBy("pattern", "kind").agg(
-        F.sum(F.col("n") * F.col("score")).alias("hits"), F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)).alias("support"))
+        F.sum(F.col("n") * F.col("score").cast(EXACT)).alias("hits"), F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)).alias("support"))
     total = edges.groupBy("pattern").agg(F.sum("n").alias("n"))
-    scored = known.join(total, "pattern").withColumn("reliability", F.col("hits") / F.col("n"))
+    scored = known.join(total, "pattern").withColumn("reliability", F.col("hits").cast("double") / F.col("n"))
     return scored.select("pattern", "kind", "support", "reliability")
 
 
@@ -212,7 +231,7 @@ def bootstrap(scans: DataFrame, rounds: int = ROUNDS, reliable: float = RELIABLE
         good = scored.filter((F.col("support") >= support) & (F.col("reliability") >= reliable / 2))
         belief = F.least(F.col("reliability"), F.lit(0.99)) * (1 - 1 / (1 + F.col("support")))
         learnt = edges.join(good, "pattern").join(may, ["instance", "kind"]).groupBy("instance", "kind").agg(
-            (1 - F.exp(F.sum(F.log(1 - belief)))).alias("score"))
+            (1 - F.exp(F.sum(F.log(1 - belief).cast(EXACT)).cast("double"))).alias("score"))
         instances = materialize(seeds.unionByName(learnt), "instances")
     scored = _score_patterns(edges, instances)
     return materialize(scored.filter((F.col("support") >= support) & (F.col("reliability") >= reliable))
@@ -271,6 +290,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
                           for t, x in zip(texts, extras)], dtype=object)
 
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.md5(whole_text(text_col)).alias("digest"))
-    sized = F.broadcast(found) if found.count() <= BROADCAST_SPANS else found
+    spans = found.agg(F.sum(F.size("extra") + 1)).first()[0] or 0
+    sized = F.broadcast(found) if spans <= BROADCAST_SPANS else found
     rows = rows.join(sized, ["_id", "digest"], "left")
     return rows.select(*[redacted(F.col(f"row.`{c}`"), "extra").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -102,3 +102,24 @@ def test_candidate_runs():
     assert found("mail a@b.co 4111 1111 1111 1111") == []
     long = "1 " * 60_000
     assert found(long) == []
+
+
+def test_very_long_numbers_and_words(spark):
+    zeros, nines = "0" * 5000 + ".1.1.1", "9" * 5000 + ".1.1.1"
+    assert P.base_spans(f"x {zeros} {nines}") == [(1, 2, 2 + len(zeros))]
+    docs = docs_frame(spark, [(1, f"x {zeros}", "en", "s"), (2, nines, "en", "s"), (3, "0" * 100_000 + "." + "1" * 100_000, "en", "s")])
+    got = {r.id: r for r in P.find(docs).collect()}
+    assert len(got[1].base) == 1 and got[2].base == got[3].base == []
+    assert {r.doc_id: r.text for r in P.redact(docs).collect()}[1] == "x [IP]"
+
+
+def test_contexts_have_whole_words():
+    long = "w" * 90
+    text = f"first second {long} 1.2.3.4 {long}x rest"
+    start = text.index("1.2")
+    assert P.patterns(text, start, start + 7) == [f"second {long} _", f"{long} _ {long}x"]
+    assert P.patterns(f"{long}{long} 1.2.3.4", 181, 188) == [f"^ {long}{long} _", f"{long}{long} _ $"]
+    assert P.patterns("1.2.3.4", 0, 7) == ["^ ^ _", "^ _ $"]
+    for n in (1, 40, 79, 80, 81, 200):
+        text = "a " + "b" * n + " 1.2.3.4 " + "c" * n + " d"
+        assert P.patterns(text, n + 3, n + 10) == [f"a {'b' * n} _", f"{'b' * n} _ {'c' * n}"]
