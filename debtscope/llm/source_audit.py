@@ -3,9 +3,9 @@
 Every term is tagged with its language, so one CountVectorizer gives each language its own
 vocabulary: the terms that ``min_df`` of its documents hold, of any number.  A vocabulary
 passes through the driver, so terms are first dealt into blocks by hash, as many as keep a
-block near ``BLOCK_TERMS`` different terms; each block is vectorised by itself, from files
+block below ``BLOCK_TERMS`` different terms; each block is vectorised by itself, from files
 that hold its terms only.  Document vectors are sparse; their sums by language and source
-are exact integers.
+are exact integers.  From there on a term is a number, and its text joins what is shown.
 
 With smoothed shares p of a group and q of another, per billion, a term's part of the
 divergence is floor((p - q)^2 / q).  A pair's value over all kept terms is evaluated on
@@ -35,7 +35,11 @@ ship_by_value(__name__)
 
 MIN_DF, TOP = 3, 200
 #: Different terms of a block, kept or not; a bound on what one vocabulary brings to the driver.
-BLOCK_TERMS = 1_000_000
+BLOCK_TERMS = 2_000_000
+#: One document in so many is looked at for the number of blocks.
+SHARE = 16
+#: Terms whose block a task remembers before it starts afresh.
+CACHE = 500_000
 #: Entries of terms that one task evaluates together.
 PAIR_ROWS = 500_000
 #: Pairs of sources a task adds up before it sends them on.
@@ -43,8 +47,8 @@ FLUSH = 200_000
 SCALE = 1_000_000_000
 #: Between language and term; no term has it.
 MARK = "\x00"
-#: Runs of ASCII letters and of bytes beyond ASCII.
-TERM = rb"[A-Za-z\x80-\xff]+"
+#: Runs of letters once A-Z are lowered: a-z and all beyond ASCII.
+TERM = "[a-z\x80-\U0010ffff]+"
 GROUP = ["lang", "source"]
 
 
@@ -54,38 +58,58 @@ def _tokens(blocks: int):
 
     def run(batches):
         import zlib
+        from collections import Counter
 
         import pyarrow as pa
 
-        find = re.compile(TERM).findall
-        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.string())), ("block", pa.int32())])
+        find, block_of = re.compile(TERM).findall, {}
+        names = ["lang", "source", "terms", "block"]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256).to_pydict()
-                rows = ([], [], [], [])
+                langs, sources, flat, offsets, dealt_to = [], [], [], [0], []
+                if len(block_of) > CACHE:
+                    block_of.clear()
                 for lang, source, text in zip(part["lang"], part["source"], part["text"]):
-                    tag = lang + MARK
-                    dealt: dict[int, list[str]] = {}
-                    for raw in find(text.encode().lower()):
-                        block = zlib.crc32(raw) % blocks if blocks > 1 else 0
-                        dealt.setdefault(block, []).append(tag + raw.decode())
+                    tag, dealt = lang + MARK, {}
+                    for term, n in Counter(find(text.encode().lower().decode())).items():
+                        block = block_of.get(term)
+                        if block is None:
+                            block = block_of[term] = zlib.crc32(term.encode()) % blocks
+                        mine = dealt.get(block)
+                        if mine is None:
+                            mine = dealt[block] = []
+                        if n == 1:
+                            mine.append(tag + term)
+                        else:
+                            mine += [tag + term] * n
                     for block, terms in dealt.items():
-                        for column, value in zip(rows, (lang, source, terms, block)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+                        langs.append(lang)
+                        sources.append(source)
+                        flat += terms
+                        offsets.append(len(flat))
+                        dealt_to.append(block)
+                terms = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(langs, pa.string()), pa.array(sources, pa.string()), terms, pa.array(dealt_to, pa.int32())], names=names)
 
     return run
 
 
 def n_blocks(texts: DataFrame, block_terms: int) -> int:
-    """Blocks for about so many different terms of a language; an estimate is enough here."""
-    terms = texts.select("lang", F.explode(F.split(F.lower("text"), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")).alias("term"))
-    different = terms.agg(F.approx_count_distinct(F.struct("lang", "term"))).first()[0]
+    """Blocks of about so many different terms at most.
+
+    All documents together have at most the terms of ``SHARE`` parts of them, and by hash one
+    part is like another.  It settles how the work is cut, never what is counted.
+    """
+    part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)
+    terms = part.select("lang", F.explode(F.split(F.lower("text"), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")).alias("term"))
+    different = SHARE * terms.agg(F.approx_count_distinct(F.struct("lang", "term"))).first()[0]
     return max(1, -(-different // block_terms))
 
 
 def vectors(block: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """Sparse vectors of the documents' terms in a block, and its vocabulary."""
+    """Sparse vectors of the documents' terms in a block, and its vocabulary (at, lang, term)."""
     import pandas as pd
 
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=2**31 - 1)
@@ -94,40 +118,42 @@ def vectors(block: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     table = pd.DataFrame({"at": range(len(words)), "tagged": words}).astype({"at": "int32", "tagged": "object"})
     names = block.sparkSession.createDataFrame(table, "at int, tagged string")
     lang = F.expr(f"substring(tagged, 1, length(tagged) - length(substring_index(tagged, '{MARK}', -1)) - 1)")
-    names = names.select("at", lang.alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"))
-    return model.transform(block), names
+    return model.transform(block), names.select("at", lang.alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"))
 
 
 def sums(vectorised: DataFrame) -> DataFrame:
-    """(source, at, n): the sparse vectors of each source summed, exactly."""
+    """(lang, source, at, n): the sparse vectors of each group summed, exactly."""
     entries = F.explode(F.arrays_zip(F.unwrap_udt("vector")["indices"].alias("at"), F.unwrap_udt("vector")["values"].alias("n")))
-    rows = vectorised.select("source", entries.alias("e"))
-    return rows.groupBy("source", F.col("e.at").alias("at")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
+    rows = vectorised.select(*GROUP, entries.alias("e"))
+    return rows.groupBy(*GROUP, F.col("e.at").alias("at")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
 
 
-def term_counts(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_TERMS, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lang, source) of all groups, and (lang, source, term, n) of the kept terms that occur."""
+def term_counts(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_TERMS,
+                text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All groups (lang, source); (lang, source, key, n) of the kept terms that occur; and the
+    vocabulary (key, lang, term), in which each key is a term of one language."""
     spark = docs.sparkSession
     texts = docs.select(*[whole_text(c).alias(c) for c in GROUP], whole_text(text_col).alias("text"))
-    groups = materialize(texts.select(*GROUP).distinct(), "groups")
+    groups = texts.select(*GROUP).distinct().withColumn("group", F.monotonically_increasing_id())
+    groups = materialize(groups, "groups")
     blocks = n_blocks(texts, block_terms)
     path, schema = shared_folder(spark, "terms"), "lang string, source string, terms array<string>, block int"
     texts.mapInArrow(_tokens(blocks), schema).write.partitionBy("block").parquet(path)
     dealt = spark.read.schema(schema).parquet(path)
-    counted = []
+    counted, named = [], []
     for block in range(blocks):
-        mine = dealt.filter(F.col("block") == block)
-        if mine.isEmpty():
-            continue
-        found, names = vectors(mine, min_df)
-        part = sums(found).join(names, "at").select(*GROUP, "term", "n")
-        counted.append(materialize(part, "counts"))
-    if not counted:
-        return groups, spark.createDataFrame([], "lang string, source string, term string, n long")
-    whole = counted[0]
-    for part in counted[1:]:
-        whole = whole.unionByName(part)
-    return groups, whole
+        vectorised, names = vectors(dealt.filter(F.col("block") == block).drop("block"), min_df)
+        key = (F.lit(block << 32) + F.col("at")).cast("long").alias("key")
+        counted.append(materialize(sums(vectorised).select(*GROUP, key, "n"), "counts"))
+        named.append(materialize(names.select(key, "lang", "term"), "names"))
+
+    def whole(parts: list[DataFrame]) -> DataFrame:
+        one = parts[0]
+        for part in parts[1:]:
+            one = one.unionByName(part)
+        return one
+
+    return groups, whole(counted), whole(named)
 
 
 # --- divergence ---------------------------------------------------------------
@@ -143,7 +169,8 @@ def part_of(p: Column, q: Column) -> Column:
 
 
 def _shared_terms(batches):
-    """Entries sorted by term -> per pair of sources, the correction for terms both hold.
+    """Entries (key, group, p, zero) sorted by term -> per pair of groups, the correction for
+    terms both hold.
 
     Terms come with all their entries; pairs are made by index arithmetic for many terms at
     once and added up in place, so no pair of a term becomes a row.  Sums go out as two
@@ -156,119 +183,107 @@ def _shared_terms(batches):
         return (p - q) ** 2 // q
 
     def evaluate(cols, totals):
-        term, source, p, zero = cols
-        codes, names = np.unique(source, return_inverse=True)[::-1]
+        term, group, p, zero = cols
+        names, codes = np.unique(group, return_inverse=True)
         change = np.r_[0, np.flatnonzero(term[1:] != term[:-1]) + 1, len(term)]
         sizes = np.diff(change)
         per_row = np.repeat(sizes, sizes)
+        begins = np.repeat(change[:-1], sizes)
         upto, lo = np.cumsum(per_row), 0
         while lo < len(term):  # rows whose pairs fit in memory
             hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 2_000_000)))
             left = np.repeat(np.arange(lo, hi), per_row[lo:hi])
-            first = np.repeat(change[:-1], sizes)[lo:hi]
             ends = np.cumsum(per_row[lo:hi])
-            right = np.arange(len(left)) - np.repeat(ends - per_row[lo:hi], per_row[lo:hi]) + np.repeat(first, per_row[lo:hi])
+            right = np.arange(len(left)) - np.repeat(ends - per_row[lo:hi], per_row[lo:hi]) + np.repeat(begins[lo:hi], per_row[lo:hi])
             keep = left != right
             left, right = left[keep], right[keep]
-            change_in = value(p[left], p[right]) - value(p[left], zero[right]) - value(zero[left], p[right]) + value(zero[left], zero[right])
-            pair = codes[left] * len(names) + codes[right]
-            which, at = np.unique(pair, return_inverse=True)
+            p_left, p_right, z_left, z_right = p[left], p[right], zero[left], zero[right]
+            change_in = value(p_left, p_right) - value(p_left, z_right) - value(z_left, p_right) + value(z_left, z_right)
+            which, at = np.unique(codes[left] * len(names) + codes[right], return_inverse=True)
             high, low = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
             np.add.at(high, at, change_in >> 32)
             np.add.at(low, at, change_in & 0xFFFFFFFF)
-            for k, h, l in zip(which.tolist(), high.tolist(), low.tolist()):
-                key = (names[k // len(names)], names[k % len(names)])
+            for pair, h, l in zip(which.tolist(), high.tolist(), low.tolist()):
+                key = (int(names[pair // len(names)]), int(names[pair % len(names)]))
                 old = totals.get(key, (0, 0))
                 totals[key] = (old[0] + h, old[1] + l)
             lo = hi
 
-    def flush(lang, totals):
-        a, b = zip(*totals)
-        high, low = zip(*totals.values())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()),
-             pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["lang", "source", "item", "high", "low"])
-
-    lang, totals, held = None, {}, []
-
-    def settle():
-        if held:
-            evaluate([np.concatenate(c) for c in zip(*held)], totals)
-            held.clear()
+    def flush(totals):
+        columns = [*zip(*totals), *zip(*totals.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["group", "other", "high", "low"])
 
+    totals, held = {}, []
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        cols = [np.array(batch.column(1).to_pylist(), object), np.array(batch.column(2).to_pylist(), object),
-                batch.column(3).to_numpy(), batch.column(4).to_numpy()]
-        cuts = np.flatnonzero(langs[1:] != langs[:-1]) + 1
-        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(langs)]):
-            if s == e:
-                continue
-            if langs[s] != lang:
-                settle()
-                if totals:
-                    yield flush(lang, totals)
-                lang, totals = langs[s], {}
-            if len(totals) > FLUSH:
-                yield flush(lang, totals)
-                totals = {}
-            part = [c[s:e] for c in cols]
-            if held and held[-1][0][-1] != part[0][0]:
-                settle()
-            # all but the last term of this stretch are whole
-            last = int(np.flatnonzero(part[0] != part[0][-1])[-1]) + 1 if (part[0] != part[0][-1]).any() else 0
-            if last:
-                held.append([c[:last] for c in part])
-                settle()
-            held.append([c[last:] for c in part])
-    settle()
+        cols = [c.to_numpy() for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        # all but the last term of this stretch are whole
+        starts = np.flatnonzero(cols[0] != cols[0][-1])
+        last = int(starts[-1]) + 1 if len(starts) else 0
+        if last or (held and held[-1][0][-1] != cols[0][0]):
+            evaluate([np.concatenate(c) for c in zip(*held, [c[:last] for c in cols])], totals)
+            held = []
+        held.append([c[last:] for c in cols])
+        if len(totals) > FLUSH:
+            yield flush(totals)
+            totals = {}
+    if held:
+        evaluate([np.concatenate(c) for c in zip(*held)], totals)
     if totals:
-        yield flush(lang, totals)
+        yield flush(totals)
 
 
 def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, block_terms: int = BLOCK_TERMS, text_col: str = "text") -> DataFrame:
     """(lang, source, part, item, value, rank): divergence from every other source of the
     language, and the terms a source has more often than its language."""
-    groups, counts = term_counts(docs, min_df, block_terms, text_col)
-    by_lang = materialize(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")), "vocabulary")
-    langs = by_lang.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("lang_total"))
-    zero = F.lit(0).cast("long")
+    groups, counts, names = term_counts(docs, min_df, block_terms, text_col)
     totals = counts.groupBy(*GROUP).agg(F.sum("n").alias("total"))
-    groups = groups.join(totals, GROUP, "left").join(langs, "lang", "left").fillna(0, ["total", "kept", "lang_total"])
-    groups = materialize(groups.withColumn("zero", share(zero, F.col("total"), F.col("kept"))), "sources")
-    entries = counts.join(groups, GROUP).withColumn("p", share(F.col("n"), F.col("total"), F.col("kept")))
-    entries = materialize(entries.select(*GROUP, "term", "p", "zero", "kept", "lang_total"), "entries")
-    return _pairs(groups, entries).unionByName(_terms(by_lang, entries, top))
+    kept = names.groupBy("lang").agg(F.count("*").alias("kept"))
+    whole = totals.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    groups = groups.join(totals, GROUP, "left").join(kept, "lang", "left").join(whole, "lang", "left")
+    groups = groups.fillna(0, ["total", "kept", "lang_total"])
+    groups = materialize(groups.withColumn("zero", share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))), "sources")
+    about = groups.select(*GROUP, "group", "total", "kept", "lang_total", "zero")
+    entries = counts.join(about, GROUP).withColumns(
+        {"p": share(F.col("n"), F.col("total"), F.col("kept")), "all_n": F.sum("n").over(W.partitionBy("key"))})
+    q = share(F.col("all_n"), F.col("lang_total"), F.col("kept"))
+    entries = materialize(entries.select("key", "group", "p", "zero", q.alias("q")), "entries")
+    return _pairs(groups, entries).unionByName(_terms(groups, names, entries, top))
 
 
 def _pairs(groups: DataFrame, entries: DataFrame) -> DataFrame:
     wide = lambda c: c.cast("decimal(38,0)")
-    one = groups.select(*GROUP, "kept", "zero")
-    other = groups.select("lang", F.col("source").alias("item"), F.col("zero").alias("other_zero"))
-    pairs = one.join(other, "lang").filter("source <> item")
+    one = groups.select(*GROUP, "group", "kept", "zero")
+    other = groups.select("lang", F.col("source").alias("item"), F.col("group").alias("other"), F.col("zero").alias("other_zero"))
+    pairs = one.join(other, "lang").filter(F.col("group") != F.col("other"))
     both_absent = F.when(F.col("kept") > 0, part_of(F.col("zero"), F.col("other_zero"))).otherwise(0)
     pairs = pairs.withColumn("base", wide(both_absent))
     # terms of one group, by their share: as if the other had none of them
-    shares = entries.groupBy(*GROUP, "p").agg(F.count("*").alias("terms"))
-    mine = pairs.join(shares, GROUP).groupBy("lang", "source", "item").agg(
+    key = ["group", "other"]
+    shares = materialize(entries.groupBy("group", "p").agg(F.count("*").alias("terms")), "shares")
+    mine = pairs.join(shares, "group").groupBy(*key).agg(
         F.sum(wide(F.col("terms")) * (part_of(F.col("p"), F.col("other_zero")) - F.col("base"))).alias("x"))
-    theirs = pairs.join(shares.withColumnRenamed("source", "item"), ["lang", "item"]).groupBy("lang", "source", "item").agg(
+    theirs = pairs.join(shares.withColumnRenamed("group", "other"), "other").groupBy(*key).agg(
         F.sum(wide(F.col("terms")) * (part_of(F.col("zero"), F.col("p")) - F.col("base"))).alias("x"))
     # terms of both: what the two assumptions got wrong
     tasks = max(1, -(-entries.count() // PAIR_ROWS))
-    dealt = entries.select("lang", "term", "source", "p", "zero").repartition(tasks, "lang", "term").sortWithinPartitions("lang", "term")
-    found = dealt.mapInArrow(_shared_terms, "lang string, source string, item string, high long, low long")
-    shared = found.groupBy("lang", "source", "item").agg(
+    dealt = entries.select("key", "group", "p", "zero").repartition(tasks, "key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(_shared_terms, "group long, other long, high long, low long")
+    shared = found.groupBy(*key).agg(
         (F.sum(wide(F.col("high"))) * F.lit(1 << 32).cast("decimal(10,0)") + F.sum(wide(F.col("low")))).alias("x"))
-    key = ["lang", "source", "item"]
-    more = mine.unionByName(theirs).unionByName(shared.select(*key, wide(F.col("x")).alias("x"))).groupBy(*key).agg(F.sum(wide(F.col("x"))).alias("x"))
+    parts = mine.unionByName(theirs).unionByName(shared.select(*key, wide(F.col("x")).alias("x")))
+    more = parts.groupBy(*key).agg(F.sum(wide(F.col("x"))).alias("x"))
     value = F.coalesce("base", wide(F.lit(0))) * F.col("kept") + F.coalesce("x", wide(F.lit(0)))
     rows = pairs.join(more, key, "left").select(*GROUP, F.lit("pair").alias("part"), "item", value.cast("long").alias("value"))
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*GROUP).orderBy(F.desc("value"), "item")))
 
 
-def _terms(by_lang: DataFrame, entries: DataFrame, top: int) -> DataFrame:
-    rows = entries.join(by_lang, ["lang", "term"]).withColumn("q", share(F.col("n"), F.col("lang_total"), F.col("kept")))
-    rows = rows.filter("p > q").select(*GROUP, F.lit("term").alias("part"), F.col("term").alias("item"), part_of(F.col("p"), F.col("q")).alias("value"))
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(*GROUP).orderBy(F.desc("value"), "item")))
-    return ranked.filter(F.col("rank") <= top)
+def _terms(groups: DataFrame, names: DataFrame, entries: DataFrame, top: int) -> DataFrame:
+    """Ranked by value first, with all ties; only what can still be shown gets its text."""
+    rows = entries.filter("p > q").select("group", "key", part_of(F.col("p"), F.col("q")).alias("value"))
+    by_value = W.partitionBy("group").orderBy(F.desc("value"))
+    near = rows.withColumn("place", F.rank().over(by_value)).filter(F.col("place") <= top)
+    shown = near.join(names.select("key", F.col("term").alias("item")), "key").join(groups.select(*GROUP, "group"), "group")
+    ranked = shown.withColumn("rank", F.row_number().over(W.partitionBy(*GROUP).orderBy(F.desc("value"), "item")))
+    return ranked.filter(F.col("rank") <= top).select(*GROUP, F.lit("term").alias("part"), "item", "value", "rank")
