@@ -18,7 +18,7 @@ share an id, or have none, spread over as many files as their size asks for.  A
 in the manifest; files of tasks that were lost are in no manifest and are never read.
 
 Texts are cut where every pre-token ends, as at spaces that follow a character other than
-white space, and each different piece is encoded by the tokenizer once per worker process.
+white space (Arrow does this for many texts at once), and each different piece is encoded by the tokenizer once per worker process.
 
 Defined results: null and empty texts have the end id alone; rows without an id come
 first, rows with equal ids by digest; repeated rows are repeated records; only the id and
@@ -55,10 +55,15 @@ MANIFEST = "part int, data_file string, index_file string, has_id boolean, first
 SPACE = "\u0120"
 #: Other bytes as these vocabularies write them: those without a mark of their own go from U+0100 on.
 WRITTEN = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
-#: Letters of the Latin blocks, then ASCII marks.
-_WORD = re.compile(r"((?:[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F])+)([!-/:-@\[-`{-~]*)")
+#: Letters of the Latin blocks, ASCII digits and ASCII marks, and their runs; an apostrophe takes
+#: the endings that byte-level vocabularies of this kind know, but not behind a space.
+_LATIN = r"A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_MARKS = r"!-/:-@\[-`{-~"
+_PLAIN = re.compile(f"(?!')[{_LATIN}0-9{_MARKS}]+")
+_RUNS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LATIN}]+|[0-9]+|[{_MARKS}]+")
 LITTLE = sys.byteorder == "little"
-_UNSAFE = re.compile(r"\s ")
+#: A space after any white space, for Arrow's matcher.
+_UNSAFE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _CUT = re.compile(r"(?<=\S) ")
 
 
@@ -75,8 +80,9 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain  # if so, their strings in a text are ordinary text
         self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # ids of parts, each with a space before it
-        self.tails: dict[str, bytes] = {"": b""}
+        self.inner: dict[str, bytes] = {}  # ids of runs inside a part
 
     def pack(self, ids) -> bytes:
         return array.array(self.code, ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -85,44 +91,79 @@ class PieceTokenizer:
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [self.pack(x.ids) for x in got]
 
+    def _run(self, run: str, before: str = "") -> bytes:
+        """Ids of one run of letters, digits or marks: a pre-token, which the model takes as its bytes are written."""
+        written = run if run.isascii() else run.encode().decode("latin-1").translate(WRITTEN)
+        return self.pack([token.id for token in self.tokenizer.model.tokenize(before + written)])
+
     def _learn(self, parts) -> None:
-        """A space and letters are one pre-token, which the model takes as its bytes are
-        written, and marks after them another; all else goes through the whole tokenizer."""
-        known, tails, rest, pack, tokenize = self.known, self.tails, [], self.pack, self.tokenizer.model.tokenize
+        """Parts of Latin letters, ASCII digits and marks are cut into their runs; all else goes
+        through the whole tokenizer."""
+        known, inner, rest, run_ids, runs_of = self.known, self.inner, [], self._run, _RUNS.findall
         for part in parts:
             if part.isascii() and part.isalpha():
-                stem, tail = part, ""
-            elif word := _WORD.fullmatch(part):
-                stem, tail = word.groups()
+                known[part] = run_ids(part, SPACE)
+            elif _PLAIN.fullmatch(part) and not any(s in part for s in self.special):
+                first, *others = runs_of(part)
+                ids = known.get(first)
+                if ids is None:
+                    ids = known[first] = run_ids(first, SPACE)
+                for run in others:
+                    more = inner.get(run)
+                    if more is None:
+                        more = inner[run] = run_ids(run)
+                    ids += more
+                known[part] = ids
             else:
                 rest.append(part)
-                continue
-            ids = known.get(stem)
-            if ids is None:
-                written = stem if stem.isascii() else stem.encode().decode("latin-1").translate(WRITTEN)
-                ids = known[stem] = pack([token.id for token in tokenize(SPACE + written)])
-            if tail:
-                if tail not in tails:
-                    tails[tail] = self._ids_of([tail])[0]
-                known[part] = ids + tails[tail]
         for at in range(0, len(rest), 20_000):
             some = rest[at:at + 20_000]
             known.update(zip(some, self._ids_of([" " + p for p in some])))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text.  A part costs one look-up; only unknown ones cost more."""
-        if len(self.known) > CACHE:
-            self.known, self.tails = {}, {"": b""}
-        split = [(_CUT.split(t) if _UNSAFE.search(t) else t.split(" ")) for t in texts]
-        heads, parts = self._ids_of([s[0] for s in split]), [s[1:] for s in split]
-        unknown = set().union(*parts).difference(self.known)
+    def _ids_of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts; only unknown ones are encoded."""
+        if len(self.known) + len(self.inner) > CACHE:
+            self.known, self.inner = {}, {}
+        found = list(map(self.known.get, parts))
+        unknown = [part for part, ids in zip(parts, found) if ids is None]
         self._learn(unknown)
-        ids_of = self.known.__getitem__
-        out = [head + b"".join(map(ids_of, some)) for head, some in zip(heads, parts)]
-        for part in unknown:
-            if len(part) > CACHED_CHARS:
-                self.known.pop(part, None)
-        return out
+        if unknown:
+            found = [self.known[part] if ids is None else ids for part, ids in zip(parts, found)]
+            for part in unknown:
+                if len(part) > CACHED_CHARS:
+                    self.known.pop(part, None)
+        return found
+
+    def encode(self, texts) -> list[bytes]:
+        """Packed ids of each text of an Arrow array.
+
+        Arrow cuts the texts at their spaces, tells the different parts and puts the ids of
+        parts back in order; Python sees each different part once.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        offsets, flat = split.offsets.to_numpy(), split.flatten()
+        unsafe = np.flatnonzero(pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False))
+        if len(unsafe):  # a space after white space belongs to the part before it
+            lists = [flat.slice(a, b - a) for a, b in zip(offsets, offsets[1:])]
+            for k in unsafe.tolist():
+                lists[k] = pa.array(_CUT.split(texts[k].as_py()), pa.large_string())
+            offsets = np.r_[0, np.cumsum([len(x) for x in lists])]
+            flat = pa.concat_arrays(lists)
+        heads = self._ids_of(flat.take(pa.array(offsets[:-1])).to_pylist())  # no space before these
+        encoded = flat.dictionary_encode()
+        at = encoded.indices.to_numpy().astype(np.int64)
+        ids = self._ids_of_parts(encoded.dictionary.to_pylist())
+        at[offsets[:-1]] = len(ids) + np.arange(len(texts))
+        pieces = pa.array(ids + heads, pa.large_binary()).take(pa.array(at))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pieces), pa.scalar(b"", pa.large_binary()))
+        return joined.to_pylist()
 
 
 # --- framing ------------------------------------------------------------------
@@ -172,6 +213,20 @@ def open_folder(uri: str):
 
 
 # --- writing ------------------------------------------------------------------
+def slices(batch, most: int = 4096, size: int = 16 << 20):
+    """Slices of a batch with about ``size`` bytes of text (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        done = upto[lo - 1] if lo else 0
+        hi = min(lo + most, max(lo + 1, int(np.searchsorted(upto, done + size, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _write(path: str, folder: str, end_id: int):
     def run(batches):
         import gc
@@ -191,8 +246,7 @@ def _write(path: str, folder: str, end_id: int):
         end = tokenizer.pack([end_id])
         out, index, entries, offset, before, first = None, None, 0, 0, 0, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch):
                 ids = part.column(0).to_pylist()
                 if out is None:
                     store, base = open_folder(folder)
@@ -204,7 +258,7 @@ def _write(path: str, folder: str, end_id: int):
                     out.write(MAGIC + struct.pack("<II", tokenizer.width, 0))
                     offset, first = 16, ids[0]
                 rows = np.zeros(len(ids), INDEX)
-                for k, (doc, packed) in enumerate(zip(ids, tokenizer.encode(part.column(1).to_pylist()))):
+                for k, (doc, packed) in enumerate(zip(ids, tokenizer.encode(part.column(1)))):
                     n_ids = len(packed) // tokenizer.width + 1
                     record = frame(struct.pack("<Bq", doc is not None, doc or 0) + packed + end)
                     out.write(record)
