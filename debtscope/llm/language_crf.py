@@ -7,14 +7,16 @@ Forward-backward gives each word's posterior over the languages; a document's la
 the largest mean posterior, and that mean is its score.
 
 The model is fitted on the driver, on a bounded sample of labelled rows: the ``per_lang``
-rows of smallest hash for each language, texts of up to ``MAX_BYTES`` bytes.  Training
-sequences are windows of these texts and splices of two of them, from which transitions
-between languages are learnt.  All documents are labelled, whole; a chain is a window of
-``WINDOW`` words, and the windows of many documents advance together.
+rows of smallest hash for each of the ``MAX_LANGS`` most frequent languages, texts of up to
+``MAX_BYTES`` bytes.  Training sequences are blocks of ``WINDOW`` words of these texts and
+splices of two of them, from which transitions between languages are learnt.  All documents
+are labelled, whole, each as one chain: blocks of many documents advance together, and exact
+messages go from block to block.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; equal
 posteriors go to the language that sorts first; rows are answered one by one, repeated ones
-too; only the id and text columns are read for predictions; without labelled rows all
+too; rows without an id are not held out; only the id and text columns are read for
+predictions; without labelled rows all
 predictions are ``und``; an empty table gives no rows.
 """
 
@@ -33,8 +35,10 @@ from debtscope.shipping import ship_by_value
 ship_by_value(__name__)
 
 WINDOW, SLOTS = 64, 1 << 16
-#: Bounds of the training sample: rows for each language, bytes of a text, words in all.
+#: Bounds of the training sample: rows for each language, bytes of a text.
 PER_LANG, MAX_BYTES = 100, 100_000
+#: Languages that are learnt.
+MAX_LANGS = 64
 STEPS, RATE, DECAY = 20, 0.15, 1e-4
 #: Different words a task remembers before it starts afresh.
 CACHE = 500_000
@@ -43,11 +47,11 @@ UNKNOWN = "und"
 
 
 def features(word: str) -> list[int]:
-    """Slots of a word's affixes, n-grams and of itself."""
+    """Slots of a word's affixes, of all its n-grams and of itself."""
     mark = f"^{word}$"
     names = [f"w{word}", *(f"p{mark[:n]}" for n in (2, 3, 4)), *(f"s{mark[-n:]}" for n in (2, 3, 4))]
     names += [mark[k:k + 2] for k in range(len(mark) - 1)] + [mark[k:k + 3] for k in range(len(mark) - 2)]
-    return [zlib.crc32(n.encode()) % SLOTS for n in names[:60]]
+    return [zlib.crc32(n.encode()) % SLOTS for n in names]
 
 
 @dataclass
@@ -62,8 +66,12 @@ class Model:
     lexicon_weights: object
 
 
-def posteriors(scores, lengths, transitions, start):
-    """Forward-backward for padded sequences (n, time, languages) with their lengths."""
+def posteriors(scores, lengths, transitions, start, first=None, after=None):
+    """Forward-backward for padded sequences (n, time, languages) with their lengths.
+
+    Sequences that go on from others have ``first``, the weights before their first word, and
+    ``after``, the message from beyond their last one, a row each.
+    """
     import numpy as np
 
     n, time, k = scores.shape
@@ -72,20 +80,79 @@ def posteriors(scores, lengths, transitions, start):
     alive = np.arange(time)[None, :] < lengths[:, None]
     local[~alive] = 1.0
     forward = np.empty_like(local)
-    forward[:, 0] = local[:, 0] * np.exp(start - start.max())
+    forward[:, 0] = local[:, 0] * (np.exp(start - start.max()) if first is None else first)
     forward[:, 0] /= forward[:, 0].sum(1, keepdims=True)
     for t in range(1, time):
         now = (forward[:, t - 1] @ step) * local[:, t]
         forward[:, t] = now / now.sum(1, keepdims=True)
-    backward = np.ones_like(local)
+    end = np.ones((n, k)) if after is None else after
+    backward = np.empty_like(local)
+    backward[:, -1] = end
     for t in range(time - 2, -1, -1):
         now = (local[:, t + 1] * backward[:, t + 1]) @ step.T
         now /= now.sum(1, keepdims=True)
-        backward[:, t] = np.where(alive[:, t + 1, None], now, 1.0)
+        backward[:, t] = np.where(alive[:, t + 1, None], now, end)
     both = forward * backward
     return both / both.sum(2, keepdims=True), forward, backward, local, step, alive
 
 
+def passages(scores, lengths, transitions):
+    """What each block does to a message that passes it, as a matrix (n, languages, languages)."""
+    import numpy as np
+
+    n, time, k = scores.shape
+    step = np.exp(transitions - transitions.max())
+    local = np.exp(scores - scores.max(2, keepdims=True))
+    through = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+    for t in range(time):
+        alive = t < lengths
+        if not alive.any():
+            break
+        now = (through[alive] @ step) * local[alive, t][:, None, :]
+        through[alive] = now / now.max((1, 2), keepdims=True)
+    return through
+
+
+def whole_chains(scores, lengths, owner, transitions, start):
+    """Posteriors of the words of whole texts, given as blocks in order with the text of each.
+
+    Blocks are evaluated side by side.  First each gives its passage; messages then go from
+    block to block, forward and backward, through these alone; with the messages at its two
+    ends a block's own forward-backward is that of the whole text.
+    """
+    import numpy as np
+
+    n, _, k = scores.shape
+    head = np.r_[True, owner[1:] != owner[:-1]]
+    if head.all():
+        return posteriors(scores, lengths, transitions, start)[0]
+    place = np.arange(n) - np.maximum.accumulate(np.where(head, np.arange(n), 0))  # of a block in its text
+    tail = np.r_[head[1:], True]
+    step = np.exp(transitions - transitions.max())
+    first = np.broadcast_to(np.exp(start - start.max()), (n, k)).copy()
+    after = np.ones((n, k))
+    inner = np.flatnonzero(~head)
+    through = np.empty((n, k, k))
+    through[inner] = passages(scores[inner], lengths[inner], transitions)
+    message = np.zeros((n, k))  # at the last word of a block
+    heads = np.flatnonzero(head & ~tail)
+    only = np.exp(scores[heads, 0] - scores[heads, 0].max(1, keepdims=True)) * first[heads]
+    rest = passages(scores[heads, 1:], lengths[heads] - 1, transitions)
+    passed = np.einsum("nk,nkj->nj", only / only.sum(1, keepdims=True), rest)
+    message[heads] = passed / passed.sum(1, keepdims=True)
+    order = np.argsort(place, kind="stable")
+    bounds = np.searchsorted(place[order], np.arange(1, place.max() + 2))
+    steps = [order[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+    for now in steps:
+        first[now] = message[now - 1] @ step
+        passed = np.einsum("nk,nkj->nj", message[now - 1], through[now])
+        message[now] = passed / passed.sum(1, keepdims=True)
+    for now in reversed(steps):
+        back = np.einsum("nkj,nj->nk", through[now], after[now])
+        after[now - 1] = back / back.sum(1, keepdims=True)
+    return posteriors(scores, lengths, transitions, start, first, after)[0]
+
+
 def fit(rows: list[tuple[str, str]], steps: int = STEPS) -> Model:
     """Maximise the conditional likelihood of the labels of (language, text) rows."""
     import numpy as np
@@ -155,20 +222,22 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS) -> Model:
 
 
 def training_rows(docs: DataFrame, learns: Column, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text",
-                  lang_col: str = "lang") -> list[tuple[str, str]]:
-    """The bounded sample: the cut hash of each language first, then the rows below it."""
+                  lang_col: str = "lang", max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
+    """The bounded sample: the cut hash of each language first, then the rows up to it.
+
+    The hash is of id and text, so that rows without an id are told apart.
+    """
     rows = docs.filter(learns & F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, MAX_BYTES)).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
     order = W.partitionBy("lang").orderBy("h")
     ranked = rows.select("lang", "h").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
-    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut")).collect()
-    if not cuts:
-        return []
-    chosen = F.lit(False)
-    for row in cuts:
-        chosen = chosen | ((F.col("lang") == row.lang) & (F.col("h") <= row.cut))
-    sample = rows.filter(chosen).select("lang", "text").limit(2 * per_lang * len(cuts))
-    return [(r.lang, r.text) for r in sample.collect()]
+    cuts = ranked.join(F.broadcast(langs.select("lang")), "lang").groupBy("lang").agg(F.max("h").alias("cut"))
+    chosen = rows.join(F.broadcast(cuts), "lang").filter("h <= cut").select("lang", "h", "text").distinct()
+    found: dict[str, list] = {}
+    for r in sorted(chosen.collect()):  # at most a few more than per_lang of each
+        found.setdefault(r.lang, []).append((r.lang, r.text))
+    return [row for lang in sorted(found) for row in found[lang][:per_lang]]
 
 
 class Labeller:
@@ -211,13 +280,17 @@ class Labeller:
         starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
         chains = [(s + lo, min(WINDOW, n - lo)) for s, n in zip(starts.tolist(), sizes.tolist()) for lo in range(0, n, WINDOW)]
         post = np.empty((len(ids), len(self.model.languages)), "f4")
-        for lo in range(0, len(chains), 4096):
-            some = np.array(chains[lo:lo + 4096])
+        owner = np.repeat(np.arange(len(sizes)), -(-sizes // WINDOW))
+        lo = 0
+        while lo < len(chains):  # whole texts, about 4096 blocks at a time
+            hi = int(np.searchsorted(owner, owner[min(lo + 4096, len(chains)) - 1], side="right"))
+            some = np.array(chains[lo:hi])
             where = some[:, 0, None] + np.arange(WINDOW)[None, :]
             alive = np.arange(WINDOW)[None, :] < some[:, 1, None]
             scores = self.table[ids[np.minimum(where, len(ids) - 1)]]
-            found = posteriors(scores, some[:, 1], self.model.transitions, self.model.start)[0]
+            found = whole_chains(scores, some[:, 1], owner[lo:hi], self.model.transitions, self.model.start)
             post[where[alive]] = found[alive]
+            lo = hi
         return [post[s:s + n] for s, n in zip(starts, sizes)]
 
 

@@ -33,6 +33,8 @@ ship_by_value(__name__)
 BITS, SHINGLE, SEED, DISTANCE = 64, 4, 42, 4
 #: Seconds of one probe row and of verifying one pair, for the cost estimates.
 PROBE_S, PAIR_S = 2e-6, 5e-9
+#: Components with more than one in so many of all fingerprints are broadcast for their ids.
+LARGE_COMPONENTS = 20_000
 #: Removed documents up to this number go to every executor when rows are filtered.
 BROADCAST_KEYS = 500_000
 
@@ -238,13 +240,21 @@ def link_members(fps, distance: int):
 
 
 def bucket_links(own, probing, mask: int, distance: int):
-    """Edges of a spanning forest of the links in one bucket.
+    """Edges of a spanning forest of the links in one bucket: a forest of its own members, and
+    for each probe one link to each of their trees that it reaches.
 
     A large bucket is divided again: members that agree in it differ elsewhere by at most
     ``distance`` bits, so they agree in one of distance + 1 groups of the other bits.
     """
     import numpy as np
 
+    root = {}  # of own members, as the edges below connect them
+
+    def find(fp):
+        while root.get(fp, fp) != fp:
+            root[fp] = fp = root.get(root[fp], root[fp])
+        return fp
+
     def members(fps, divide):
         if len(fps) > 4096 and divide:
             rest = [b for b in range(BITS) if not mask >> b & 1]
@@ -260,13 +270,21 @@ def bucket_links(own, probing, mask: int, distance: int):
         at = np.flatnonzero(roots != np.arange(len(fps)))
         yield fps[roots[at]], fps[at]
 
-    yield from members(own, True)
+    for a, b in members(own, True):
+        yield a, b
+        if len(probing):
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
     if len(probing) and len(own):
+        tree = np.array([find(fp) for fp in own.tolist()], np.uint64)
+        trees = np.unique(tree, return_inverse=True)[1]
         step = max(1, 2_000_000 // len(own))
         for at in range(0, len(probing), step):
             some = probing[at:at + step]
             p, o = np.nonzero(_near(some[:, None], own[None, :], distance))
-            yield some[p], own[o]
+            one = np.unique(p * len(own) + trees[o], return_index=True)[1]  # a link of each probe to each tree
+            yield some[p[one]], own[o[one]]
 
 
 def _bucket_links(parts: list[tuple[int, int]], distance: int):
@@ -359,8 +377,12 @@ def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = components(links(least.select("fp"), plan(least, distance), distance))
     named = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(smallest, "root").select("fp", "root", "component_id")
+    smallest = materialize(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "smallest")
+    large = F.col("members") > named.count() / LARGE_COMPONENTS  # fewer than so many
+    hot = F.broadcast(smallest.filter(large).drop("members"))
+    near = named.join(hot, "root")
+    rest = named.join(hot, "root", "left_anti").join(smallest.filter(~large).drop("members"), "root")
+    return near.unionByName(rest).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,7 +404,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id",
     """The rows of ``docs`` that stand for their component: the one of smallest id.
 
     Among rows that share this id the smallest text digest stays, once; a component without
-    ids keeps one row by the same rule.  Texts are matched by (id, digest), nulls equal.
+    ids keeps one row by the same rule.  Texts are matched by (id, digest), nulls equal; of rows
+    equal in both, the one whose columns come first as JSON stays.
     """
     on = ["no_id", "id", "digest"]
     found = near_duplicates(docs, distance, id_col, text_col)
@@ -397,5 +420,5 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id",
     again = keys.filter("stays")
     if again.isEmpty():
         return kept
-    once = rows.join(sized(again.select(*on)), on, "left_semi").dropDuplicates(on)
+    once = rows.join(sized(again.select(*on)), on, "left_semi").groupBy(*on).agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.unionByName(once.select("row.*"))

@@ -122,3 +122,42 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty(no_docs):
     assert found(no_docs) == [] and S.keep_one(no_docs).count() == 0
+
+
+def test_probes_give_a_forest():
+    """A dense bucket gives about as many edges as fingerprints, and connects the same ones."""
+    rng = np.random.default_rng(2)
+    flips = [0, *(1 << b for b in range(36)), *((1 << a) | (1 << b) for a in range(36) for b in range(a))]
+    base = 0x123456789ABCDEF0
+    own = np.array([base ^ f for f in flips], np.uint64)
+    probing = np.unique(np.array([base ^ (1 << 60) ^ flips[k] for k in rng.integers(0, len(flips), 60)], np.uint64))
+    mask = 0xFFFFFFF000000000
+    edges = [(int(a), int(b)) for x, y in S.bucket_links(own, probing, mask, 4) for a, b in zip(x, y)]
+    assert len(edges) <= len(own) + len(probing)
+    assert all((a ^ b).bit_count() <= 4 for a, b in edges)
+    root = {int(v): int(v) for v in [*own, *probing]}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = brute_components([int(v) for v in [*own, *probing]])
+    assert len({find(v) for v in root}) == len(set(want.values())) == 1
+
+
+def test_keep_one_of_rows_that_differ_elsewhere(spark):
+    text = prose(80)
+    rows = [(1, text, lang, "s") for lang in ("fr", "de", "es")] + [(9, text, "en", "s"), (2, prose(70, 9), "en", "s")]
+    for n in (1, 4):
+        got = sorted((r.doc_id, r.lang) for r in S.keep_one(docs_frame(spark, rows).repartition(n)).collect())
+        assert got == [(1, "de"), (2, "en")]
+
+
+@pytest.mark.parametrize("large", [1, 20_000])
+def test_ids_of_large_components(spark, monkeypatch, large):
+    monkeypatch.setattr(S, "LARGE_COMPONENTS", large)
+    rows = near_copies(40) + [(900 + k, prose(100, k)) for k in range(5)]
+    check(rows, found(docs_frame(spark, [(i, t, "en", "s") for i, t in rows])))
