@@ -77,13 +77,29 @@ SENTENCES: dict[str, list[str]] = {
     ],
     "gpl_see": ["see the gnu general public license for more details"],
     "lgpl_see": ["see the gnu lesser general public license for more details"],
+    "agpl_see": ["see the gnu affero general public license for more details"],
     "mpl_notice": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "isc_grant": [
+        f"permission to use copy modify and {andor}distribute this software for any purpose with or without fee is hereby granted"
+        " provided that the above copyright notice and this permission notice appear in all copies"
+        for andor in ("or ", "")
+    ],
+    "isc_disclaimer": [
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied"
+        " warranties of merchantability and fitness",
+    ],
+    "zlib_grant": [
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and"
+        " redistribute it freely subject to the following restrictions",
+    ],
+    "unlicense_text": ["this is free and unencumbered software released into the public domain"],
     "public_domain": ["released into the public domain", "this work is in the public domain"],
     "reserved": ["all rights reserved"],
     "confidential": ["proprietary and confidential", "unauthorized copying of this file via any medium is strictly prohibited"],
 }
 #: Notices of the GNU licences, by identifier: name of the licence, version.
-for _id, _name, _version in [("gpl3_later", "general", 3), ("gpl2_later", "general", 2), ("lgpl3_later", "lesser general", 3)]:
+for _id, _name, _version in [("gpl3_later", "general", "3"), ("gpl2_later", "general", "2"), ("lgpl3_later", "lesser general", "3"),
+                             ("lgpl21_later", "lesser general", "2 1"), ("agpl3_later", "affero general", "3")]:
     SENTENCES[_id] = [
         f"this {work} is free software you can redistribute it and or modify it under the terms of the gnu {_name} public"
         f" license as published by the free software foundation either version {_version} of the license or at your option"
@@ -125,6 +141,20 @@ NAMES: dict[str, tuple[list[str], list[str]]] = {
     "ccby_ref": (_cc("attribution", "cc by"), ["cc by 4 0"]),
     "ccbysa_ref": (_cc("attribution sharealike", "cc by sa"), ["cc by sa 4 0"]),
     "ccbync_ref": (_cc("attribution noncommercial", "cc by nc"), ["cc by nc 4 0"]),
+    "agpl_ref": (_gnu("affero general public license", "agpl", "3", False), ["agpl 3 0 only", "agpl 3 0"]),
+    "agpl_later_ref": (_gnu("affero general public license", "agpl", "3", True), ["agpl 3 0 or later"]),
+    "lgpl21_ref": (_gnu("lesser general public license", "lgpl", "2 1", False), ["lgpl 2 1 only", "lgpl 2 1"]),
+    "lgpl21_later_ref": (_gnu("lesser general public license", "lgpl", "2 1", True), ["lgpl 2 1 or later"]),
+    "isc_ref": (["the isc license", "isc license"], ["isc"]),
+    "zlib_ref": (["the zlib license", "zlib license"], ["zlib"]),
+    "boost_ref": (["the boost software license", "the boost software license version 1 0"], ["bsl 1 0"]),
+    "epl_ref": (["the eclipse public license v 2 0", "the eclipse public license version 2 0", "the eclipse public license 2 0"], ["epl 2 0"]),
+    "unlicense_ref": (["the unlicense"], ["unlicense"]),
+    "artistic_ref": (["the artistic license 2 0"], ["artistic 2 0"]),
+    "bsd0_ref": (["the zero clause bsd license", "the bsd zero clause license"], ["0bsd"]),
+    "ccbynd_ref": (_cc("attribution noderivatives", "cc by nd"), ["cc by nd 4 0"]),
+    "ccbyncsa_ref": (_cc("attribution noncommercial sharealike", "cc by nc sa"), ["cc by nc sa 4 0"]),
+    "ccbyncnd_ref": (_cc("attribution noncommercial noderivatives", "cc by nc nd"), ["cc by nc nd 4 0"]),
 }
 SENTENCES |= {i: [f"{lead} {name}" for lead in LEADS for name in names] + [f"{TAG} {tag}" for tag in tags] for i, (names, tags) in NAMES.items()}
 
@@ -137,6 +167,11 @@ RULES: list[tuple[str, str, str, str]] = [
     ("gpl3_text", "<gpl3_later>(?:<gpl_hope>)?(?:<gpl_see>)?", "GPL-3.0-or-later", "copyleft"),
     ("gpl2_text", "<gpl2_later>(?:<gpl_hope>)?(?:<gpl_see>)?", "GPL-2.0-or-later", "copyleft"),
     ("lgpl3_text", "<lgpl3_later>(?:<gpl_hope>)?(?:<lgpl_see>)?", "LGPL-3.0-or-later", "copyleft"),
+    ("agpl3_text", "<agpl3_later>(?:<gpl_hope>)?(?:<agpl_see>)?", "AGPL-3.0-or-later", "copyleft"),
+    ("lgpl21_text", "<lgpl21_later>(?:<gpl_hope>)?(?:<lgpl_see>)?", "LGPL-2.1-or-later", "copyleft"),
+    ("isc_text", "<isc_grant>(?:<isc_disclaimer>)?", "ISC", "permissive"),
+    ("zlib_text", "<zlib_grant>", "Zlib", "permissive"),
+    ("unlicense_text", "<unlicense_text>", "Unlicense", "permissive"),
     ("mit_ref", "<mit_ref>", "MIT", "permissive"),
     ("bsd3_ref", "<bsd3_ref>", "BSD-3-Clause", "permissive"),
     ("bsd2_ref", "<bsd2_ref>", "BSD-2-Clause", "permissive"),
@@ -152,11 +187,25 @@ RULES: list[tuple[str, str, str, str]] = [
     ("ccby_ref", "<ccby_ref>", "CC-BY-4.0", "permissive"),
     ("ccbysa_ref", "<ccbysa_ref>", "CC-BY-SA-4.0", "copyleft"),
     ("ccbync_ref", "<ccbync_ref>", "CC-BY-NC-4.0", "noncommercial"),
+    ("agpl_ref", "<agpl_ref>", "AGPL-3.0-only", "copyleft"),
+    ("agpl_later_ref", "<agpl_later_ref>", "AGPL-3.0-or-later", "copyleft"),
+    ("lgpl21_ref", "<lgpl21_ref>", "LGPL-2.1-only", "copyleft"),
+    ("lgpl21_later_ref", "<lgpl21_later_ref>", "LGPL-2.1-or-later", "copyleft"),
+    ("isc_ref", "<isc_ref>", "ISC", "permissive"),
+    ("zlib_ref", "<zlib_ref>", "Zlib", "permissive"),
+    ("boost_ref", "<boost_ref>", "BSL-1.0", "permissive"),
+    ("epl_ref", "<epl_ref>", "EPL-2.0", "copyleft"),
+    ("unlicense_ref", "<unlicense_ref>", "Unlicense", "permissive"),
+    ("artistic_ref", "<artistic_ref>", "Artistic-2.0", "permissive"),
+    ("bsd0_ref", "<bsd0_ref>", "0BSD", "permissive"),
+    ("ccbynd_ref", "<ccbynd_ref>", "CC-BY-ND-4.0", "noderivatives"),
+    ("ccbyncsa_ref", "<ccbyncsa_ref>", "CC-BY-NC-SA-4.0", "noncommercial"),
+    ("ccbyncnd_ref", "<ccbyncnd_ref>", "CC-BY-NC-ND-4.0", "noncommercial"),
     ("proprietary", "<confidential>(?:<reserved>)?|<reserved><confidential>", "LicenseRef-proprietary", "proprietary"),
     ("reserved", "<reserved>", "LicenseRef-all-rights-reserved", "reserved"),
 ]
-#: Classes from the strictest.
-CLASSES = ["proprietary", "noncommercial", "copyleft", "reserved", "permissive"]
+#: Classes from the strictest; a reservation of rights counts only where no licence is found.
+CLASSES = ["proprietary", "noncommercial", "noderivatives", "copyleft", "permissive", "reserved"]
 
 #: Taken out: comment marks that start a line, and list marks after a sentence or an empty line.
 COMMENT = r"""(?m)^[ \t]*(?:<!--+|/\*+|\*+/?|//+!?|#+|--+|;+|%+|>+|"{3}|'{3}|(?:dnl|rem|REM|[.]{2})(?=[ \t\r\n]))[ \t]*"""
@@ -173,13 +222,26 @@ ENDS = [
 TAGGED = [
     (r"([^ \t\n\r\f])[ \t\r\f]*\n[ \t\n\r\f]*(?=SPDX-License-Identifier:)", "$1\x01"),
     (r"(SPDX-License-Identifier:[^\n]*[^ \t\n\r\f])[ \t\r\f]*\n[ \t\n\r\f]*(?=[^ \t\n\r\f])", "$1\x01"),
-    (r"(SPDX-License-Identifier:[ \t]*L?GPL-[0-9.]+)\+", "$1-or-later"),
+    (r"(SPDX-License-Identifier:[ \t]*[AL]?GPL-[0-9.]+)\+", "$1-or-later"),
+]
+#: Characters that normalising turns into one space: all of ASCII but letters and digits, and
+#: the signs, spaces, quotes and dashes of Latin-1 and of general and CJK punctuation.
+NOISE = "[\\x00\\x02-\\x2F\\x3A-\\x60\\x7B-\\x7F\u0080-\u00A9\u00AB-\u00B4\u00B6-\u00B9\u00BB-\u00BF\u2000-\u206F\u3000-\u303F\uFEFF]+"
+#: Wording that holds a name of one's own, and the known sentence it stands for.
+HOLDERS = [
+    ("neither the names? of [^\x02]{1,160}? (?:nor the names of (?:its|their|any|other|the)(?: other)? contributors|nor the names of contributors|nor contributors) may be used to endorse"
+     " or promote products derived from this software without[ \x01]+(?:specific )?prior written permission",
+     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived"
+     " from this software without specific prior written permission"),
 ]
-#: ASCII characters that normalising turns into one space.
-NOISE = r"[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _loose(pattern: str) -> str:
+    """Spaces between words may be marks; those inside brackets of a pattern stay."""
+    return pattern.replace("[ \x01]+", "\x03").replace(" ", "[ \x01]").replace("\x03", "[ \x01]+")
+
+
 def _known() -> str:
     """Pattern of all known sentences between marks, longer ones first, by their first words."""
     heads: dict[str, list[str]] = {}
@@ -203,6 +265,8 @@ def sentences(text: Column) -> Column:
         text = F.regexp_replace(text, pattern, mark)
     plain = F.regexp_replace(F.translate(text, UPPER, LOWER), NOISE, " ")
     plain = F.regexp_replace(F.concat(F.lit("\x01"), plain, F.lit("\x01")), " *\x01 *", "\x01")
+    for pattern, known in HOLDERS:
+        plain = F.regexp_replace(plain, _loose(pattern), known)
     return F.split(F.regexp_replace(plain, _known(), "\x02$1\x02"), "\x02")
 
 

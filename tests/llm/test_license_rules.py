@@ -115,6 +115,16 @@ MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/.
 """
+ISC = """Copyright 2020 A. Author
+
+Permission to use, copy, modify, and/or distribute this software for any purpose
+with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DAMAGES.
+"""
 CC = "This work is licensed under a Creative Commons {} 4.0 International License."
 #: Published texts, with the sequence a rule has to see in them.
 PUBLISHED = [
@@ -132,6 +142,11 @@ PUBLISHED = [
     (CC.format("Attribution-NonCommercial"), "CC-BY-NC-4.0", "<ccbync_ref>"),
     ("This work is in the public domain.", "CC0-1.0", "<public_domain>"),
     ("Proprietary and confidential. All rights reserved.", "LicenseRef-proprietary", "<confidential><reserved>"),
+    (gnu("program", "Affero General", ":,", 3), "AGPL-3.0-or-later", "<agpl3_later><gpl_hope><agpl_see>"),
+    (gnu("library", "Lesser General", ";;", "2.1"), "LGPL-2.1-or-later", "<lgpl21_later><gpl_hope><lgpl_see>"),
+    (ISC, "ISC", "<isc_grant><isc_disclaimer>"),
+    (CC.format("Attribution-NoDerivatives"), "CC-BY-ND-4.0", "<ccbynd_ref>"),
+    (CC.format("Attribution-NonCommercial-ShareAlike"), "CC-BY-NC-SA-4.0", "<ccbyncsa_ref>"),
 ]
 
 
@@ -151,8 +166,10 @@ def forms(text):
 def test_published_texts(spark):
     rows = [(text, licence, seq) for whole, licence, seq in PUBLISHED for text in forms(whole)]
     rows += [(" ".join(text.split("\n", 2)[2].split()), licence, seq) for text, licence, seq in PUBLISHED[1:3]]
-    got = L.scan(docs_frame(spark, [(i, t, "en", "s") for i, (t, _, _) in enumerate(rows)])).select("row.doc_id", "licences", "sequence").collect()
-    bad = [(rows[r.doc_id], r.licences, r.sequence) for r in got if r.licences != rows[r.doc_id][1] or rows[r.doc_id][2] not in r.sequence]
+    got = L.scan(docs_frame(spark, [(i, t, "en", "s") for i, (t, _, _) in enumerate(rows)])).select("row.doc_id", "licences", "sequence", "verdict").collect()
+    kinds = {licence: kind for _, _, licence, kind in L.RULES}
+    bad = [(rows[r.doc_id], r.licences, r.sequence, r.verdict) for r in got
+           if r.licences != rows[r.doc_id][1] or rows[r.doc_id][2] not in r.sequence or r.verdict != kinds[r.licences]]
     assert bad == [] and len(got) == len(rows)
 
 
@@ -162,11 +179,42 @@ def test_every_licence_by_name_and_tag(spark):
              ("Apache License, Version 2.0", "Apache-2.0"), ("BSD 3-Clause License", "BSD-3-Clause")]
     rows = [(f"Some words.\n{lead} the {name}.\n", lic) for name, lic in named for lead in ("Licensed under", "Released under", "This work is licensed under")]
     tags = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later",
-            "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+            "AGPL-3.0-only", "AGPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "ISC", "Zlib", "BSL-1.0", "EPL-2.0", "Unlicense",
+            "Artistic-2.0", "0BSD", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
     rows += [(form.format(t), t) for t in tags for form in (
         "SPDX-License-Identifier: {}", "// SPDX-License-Identifier: {}\n\nint x;", "# BY ACME\n# SPDX-License-Identifier: {}\n# Copyright 2020\nimport os\n",
         "/* SPDX-License-Identifier: {} */\nint x;\n")]
-    rows += [("# SPDX-License-Identifier: GPL-2.0+\nx\n", "GPL-2.0-or-later"), ("This code is not\nlicensed under the MIT License.", "")]
+    rows += [("# SPDX-License-Identifier: GPL-2.0+\nx\n", "GPL-2.0-or-later"), ("# SPDX-License-Identifier: AGPL-3.0+\nx\n", "AGPL-3.0-or-later"), ("This code is not\nlicensed under the MIT License.", "")]
     got = L.scan(docs_frame(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(rows)])).select("row.doc_id", "licences").collect()
     assert [(rows[r.doc_id], r.licences) for r in got if r.licences != rows[r.doc_id][1]] == []
     assert all(s == " ".join(re.findall("[a-z0-9]+", s.lower())) for forms in L.SENTENCES.values() for s in forms)
+
+
+def verdicts(spark, texts):
+    got = L.scan(docs_frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    return [(r.licences, r.verdict) for r in got.select("row.doc_id", "licences", "verdict").orderBy("doc_id").collect()]
+
+
+def test_reserved_rights_do_not_outrank_a_licence(spark):
+    head = "Copyright (c) 2020, The Authors\nAll rights reserved.\n\n"
+    got = verdicts(spark, [head + BSD3.split("\n", 2)[2] + DISCLAIMER, head + MIT, "All rights reserved."])
+    assert [v for _, v in got] == ["permissive", "permissive", "reserved"]
+    assert "BSD-3-Clause" in got[0][0] and "MIT" in got[1][0]
+
+
+def test_holders_of_their_own_name(spark):
+    names = ["Google Inc.", "the University of California, Berkeley", "the <organization>", "Acme Ltd", "the copyright holder"]
+    texts = [text for name in names for text in forms(BSD3.replace("the copyright holder", name) + DISCLAIMER)]
+    texts.append((BSD3 + DISCLAIMER).replace("Neither the name of the copyright holder", "Neither the names of the copyright holders"))
+    assert set(verdicts(spark, texts)) == {("BSD-3-Clause", "permissive")}
+    other = BSD2 + "\nNeither the name of the game nor its rules matter.\n"
+    assert verdicts(spark, [other]) == [("BSD-2-Clause", "permissive")]
+
+
+def test_punctuation_beyond_ascii(spark):
+    curly = MIT.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u00abAS IS\u00bb").replace("and/or", "and\u2044or")
+    dashes = (BSD3 + DISCLAIMER).replace("and/or", "and\u2010or").replace("modification, are", "modification\u00a0\u2014 are")
+    got = verdicts(spark, [curly, dashes, "Released\u00a0under the MIT\u2009License\u2026"])
+    assert got == [("MIT", "permissive"), ("BSD-3-Clause", "permissive"), ("MIT", "permissive")]
+    # letters are no punctuation
+    assert verdicts(spark, ["Released under thé MIT License.", "ªReleased under the MIT License."]) == [("", "none")] * 2
