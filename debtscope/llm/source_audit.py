@@ -3,7 +3,7 @@
 Every term is tagged with its language, so one CountVectorizer gives each language its own
 vocabulary: the terms that ``min_df`` of its documents hold, of any number.  A vocabulary
 passes through the driver, so terms are first dealt into blocks by hash, as many as keep a
-block below ``BLOCK_TERMS`` different terms; each block is vectorised by itself, from files
+block below ``BLOCK_TERMS`` different terms; each block is vectorised by itself, from columns
 that hold its terms only.  Document vectors are sparse; their sums by language and source
 are exact integers.  From there on a term is a number, and its text joins what is shown.
 
@@ -28,14 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from debtscope.llm.common import materialize, whole_text
-from debtscope.session import shared_folder
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
 
 MIN_DF, TOP = 3, 200
 #: Different terms of a block, kept or not; a bound on what one vocabulary brings to the driver.
-BLOCK_TERMS = 2_000_000
+BLOCK_TERMS = 4_000_000
 #: One document in so many is looked at for the number of blocks.
 SHARE = 16
 #: Terms whose block a task remembers before it starts afresh.
@@ -54,7 +53,7 @@ GROUP = ["lang", "source"]
 
 # --- terms --------------------------------------------------------------------
 def _tokens(blocks: int):
-    """Terms of each text, tagged and dealt to blocks: a row for each block that gets some."""
+    """The different terms of each text, tagged, and how often each occurs, by block."""
 
     def run(batches):
         import zlib
@@ -63,39 +62,36 @@ def _tokens(blocks: int):
         import pyarrow as pa
 
         find, block_of = re.compile(TERM).findall, {}
-        names = ["lang", "source", "terms", "block"]
+        names = [*GROUP, *(name for k in range(blocks) for name in block_columns(k))]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256).to_pydict()
-                langs, sources, flat, offsets, dealt_to = [], [], [], [0], []
+                part = batch.slice(lo, 256)
+                terms, counts, offsets = [[] for _ in range(blocks)], [[] for _ in range(blocks)], [[0] for _ in range(blocks)]
                 if len(block_of) > CACHE:
                     block_of.clear()
-                for lang, source, text in zip(part["lang"], part["source"], part["text"]):
-                    tag, dealt = lang + MARK, {}
+                for lang, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                    tag = lang + MARK
                     for term, n in Counter(find(text.encode().lower().decode())).items():
                         block = block_of.get(term)
                         if block is None:
                             block = block_of[term] = zlib.crc32(term.encode()) % blocks
-                        mine = dealt.get(block)
-                        if mine is None:
-                            mine = dealt[block] = []
-                        if n == 1:
-                            mine.append(tag + term)
-                        else:
-                            mine += [tag + term] * n
-                    for block, terms in dealt.items():
-                        langs.append(lang)
-                        sources.append(source)
-                        flat += terms
-                        offsets.append(len(flat))
-                        dealt_to.append(block)
-                terms = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(sources, pa.string()), terms, pa.array(dealt_to, pa.int32())], names=names)
+                        terms[block].append(tag + term)
+                        counts[block].append(n)
+                    for at, mine in zip(offsets, terms):
+                        at.append(len(mine))
+                columns = [part.column(0), part.column(1)]
+                for at, mine, n in zip(offsets, terms, counts):
+                    at = pa.array(at, pa.int32())
+                    columns += [pa.ListArray.from_arrays(at, pa.array(mine, pa.string())), pa.ListArray.from_arrays(at, pa.array(n, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
+def block_columns(block: int) -> tuple[str, str]:
+    return f"terms_{block}", f"counts_{block}"
+
+
 def n_blocks(texts: DataFrame, block_terms: int) -> int:
     """Blocks of about so many different terms at most.
 
@@ -109,16 +105,22 @@ def n_blocks(texts: DataFrame, block_terms: int) -> int:
 
 
 def vectors(block: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """Sparse vectors of the documents' terms in a block, and its vocabulary (at, lang, term)."""
+    """Sparse vectors of the documents' terms in a block, and its vocabulary (at, lang, term).
+
+    ``block`` has each document's different terms and their counts; a document counts once for
+    each of its terms, so the vocabulary is fitted on the former alone.
+    """
     import pandas as pd
 
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=2**31 - 1)
-    model = counter.fit(block)
+    model = counter.fit(block.select("terms"))
     words = model.vocabulary
     table = pd.DataFrame({"at": range(len(words)), "tagged": words}).astype({"at": "int32", "tagged": "object"})
     names = block.sparkSession.createDataFrame(table, "at int, tagged string")
     lang = F.expr(f"substring(tagged, 1, length(tagged) - length(substring_index(tagged, '{MARK}', -1)) - 1)")
-    return model.transform(block), names.select("at", lang.alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"))
+    repeated = F.flatten(F.zip_with("terms", "counts", lambda term, n: F.array_repeat(term, n)))
+    documents = block.select(*GROUP, repeated.alias("terms"))
+    return model.transform(documents), names.select("at", lang.alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"))
 
 
 def sums(vectorised: DataFrame) -> DataFrame:
@@ -137,12 +139,13 @@ def term_counts(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_
     groups = texts.select(*GROUP).distinct().withColumn("group", F.monotonically_increasing_id())
     groups = materialize(groups, "groups")
     blocks = n_blocks(texts, block_terms)
-    path, schema = shared_folder(spark, "terms"), "lang string, source string, terms array<string>, block int"
-    texts.mapInArrow(_tokens(blocks), schema).write.partitionBy("block").parquet(path)
-    dealt = spark.read.schema(schema).parquet(path)
+    columns = "".join(f", {terms} array<string>, {counts} array<int>" for terms, counts in map(block_columns, range(blocks)))
+    dealt = materialize(texts.mapInArrow(_tokens(blocks), f"lang string, source string{columns}"), "terms")
     counted, named = [], []
     for block in range(blocks):
-        vectorised, names = vectors(dealt.filter(F.col("block") == block).drop("block"), min_df)
+        terms, counts = block_columns(block)
+        mine = dealt.select(*GROUP, F.col(terms).alias("terms"), F.col(counts).alias("counts")).filter("size(terms) > 0")
+        vectorised, names = vectors(mine, min_df)
         key = (F.lit(block << 32) + F.col("at")).cast("long").alias("key")
         counted.append(materialize(sums(vectorised).select(*GROUP, key, "n"), "counts"))
         named.append(materialize(names.select(key, "lang", "term"), "names"))
