@@ -673,5 +673,5 @@ def _live_reports_stream(spark: SparkSession, sf: str) -> DataFrame:
     stream = stream_job.report_stream(spark, f"{folder}/arriving", arriving.schema)
     for job in stream_job.register(stream, f"{folder}/table", f"{folder}/checkpoint", X.AS_OF):
         job.awaitTermination()
-    live = lookup.live_reports(stream_job.registered(spark, f"{folder}/table", X.AS_OF), X.AS_OF)
+    live = lookup.live_reports(stream_job.registered(spark, f"{folder}/table", X.AS_OF, arriving.schema, days_only=True), X.AS_OF)
     return live.select("analysis_id", utc_text(F.col("created_at")).alias("created_at"))

@@ -1,23 +1,42 @@
 """Report registry as a stream (ST1).
 
-Report rows arrive as files, possibly more than once.  The stream removes repeats
-within the watermark and lands each micro-batch under its own id, so a batch that is
-run again after a failure replaces itself.  Expiry is decided by the reader
-(:func:`debtscope.operators.lookup.live_reports`); the watermark only bounds the state.
-Its delay is longer than the life of a report, so none is dropped while it can be live.
-The state holds the ids of about an hour; on a busy cluster give it the RocksDB provider
-(``spark.sql.streaming.stateStore.providerClass``).
+Report rows arrive as files, possibly more than once.  For each id the stream keeps a state
+from its first row until the report's life is over: repeats meet the state and are dropped,
+and an event-time timer ends it and tells so.  State thus holds the ids of about two hours (the
+life and the watermark's delay), in RocksDB, however long the job runs.  Rows that come after their report's life are dropped.
+
+What happens is landed as a table of events by UTC day and micro-batch; a batch that is run
+again after a failure replaces its own folders.  The reader opens the days that can hold
+live reports, and a table that was never written has no rows.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
 
+from debtscope import constants as C
+from debtscope.shipping import ship_by_value
+from debtscope.sources.reports import created_date, path_exists
+
+ship_by_value(__name__)
+
+REGISTERED, EXPIRED = "registered", "expired"
+EVENT = "analysis_id string, event string, created_us bigint, payload string"
+LANDED = "analysis_id string, event string, created_at timestamp, payload string"
+#: Longer than the life of a report, so none is late while it can be live.
 WATERMARK = "61 minutes"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Times keep their microseconds on the way through the state.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def report_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
@@ -28,40 +47,116 @@ def report_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     )
 
 
-def distinct_reports(stream: DataFrame) -> DataFrame:
-    return stream.withWatermark("created_at", WATERMARK).dropDuplicatesWithinWatermark(
-        ["analysis_id"]
-    )
+class Registry(StatefulProcessor):
+    """One report id: registered by its first row, expired by a timer when its life is over."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.since = handle.getValueState("since", "created_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = list(rows)
+        if self.since.exists():
+            return
+        first = pd.concat(parts).sort_values(["created_us", "payload"], kind="stable").head(1)
+        created = int(first["created_us"].iloc[0])
+        ends = created // 1000 + self.ttl_ms
+        if ends < timerValues.getCurrentWatermarkInMs():
+            return
+        self.since.update((created,))
+        self.handle.registerTimer(ends)
+        yield self._event(key, REGISTERED, created, first["payload"].iloc[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (created,) = self.since.get()
+        self.since.clear()
+        yield self._event(key, EXPIRED, created, None)
 
+    def close(self) -> None:
+        pass
 
-def register(stream: DataFrame, table: str, checkpoint: str, as_of: datetime) -> list[StreamingQuery]:
+    @staticmethod
+    def _event(key, event: str, created: int, payload: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"analysis_id": [key[0]], "event": [event], "created_us": [created], "payload": [payload]})
+
+
+def events(stream: DataFrame, ttl: str = C.REPORT_TTL) -> DataFrame:
+    """(analysis_id, event, created_at, payload) of the stream's reports."""
+    spark = stream.sparkSession
+    life = spark.sql(f"SELECT CAST(unix_millis(TIMESTAMP'1970-01-01 00:00:00Z' + INTERVAL {ttl}) AS BIGINT)").first()[0]
+    rows = stream.filter("analysis_id IS NOT NULL").withWatermark("created_at", WATERMARK)
+    rows = rows.select("analysis_id", "created_at", F.unix_micros("created_at").alias("created_us"), F.to_json(F.struct("*"), JSON).alias("payload"))
+    happened = rows.groupBy("analysis_id").transformWithStateInPandas(
+        statefulProcessor=Registry(life), outputStructType=EVENT, outputMode="Append", timeMode="EventTime")
+    return happened.select("analysis_id", "event", F.timestamp_micros("created_us").alias("created_at"), "payload")
+
+
+def register(stream: DataFrame, table: str, checkpoint: str, as_of: datetime, ttl: str = C.REPORT_TTL) -> list[StreamingQuery]:
     """Start the job on what has arrived; returns its two queries.
 
     The watermark follows the largest time seen, so a row stamped after ``as_of`` would
-    drop genuine rows of later batches.  Such rows go to a table of their own, which
+    end genuine reports of later batches.  Such rows go to a table of their own, which
     :func:`registered` reads as soon as their time has come.
     """
+    spark = stream.sparkSession
 
     def land(path: str):
         def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            rows = batch.withColumns({"created_date": created_date(), "batch": F.lit(batch_id)})
+            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("created_date", "batch").parquet(path))
 
         return write
 
-    on_time = distinct_reports(stream.filter(F.col("created_at") <= F.lit(as_of)))
+    on_time = events(stream.filter(F.col("created_at") <= F.lit(as_of)), ttl)
     early = stream.filter(F.col("created_at") > F.lit(as_of))
-    return [
-        rows.writeStream.foreachBatch(land(f"{table}/{name}"))
-        .option("checkpointLocation", f"{checkpoint}/{name}")
-        .trigger(availableNow=True)
-        .start()
-        for name, rows in (("reports", on_time), ("early", early))
-    ]
-
-
-def registered(spark: SparkSession, table: str, as_of: datetime) -> DataFrame:
-    """All registered reports, each once; early ones from their time on."""
-    reports = spark.read.parquet(f"{table}/reports").drop("batch")
-    early = spark.read.schema(reports.schema).parquet(f"{table}/early").select(*reports.columns)
+    provider = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return [
+            rows.writeStream.foreachBatch(land(f"{table}/{name}"))
+            .option("checkpointLocation", f"{checkpoint}/{name}")
+            .trigger(availableNow=True)
+            .start()
+            for name, rows in (("events", on_time), ("early", early))
+        ]
+    finally:
+        spark.conf.set(STATE_STORE, provider) if provider else spark.conf.unset(STATE_STORE)
+
+
+def _landed(spark: SparkSession, path: str, schema: str, since: datetime | None, ttl: str) -> DataFrame:
+    """Rows of a table from the first day that can hold a live report on; none if there is no table."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, created_date date, batch int")
+    rows = spark.read.schema(f"{schema}, created_date date, batch int").parquet(path)
+    if since is None:
+        return rows
+    oldest = F.lit(since) - F.expr(f"INTERVAL {ttl}")
+    return rows.filter(F.col("created_date") >= F.to_date(F.to_utc_timestamp(oldest, F.current_timezone())))
+
+
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def registered(spark: SparkSession, table: str, as_of: datetime, schema: StructType, days_only: bool = False,
+               ttl: str = C.REPORT_TTL) -> DataFrame:
+    """All registered reports of ``schema``, each once; early ones from their time on.
+
+    ``days_only`` reads just the days that can hold live reports.
+    """
+    schema, since = StructType.fromJson(json.loads(schema.json())), as_of if days_only else None
+    events_of = _landed(spark, f"{table}/events", LANDED, since, ttl).filter(F.col("event") == REGISTERED)
+    reports = events_of.select(F.from_json("payload", schema, JSON).alias("r")).select("r.*")
+    early = _landed(spark, f"{table}/early", _ddl(schema), since, ttl).select(*schema.names)
     due = early.filter(F.col("created_at") <= F.lit(as_of)).dropDuplicates(["analysis_id"])
     return reports.unionByName(due.join(reports.select("analysis_id"), "analysis_id", "left_anti").select(*reports.columns))
+
+
+def expired(spark: SparkSession, table: str) -> DataFrame:
+    """(analysis_id, created_at) of the reports whose life ended while the job ran."""
+    rows = _landed(spark, f"{table}/events", LANDED, None, C.REPORT_TTL)
+    return rows.filter(F.col("event") == EXPIRED).select("analysis_id", "created_at")

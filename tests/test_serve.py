@@ -198,14 +198,81 @@ def test_stream_equals_batch(spark, tmp_path):
     arrive([("late batch", AS_OF - timedelta(minutes=5))])
     run()
     rows.append(("late batch", AS_OF - timedelta(minutes=5)))
-    stored = job.registered(spark, table, AS_OF)
-    assert "early" in {r.analysis_id for r in job.registered(spark, table, AS_OF + timedelta(days=3)).collect()}
+    columns = spark.createDataFrame([], schema).schema
+    stored = job.registered(spark, table, AS_OF, columns)
+    assert "early" in {r.analysis_id for r in job.registered(spark, table, AS_OF + timedelta(days=3), columns).collect()}
+    near = job.registered(spark, table, AS_OF, columns, days_only=True)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, stored.collect()))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan
+    counts = stored.groupBy("analysis_id").count().filter("count > 1").count()
+    assert counts == 0 and stored.filter(F.col("created_at") > F.lit(AS_OF)).count() == 0
     live = sorted(r.analysis_id for r in lookup.live_reports(stored, AS_OF).collect())
     batch = spark.createDataFrame(rows, schema)
     assert live == sorted(r.analysis_id for r in lookup.live_reports(batch, AS_OF).collect())
     assert "edge" in live
 
 
+def test_registry_expires_while_it_runs(spark, tmp_path):
+    """Timers end reports as the watermark passes their life; repeats after that are dropped."""
+    arriving, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    schema = "analysis_id string, created_at timestamp, score double, parts array<struct<path:string,n:int>>"
+    columns = spark.createDataFrame([], schema).schema
+    late = AS_OF + timedelta(days=1)
+
+    def run(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(arriving)
+        stream = job.report_stream(spark, arriving, columns, files_per_batch=1)
+        for query in job.register(stream, table, checkpoint, late):
+            query.awaitTermination()
+
+    first = ("a", AS_OF - timedelta(minutes=3, microseconds=7), 0.1, [("x.ts", 1), (None, 2)])
+    run([first, ("b", AS_OF, None, None), ("a", AS_OF, 0.2, [])])
+    assert job.expired(spark, table).count() == 0
+    run([("c", AS_OF + timedelta(minutes=121, seconds=30), 1.0, [])])  # past a's life and the delay, for b just so
+    run([("d", AS_OF + timedelta(minutes=130), 1.0, [])])
+    run([first])
+    gone = {r.analysis_id: r.created_at for r in job.expired(spark, table).collect()}
+    assert set(gone) == {"a", "b"}
+    stored = job.registered(spark, table, late, columns)
+    assert stored.columns == columns.names and sorted(r.analysis_id for r in stored.collect()) == ["a", "b", "c", "d"]
+    want = spark.createDataFrame([first], schema).first()
+    assert stored.filter("analysis_id = 'a'").first() == want
+
+
+def test_registry_that_was_never_written(spark, tmp_path):
+    columns = spark.createDataFrame([], "analysis_id string, created_at timestamp").schema
+    assert job.registered(spark, str(tmp_path / "none"), AS_OF, columns, days_only=True).count() == 0
+    assert job.expired(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_report_runs_are_atomic(spark, tmp_path):
+    path, schema = str(tmp_path / "reports"), "analysis_id string, created_at timestamp, run_id string"
+
+    def rows(day, run, n):
+        at = datetime(2024, 5, day, 23, 30, tzinfo=timezone.utc)
+        return spark.createDataFrame([(f"{run}-{i}", at, run) for i in range(n)], schema)
+
+    def read():
+        found = store.read_reports(spark, path).groupBy("created_date", "run_id").count().collect()
+        return {(str(r.created_date), r.run_id): r["count"] for r in found}
+
+    store.write_reports(rows(1, "007", 3), path)
+    store.write_reports(rows(1, "1e5", 2), path)
+    assert read() == {("2024-05-01", "007"): 3, ("2024-05-01", "1e5"): 2}
+    store.write_reports(rows(2, "007", 3), path)  # repeated on another day: one copy of each report
+    assert read() == {("2024-05-02", "007"): 3, ("2024-05-01", "1e5"): 2}
+    store.stage_reports(rows(3, "007", 5), path)  # lost before its commit
+    store.stage_reports(rows(3, "new", 5), path)
+    assert read() == {("2024-05-02", "007"): 3, ("2024-05-01", "1e5"): 2}
+    store.write_reports(rows(2, "1e5", 0), path, ["1e5"])  # no report any more
+    assert read() == {("2024-05-02", "007"): 3}
+    store.write_reports(rows(4, "none", 0), path)
+    assert read() == {("2024-05-02", "007"): 3}
+    day = store.read_reports(spark, path).filter("created_date = DATE'2024-05-02'")
+    assert "PartitionFilters: [isnotnull(created_date" in day._jdf.queryExecution().executedPlan().toString()
+
+
 def test_errors(evaluate):
     rows = [
         (400, "own text Bearer abc", False),
