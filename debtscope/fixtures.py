@@ -120,6 +120,14 @@ OVERLAYS = {
     "WHEN repo_id % 11 = 8 THEN '{\"verdict\": \"Needs work\", \"checks\": [\"One check.\"]}' END",
 }
 
+# Versions of each overlay: minutes from AS_OF, and what they hold; the middle one counts, twice over.
+OVERLAY_VERSIONS = [
+    (-120, '\'{"summary": "older", "verdict": "older", "answer": "older", "priority": "older"}\''),
+    (-30, "payload"),
+    (-30, "payload"),
+    (60, '\'{"summary": "later", "verdict": "later", "answer": "later", "priority": "later"}\''),
+]
+
 URL_CASES = [
     "url",
     "'https://github.com/org/repo' || CAST(page_id AS STRING)",
@@ -287,7 +295,13 @@ def overlays(ids: DataFrame) -> DataFrame:
         F.struct(F.lit(stage).alias("stage"), F.expr(payload).alias("payload"))
         for stage, payload in OVERLAYS.items()
     ]
-    return ids.select("repo_id", F.inline(F.array(*rows))).filter("payload IS NOT NULL")
+    return _versions(ids.select("repo_id", F.inline(F.array(*rows))).filter("payload IS NOT NULL"))
+
+
+def _versions(rows: DataFrame) -> DataFrame:
+    versions = F.array(*[F.struct(F.lit(m).alias("m"), F.expr(p).alias("payload")) for m, p in OVERLAY_VERSIONS])
+    spread = rows.select(*[c for c in rows.columns if c != "payload"], F.inline(versions))
+    return spread.withColumn("at", F.timestamp_seconds(F.lit(AS_OF_EPOCH) + F.col("m") * 60)).drop("m")
 
 
 def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +315,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("role = 'user'")
     columns = {"question_id": QUESTIONS["question_id"], "payload": ANSWER_OVERLAY}
-    return derived(rows, columns).filter("payload IS NOT NULL")
+    return _versions(derived(rows, columns).filter("payload IS NOT NULL"))
 
 
 def repo_uses(spark: SparkSession, sf_dir: str) -> DataFrame:

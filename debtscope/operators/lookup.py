@@ -11,7 +11,7 @@ from debtscope import constants as C
 from debtscope import messages as M
 from debtscope.functions import urls
 from debtscope.functions.text import fill, trim_all
-from debtscope.operators.overlay import overlaid, overlay_inputs
+from debtscope.operators.overlay import latest_overlays, overlaid, overlay_inputs
 from debtscope.operators.profile import source_files
 from debtscope.operators.rows import rows_of
 from debtscope.operators.topk import top_k
@@ -71,7 +71,8 @@ def grounded_answers(
 ) -> DataFrame:
     """Checked questions (V3, V4) answered from live reports (J6), refined by overlays.
 
-    ``overlays`` has ``(question_id, payload)``.  Refused and unmatched questions stay
+    ``overlays`` has ``(question_id, payload)`` and may have ``at``; the latest one of a question
+    counts, so several do not double it.  Refused and unmatched questions stay
     in the result with a ``status`` and without an answer.
     """
     reason = F.coalesce(
@@ -94,7 +95,7 @@ def grounded_answers(
     if overlays is None:
         found = found.withColumn("answer_payload", F.lit(None).cast("string"))
     else:
-        payloads = overlays.select("question_id", F.col("payload").alias("answer_payload"))
+        payloads = latest_overlays(overlays, "question_id", F.lit(as_of)).withColumnRenamed("payload", "answer_payload")
         found = found.join(payloads, "question_id", "left")
     text = fill(
         M.ANSWER,

@@ -1,6 +1,7 @@
 """Refined JSON fields laid over deterministic results.
 
-An overlay row is ``(key, stage, payload)``.  The merge is shallow: a field present in
+An overlay row is ``(key, stage, payload)``, with ``at`` where versions follow each other; the
+latest one at or before the report counts.  The merge is shallow: a field present in
 the payload replaces the base field, also when its value is null.  A value that cannot
 be read as the field's type counts as absent.  Text that is no JSON leaves the base
 untouched and marks the stage as a fallback.
@@ -60,10 +61,34 @@ FIELDS = {
 }
 
 
-def pivot_overlays(overlays: DataFrame, key: str, stages: list[str] = C.STAGE_KEYS) -> DataFrame:
-    """One row per key with one payload column per stage."""
-    return overlays.groupBy(key).agg(
-        *[F.max(F.when(F.col("stage") == s, F.col("payload"))).alias(f"{s}_payload") for s in stages]
+def known_at(overlays: DataFrame, as_of: Column | None) -> tuple[DataFrame, Column]:
+    """The versions there were at a time, and what to order them by.
+
+    ``at`` is when a version came; null is before all others, and later versions than
+    ``as_of`` do not count.  Versions of one time go by their text, so repeats and ties have
+    one outcome.
+    """
+    if "at" not in overlays.columns:
+        return overlays, F.struct("payload")
+    known = overlays if as_of is None else overlays.filter(F.col("at").isNull() | (F.col("at") <= as_of))
+    return known, F.struct("at", "payload")
+
+
+def latest_overlays(overlays: DataFrame, key: str, as_of: Column | None = None) -> DataFrame:
+    """``(key, payload)``: the latest version of each key."""
+    known, order = known_at(overlays, as_of)
+    return known.groupBy(key).agg(F.max_by("payload", order).alias("payload"))
+
+
+def pivot_overlays(overlays: DataFrame, key: str, stages: list[str] = C.STAGE_KEYS, as_of: Column | None = None) -> DataFrame:
+    """One row per key with one payload column per stage: its latest version at ``as_of``.
+
+    An as-of join by aggregation: versions are cut down in the map tasks, and one row per key
+    meets the report.
+    """
+    known, order = known_at(overlays, as_of)
+    return known.groupBy(key).agg(
+        *[F.max_by("payload", F.when(F.col("stage") == s, order)).alias(f"{s}_payload") for s in stages]
     )
 
 

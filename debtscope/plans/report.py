@@ -59,7 +59,7 @@ def analyse(snapshots: DataFrame, overlays: DataFrame | None, run_at: Column) ->
             {f"{stage}_payload": F.lit(None).cast("string") for stage in C.STAGE_KEYS}
         )
     else:
-        rows = rows.join(pivot_overlays(overlays, "repo_id"), "repo_id", "left")
+        rows = rows.join(pivot_overlays(overlays, "repo_id", as_of=run_at), "repo_id", "left")
 
     files, hot, reason = F.col("profile"), F.col("hot"), F.col("fallback_reason")
     target, cost = F.col("base_target"), F.col("base_cost")

@@ -21,7 +21,7 @@ from debtscope.operators import profile as P
 from debtscope.operators.rows import rows_of
 from debtscope.plans import report as R
 from debtscope.plans.views import dashboard_view
-from debtscope.session import shared_folder
+from debtscope.session import qualified, shared_folder
 from debtscope.sources import archives as archive_source
 from debtscope.sources import landed
 from debtscope.sources import reports as report_table
@@ -160,6 +160,42 @@ def _bundle_write(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("archive_files")
+def _archive_files(spark: SparkSession, sf: str) -> DataFrame:
+    """ZIP files on disk, read by byte ranges, up to the preferred branch of each repository."""
+    folder = shared_folder(spark, "archives")
+    entries = X.archives(spark, sf).withColumn("part", F.expr(f"CAST(floor(pos / {X.PAGE_ENTRIES}) AS BIGINT)"))
+    zipped = entries.groupBy("repo_id", "branch", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "content"))).alias("entries"))
+    named = zipped.select(F.concat_ws("/", "repo_id", "branch", F.concat(F.col("part") * X.PAGE_ENTRIES, F.lit(".zip"))).alias("name"), "entries")
+    named.mapInPandas(_zip_files(qualified(spark, folder)), "name string").write.format("noop").mode("overwrite").save()
+    rows = archive_source.read_archive_entries(spark, folder, r"/([0-9]+)/([a-z]+)/([0-9]+)[.]zip$", range_bytes=1 << 16)
+    kept = snapshots.prefer_branch(snapshots.archive_files(archive_source.readable_archives(rows)))
+    return kept.select("repo_id", "branch", "pos", "path", "size", "lines")
+
+
+def _zip_files(folder: str):
+    def write(batches):
+        import io
+        import re
+        import zipfile
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                    for entry in row.entries:
+                        archive.writestr(entry["name"], entry["content"])
+                store, path = fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", f"{folder}/{row.name}"))
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path) as out:
+                    out.write(buffer.getvalue())
+            yield batch[["name"]]
+
+    return write
+
+
 def _unzip_bundles(batches):
     import io
     import zipfile
@@ -282,7 +318,7 @@ def _missing_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 @query("overlay_apply")
 def _overlay_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Debt figures of every repository, refined."""
-    payloads = overlay_ops.pivot_overlays(X.overlays(X.repo_ids(spark, sf)), "repo_id", ["debt"])
+    payloads = overlay_ops.pivot_overlays(X.overlays(X.repo_ids(spark, sf)), "repo_id", ["debt"], F.lit(X.AS_OF))
     rows = _profiled(spark, sf).join(payloads, "repo_id", "left")
     base = {
         "hotspots": F.col("hot"),

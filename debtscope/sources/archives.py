@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debtscope import constants as C
+from debtscope.functions.files import is_code_file
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -21,6 +22,13 @@ ENTRY_SCHEMA = (
     "repo_id bigint, branch string, pos bigint, name string, path string, size bigint, content string, error string"
 )
 ENTRY_COLUMNS = ["repo_id", "branch", "pos", "name", "path", "size", "content", "error"]
+DIRECTORY_SCHEMA = (
+    "repo_id bigint, branch string, file string, pos bigint, name string, offset bigint, packed bigint, size bigint, method int, "
+    "crc bigint, error string"
+)
+DIRECTORY_COLUMNS = ["repo_id", "branch", "file", "pos", "name", "offset", "packed", "size", "method", "crc", "error"]
+#: Bytes of a ZIP file that one task reads.
+RANGE_BYTES = 64 << 20
 UNREADABLE = (
     zipfile.BadZipFile,
     zipfile.LargeZipFile,
@@ -33,11 +41,30 @@ BYTES_PER_CHAR = 4
 CODE_FILE = re.compile(C.CODE_FILE.replace(r"\z", r"\Z"))
 
 
-def read_archive_files(spark: SparkSession, path: str, name_pattern: str) -> DataFrame:
-    """ZIP files as ``(repo_id, branch, zip)``; one file is one task-sized unit.
+def list_archive_files(spark: SparkSession, path: str, name_pattern: str) -> DataFrame:
+    """ZIP files as ``(repo_id, branch, first_pos, file, length)``; no content is read.
 
-    ``name_pattern`` finds repository id (group 1) and branch (group 2) in the file path.
+    ``name_pattern`` finds repository id (group 1), branch (group 2) and, where a large
+    archive is landed in parts, the position of the part's first entry (group 3).
     """
+    parts = re.compile(name_pattern).groups >= 3
+    first = F.regexp_extract("path", name_pattern, 3).try_cast("bigint") if parts else F.lit(None).cast("bigint")
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(path)
+        .select(
+            F.regexp_extract("path", name_pattern, 1).cast("bigint").alias("repo_id"),
+            F.regexp_extract("path", name_pattern, 2).alias("branch"),
+            F.coalesce(first, F.lit(0)).alias("first_pos"),
+            F.col("path").alias("file"),
+            "length",
+        )
+    )
+
+
+def read_archive_files(spark: SparkSession, path: str, name_pattern: str) -> DataFrame:
+    """Small ZIP files whole, as ``(repo_id, branch, zip)``; for :func:`unpack_archives`."""
     return (
         spark.read.format("binaryFile")
         .load(path)
@@ -49,6 +76,126 @@ def read_archive_files(spark: SparkSession, path: str, name_pattern: str) -> Dat
     )
 
 
+def open_file(uri: str):
+    """A file on any file system, for reads at any place."""
+    from pyarrow import fs
+
+    if re.match("s3[an]://", uri):
+        uri = "s3" + uri[3:]
+    if re.match("file:/[^/]", uri):
+        uri = "file://" + uri[5:]
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def _directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of each archive from its central directory, which ends the file."""
+    columns = DIRECTORY_COLUMNS
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            head = (row.repo_id, row.branch, row.file)
+            try:
+                with open_file(row.file) as stream, zipfile.ZipFile(stream) as archive:
+                    last = {info.filename: info for info in archive.infolist()}
+                    first: dict[str, int] = {}
+                    for at, info in enumerate(archive.infolist()):
+                        first.setdefault(info.filename, at)
+            except (*UNREADABLE, OSError, ValueError) as failure:
+                text = f"{type(failure).__name__}: {failure}"
+                yield pd.DataFrame([(*head, None, None, None, None, None, None, None, text)], columns=columns)
+                continue
+            found = [
+                (*head, row.first_pos + first[name], name, info.header_offset, info.compress_size, info.file_size, info.compress_type,
+                 -1 if info.flag_bits & 1 else info.CRC, None)
+                for name, info in last.items() if not info.is_dir()
+            ]
+            for at in range(0, len(found), 10_000):
+                yield pd.DataFrame(found[at:at + 10_000], columns=columns)
+
+
+def archive_directory(files: DataFrame) -> DataFrame:
+    """Step one: ``(repo_id, branch, file, pos, name, offset, packed, size, method, crc, error)``.
+
+    Only the ends of the files are read.  A repeated name keeps its first place and its last
+    content.  Files are dealt over the tasks by their name; Spark lists no empty ones.
+    """
+    spread = files.repartition("file")
+    return spread.select("repo_id", "branch", "file", "first_pos").mapInPandas(_directory, DIRECTORY_SCHEMA)
+
+
+def unpack_entry(stream, offset: int, packed: int, method: int, crc: int, max_bytes: int | None) -> bytes:
+    """One entry from its place in the file; of a limited one no more is unpacked."""
+    stream.seek(offset)
+    head = stream.read(30)
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile("no entry at its place")
+    if crc < 0:
+        raise RuntimeError("entry is encrypted")
+    stream.seek(offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+    raw = stream.read(packed)
+    if len(raw) < packed:
+        raise EOFError("entry is cut off")
+    if method == zipfile.ZIP_DEFLATED:
+        raw = zlib.decompressobj(-15).decompress(raw, max_bytes or 0)
+    elif method != zipfile.ZIP_STORED:
+        raise NotImplementedError(f"compression method {method}")
+    if max_bytes is None and zlib.crc32(raw) != crc:
+        raise zipfile.BadZipFile("wrong checksum")
+    return raw if max_bytes is None else raw[:max_bytes]
+
+
+def _entries(max_chars: int | None):
+    most = None if max_chars is None else max_chars * BYTES_PER_CHAR
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, stream = None, None
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.itertuples(index=False):
+                content, error, path = None, row.error, row.name and row.name.partition("/")[2]
+                if error is None:
+                    try:
+                        if row.file != name:
+                            name, stream = row.file, open_file(row.file)
+                        raw = unpack_entry(stream, int(row.offset), int(row.packed), int(row.method), int(row.crc), most)
+                        content = raw.decode("utf-8", errors="replace")[:max_chars]
+                    except (*UNREADABLE, OSError) as failure:
+                        error = f"{type(failure).__name__}: {failure}"
+                if content != "":
+                    size = None if content is None else len(content)
+                    rows.append((row.repo_id, row.branch, row.pos, row.name, path, size, content, error))
+                    held += size or 0
+                if held > 4_000_000:
+                    yield pd.DataFrame(rows, columns=ENTRY_COLUMNS).astype({"pos": "Int64", "size": "Int64"})
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=ENTRY_COLUMNS).astype({"pos": "Int64", "size": "Int64"})
+
+    return run
+
+
+def read_archive_entries(
+    spark: SparkSession, path: str, name_pattern: str, max_chars: int | None = None, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
+    """S3: the code files of ZIP files as rows of ``ENTRY_SCHEMA``; unreadable ones with ``error``.
+
+    Step two deals the entries over tasks by where they lie, ``range_bytes`` of a file
+    together, and each is read from its place.  So no task holds an archive, and one that has
+    a third of all entries is read by many.  What is no code file is not read at all.
+    """
+    listed = archive_directory(list_archive_files(spark, path, name_pattern))
+    wanted = listed.filter(F.col("error").isNotNull() | (F.col("name").contains("/") & is_code_file(F.col("name"))))
+    span = F.floor(F.col("offset") / range_bytes)
+    dealt = wanted.repartition("file", span).sortWithinPartitions("file", "offset")
+    return dealt.mapInPandas(_entries(max_chars), ENTRY_SCHEMA)
+
+
+def readable_archives(entries: DataFrame) -> DataFrame:
+    """Entries of archives that were read whole; one unreadable entry makes an archive unreadable."""
+    broken = entries.filter(F.col("error").isNotNull()).select("repo_id", "branch").distinct()
+    return entries.filter(F.col("error").isNull()).drop("error").join(broken, ["repo_id", "branch"], "left_anti")
+
+
 def entries_of(
     blob: bytes, max_files: int | None = None, max_chars: int | None = None
 ) -> Iterator[tuple[int, str, str, str]]:

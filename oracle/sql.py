@@ -111,19 +111,25 @@ FROM file_layers WHERE {X.ARCHIVE_FILTER}"""
 CTES["attempts"] = f"""
 SELECT repo_id, b AS branch, {X.ATTEMPT_STATUS} AS http_status, {X.ATTEMPT_ERROR} AS error
 FROM landed, (VALUES {', '.join(f'({q(b)})' for b in C.BRANCHES)}) v(b) WHERE {X.ATTEMPT_FILTER}"""
-CTES["overlays"] = " UNION ALL ".join(
+
+
+def latest(source: str, keys: str) -> str:
+    """All versions as rows, then the last one of those that came in time."""
+    versions = " UNION ALL ".join(f"SELECT * EXCLUDE (payload), {p} AS payload, {m} AS m FROM ({source}) WHERE payload IS NOT NULL" for m, p in X.OVERLAY_VERSIONS)
+    return f"SELECT * FROM ({versions}) WHERE m <= 0 QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY m DESC, payload DESC) = 1"
+
+
+CTES["overlays"] = latest(" UNION ALL ".join(
     f"SELECT repo_id, {q(stage)} AS stage, {payload} AS payload FROM repo_ids"
     for stage, payload in X.OVERLAYS.items()
-)
+), "repo_id, stage")
 CTES["parsed_overlays"] = f"""
 SELECT repo_id, stage, CASE WHEN json_valid(payload) THEN {q(C.SOURCE_OVERLAY)} ELSE {q(C.SOURCE_FALLBACK)} END AS source,
        CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN payload END END AS j
 FROM overlays WHERE payload IS NOT NULL"""
 CTES["questions"] = f"SELECT {columns(X.QUESTIONS)} FROM conversations WHERE role = 'user'"
-CTES["answer_overlays"] = f"""
-SELECT question_id, CASE WHEN json_valid(payload) THEN payload END AS j FROM (
-  SELECT {X.QUESTIONS['question_id']} AS question_id, {X.ANSWER_OVERLAY} AS payload
-  FROM conversations WHERE role = 'user') WHERE payload IS NOT NULL"""
+_answers = latest(f"SELECT {X.QUESTIONS['question_id']} AS question_id, {X.ANSWER_OVERLAY} AS payload FROM conversations WHERE role = 'user'", "question_id")
+CTES["answer_overlays"] = f"SELECT question_id, CASE WHEN json_valid(payload) THEN payload END AS j FROM ({_answers})"
 CTES["repo_urls"] = f"SELECT {columns(X.REPO_URLS)} FROM pages"
 CTES["repo_uses"] = f"SELECT {columns(X.REPO_USES)} FROM events"
 CTES["error_rows"] = f"SELECT {columns(X.ERROR_ROWS)} FROM events"
@@ -482,6 +488,11 @@ SELECT r.repo_id, url, status, route, description, stars, default_branch, fallba
        CASE WHEN route = 'error' THEN {user_message('status', f"coalesce(nullif(message, ''), {q(M.ERROR_DEFAULT)})")} END AS user_message
 FROM resolved r LEFT JOIN (SELECT repo_id, count(*) AS n FROM r_files GROUP BY repo_id) c USING (repo_id)"""
 F["branch_prefer"] = "SELECT repo_id, branch, pos, path, size, lines FROM archived"
+F["archive_files"] = f"""
+SELECT repo_id, branch, part * {X.PAGE_ENTRIES} + place AS pos, path, size, lines FROM archived JOIN (
+  SELECT repo_id, branch, pos, CAST(floor(pos / {X.PAGE_ENTRIES}) AS BIGINT) AS part,
+         row_number() OVER (PARTITION BY repo_id, branch, CAST(floor(pos / {X.PAGE_ENTRIES}) AS BIGINT) ORDER BY pos) - 1 AS place
+  FROM archives) USING (repo_id, branch, pos)"""
 F["missing_snapshots"] = f"""
 SELECT repo_id, owner, repository, url, coalesce(reason, {q(M.ARCHIVE_DEFAULT)}) AS fallback_reason
 FROM repos LEFT JOIN reasons USING (repo_id)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from debtscope import constants as C
 from debtscope import messages as M
 from debtscope.functions import rules
+from debtscope.operators import overlay as O
 from debtscope.operators import profile as P
 from debtscope.operators import sampling, snapshots
 from debtscope.operators.overlay import is_json
@@ -178,6 +179,63 @@ def test_archive_source(spark, tmp_path):
     assert routes[2].route == "sample" and "zip" in routes[2].fallback_reason
 
 
+def test_entries_by_byte_range(spark, tmp_path):
+    """The same rows as from whole archives, whatever the range, from stored and packed entries."""
+    texts = {f"r/src/f{k}.ts": f"export const x{k} = {k}\n" * (k % 50 * 20 + 1) for k in range(300)}
+    for kind, name in ((zipfile.ZIP_STORED, "7-main-0.zip"), (zipfile.ZIP_DEFLATED, "7-main-1000.zip"), (zipfile.ZIP_DEFLATED, "8-dev-0.zip")):
+        with zipfile.ZipFile(tmp_path / name, "w", kind) as z:
+            z.writestr("r/", "")
+            for path, text in texts.items():
+                z.writestr(path, text)
+            z.writestr("r/NOTES.md", "not read")
+            z.writestr("top.ts", "no root")
+            z.writestr("r/empty.ts", "")
+            z.writestr("r/bad.ts", b"\xff\xfe")
+    (tmp_path / "9-dev-0.zip").write_bytes(b"no archive")
+    pattern = r"([0-9]+)-([a-z]+)-([0-9]+)[.]zip$"
+    want = sorted((7, "main", first + k, f"src/f{k - 1}.ts", texts[f"r/src/f{k - 1}.ts"]) for first in (0, 1000) for k in range(1, 301))
+    for size in (200, 5000, A.RANGE_BYTES):
+        rows = A.read_archive_entries(spark, str(tmp_path), pattern, range_bytes=size)
+        good = A.readable_archives(rows)
+        got = good.filter("repo_id = 7 AND path LIKE 'src/%'").collect()
+        assert sorted((r.repo_id, r.branch, r.pos, r.path, r.content) for r in got) == want
+        assert all(r.size == len(r.content) for r in got)
+        assert good.filter("repo_id = 8").count() == 301 and good.filter("path = 'bad.ts'").first().content == "\ufffd\ufffd"
+        (failed,) = A.archive_attempts(rows).collect()
+        assert (failed.repo_id, failed.branch, failed.status) == (9, "dev", 200)
+    cut = A.readable_archives(A.read_archive_entries(spark, str(tmp_path), pattern, max_chars=9)).filter("repo_id = 8 AND path = 'src/f49.ts'")
+    assert cut.first().content == texts["r/src/f49.ts"][:9]
+
+
+def test_no_task_holds_an_archive(spark, tmp_path):
+    """Entries of one large archive are read by several tasks; other files' names are all that is known of them."""
+    with zipfile.ZipFile(tmp_path / "1-main.zip", "w") as z:
+        for k in range(400):
+            z.writestr(f"r/f{k}.ts", f"{k} " * 500)
+            z.writestr(f"r/f{k}.png", b"\0" * 5000)
+    rows = A.read_archive_entries(spark, str(tmp_path), r"([0-9]+)-([a-z]+)[.]zip$", range_bytes=1 << 17)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shares = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.n for r in shares) == 400 and len(shares) > 1 and max(r.n for r in shares) < 300
+    plan = A.list_archive_files(spark, str(tmp_path), r"([0-9]+)-([a-z]+)[.]zip$")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
+
+
+def test_a_damaged_entry_makes_the_archive_unreadable(spark, tmp_path):
+    blob = bytearray(archive([("x/a.ts", "first text"), ("x/b.ts", "second text")]))
+    at = blob.index(b"second text")
+    blob[at] ^= 1
+    (tmp_path / "1-main.zip").write_bytes(bytes(blob))
+    (tmp_path / "2-main.zip").write_bytes(archive([("x/a.ts", "first text")])[:-5])
+    (tmp_path / "3-main.zip").write_bytes(archive([("x/a.ts", "old"), ("x/c.ts", "c"), ("x/a.ts", "new")]))
+    rows = A.read_archive_entries(spark, str(tmp_path), r"([0-9]+)-([a-z]+)[.]zip$")
+    assert {(r.repo_id, r.path, r.content, r.pos) for r in A.readable_archives(rows).collect()} == {(3, "a.ts", "new", 0), (3, "c.ts", "c", 1)}
+    assert sorted(r.repo_id for r in A.archive_attempts(rows).collect()) == [1, 2]
+
+
 def test_rate_limit_uses_archive(spark):
     archives = [
         (1, "dev", 0, "r-dev/a.py", "x = 1"),
@@ -359,3 +417,23 @@ def test_context_and_sources(spark):
     assert got[1].s == ["f36.ts", "f37.ts", "f38.ts", "f39.ts"]
     assert got[1].profile.context == [f"f{n}.ts" for n in range(25)]
     assert got[2].s == [] and got[2].profile.n == 0
+
+
+def test_latest_overlay_at_or_before_the_report(spark):
+    from datetime import datetime, timedelta, timezone
+
+    at = datetime(2024, 5, 1, 12, tzinfo=timezone.utc)
+    rows = [
+        (1, "debt", "z oldest", at - timedelta(hours=2)), (1, "debt", "a latest", at), (1, "debt", "a latest", at), (1, "debt", "x too late", at + timedelta(seconds=1)),
+        (1, "cost", "tie b", at), (1, "cost", "tie a", at), (2, "debt", "z no time", None), (2, "debt", "a timed", at - timedelta(days=9)),
+        (3, "debt", "only later", at + timedelta(hours=1)), (4, "debt", "z no time", None),
+    ]
+    df = spark.createDataFrame(rows, "repo_id bigint, stage string, payload string, at timestamp")
+    for laid in (df, df.repartition(5)):
+        got = O.pivot_overlays(laid, "repo_id", ["debt", "cost"], F.lit(at)).collect()
+        assert {r.repo_id: (r.debt_payload, r.cost_payload) for r in got} == {
+            1: ("a latest", "tie b"), 2: ("a timed", None), 4: ("z no time", None)}
+    plain = O.pivot_overlays(df.drop("at"), "repo_id", ["debt"]).collect()
+    assert {r.repo_id: r.debt_payload for r in plain}[1] == "z oldest"
+    one = O.latest_overlays(df.filter("stage = 'debt'"), "repo_id", F.lit(at)).collect()
+    assert {r.repo_id: r.payload for r in one} == {1: "a latest", 2: "a timed", 4: "z no time"}

@@ -145,6 +145,14 @@ def test_bundles(spark, tmp_path):
                 assert rows[r.analysis_id, name] == archive.read(name).decode()
 
 
+def test_several_answer_overlays_do_not_double_a_question(spark):
+    questions = spark.createDataFrame([(1, UUIDS[0], "What first?"), (2, UUIDS[0], "And then?")], "question_id bigint, analysis_id string, question string")
+    rows = [(1, '{"answer": "old"}', AS_OF - timedelta(hours=1)), (1, '{"answer": "new"}', AS_OF), (1, '{"answer": "new"}', AS_OF), (1, '{"answer": "late"}', AS_OF + timedelta(hours=1))]
+    laid = spark.createDataFrame(rows, "question_id bigint, payload string, at timestamp")
+    got = lookup.grounded_answers(questions, make_reports(spark), AS_OF, laid).collect()
+    assert sorted((r.question_id, r.answer == "new") for r in got) == [(1, True), (2, False)]
+
+
 def test_bundle_requests(spark):
     asked = spark.createDataFrame(
         [(0, UUIDS[0]), (1, UUIDS[2]), (2, "nope"), (3, None), (4, UUIDS[0])], "question_id bigint, analysis_id string")
