@@ -5,8 +5,10 @@ code points.  Each window is pre-tokenised on its own, starting wherever it was
 inside a pre-token.  The pattern looks only forward, so two scans that share one boundary
 agree from there on: neighbours are stitched at the first boundary both have in their
 overlap.  A window that meets no common boundary (a run longer than the overlap) is
-scanned again from the last good boundary.  The pieces are then encoded by merge ranks;
-decoding concatenates the raw bytes of the ids.
+scanned again from the last good boundary.  Pieces are encoded by merge ranks with their
+window; decoding concatenates the raw bytes of the ids.  The windows of very long texts
+are dealt over all tasks, so that one text is the work of many; those of others are worked on
+where the text is read.
 
 Defined results: null and empty texts have no ids; a document that occurs more than once
 gives one row for each occurrence; only the id and text columns are read, so other columns
@@ -17,6 +19,8 @@ binaries, four bytes an id.
 from __future__ import annotations
 
 import base64
+import bisect
+import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +36,9 @@ OVERLAP = 256
 #: look two ahead, runs of white space one.
 LOOK = 4
 #: Distinct pieces whose ids a task remembers before it starts afresh.
-CACHE = 400_000
+CACHE, CACHED_CHARS = 400_000, 64
+#: Texts of up to so many code points are worked on where they are read, longer ones by many tasks.
+SPREAD = 65_536
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,20 +56,25 @@ class PieceEncoder:
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
         self.known: dict[str, bytes] = {}
 
-    def encode(self, pieces: list[str]) -> bytes:
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; long pieces are not remembered."""
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            return list(map(self.known.__getitem__, pieces))
         except KeyError:
             pass
         import array
 
         if len(self.known) > CACHE:
             self.known.clear()
-        known, ids_of = self.known, self.ranks.encode_ordinary
+        known, ids_of, long = self.known, self.ranks.encode_ordinary, {}
         for piece in pieces:
-            if piece not in known:
-                known[piece] = array.array("I", ids_of(piece)).tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+            if piece not in known and piece not in long:
+                keep = known if len(piece) <= CACHED_CHARS else long
+                keep[piece] = array.array("I", ids_of(piece)).tobytes()
+        return [known[p] if p in known else long[p] for p in pieces] if long else list(map(known.__getitem__, pieces))
+
+    def encode(self, pieces: list[str]) -> bytes:
+        return b"".join(self.each(pieces))
 
 
 def windows(text: str, chunk: int, overlap: int) -> list[tuple[int, int]]:
@@ -116,69 +127,124 @@ def _encode_short(path: str, pattern: str):
     return run
 
 
-def _scan_windows(pattern: str, chunk: int, overlap: int):
-    """One row per window of a long text: its place, its code points and its piece ends."""
-
-    def run(batches):
-        import array
-        import hashlib
-
-        import pyarrow as pa
-        import regex
-
-        matcher = regex.compile(pattern)
-
-        def rows():
-            for i, text in _texts(batches):
-                key = hashlib.sha256(text.encode()).digest()
-                for start, end in windows(text, chunk, overlap):
-                    part = text[start:end]
-                    ends = piece_ends(matcher, part, end == len(text))
-                    yield i, key, start, end == len(text), array.array("I", ends).tobytes(), part
-
-        yield from _batches(rows(), [("id", pa.int64()), ("key", pa.binary()), ("start", pa.int64()),
-                                     ("last", pa.bool_()), ("ends", pa.binary()), ("part", pa.string())])
-
-    return run
+def pieces_of(part: str, ends: list[int]) -> list[str]:
+    return [part[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Stitcher:
-    """Joins the windows of one text, given in order, and encodes the pieces.
+    """Joins the windows of one text, given in order with the ids of their pieces.
 
-    Pieces up to ``reach`` are encoded.  ``tail`` is the text read beyond it and ``ahead``
-    the boundaries known to be right in there.
+    Pieces up to ``reach`` are settled.  ``tail`` is the text read beyond it, ``ahead`` the
+    boundaries known to be right in there and ``ids_ahead`` the ids of the pieces before them.
     """
 
     def __init__(self, matcher, encoder: PieceEncoder, chunk: int):
         self.matcher, self.encoder, self.chunk = matcher, encoder, chunk
         self.ids: list[bytes] = []
-        self.reach, self.tail, self.ahead, self.rescan_at = 0, "", [], 0
+        self.reach, self.tail, self.ahead, self.ids_ahead, self.rescan_at = 0, "", [], [], 0
 
     def _settle(self, n: int) -> None:
-        """Encode the pieces that end at the first ``n`` boundaries ahead."""
-        pieces, at = [], 0
-        for end in self.ahead[:n]:
-            pieces.append(self.tail[at:end - self.reach])
-            at = end - self.reach
-        self.ids.append(self.encoder.encode(pieces))
-        self.tail, self.reach, self.ahead = self.tail[at:], self.reach + at, self.ahead[n:]
-
-    def add(self, start: int, part: str, ends: list[int], last: bool) -> None:
+        """Take over the pieces that end at the first ``n`` boundaries ahead."""
+        if n:
+            self.ids += self.ids_ahead[:n]
+            self.tail, self.reach = self.tail[self.ahead[n - 1] - self.reach:], self.ahead[n - 1]
+            self.ahead, self.ids_ahead = self.ahead[n:], self.ids_ahead[n:]
+
+    def add(self, start: int, part: str, ends: list[int], ids: list[bytes], last: bool) -> None:
         mine = [start + end for end in ends]
         ours = {start, *mine}
         meet = next((e for e in (self.reach, *self.ahead) if e >= start and e in ours), None)
         if meet is not None:
-            self._settle(sum(e <= meet for e in self.ahead))
-            self.tail, self.ahead = part[meet - start:], [e for e in mine if e > meet]
+            self._settle(bisect.bisect_right(self.ahead, meet))
+            at = bisect.bisect_right(mine, meet)
+            self.tail, self.ahead, self.ids_ahead = part[meet - start:], mine[at:], ids[at:]
         else:
             # No common boundary: scan on from the last good one, but not before the
             # unsettled text has doubled, so that one endless run costs linear time.
             self._settle(len(self.ahead))
             self.tail += part[self.reach + len(self.tail) - start:]
             if last or len(self.tail) >= self.rescan_at:
-                self.ahead = [self.reach + end for end in piece_ends(self.matcher, self.tail, last)]
+                found = piece_ends(self.matcher, self.tail, last)
+                self.ahead = [self.reach + end for end in found]
+                self.ids_ahead = self.encoder.each(pieces_of(self.tail, found))
                 self.rescan_at = 2 * len(self.tail)
-        self._settle(len(self.ahead) if last else sum(e <= start + self.chunk for e in self.ahead))
+        self._settle(len(self.ahead) if last else bisect.bisect_right(self.ahead, start + self.chunk))
+
+
+def _encode_windows(path: str, pattern: str, chunk: int, overlap: int):
+    """Texts of some windows: scanned window by window, stitched in place."""
+
+    def run(batches):
+        import pyarrow as pa
+        import regex
+
+        matcher, encoder = regex.compile(pattern), PieceEncoder(path, pattern)
+
+        def rows():
+            for i, text in _texts(batches):
+                stitcher = Stitcher(matcher, encoder, chunk)
+                for start, end in windows(text, chunk, overlap):
+                    part = text[start:end]
+                    ends = piece_ends(matcher, part, end == len(text))
+                    stitcher.add(start, part, ends, encoder.each(pieces_of(part, ends)), end == len(text))
+                yield i, b"".join(stitcher.ids)
+
+        yield from _batches(rows(), [("id", pa.int64()), ("ids", pa.binary())])
+
+    return run
+
+
+CUT = "id long, key binary, start long, last boolean, part string"
+SCANNED = "id long, key binary, start long, last boolean, ends binary, sizes binary, ids binary, part string"
+
+
+def _cut(chunk: int, overlap: int):
+    """One row per window of a long text, as it lies there."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def rows():
+            for i, text in _texts(batches):
+                key = hashlib.sha256(text.encode()).digest()
+                for start, end in windows(text, chunk, overlap):
+                    yield i, key, start, end == len(text), text[start:end]
+
+        yield from _batches(rows(), [("id", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("last", pa.bool_()), ("part", pa.string())])
+
+    return run
+
+
+def _scan(path: str, pattern: str):
+    """Windows on their own: the boundaries each finds and the ids of its pieces."""
+
+    def run(batches):
+        import array
+
+        import pyarrow as pa
+        import regex
+
+        matcher, encoder = regex.compile(pattern), PieceEncoder(path, pattern)
+
+        def rows():
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    i, key, start, last, part = (c[at].as_py() for c in batch.columns)
+                    ends = piece_ends(matcher, part, last)
+                    ids = encoder.each(pieces_of(part, ends))
+                    yield (i, key, start, last, array.array("I", ends).tobytes(), array.array("I", map(len, ids)).tobytes(), b"".join(ids), part)
+
+        yield from _batches(rows(), [("id", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("last", pa.bool_()),
+                                     ("ends", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("part", pa.string())])
+
+    return run
+
+
+def scanned_windows(texts: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """The windows of (id, text), each scanned and encoded by whichever task gets it."""
+    return texts.mapInArrow(_cut(chunk, overlap), CUT).repartition("id", "key", "start").mapInArrow(_scan(ranks_path, pattern), SCANNED)
 
 
 def _stitch(path: str, pattern: str, chunk: int):
@@ -193,14 +259,16 @@ def _stitch(path: str, pattern: str, chunk: int):
         def rows():
             text, stitcher, copies, seen = None, None, 0, -1
             for batch in batches:
-                for i, key, start, last, ends, part in zip(*(c.to_pylist() for c in batch.columns)):
+                for at in range(batch.num_rows):
+                    i, key, start, last, ends, sizes, ids, part = (c[at].as_py() for c in batch.columns)
                     if (i, key) != text:
                         if stitcher:
                             yield from [(text[0], b"".join(stitcher.ids))] * copies
                         text, stitcher, copies, seen = (i, key), Stitcher(matcher, encoder, chunk), 0, -1
                     copies += start == 0
                     if start > seen:  # a repeated row brings each window again
-                        stitcher.add(start, part, memoryview(ends).cast("I").tolist(), last)
+                        cuts = [0, *itertools.accumulate(memoryview(sizes).cast("I"))]
+                        stitcher.add(start, part, memoryview(ends).cast("I").tolist(), [ids[a:b] for a, b in zip(cuts, cuts[1:])], last)
                         seen = start
             if stitcher:
                 yield from [(text[0], b"".join(stitcher.ids))] * copies
@@ -211,20 +279,22 @@ def _stitch(path: str, pattern: str, chunk: int):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id, ids) of every text.  Texts of one window stay where they are read; the windows
-    of longer ones are scanned in parallel and shuffled by text to be stitched."""
+           chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
+    """(id, ids) of every text.
+
+    Texts of one window are encoded as they are, those of a few windows window by window where
+    they are read.  The windows of texts beyond ``spread`` are dealt over all tasks, scanned
+    and encoded there, and meet again to be stitched, which only joins ids.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    long = F.char_length("text") > chunk
-    short_ids = texts.filter(~long).mapInArrow(_encode_short(ranks_path, pattern), "id long, ids binary")
-    scanned = texts.filter(long).mapInArrow(
-        _scan_windows(pattern, chunk, overlap),
-        "id long, key binary, start long, last boolean, ends binary, part string",
-    )
+    size = F.char_length("text")
+    short = texts.filter(size <= chunk).mapInArrow(_encode_short(ranks_path, pattern), "id long, ids binary")
+    some = texts.filter((size > chunk) & (size <= spread)).mapInArrow(_encode_windows(ranks_path, pattern, chunk, overlap), "id long, ids binary")
+    scanned = scanned_windows(texts.filter((size > chunk) & (size > spread)), ranks_path, pattern, chunk, overlap)
     stitched = scanned.repartition("id", "key").sortWithinPartitions("id", "key", "start").mapInArrow(
         _stitch(ranks_path, pattern, chunk), "id long, ids binary"
     )
-    return short_ids.unionByName(stitched)
+    return short.unionByName(some).unionByName(stitched)
 
 
 def _decode(path: str):

@@ -22,16 +22,16 @@ def test_stitching_equals_whole_text(chunk, overlap):
         text = text.replace("b", "b" * r.choice([1, 1, 20]))
         stitcher = B.Stitcher(matcher, encoder, chunk)
         for start, end in B.windows(text, chunk, overlap):
-            stitcher.add(start, text[start:end], B.piece_ends(matcher, text[start:end], end == len(text)), end == len(text))
+            ends = B.piece_ends(matcher, text[start:end], end == len(text))
+            stitcher.add(start, text[start:end], ends, encoder.each(B.pieces_of(text[start:end], ends)), end == len(text))
         assert array.array("I", b"".join(stitcher.ids)).tolist() == WHOLE.encode_ordinary(text)
 
 
 def test_round_trip(edge_docs, edge_rows, no_docs):
-    got = B.decode(B.encode(edge_docs, PATH, PATTERN, chunk=1000, overlap=40), PATH).collect()
-    assert len(got) == len(edge_rows)
-    ids = sorted((str(r.id), list(memoryview(bytes(r.ids)).cast("I")), bytes(r.decoded)) for r in got)
     want = sorted((str(i), WHOLE.encode_ordinary(t or ""), (t or "").encode()) for i, t, _, _ in edge_rows)
-    assert ids == want
+    for spread in (0, B.SPREAD, 10**9):  # long texts dealt over tasks, some of them, none
+        got = B.decode(B.encode(edge_docs, PATH, PATTERN, chunk=1000, overlap=40, spread=spread), PATH).collect()
+        assert sorted((str(r.id), list(memoryview(bytes(r.ids)).cast("I")), bytes(r.decoded)) for r in got) == want
     assert B.encode(no_docs, PATH, PATTERN).count() == 0
 
 
@@ -39,3 +39,18 @@ def test_repeated_long_rows(spark, edge_rows):
     long = [r for r in edge_rows if r[0] == 4] * 3
     df = spark.createDataFrame([(i, t) for i, t, _, _ in long], "doc_id long, text string")
     assert [len(r.ids) // 4 for r in B.encode(df, PATH, PATTERN).collect()] == [len(WHOLE.encode_ordinary(long[0][1]))] * 3
+
+
+def test_one_text_is_the_work_of_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"word{k % 997} {k}" for k in range(400_000))  # some 5 million code points
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = B.scanned_windows(df, PATH, PATTERN, B.CHUNK, B.OVERLAP).groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 4 and max(r["count"] for r in tasks) < 0.5 * sum(r["count"] for r in tasks)
+        (row,) = B.encode(df, PATH, PATTERN, id_col="id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert list(memoryview(bytes(row.ids)).cast("I")) == WHOLE.encode_ordinary(text)
