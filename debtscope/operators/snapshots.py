@@ -141,13 +141,21 @@ def snapshot_files(
 
 
 def resolve_snapshots(
-    repos: DataFrame, listing: DataFrame, files: DataFrame, attempts: DataFrame, max_files: int | None = None
+    repos: DataFrame,
+    listing: DataFrame,
+    files: DataFrame,
+    attempts: DataFrame,
+    max_files: int | None = None,
+    coverage: DataFrame | None = None,
 ) -> DataFrame:
     """One row per repository with its route and the profile of its files.
 
     ``repos.status`` is 200 when metadata and listing were both read, else the failing
     status.  200 -> listing; 403 -> archive, or the sample when no archive has a usable
     file; anything else -> error (kept as a row with its message, without files).
+
+    ``coverage`` is that of the listing documents; a listing with gaps counts as truncated,
+    and the review says so.
     """
     profiles = P.profile(files, ["repo_id", "branch_rank", "branch"]).withColumn("n", F.col("profile.n"))
     is_listing = F.col("branch_rank") == 0
@@ -161,6 +169,11 @@ def resolve_snapshots(
         joined = joined.withColumn("listing_truncated", F.lit(False))
     else:
         joined = joined.join(truncated_repos(sampling.listing_sizes(listing), max_files), "repo_id", "left")
+    if coverage is not None:
+        gaps = coverage.select("repo_id", (~F.col("complete")).alias("has_gaps"))
+        joined = joined.join(gaps, "repo_id", "left")
+        cut = F.coalesce("listing_truncated", F.lit(False)) | F.coalesce("has_gaps", F.lit(False))
+        joined = joined.withColumn("listing_truncated", cut).drop("has_gaps")
     return pick_route(joined, max_files)
 
 

@@ -91,6 +91,14 @@ def _listing_scan(spark: SparkSession, sf: str) -> DataFrame:
     return landed.listing_scan(X.listing_documents(spark, sf))
 
 
+@query("listing_coverage")
+def _listing_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """What the listing documents of each repository cover, some of them landed twice or shifted."""
+    documents = X.listing_documents(spark, sf)
+    again = documents.filter("first_pos % 3 = 0").withColumn("first_pos", F.expr("first_pos + first_pos % 5"))
+    return landed.page_coverage(documents.unionByName(again))
+
+
 @query("metadata_scan")
 def _metadata_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _repos(spark, sf).select(

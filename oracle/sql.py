@@ -431,6 +431,15 @@ F["listing_scan"] = f"""
 SELECT repo_id, CAST(page * {X.PAGE_ENTRIES} + row_number() OVER (PARTITION BY repo_id, page ORDER BY pos) - 1 AS BIGINT) AS pos,
        type, path, size
 FROM (SELECT *, CAST(floor(pos / {X.PAGE_ENTRIES}) AS BIGINT) AS page FROM repo_files)"""
+F["listing_coverage"] = f"""
+WITH p AS (SELECT repo_id, CAST(floor(pos / {X.PAGE_ENTRIES}) AS BIGINT) * {X.PAGE_ENTRIES} AS s, count(*) AS n FROM repo_files GROUP BY ALL),
+d AS (SELECT * FROM p UNION ALL SELECT repo_id, s + s % 5, n FROM p WHERE s % 3 = 0),
+c AS (SELECT repo_id, unnest(range(s, s + n)) AS place, s FROM d),
+u AS (SELECT repo_id, place, count(*) AS times FROM c GROUP BY ALL),
+g AS (SELECT repo_id, place - coalesce(lag(place) OVER (PARTITION BY repo_id ORDER BY place), -1) - 1 AS hole, times FROM u)
+SELECT repo_id, (SELECT count(*) FROM d WHERE d.repo_id = g.repo_id) AS pages, count(*) AS entries,
+       CAST(sum(times - 1) AS BIGINT) AS overlapping, count(*) FILTER (hole > 0) AS gaps, CAST(sum(hole) AS BIGINT) AS missing,
+       sum(hole) = 0 AS complete FROM g GROUP BY repo_id"""
 F["metadata_scan"] = "SELECT repo_id, owner, repository, url, description, stars, default_branch FROM repos"
 F["archive_scan"] = f"""
 SELECT repo_id, 'b' || (pos % 5) AS branch, CAST(2 AS BIGINT) AS pos, path,
@@ -627,6 +636,8 @@ def statement(final: str) -> str:
             needed.add(name)
             todo.append(CTES[name])
     ctes = ",\n".join(f"{name} AS ({body})" for name, body in CTES.items() if name in needed)
+    if ctes and final.strip().startswith("WITH "):
+        return f"WITH {ctes},\n{final.strip()[5:]}"
     return f"WITH {ctes}\n{final.strip()}" if ctes else final.strip()
 
 

@@ -437,3 +437,31 @@ def test_latest_overlay_at_or_before_the_report(spark):
     assert {r.repo_id: r.debt_payload for r in plain}[1] == "z oldest"
     one = O.latest_overlays(df.filter("stage = 'debt'"), "repo_id", F.lit(at)).collect()
     assert {r.repo_id: r.payload for r in one} == {1: "a latest", 2: "a timed", 4: "z no time"}
+
+
+def test_page_coverage(spark):
+    def page(n):
+        return json.dumps({"tree": [{"type": "blob", "path": f"f{i}.ts", "size": 1} for i in range(n)]})
+
+    rows = [
+        (1, 0, page(3)), (1, 3, page(2)), (1, 5, page(1)),  # whole
+        (2, 0, page(3)), (2, 2, page(3)), (2, 0, page(3)),  # overlapping, and a page again
+        (3, 0, page(2)), (3, 5, page(1)), (3, 9, page(2)),  # two gaps
+        (4, 2, page(2)),  # the first page is missing
+        (5, 0, page(10)), (5, 2, page(3)), (5, 10, page(1)),  # one inside another
+        (6, 0, '{"message": "empty"}'), (6, 0, None),
+    ]
+    docs = spark.createDataFrame(rows, "repo_id bigint, first_pos bigint, payload string")
+    got = {r.repo_id: tuple(r)[1:] for r in landed.page_coverage(docs.repartition(5)).collect()}
+    assert got == {
+        1: (3, 6, 0, 0, 0, True), 2: (3, 5, 4, 0, 0, True), 3: (3, 5, 0, 2, 6, False),
+        4: (1, 2, 0, 1, 2, False), 5: (3, 11, 3, 0, 0, True)}
+    entries = landed.distinct_entries(landed.listing_scan(docs))
+    counts = {r.repo_id: r["count"] for r in entries.groupBy("repo_id").count().collect()}
+    assert counts == {k: v[1] for k, v in got.items()}
+    repos = spark.createDataFrame([repo(1, 200), repo(3, 200)], REPOS)
+    files = snapshots.snapshot_files(repos, entries, *[spark.createDataFrame([], s) for s in (BODIES, ARCHIVES)])
+    resolved = snapshots.resolve_snapshots(repos, entries, files, spark.createDataFrame([], ATTEMPTS), coverage=landed.page_coverage(docs))
+    assert {r.repo_id: r.truncated for r in resolved.collect()} == {1: False, 3: True}
+    reviews = R.analyse(resolved, None, F.lit(datetime(2024, 5, 1))).collect()
+    assert {r.repo_id: r.review.data.caveat is not None for r in reviews} == {1: False, 3: True}
