@@ -36,7 +36,7 @@ OVERLAP = 256
 #: look two ahead, runs of white space one.
 LOOK = 4
 #: Distinct pieces whose ids a task remembers before it starts afresh.
-CACHE, CACHED_CHARS = 400_000, 64
+CACHE, CACHED_CHARS = 150_000, 64
 #: Texts of up to so many code points are worked on where they are read, longer ones by many tasks.
 SPREAD = 65_536
 
@@ -301,7 +301,9 @@ def _decode(path: str):
     def run(batches):
         import pyarrow as pa
 
-        token = {rank: raw for raw, rank in read_ranks(path).items()}
+        ranks = read_ranks(path)
+        token = sorted(ranks, key=ranks.get) if sorted(ranks.values()) == list(range(len(ranks))) else {rank: raw for raw, rank in ranks.items()}
+        del ranks
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             raw = [b"".join(map(token.__getitem__, memoryview(x).cast("I"))) for x in ids]
