@@ -26,6 +26,7 @@ from debtscope.sources import archives as archive_source
 from debtscope.sources import landed
 from debtscope.sources import reports as report_table
 from debtscope.streaming import live_reports as stream_job
+from debtscope.streaming import recent_list
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -719,3 +720,14 @@ def _live_reports_stream(spark: SparkSession, sf: str) -> DataFrame:
         job.awaitTermination()
     live = lookup.live_reports(stream_job.registered(spark, f"{folder}/table", X.AS_OF, arriving.schema, days_only=True), X.AS_OF)
     return live.select("analysis_id", utc_text(F.col("created_at")).alias("created_at"))
+
+
+@query("recent_repos_stream")
+def _recent_repos_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """T9 from the event stream, in a few batches."""
+    folder = shared_folder(spark, "recent")
+    uses = X.repo_uses(spark, sf)
+    uses.repartition(3).write.parquet(f"{folder}/arriving")
+    stream = stream_job.report_stream(spark, f"{folder}/arriving", uses.schema, files_per_batch=1)
+    recent_list.follow(stream, f"{folder}/lists", f"{folder}/checkpoint").awaitTermination()
+    return recent_list.recent_lists(spark, f"{folder}/lists").select("user_id", "url", "rank")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 import pandas as pd
@@ -47,6 +48,17 @@ def report_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     )
 
 
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here keep their state in RocksDB; the session's own choice comes back."""
+    provider = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, provider) if provider else spark.conf.unset(STATE_STORE)
+
+
 class Registry(StatefulProcessor):
     """One report id: registered by its first row, expired by a timer when its life is over."""
 
@@ -113,9 +125,7 @@ def register(stream: DataFrame, table: str, checkpoint: str, as_of: datetime, tt
 
     on_time = events(stream.filter(F.col("created_at") <= F.lit(as_of)), ttl)
     early = stream.filter(F.col("created_at") > F.lit(as_of))
-    provider = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
+    with with_rocksdb(spark):
         return [
             rows.writeStream.foreachBatch(land(f"{table}/{name}"))
             .option("checkpointLocation", f"{checkpoint}/{name}")
@@ -123,8 +133,6 @@ def register(stream: DataFrame, table: str, checkpoint: str, as_of: datetime, tt
             .start()
             for name, rows in (("events", on_time), ("early", early))
         ]
-    finally:
-        spark.conf.set(STATE_STORE, provider) if provider else spark.conf.unset(STATE_STORE)
 
 
 def _landed(spark: SparkSession, path: str, schema: str, since: datetime | None, ttl: str) -> DataFrame:

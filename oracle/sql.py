@@ -625,6 +625,8 @@ F["live_reports_stream"] = f"""
 SELECT DISTINCT analysis_id, {iso('created_at')} AS created_at FROM stream_reports
 WHERE created_at >= {AS_OF} - INTERVAL 1 HOUR"""
 
+F["recent_repos_stream"] = F["recent_repos"]
+
 
 def statement(final: str) -> str:
     """Final SELECT with the CTEs it needs, in order of definition."""

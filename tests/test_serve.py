@@ -327,3 +327,23 @@ def test_text(evaluate, spark):
 
 def test_stage_names():
     assert len(C.STAGES) == len(C.STAGE_KEYS) == 5
+
+
+def test_recent_lists_follow_the_stream(spark, tmp_path):
+    """After each batch the lists are what the batch job gives for all that has arrived, late rows too."""
+    from debtscope.streaming import recent_list
+
+    arriving, table, checkpoint = (str(tmp_path / n) for n in ("in", "lists", "checkpoint"))
+    schema = "user_id bigint, url string, ts timestamp, ok boolean"
+    rng, rows = random.Random(4), []
+    assert recent_list.recent_lists(spark, table).count() == 0
+    for step in range(3):
+        part = [(rng.randint(1, 6), rng.choice([f"u{n}" for n in range(9)]), AS_OF + timedelta(minutes=rng.randint(-300, 300), microseconds=step), rng.random() > 0.2)
+                for _ in range(60)]
+        part += [(None, "u1", AS_OF, True), (7 + step, "é", AS_OF, True), (1, "tie b", AS_OF + timedelta(days=1), True), (1, "tie a", AS_OF + timedelta(days=1), True)]
+        rows += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(arriving)
+        stream = job.report_stream(spark, arriving, spark.createDataFrame([], schema).schema)
+        recent_list.follow(stream, table, checkpoint).awaitTermination()
+        want = lookup.recent_repos(spark.createDataFrame(rows, schema).filter("user_id IS NOT NULL")).select("user_id", "url", "last_use", "rank")
+        assert sorted(map(tuple, recent_list.recent_lists(spark, table).collect())) == sorted(map(tuple, want.collect()))
