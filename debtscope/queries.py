@@ -353,6 +353,15 @@ def _report_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("question_id", "analysis_id", "lookup", "url", "mode")
 
 
+@query("report_lookup_keyed")
+def _report_lookup_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same look-up on the serving copy that is bucketed by report id."""
+    requests = X.questions(spark, sf).select("question_id", "analysis_id")
+    columns = ["created_date", "analysis_id", "created_at", "url", "mode"]
+    keyed = report_table.keyed_reports(_stored(spark, sf).select(*columns), shared_folder(spark, "keyed"))
+    return lookup.lookup_reports(requests, keyed, X.AS_OF).select("question_id", "analysis_id", "lookup", "url", "mode")
+
+
 def _event_log(reports: DataFrame) -> DataFrame:
     rows = rows_of(reports, ["analysis_id", "repo_id"], F.col("events"), "event")
     return rows.select("analysis_id", "repo_id", "event.*")

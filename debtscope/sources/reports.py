@@ -73,3 +73,21 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     schema = StructType([StructField(f.name, StringType()) if f.name in names else f for f in found])
     rows = spark.read.schema(schema).parquet(f"{path}/reports")
     return rows.join(commits(spark, path).select("run_id", "attempt"), ["run_id", "attempt"], "left_semi").drop("attempt")
+
+
+def keyed_reports(reports: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """A serving copy of reports, by day and bucketed by ``analysis_id``.
+
+    Requests are shuffled to the buckets, reports are read where they lie: a look-up has no
+    exchange on their side.  ``buckets`` is by default what the session shuffles to, so one
+    exchange of the requests fits.  The catalogue name only declares the buckets; the rows
+    are the files in ``path``.
+    """
+    spark = reports.sparkSession
+    name = f"keyed_reports_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = reports if "created_date" in reports.columns else reports.withColumn("created_date", created_date())
+    # a bucket's rows in one task, so that a day has one sorted file for each
+    dealt = rows.repartition(n, "analysis_id")
+    dealt.write.partitionBy("created_date").bucketBy(n, "analysis_id").sortBy("analysis_id").option("path", path).saveAsTable(name)
+    return spark.table(name)

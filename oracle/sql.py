@@ -626,6 +626,7 @@ SELECT DISTINCT analysis_id, {iso('created_at')} AS created_at FROM stream_repor
 WHERE created_at >= {AS_OF} - INTERVAL 1 HOUR"""
 
 F["recent_repos_stream"] = F["recent_repos"]
+F["report_lookup_keyed"] = F["report_lookup"]
 
 
 def statement(final: str) -> str:

@@ -281,6 +281,27 @@ def test_report_runs_are_atomic(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(created_date" in day._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keyed_lookup_exchanges_no_report(spark, tmp_path):
+    rows = [(f"{n:04d}", AS_OF - timedelta(minutes=n), f"url{n}") for n in range(300)]
+    reports = spark.createDataFrame(rows, "analysis_id string, created_at timestamp, url string")
+    asked = [(n, f"{n % 310:04d}") for n in range(700)] + [(1000 + n, "0007") for n in range(300)] + [(2000, None)]
+    requests = spark.createDataFrame(asked, "question_id bigint, analysis_id string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed = store.keyed_reports(reports, str(tmp_path / "keyed"))
+        found = lookup.lookup_reports(requests, keyed, AS_OF)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((tuple(r) for r in found.select("question_id", "analysis_id", "lookup", "url").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plain = lookup.lookup_reports(requests, reports, AS_OF).select("question_id", "analysis_id", "lookup", "url")
+    assert got == sorted(map(tuple, plain.collect()), key=str) and len(got) == len(asked)
+    side = plan[plan.index("SortMergeJoin"):plan.index("keyed_reports")]
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "PartitionFilters: [isnotnull(created_date" in plan
+    assert side.index("Exchange") < side.rindex("Sort")  # the only exchange is that of the requests
+
+
 def test_errors(evaluate):
     rows = [
         (400, "own text Bearer abc", False),
