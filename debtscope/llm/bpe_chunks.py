@@ -25,7 +25,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debtscope.llm.common import whole_text
+from debtscope.llm.common import per_process, whole_text
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -120,7 +120,7 @@ def _encode_short(path: str, pattern: str):
         import pyarrow as pa
         import regex
 
-        matcher, encoder = regex.compile(pattern), PieceEncoder(path, pattern)
+        matcher, encoder = regex.compile(pattern), per_process(("pieces", path, pattern), lambda: PieceEncoder(path, pattern))
         rows = ((i, encoder.encode(matcher.findall(text))) for i, text in _texts(batches))
         yield from _batches(rows, [("id", pa.int64()), ("ids", pa.binary())])
 
@@ -178,7 +178,7 @@ def _encode_windows(path: str, pattern: str, chunk: int, overlap: int):
         import pyarrow as pa
         import regex
 
-        matcher, encoder = regex.compile(pattern), PieceEncoder(path, pattern)
+        matcher, encoder = regex.compile(pattern), per_process(("pieces", path, pattern), lambda: PieceEncoder(path, pattern))
 
         def rows():
             for i, text in _texts(batches):
@@ -226,7 +226,7 @@ def _scan(path: str, pattern: str):
         import pyarrow as pa
         import regex
 
-        matcher, encoder = regex.compile(pattern), PieceEncoder(path, pattern)
+        matcher, encoder = regex.compile(pattern), per_process(("pieces", path, pattern), lambda: PieceEncoder(path, pattern))
 
         def rows():
             for batch in batches:
@@ -254,7 +254,7 @@ def _stitch(path: str, pattern: str, chunk: int):
         import pyarrow as pa
         import regex
 
-        matcher, encoder = regex.compile(pattern), PieceEncoder(path, pattern)
+        matcher, encoder = regex.compile(pattern), per_process(("pieces", path, pattern), lambda: PieceEncoder(path, pattern))
 
         def rows():
             text, stitcher, copies, seen = None, None, 0, -1
@@ -301,9 +301,10 @@ def _decode(path: str):
     def run(batches):
         import pyarrow as pa
 
-        ranks = read_ranks(path)
-        token = sorted(ranks, key=ranks.get) if sorted(ranks.values()) == list(range(len(ranks))) else {rank: raw for raw, rank in ranks.items()}
-        del ranks
+        def tokens():
+            return {rank: raw for raw, rank in read_ranks(path).items()}
+
+        token = per_process(("tokens", path), tokens)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             raw = [b"".join(map(token.__getitem__, memoryview(x).cast("I"))) for x in ids]

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -284,10 +283,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     found = materialize(find(docs, id_col, text_col, **how).filter("size(extra) > 0")
                         .select(F.coalesce("id", F.lit(0)).alias("_id"), "digest", "extra").distinct(), "extra")
 
-    @F.pandas_udf("string")
-    def redacted(texts: pd.Series, extras: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else redact_text(t, [] if x is None else [(s["kind"], s["start"], s["end"]) for s in x])
-                          for t, x in zip(texts, extras)], dtype=object)
+    def redact_all(texts, extras):
+        import pyarrow as pa
+
+        return pa.array([None if t is None else redact_text(t, [(s["kind"], s["start"], s["end"]) for s in x or []])
+                         for t, x in zip(texts.to_pylist(), extras.to_pylist())], pa.string())
+
+    redacted = F.arrow_udf(redact_all, "string")
 
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.md5(whole_text(text_col)).alias("digest"))
     spans = found.agg(F.sum(F.size("extra") + 1)).first()[0] or 0
