@@ -55,7 +55,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and their decoded bytes, as digests; one row for each document it gets."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe_chunks.encode(docs, path, public_tokenizers.PATTERN)
+    # written first, so that a task has one Python worker at a time
+    ids = materialize(bpe_chunks.encode(docs, path, public_tokenizers.PATTERN), "ids")
     return bpe_chunks.decode(ids, path).select(
         F.col("id").alias("doc_id"), F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
