@@ -248,6 +248,38 @@ def test_registry_expires_while_it_runs(spark, tmp_path):
     assert stored.filter("analysis_id = 'a'").first() == want
 
 
+def test_registry_calls_nothing_for_each_id(spark, tmp_path, monkeypatch):
+    """Spark's own operators keep the state; of an id's rows in one batch the earliest counts, ties by text."""
+    schema = "analysis_id string, created_at timestamp, score int"
+    columns = spark.createDataFrame([], schema).schema
+    arriving, table, checkpoint = (str(tmp_path / n) for n in ("in", "table", "checkpoint"))
+    monkeypatch.setattr(job, "FOLD_ROWS", 50)
+    rows = [(f"id{n % 40}", AS_OF - timedelta(seconds=n // 80), n) for n in range(800)] + [(None, AS_OF, 1), ("", AS_OF, 2)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+
+    def run(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(arriving)
+        stream = job.report_stream(spark, arriving, columns)
+        for query in job.register(stream, table, checkpoint, AS_OF + timedelta(days=1), "3 HOURS"):
+            query.awaitTermination()
+
+    try:
+        run(rows)
+        run([("far", AS_OF + timedelta(minutes=100), 1)])
+        run([("id1", AS_OF + timedelta(minutes=90), 0), ("slow", AS_OF - timedelta(minutes=10), 3)])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    plan = job.events(job.report_stream(spark, arriving, columns))._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan and "DeduplicateWithinWatermark" in plan
+    got = {r.analysis_id: (r.created_at, r.score) for r in job.registered(spark, table, AS_OF + timedelta(days=1), columns).collect()}
+    want = {}
+    for key, at, score in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1], str(r[2]))):
+        want.setdefault(key, score)
+    assert {k: v[1] for k, v in got.items()} == want | {"far": 1, "slow": 3}  # live for three hours, so none of them is late
+    assert job.expired(spark, table).count() == 0
+
+
 def test_registry_that_was_never_written(spark, tmp_path):
     columns = spark.createDataFrame([], "analysis_id string, created_at timestamp").schema
     assert job.registered(spark, str(tmp_path / "none"), AS_OF, columns, days_only=True).count() == 0
