@@ -38,9 +38,25 @@ UNREADABLE = (
     EOFError,
 )
 BYTES_PER_CHAR = 4
+#: What a frame on its way to Spark holds at most; a frame for each archive would cost more than the archive.
+FRAME_ROWS, FRAME_CHARS = 10_000, 4_000_000
 CODE_FILE = re.compile(C.CODE_FILE.replace(r"\z", r"\Z"))
 
 
+def framed(rows: Iterator[tuple], columns: list[str], numbers: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames, whichever archives they are from; ``numbers`` may be null."""
+    types, held, chars = dict.fromkeys(numbers, "Int64"), [], 0
+    at = columns.index("content") if "content" in columns else None
+    for row in rows:
+        held.append(row)
+        chars += 0 if at is None else len(row[at] or "")
+        if len(held) >= FRAME_ROWS or chars >= FRAME_CHARS:
+            yield pd.DataFrame(held, columns=columns).astype(types)
+            held, chars = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns).astype(types)
+
+
 def list_archive_files(spark: SparkSession, path: str, name_pattern: str) -> DataFrame:
     """ZIP files as ``(repo_id, branch, first_pos, file, length)``; no content is read.
 
@@ -88,9 +104,8 @@ def open_file(uri: str):
     return store.open_input_file(path)
 
 
-def _directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """The entries of each archive from its central directory, which ends the file."""
-    columns = DIRECTORY_COLUMNS
     for batch in batches:
         for row in batch.itertuples(index=False):
             head = (row.repo_id, row.branch, row.file)
@@ -102,15 +117,16 @@ def _directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         first.setdefault(info.filename, at)
             except (*UNREADABLE, OSError, ValueError) as failure:
                 text = f"{type(failure).__name__}: {failure}"
-                yield pd.DataFrame([(*head, None, None, None, None, None, None, None, text)], columns=columns)
+                yield (*head, None, None, None, None, None, None, None, text)
                 continue
-            found = [
-                (*head, row.first_pos + first[name], name, info.header_offset, info.compress_size, info.file_size, info.compress_type,
-                 -1 if info.flag_bits & 1 else info.CRC, None)
-                for name, info in last.items() if not info.is_dir()
-            ]
-            for at in range(0, len(found), 10_000):
-                yield pd.DataFrame(found[at:at + 10_000], columns=columns)
+            for name, info in last.items():
+                if not info.is_dir():
+                    yield (*head, row.first_pos + first[name], name, info.header_offset, info.compress_size, info.file_size,
+                           info.compress_type, -1 if info.flag_bits & 1 else info.CRC, None)
+
+
+def _directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield from framed(_listed(batches), DIRECTORY_COLUMNS, ["pos", "offset", "packed", "size", "method", "crc"])
 
 
 def archive_directory(files: DataFrame) -> DataFrame:
@@ -221,6 +237,25 @@ def entries_of(
                 return
 
 
+def _unpack(max_files: int | None, max_chars: int | None):
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                try:
+                    entries = list(entries_of(bytes(row.zip), max_files, max_chars))
+                except UNREADABLE as failure:
+                    text = f"{type(failure).__name__}: {failure}"
+                    yield (row.repo_id, row.branch, None, None, None, None, None, text)
+                    continue
+                for pos, name, path, content in entries:
+                    yield (row.repo_id, row.branch, pos, name, path, len(content), content, None)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from framed(unpacked(batches), ENTRY_COLUMNS, ["pos", "size"])
+
+    return unpack
+
+
 def unpack_archives(
     archives: DataFrame, max_files: int | None = None, max_chars: int | None = None
 ) -> DataFrame:
@@ -230,23 +265,7 @@ def unpack_archives(
     archives are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                try:
-                    entries = list(entries_of(bytes(row.zip), max_files, max_chars))
-                    out = pd.DataFrame(entries, columns=["pos", "name", "path", "content"])
-                    out["size"], out["error"] = out["content"].str.len(), None
-                except UNREADABLE as failure:
-                    text = f"{type(failure).__name__}: {failure}"
-                    out = pd.DataFrame(
-                        {"pos": [None], "name": [None], "path": [None], "content": [None], "size": [None], "error": [text]}
-                    )
-                out.insert(0, "repo_id", row.repo_id)
-                out.insert(1, "branch", row.branch)
-                yield out[ENTRY_COLUMNS].astype({"pos": "Int64", "size": "Int64"})
-
-    return archives.select("repo_id", "branch", "zip").mapInPandas(unpack, ENTRY_SCHEMA)
+    return archives.select("repo_id", "branch", "zip").mapInPandas(_unpack(max_files, max_chars), ENTRY_SCHEMA)
 
 
 def archive_scan(

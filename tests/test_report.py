@@ -179,6 +179,25 @@ def test_archive_source(spark, tmp_path):
     assert routes[2].route == "sample" and "zip" in routes[2].fallback_reason
 
 
+def test_archives_share_frames(tmp_path):
+    """Many small archives make few frames, unpacked or listed; a large one is cut."""
+    import pandas as pd
+
+    blobs = [archive([("r/a.ts", f"a{k}"), ("r/b.ts", "b")]) if k % 10 else b"no archive" for k in range(200)]
+    for k, blob in enumerate(blobs):
+        (tmp_path / f"{k}-main.zip").write_bytes(blob)
+    batch = pd.DataFrame({"repo_id": range(200), "branch": "main", "zip": blobs})
+    frames = list(A._unpack(None, None)(iter([batch, batch])))
+    assert len(frames) == 1 and list(frames[0].columns) == A.ENTRY_COLUMNS and len(frames[0]) == 2 * (180 * 2 + 20)
+    assert frames[0]["error"].notna().sum() == 40 and frames[0]["pos"].max() == 1
+    files = pd.DataFrame({"repo_id": range(200), "branch": "main", "file": [f"file:{tmp_path}/{k}-main.zip" for k in range(200)], "first_pos": 0})
+    (listed,) = A._directory(iter([files]))
+    assert len(listed) == 180 * 2 + 20 and listed["error"].notna().sum() == 20
+    large = pd.DataFrame({"repo_id": [1], "branch": "main", "zip": [archive([(f"r/f{k}.ts", "x" * 500_000) for k in range(20)])]})
+    cut = list(A._unpack(None, None)(iter([large])))
+    assert sum(map(len, cut)) == 20 and max(map(len, cut)) <= 8
+
+
 def test_entries_by_byte_range(spark, tmp_path):
     """The same rows as from whole archives, whatever the range, from stored and packed entries."""
     texts = {f"r/src/f{k}.ts": f"export const x{k} = {k}\n" * (k % 50 * 20 + 1) for k in range(300)}
