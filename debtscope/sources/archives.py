@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from debtscope import constants as C
 from debtscope.functions.files import is_code_file
+from debtscope.operators.sampling import measure
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -129,13 +130,19 @@ def _directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from framed(_listed(batches), DIRECTORY_COLUMNS, ["pos", "offset", "packed", "size", "method", "crc"])
 
 
+def tasks(rows: DataFrame) -> int:
+    """What the session shuffles to, not to be coalesced by size."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def archive_directory(files: DataFrame) -> DataFrame:
     """Step one: ``(repo_id, branch, file, pos, name, offset, packed, size, method, crc, error)``.
 
     Only the ends of the files are read.  A repeated name keeps its first place and its last
-    content.  Files are dealt over the tasks by their name; Spark lists no empty ones.
+    content.  Files are dealt over the tasks by their name; Spark lists no empty ones.  The
+    number of tasks is given: a row is a file to open, and its few bytes say nothing of that.
     """
-    spread = files.repartition("file")
+    spread = files.repartition(tasks(files), "file")
     return spread.select("repo_id", "branch", "file", "first_pos").mapInPandas(_directory, DIRECTORY_SCHEMA)
 
 
@@ -202,10 +209,18 @@ def read_archive_entries(
     listed = archive_directory(list_archive_files(spark, path, name_pattern))
     wanted = listed.filter(F.col("error").isNotNull() | (F.col("name").contains("/") & is_code_file(F.col("name"))))
     span = F.floor(F.col("offset") / range_bytes)
-    dealt = wanted.repartition("file", span).sortWithinPartitions("file", "offset")
+    dealt = wanted.repartition(tasks(wanted), "file", span).sortWithinPartitions("file", "offset")
     return dealt.mapInPandas(_entries(max_chars), ENTRY_SCHEMA)
 
 
+def measured_entries(entries: DataFrame, metrics: str) -> DataFrame:
+    """Entries, unreadable ones too, with counts in place of ``content``, written once to the
+    folder ``metrics``: whatever is asked of them later opens no archive again."""
+    rows = measure(entries.drop("size"))
+    rows.write.parquet(metrics)
+    return rows.sparkSession.read.schema(rows.schema).parquet(metrics)
+
+
 def readable_archives(entries: DataFrame) -> DataFrame:
     """Entries of archives that were read whole; one unreadable entry makes an archive unreadable."""
     broken = entries.filter(F.col("error").isNotNull()).select("repo_id", "branch").distinct()

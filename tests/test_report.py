@@ -226,6 +226,23 @@ def test_entries_by_byte_range(spark, tmp_path):
     assert cut.first().content == texts["r/src/f49.ts"][:9]
 
 
+def test_zip_files_are_opened_once(spark, tmp_path):
+    """Measured entries are read from their table; the tasks that open files are not as few as the rows' bytes."""
+    (tmp_path / "zips").mkdir()
+    for k in range(40):
+        (tmp_path / "zips" / f"{k}-main.zip").write_bytes(archive([("r/a.ts", f"a{k}\n// TODO"), ("r/b.ts", "")]))
+    (tmp_path / "zips" / "90-main.zip").write_bytes(b"no archive")
+    rows = A.read_archive_entries(spark, str(tmp_path / "zips"), r"([0-9]+)-([a-z]+)[.]zip$")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f"RepartitionByExpression [file" in (plan := rows._jdf.queryExecution().logical().toString()) and f"], {n}" in plan
+    want = sorted(map(str, snapshots.prefer_branch(snapshots.archive_files(A.readable_archives(rows))).drop("error").select("repo_id", "path", "size", "lines", "markers").collect()))
+    measured = A.measured_entries(rows, str(tmp_path / "entries"))
+    assert [r.repo_id for r in A.archive_attempts(measured).collect()] == [90]
+    kept = snapshots.prefer_branch(snapshots.archive_files(A.readable_archives(measured)))
+    assert "MapInPandas" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, kept.select("repo_id", "path", "size", "lines", "markers").collect())) == want and len(want) == 40
+
+
 def test_no_task_holds_an_archive(spark, tmp_path):
     """Entries of one large archive are read by several tasks; other files' names are all that is known of them."""
     with zipfile.ZipFile(tmp_path / "1-main.zip", "w") as z:
