@@ -133,3 +133,12 @@ def test_route_is_chosen_before_texts_are_measured(spark, landed, monkeypatch):
     chosen.append(snapshots.resolve_snapshots(landed["repos"], landed["listing"], whole, landed["attempts"]))
     first, second = (sorted(map(str, df.collect())) for df in chosen)
     assert first == second and len(first) == landed["repos"].count()
+
+
+def test_repositories_are_asked_once(spark, sf_dir):
+    """Ids out of all documents, and patterns on URLs, are not evaluated anew for each use of the repositories."""
+    from debtscope import queries
+
+    plan = plan_of(queries._reports(spark, sf_dir))
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and not [line for line in scans if "doc_id" in line]
