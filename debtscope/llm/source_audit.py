@@ -4,8 +4,10 @@ Every term is tagged with its language, so one CountVectorizer gives each langua
 vocabulary: the terms that ``min_df`` of its documents hold, of any number.  A vocabulary
 passes through the driver, so terms are first dealt into blocks by hash, as many as keep a
 block below ``BLOCK_TERMS`` different terms; each block is vectorised by itself, from columns
-that hold its terms only.  Document vectors are sparse; their sums by language and source
-are exact integers.  From there on a term is a number, and its text joins what is shown.
+that hold its terms only.  The vector of several texts is the sum of theirs, so a task joins
+the documents of a group in its stretch of the table before they are vectorised, a row for
+each bit of the counts.  Vectors are sparse; their sums by language and source are exact
+integers.  From there on a term is a number, and its text joins what is shown.
 
 With smoothed shares p of a group and q of another, per billion, a term's part of the
 divergence is floor((p - q)^2 / q).  A pair's value over all kept terms is evaluated on
@@ -37,8 +39,9 @@ MIN_DF, TOP = 3, 200
 BLOCK_TERMS = 4_000_000
 #: One document in so many is looked at for the number of blocks.
 SHARE = 16
-#: Terms whose block a task remembers before it starts afresh.
-CACHE = 500_000
+#: Terms of groups and languages that a task holds before it sends a stretch of documents on,
+#: and terms of one row.
+HELD_TERMS, ROW_TERMS = 1_000_000, 50_000
 #: Entries of terms that one task evaluates together.
 PAIR_ROWS = 500_000
 #: Pairs of sources a task adds up before it sends them on.
@@ -52,8 +55,14 @@ GROUP = ["lang", "source"]
 
 
 # --- terms --------------------------------------------------------------------
-def _tokens(blocks: int):
-    """The different terms of each text, tagged, and how often each occurs, by block."""
+def _tokens(blocks: int, min_df: int):
+    """Stretches of documents joined: the terms of each group by bits of their counts, and the
+    terms of each language by presence.
+
+    A row of ``weight`` w has different terms that occur w times each in the stretch, as one bit
+    of their counts; a row of weight 0 has terms of as many documents as there are such rows,
+    ``min_df`` at most, which is all that a vocabulary of terms in ``min_df`` documents asks.
+    """
 
     def run(batches):
         import zlib
@@ -61,35 +70,57 @@ def _tokens(blocks: int):
 
         import pyarrow as pa
 
-        find, block_of = re.compile(TERM).findall, {}
-        names = [*GROUP, *(name for k in range(blocks) for name in block_columns(k))]
+        find = re.compile(TERM).findall
+        names = ["lang", "source", "weight", *map(block_column, range(blocks))]
+        types = [pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.string())] * blocks]
+
+        def rows(lang, source, weight, terms):
+            tag, dealt = lang + MARK, [[] for _ in range(blocks)]
+            if blocks == 1:
+                dealt[0] = [tag + term for term in terms]
+            else:
+                for term in terms:
+                    dealt[zlib.crc32(term.encode()) % blocks].append(tag + term)
+            for lo in range(0, max(map(len, dealt)), ROW_TERMS):
+                row = [lang, source, weight, *(mine[lo:lo + ROW_TERMS] for mine in dealt)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+
+        def flush(counts, seen):
+            for (lang, source), terms in counts.items():
+                bit, left = 0, list(terms.items())
+                while left:
+                    yield from rows(lang, source, 1 << bit, [term for term, n in left if n >> bit & 1])
+                    bit += 1
+                    left = [x for x in left if x[1] >> bit]
+            for lang, terms in seen.items():
+                left = list(terms.items())
+                for layer in range(1, min_df + 1):
+                    if left := [x for x in left if x[1] >= layer]:
+                        yield from rows(lang, None, 0, [term for term, _ in left])
+
+        counts, seen, held = {}, {}, 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                terms, counts, offsets = [[] for _ in range(blocks)], [[] for _ in range(blocks)], [[0] for _ in range(blocks)]
-                if len(block_of) > CACHE:
-                    block_of.clear()
-                for lang, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
-                    tag = lang + MARK
-                    for term, n in Counter(find(text.encode().lower().decode())).items():
-                        block = block_of.get(term)
-                        if block is None:
-                            block = block_of[term] = zlib.crc32(term.encode()) % blocks
-                        terms[block].append(tag + term)
-                        counts[block].append(n)
-                    for at, mine in zip(offsets, terms):
-                        at.append(len(mine))
-                columns = [part.column(0), part.column(1)]
-                for at, mine, n in zip(offsets, terms, counts):
-                    at = pa.array(at, pa.int32())
-                    columns += [pa.ListArray.from_arrays(at, pa.array(mine, pa.string())), pa.ListArray.from_arrays(at, pa.array(n, pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for lo in range(0, batch.num_rows, 16):
+                part = batch.slice(lo, 16)
+                for lang, source, text in zip(*(c.to_pylist() for c in part.columns)):
+                    if words := find(text.encode().lower().decode()):
+                        for held_in, key, found in ((counts, (lang, source), words), (seen, lang, set(words))):
+                            terms = held_in.get(key)
+                            if terms is None:
+                                terms = held_in[key] = Counter()
+                            held -= len(terms)
+                            terms.update(found)
+                            held += len(terms)
+                if held > HELD_TERMS:
+                    yield from flush(counts, seen)
+                    counts, seen, held = {}, {}, 0
+        yield from flush(counts, seen)
 
     return run
 
 
-def block_columns(block: int) -> tuple[str, str]:
-    return f"terms_{block}", f"counts_{block}"
+def block_column(block: int) -> str:
+    return f"terms_{block}"
 
 
 def n_blocks(texts: DataFrame, block_terms: int) -> int:
@@ -105,49 +136,46 @@ def n_blocks(texts: DataFrame, block_terms: int) -> int:
 
 
 def vectors(block: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """Sparse vectors of the documents' terms in a block, and its vocabulary (at, lang, term).
+    """Sparse vectors (group, weight, vector) of a block's terms, and its vocabulary (at, lang, term).
 
-    ``block`` has each document's different terms and their counts; a document counts once for
-    each of its terms, so the vocabulary is fitted on the former alone.
+    The vocabulary is fitted on the rows of weight 0 alone, in which a term stands as often as
+    documents have it, or ``min_df`` times.
     """
     import pandas as pd
 
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=2**31 - 1)
-    model = counter.fit(block.select("terms"))
+    model = counter.fit(block.filter("weight = 0").select("terms"))
     words = model.vocabulary
     table = pd.DataFrame({"at": range(len(words)), "tagged": words}).astype({"at": "int32", "tagged": "object"})
     names = block.sparkSession.createDataFrame(table, "at int, tagged string")
     lang = F.expr(f"substring(tagged, 1, length(tagged) - length(substring_index(tagged, '{MARK}', -1)) - 1)")
-    repeated = F.flatten(F.zip_with("terms", "counts", lambda term, n: F.array_repeat(term, n)))
-    documents = block.select(*GROUP, repeated.alias("terms"))
+    documents = block.filter("weight > 0").select("group", "weight", "terms")
     return model.transform(documents), names.select("at", lang.alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"))
 
 
 def sums(vectorised: DataFrame) -> DataFrame:
-    """(lang, source, at, n): the sparse vectors of each group summed, exactly."""
+    """(group, at, n): the sparse vectors of each group summed by weight, exactly."""
     entries = F.explode(F.arrays_zip(F.unwrap_udt("vector")["indices"].alias("at"), F.unwrap_udt("vector")["values"].alias("n")))
-    rows = vectorised.select(*GROUP, entries.alias("e"))
-    return rows.groupBy(*GROUP, F.col("e.at").alias("at")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
+    rows = vectorised.select("group", "weight", entries.alias("e"))
+    return rows.groupBy("group", F.col("e.at").alias("at")).agg(F.sum(F.col("e.n").cast("long") * F.col("weight")).alias("n"))
 
 
 def term_counts(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_TERMS,
                 text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All groups (lang, source); (lang, source, key, n) of the kept terms that occur; and the
+    """All groups (lang, source, group); (group, key, n) of the kept terms that occur; and the
     vocabulary (key, lang, term), in which each key is a term of one language."""
-    spark = docs.sparkSession
     texts = docs.select(*[whole_text(c).alias(c) for c in GROUP], whole_text(text_col).alias("text"))
     groups = texts.select(*GROUP).distinct().withColumn("group", F.monotonically_increasing_id())
     groups = materialize(groups, "groups")
     blocks = n_blocks(texts, block_terms)
-    columns = "".join(f", {terms} array<string>, {counts} array<int>" for terms, counts in map(block_columns, range(blocks)))
-    dealt = materialize(texts.mapInArrow(_tokens(blocks), f"lang string, source string{columns}"), "terms")
+    columns = "".join(f", {block_column(k)} array<string>" for k in range(blocks))
+    dealt = materialize(texts.mapInArrow(_tokens(blocks, min_df), f"lang string, source string, weight long{columns}"), "terms")
     counted, named = [], []
     for block in range(blocks):
-        terms, counts = block_columns(block)
-        mine = dealt.select(*GROUP, F.col(terms).alias("terms"), F.col(counts).alias("counts")).filter("size(terms) > 0")
-        vectorised, names = vectors(mine, min_df)
+        mine = dealt.select(*GROUP, "weight", F.col(block_column(block)).alias("terms")).filter("size(terms) > 0")
+        vectorised, names = vectors(mine.join(groups, GROUP, "left"), min_df)
         key = (F.lit(block << 32) + F.col("at")).cast("long").alias("key")
-        counted.append(materialize(sums(vectorised).select(*GROUP, key, "n"), "counts"))
+        counted.append(materialize(sums(vectorised).select("group", key, "n"), "counts"))
         named.append(materialize(names.select(key, "lang", "term"), "names"))
 
     def whole(parts: list[DataFrame]) -> DataFrame:
@@ -241,14 +269,14 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, block_terms: in
     """(lang, source, part, item, value, rank): divergence from every other source of the
     language, and the terms a source has more often than its language."""
     groups, counts, names = term_counts(docs, min_df, block_terms, text_col)
-    totals = counts.groupBy(*GROUP).agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("group").agg(F.sum("n").alias("total")).join(groups, "group").drop("group")
     kept = names.groupBy("lang").agg(F.count("*").alias("kept"))
     whole = totals.groupBy("lang").agg(F.sum("total").alias("lang_total"))
     groups = groups.join(totals, GROUP, "left").join(kept, "lang", "left").join(whole, "lang", "left")
     groups = groups.fillna(0, ["total", "kept", "lang_total"])
     groups = materialize(groups.withColumn("zero", share(F.lit(0).cast("long"), F.col("total"), F.col("kept"))), "sources")
-    about = groups.select(*GROUP, "group", "total", "kept", "lang_total", "zero")
-    entries = counts.join(about, GROUP).withColumns(
+    about = groups.select("group", "total", "kept", "lang_total", "zero")
+    entries = counts.join(about, "group").withColumns(
         {"p": share(F.col("n"), F.col("total"), F.col("kept")), "all_n": F.sum("n").over(W.partitionBy("key"))})
     q = share(F.col("all_n"), F.col("lang_total"), F.col("kept"))
     entries = materialize(entries.select("key", "group", "p", "zero", q.alias("q")), "entries")

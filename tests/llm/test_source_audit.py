@@ -103,3 +103,37 @@ def test_large_counts_stay_exact(spark):
     df = spark.createDataFrame([(big, 3 * big, 10**9)], "n long, total long, kept long")
     p = df.select(A.share(df.n, df.total, df.kept).alias("p")).first().p
     assert p == 1 + 10**9 * (big + 1) // (3 * big + 10**9)
+
+
+def stretches(rows, blocks, min_df):
+    """Rows that a task sends on for (lang, source, text) rows."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["lang", "source", "text"])
+    return [row for out in A._tokens(blocks, min_df)(iter([batch])) for row in out.to_pylist()]
+
+
+def test_joined_documents_keep_counts_and_presence(monkeypatch):
+    """Each count comes back from its bits; a term stands in as many presence rows as documents, or min_df."""
+    texts = ["word " * 37 + "other", "word", "word other", "word", "x " * 5]
+    rows = [("en", f"s{k % 2}", t) for k, t in enumerate(texts)] * 30
+    for held in (A.HELD_TERMS, 0):
+        monkeypatch.setattr(A, "HELD_TERMS", held)
+        got = stretches(rows, 2, 3)
+        counts = Counter()
+        for row in got:
+            for term in (row["terms_0"] or []) + (row["terms_1"] or []):
+                counts[row["lang"], row["source"], row["weight"] > 0, term] += max(1, row["weight"])
+        plain = Counter(("en", s, True, "en\x00" + w) for _, s, t in rows for w in t.split())
+        assert Counter({k: n for k, n in counts.items() if k[2]}) == plain
+        assert all(n >= 3 for k, n in counts.items() if not k[2])
+    monkeypatch.undo()
+    assert len(stretches(rows, 2, 3)) < 20  # not a row for each document
+    few = stretches([("en", "s", "a b"), ("en", "t", "a")], 1, 3)
+    assert Counter(t for r in few if not r["weight"] for t in r["terms_0"]) == {"en\x00a": 2, "en\x00b": 1}
+
+
+def test_stretches_cut_short(spark, monkeypatch, rows):
+    monkeypatch.setattr(A, "HELD_TERMS", 50)
+    monkeypatch.setattr(A, "ROW_TERMS", 7)
+    assert found(A.audit(frame(spark, rows), block_terms=100)) == brute(rows)
