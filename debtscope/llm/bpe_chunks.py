@@ -25,7 +25,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from debtscope.llm.common import per_process, whole_text
+from debtscope.llm.common import parts, per_process, whole_text
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -306,10 +306,11 @@ def _decode(path: str):
 
         token = per_process(("tokens", path), tokens)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            raw = [b"".join(map(token.__getitem__, memoryview(x).cast("I"))) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())],
-                                             names=[*batch.schema.names, "decoded"])
+            at = batch.schema.get_field_index("ids")
+            for part in parts(batch, at):
+                raw = [b"".join(map(token.__getitem__, memoryview(x).cast("I"))) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())],
+                                                 names=[*part.schema.names, "decoded"])
 
     return run
 

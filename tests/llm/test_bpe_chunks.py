@@ -54,3 +54,24 @@ def test_one_text_is_the_work_of_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert list(memoryview(bytes(row.ids)).cast("I")) == WHOLE.encode_ordinary(text)
+
+
+def test_decoded_batches_are_bounded():
+    """A large batch of ids is decoded in slices, so that a worker never holds all of it again."""
+    import array
+
+    import public_tokenizers
+    import pyarrow as pa
+    from debtscope.llm import bpe_chunks as B
+    from debtscope.llm import common
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = [array.array("I", [k % 200 + 1] * 1000).tobytes() for k in range(2000)] + [b"", b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.binary())], names=["id", "ids"])
+    out = list(B._decode(path)(iter([batch])))
+    assert max(sum(map(len, b.column(1).to_pylist())) for b in out) <= common.PART_BYTES and len(out) > 3
+    token = {rank: raw for raw, rank in B.read_ranks(path).items()}
+    got = [row for b in out for row in b.to_pylist()]
+    assert [r["id"] for r in got] == list(range(len(ids)))
+    assert all(r["decoded"] == b"".join(token[i] for i in memoryview(r["ids"]).cast("I")) for r in got)
+    assert sum(b.num_rows for b in common.parts(batch, 1, 1)) == len(ids)

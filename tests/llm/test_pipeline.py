@@ -56,3 +56,21 @@ def test_run_equals_its_stages_by_brute_force(spark, sf_dir):
 def test_registered():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in names} and "pipeline" in names
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    """Long texts go to Python a few at a time; a bound that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = docs_frame(spark, [(k, prose(60, k), "en", "src1") for k in range(3)])
+    try:
+        spark.conf.set(key, "3m")
+        P.personal_data(spark, docs, "")
+        assert spark.conf.get(key) == "3m"
+        spark.conf.unset(key)
+        P.personal_data(spark, docs, "")
+        assert spark.conf.get(key) == P.BATCH_BYTES
+        seen = spark.range(0, 8000, 1, 1).selectExpr("repeat('x', 4000) AS text").mapInArrow(lambda batches: (b.slice(0, 1).drop_columns("text").append_column("n", __import__("pyarrow").array([b.num_rows])) for b in batches), "n long")
+        assert max(r.n for r in seen.collect()) < 2000
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
