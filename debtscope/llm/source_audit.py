@@ -4,9 +4,9 @@ Every term is tagged with its language, so one CountVectorizer gives each langua
 vocabulary: the terms that ``min_df`` of its documents hold, of any number.  A vocabulary
 passes through the driver, so terms are first dealt into blocks by hash, as many as keep a
 block below ``BLOCK_TERMS`` different terms; each block is vectorised by itself, from columns
-that hold its terms only.  The vector of several texts is the sum of theirs, so a task joins
-the documents of a group in its stretch of the table before they are vectorised, a row for
-each bit of the counts.  Vectors are sparse; their sums by language and source are exact
+that hold its terms only.  The vector of several texts is the sum of theirs, so documents are
+dealt to tasks by group and place, and a task joins those of a group before they are
+vectorised, a row for each bit of the counts.  Vectors are sparse; their sums by language and source are exact
 integers.  From there on a term is a number, and its text joins what is shown.
 
 With smoothed shares p of a group and q of another, per billion, a term's part of the
@@ -22,14 +22,12 @@ table gives no rows.  Rankings go by value, then by the item's bytes.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from debtscope.llm.common import materialize, whole_text
+from debtscope.llm.common import materialize, parts, whole_text
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -39,9 +37,11 @@ MIN_DF, TOP = 3, 200
 BLOCK_TERMS = 4_000_000
 #: One document in so many is looked at for the number of blocks.
 SHARE = 16
-#: Terms of groups and languages that a task holds before it sends a stretch of documents on,
-#: and terms of one row.
-HELD_TERMS, ROW_TERMS = 1_000_000, 50_000
+#: Bytes of texts whose terms are cut and counted at once.
+CHUNK_BYTES = 2_000_000
+#: Terms of groups and languages, counted anew for each such part, and bytes of different terms
+#: that a task holds before it sends a stretch of documents on; terms of one row.
+HELD_TERMS, HELD_BYTES, ROW_TERMS = 1_500_000, 32_000_000, 50_000
 #: Entries of terms that one task evaluates together.
 PAIR_ROWS = 500_000
 #: Pairs of sources a task adds up before it sends them on.
@@ -49,12 +49,53 @@ FLUSH = 200_000
 SCALE = 1_000_000_000
 #: Between language and term; no term has it.
 MARK = "\x00"
-#: Runs of letters once A-Z are lowered: a-z and all beyond ASCII.
-TERM = "[a-z\x80-\U0010ffff]+"
 GROUP = ["lang", "source"]
 
 
 # --- terms --------------------------------------------------------------------
+def _coded_terms(texts):
+    """An Arrow array of texts -> its different terms, and code and document of every occurrence.
+
+    Every byte of a code point beyond ASCII is above 0x7F, so terms are runs of bytes.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    letter = np.arange(256, dtype=np.uint8)
+    letter[ord("A"):ord("Z") + 1] += 32
+    letter[:ord("A")] = letter[ord("Z") + 1:ord("a")] = letter[ord("z") + 1:0x80] = 0
+    texts = texts.cast(pa.large_string())
+    _, upto, data = texts.buffers()
+    upto = np.frombuffer(upto, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    low = letter[np.frombuffer(data or b"", np.uint8)[upto[0]:upto[-1]]]
+    upto = upto - upto[0]
+    inside = low != 0
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    begins = upto[:-1][upto[:-1] < len(low)]
+    start[begins] = inside[begins]  # a text never goes on from the one before
+    per_text = np.diff(np.searchsorted(np.flatnonzero(start), upto))
+    at = np.append(np.flatnonzero(start[inside]), np.count_nonzero(inside))
+    terms = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(low[inside])).dictionary_encode()
+    return terms.dictionary, terms.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(texts)), per_text)
+
+
+def _firsts(keys):
+    """Places in ascending keys at which another one begins."""
+    import numpy as np
+
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+
+
+def _counted(keys):
+    """Different keys in ascending order and how often each occurs."""
+    import numpy as np
+
+    keys = np.sort(keys)
+    first = _firsts(keys)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def _tokens(blocks: int, min_df: int):
     """Stretches of documents joined: the terms of each group by bits of their counts, and the
     terms of each language by presence.
@@ -62,63 +103,102 @@ def _tokens(blocks: int, min_df: int):
     A row of ``weight`` w has different terms that occur w times each in the stretch, as one bit
     of their counts; a row of weight 0 has terms of as many documents as there are such rows,
     ``min_df`` at most, which is all that a vocabulary of terms in ``min_df`` documents asks.
+    Terms are cut, coded and counted a few megabytes of texts at a time, as arrays.
     """
 
     def run(batches):
         import zlib
-        from collections import Counter
 
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        find = re.compile(TERM).findall
         names = ["lang", "source", "weight", *map(block_column, range(blocks))]
         types = [pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.string())] * blocks]
 
-        def rows(lang, source, weight, terms):
-            tag, dealt = lang + MARK, [[] for _ in range(blocks)]
-            if blocks == 1:
-                dealt[0] = [tag + term for term in terms]
-            else:
-                for term in terms:
-                    dealt[zlib.crc32(term.encode()) % blocks].append(tag + term)
-            for lo in range(0, max(map(len, dealt)), ROW_TERMS):
-                row = [lang, source, weight, *(mine[lo:lo + ROW_TERMS] for mine in dealt)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
-
-        def flush(counts, seen):
-            for (lang, source), terms in counts.items():
-                bit, left = 0, list(terms.items())
-                while left:
-                    yield from rows(lang, source, 1 << bit, [term for term, n in left if n >> bit & 1])
-                    bit += 1
-                    left = [x for x in left if x[1] >> bit]
-            for lang, terms in seen.items():
-                left = list(terms.items())
-                for layer in range(1, min_df + 1):
-                    if left := [x for x in left if x[1] >= layer]:
-                        yield from rows(lang, None, 0, [term for term, _ in left])
-
-        counts, seen, held = {}, {}, 0
+        def batch_of(lang, source, rows, every):
+            columns = [pa.array([v] * len(rows), t) for v, t in zip((lang, source), types)]
+            columns.append(pa.array([weight for weight, _ in rows], pa.int64()))
+            for block in range(blocks):
+                mine = [dealt[block] for _, dealt in rows]
+                upto = np.cumsum([0, *map(len, mine)]).astype(np.int32)
+                tagged = pc.binary_join_element_wise(lang + MARK, every.take(pa.array(np.concatenate(mine))), "")
+                columns.append(pa.ListArray.from_arrays(pa.array(upto), tagged))
+            return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types)], names=names)
+
+        def batches_of(lang, source, layers, every, block_of):
+            rows, held = [], 0
+            for weight, codes in layers:
+                dealt = [codes[block_of[codes] == block] for block in range(blocks)] if blocks > 1 else [codes]
+                for lo in range(0, max(map(len, dealt)), ROW_TERMS):
+                    rows.append((weight, [mine[lo:lo + ROW_TERMS] for mine in dealt]))
+                    held += sum(map(len, rows[-1][1]))
+                    if held >= ROW_TERMS:
+                        yield batch_of(lang, source, rows, every)
+                        rows, held = [], 0
+            if rows:
+                yield batch_of(lang, source, rows, every)
+
+        def together(held, codes_of):
+            """Per group or language: ascending codes and their counts over all parts."""
+            keys = np.concatenate([(owner << 32) + codes_of[k][codes] for k, (owner, codes, _) in enumerate(held)])
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = _firsts(keys)
+            counts = np.add.reduceat(np.concatenate([n for *_, n in held])[order], first, dtype=np.int64)
+            owners, codes = keys[first] >> 32, keys[first] & 0xFFFFFFFF
+            cuts = [0, *(np.flatnonzero(owners[1:] != owners[:-1]) + 1).tolist(), len(owners)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield int(owners[lo]), codes[lo:hi], counts[lo:hi]
+
+        def flush(terms, counts, seen, groups, langs):
+            every = pa.concat_arrays(terms).dictionary_encode()
+            codes_of = np.split(every.indices.to_numpy(zero_copy_only=False), np.cumsum([len(t) for t in terms])[:-1])
+            every = every.dictionary.cast(pa.string())
+            block_of = np.array([zlib.crc32(t) % blocks for t in every.cast(pa.binary()).to_pylist()], np.int32) if blocks > 1 else None
+            groups, langs = list(groups), list(langs)
+            for group, codes, n in together(counts, codes_of):
+                layers = ((1 << bit, codes[n >> bit & 1 == 1]) for bit in range(int(n.max()).bit_length()))
+                yield from batches_of(*groups[group], layers, every, block_of)
+            for lang, codes, n in together(seen, codes_of):
+                layers = ((0, codes[n >= layer]) for layer in range(1, min_df + 1))
+                yield from batches_of(langs[lang], None, layers, every, block_of)
+
+        def new():
+            return [], [], [], {}, {}
+
+        held, size = new(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 16):
-                part = batch.slice(lo, 16)
-                for lang, source, text in zip(*(c.to_pylist() for c in part.columns)):
-                    if words := find(text.encode().lower().decode()):
-                        for held_in, key, found in ((counts, (lang, source), words), (seen, lang, set(words))):
-                            terms = held_in.get(key)
-                            if terms is None:
-                                terms = held_in[key] = Counter()
-                            held -= len(terms)
-                            terms.update(found)
-                            held += len(terms)
-                if held > HELD_TERMS:
-                    yield from flush(counts, seen)
-                    counts, seen, held = {}, {}, 0
-        yield from flush(counts, seen)
+            for part in parts(batch, 2, CHUNK_BYTES):
+                terms, counts, seen, groups, langs = held
+                different, codes, doc = _coded_terms(part.column(2))
+                if not len(codes):
+                    continue
+                by_text = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                group = np.array([groups.setdefault(g, len(groups)) for g in by_text], np.int64)
+                lang = np.array([langs.setdefault(name, len(langs)) for name, _ in by_text], np.int64)
+                terms.append(different)
+                once, _ = _counted((doc << 32) + codes)
+                for to, keys in ((counts, (group[doc] << 32) + codes), (seen, (lang[once >> 32] << 32) + (once & 0xFFFFFFFF))):
+                    keys, n = _counted(keys)
+                    to.append((keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)))
+                    size += len(keys)
+                if size > HELD_TERMS or sum(t.nbytes for t in terms) > HELD_BYTES:
+                    yield from flush(*held)
+                    held, size = new(), 0
+        if held[0]:
+            yield from flush(*held)
 
     return run
 
 
+def by_group(texts: DataFrame) -> DataFrame:
+    """Texts dealt so that a task has those of few groups, which join best; a large group is
+    cut among tasks by place in the table."""
+    placed = texts.withColumn("place", F.monotonically_increasing_id())
+    return placed.repartitionByRange(*GROUP, "place").select(*texts.columns)
+
+
 def block_column(block: int) -> str:
     return f"terms_{block}"
 
@@ -169,7 +249,7 @@ def term_counts(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_
     groups = materialize(groups, "groups")
     blocks = n_blocks(texts, block_terms)
     columns = "".join(f", {block_column(k)} array<string>" for k in range(blocks))
-    dealt = materialize(texts.mapInArrow(_tokens(blocks, min_df), f"lang string, source string, weight long{columns}"), "terms")
+    dealt = materialize(by_group(texts).mapInArrow(_tokens(blocks, min_df), f"lang string, source string, weight long{columns}"), "terms")
     counted, named = [], []
     for block in range(blocks):
         mine = dealt.select(*GROUP, "weight", F.col(block_column(block)).alias("terms")).filter("size(terms) > 0")

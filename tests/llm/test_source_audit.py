@@ -137,3 +137,48 @@ def test_stretches_cut_short(spark, monkeypatch, rows):
     monkeypatch.setattr(A, "HELD_TERMS", 50)
     monkeypatch.setattr(A, "ROW_TERMS", 7)
     assert found(A.audit(frame(spark, rows), block_terms=100)) == brute(rows)
+
+
+def test_a_group_is_joined_over_the_whole_table(spark, monkeypatch):
+    """Groups that alternate in the table give about a row each, not one for each part of the table."""
+    rows = [(f"common w{chr(97 + k % 20)}", "en", f"s{k % 20}") for k in range(400)]
+    seen, sums = [], A.sums
+    monkeypatch.setattr(A, "sums", lambda v: seen.append(v.filter("weight > 0").groupBy("group").count().collect()) or sums(v))
+    counts = Counter()
+    groups, counted, _ = A.term_counts(frame(spark, rows).repartition(4), 1)
+    for r in counted.join(groups, "group").collect():
+        counts[r["source"]] += r["n"]
+    assert counts == {f"s{k}": 40 for k in range(20)}
+    # 20 documents of each group; the bits of 20 are two, a group on a border of tasks has more
+    assert sum(r["count"] for r in seen[0]) <= 20 * 2 + 4 * 5
+
+
+def test_large_groups_are_cut_among_tasks(spark):
+    rows = [(f"text {k}", "en", "hot" if k % 10 else "other") for k in range(2000)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        dealt = A.by_group(frame(spark, rows).select("lang", "source", "text"))
+        sizes = dealt.rdd.mapPartitions(lambda it: [sum(1 for r in it if r["source"] == "hot")]).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert sum(sizes) == 1800 and max(sizes) < 900
+
+
+def test_terms_cut_as_arrays(monkeypatch):
+    """Texts that touch, slices, capitals beyond ASCII, parts of a few bytes."""
+    import pyarrow as pa
+
+    texts = ["ab", "cd", "", "É été ÉTÉ", "x1y[z`a{b\x7fc@D", "日本 🙂é\x80\x85", "\x00A\x00", "", "tail"] * 7
+    want = Counter((str(k % 2), w) for k, t in enumerate(texts) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t)))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["x"] + ["l"] * len(texts)), pa.array(["x"] + [str(k % 2) for k in range(len(texts))]), pa.array(["skipped", *texts])],
+        names=["lang", "source", "text"]).slice(1)
+    for name, size in (("CHUNK_BYTES", A.CHUNK_BYTES), ("CHUNK_BYTES", 5), ("HELD_BYTES", 0), ("ROW_TERMS", 1)):
+        monkeypatch.setattr(A, name, size)
+        got = Counter()
+        for row in (r for out in A._tokens(3, 3)(iter([batch])) for r in out.to_pylist()):
+            for term in row["terms_0"] + row["terms_1"] + row["terms_2"]:
+                if row["weight"]:
+                    got[row["source"], term.removeprefix("l\x00")] += row["weight"]
+        assert got == want
