@@ -219,15 +219,14 @@ def vectors(block: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     """Sparse vectors (group, weight, vector) of a block's terms, and its vocabulary (at, lang, term).
 
     The vocabulary is fitted on the rows of weight 0 alone, in which a term stands as often as
-    documents have it, or ``min_df`` times.
+    documents have it, or ``min_df`` times.  A term by itself as a document tells its number, so
+    tasks name the numbers, and the vocabulary does not come to the driver's Python.
     """
-    import pandas as pd
-
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=2**31 - 1)
-    model = counter.fit(block.filter("weight = 0").select("terms"))
-    words = model.vocabulary
-    table = pd.DataFrame({"at": range(len(words)), "tagged": words}).astype({"at": "int32", "tagged": "object"})
-    names = block.sparkSession.createDataFrame(table, "at int, tagged string")
+    present = block.filter("weight = 0").select("terms")
+    model = counter.fit(present)
+    alone = present.select(F.explode("terms").alias("tagged")).select("tagged", F.array("tagged").alias("terms"))
+    names = model.transform(alone).select("tagged", F.explode(F.unwrap_udt("vector")["indices"]).alias("at")).distinct()
     lang = F.expr(f"substring(tagged, 1, length(tagged) - length(substring_index(tagged, '{MARK}', -1)) - 1)")
     documents = block.filter("weight > 0").select("group", "weight", "terms")
     return model.transform(documents), names.select("at", lang.alias("lang"), F.substring_index("tagged", MARK, -1).alias("term"))
