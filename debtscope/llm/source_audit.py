@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from debtscope.llm.common import materialize, parts, whole_text
+from debtscope.session import shared_folder
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
 
 MIN_DF, TOP = 3, 200
 #: Different terms of a block, kept or not; a bound on what one vocabulary brings to the driver.
-BLOCK_TERMS = 4_000_000
+BLOCK_TERMS = 1_000_000
 #: One document in so many is looked at for the number of blocks.
 SHARE = 16
 #: Bytes of texts whose terms are cut and counted at once.
@@ -239,6 +240,18 @@ def sums(vectorised: DataFrame) -> DataFrame:
     return rows.groupBy("group", F.col("e.at").alias("at")).agg(F.sum(F.col("e.n").cast("long") * F.col("weight")).alias("n"))
 
 
+def add_block(block: int, rows: DataFrame, min_df: int, counted: str, named: str) -> None:
+    """Counts and vocabulary of a block, added to the files of the blocks before.
+
+    All blocks are read as one folder, so plans do not grow with them, and the model of a block
+    is let go of before the next one is fitted.
+    """
+    vectorised, names = vectors(rows, min_df)
+    key = (F.lit(block << 32) + F.col("at")).cast("long").alias("key")
+    sums(vectorised).select("group", key, "n").write.mode("append").parquet(counted)
+    names.select(key, "lang", "term").write.mode("append").parquet(named)
+
+
 def term_counts(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_TERMS,
                 text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """All groups (lang, source, group); (group, key, n) of the kept terms that occur; and the
@@ -248,22 +261,15 @@ def term_counts(docs: DataFrame, min_df: int = MIN_DF, block_terms: int = BLOCK_
     groups = materialize(groups, "groups")
     blocks = n_blocks(texts, block_terms)
     columns = "".join(f", {block_column(k)} array<string>" for k in range(blocks))
-    dealt = materialize(by_group(texts).mapInArrow(_tokens(blocks, min_df), f"lang string, source string, weight long{columns}"), "terms")
-    counted, named = [], []
+    dealt = by_group(texts).mapInArrow(_tokens(blocks, min_df), f"lang string, source string, weight long{columns}")
+    dealt = materialize(dealt.join(groups, GROUP, "left").drop(*GROUP), "terms")
+    counted, named = shared_folder(docs.sparkSession, "counts"), shared_folder(docs.sparkSession, "names")
     for block in range(blocks):
-        mine = dealt.select(*GROUP, "weight", F.col(block_column(block)).alias("terms")).filter("size(terms) > 0")
-        vectorised, names = vectors(mine.join(groups, GROUP, "left"), min_df)
-        key = (F.lit(block << 32) + F.col("at")).cast("long").alias("key")
-        counted.append(materialize(sums(vectorised).select("group", key, "n"), "counts"))
-        named.append(materialize(names.select(key, "lang", "term"), "names"))
-
-    def whole(parts: list[DataFrame]) -> DataFrame:
-        one = parts[0]
-        for part in parts[1:]:
-            one = one.unionByName(part)
-        return one
-
-    return groups, whole(counted), whole(named)
+        mine = dealt.select("group", "weight", F.col(block_column(block)).alias("terms")).filter("size(terms) > 0")
+        add_block(block, mine, min_df, counted, named)
+    read = docs.sparkSession.read
+    counts = read.schema("group long, key long, n long").parquet(counted)
+    return groups, counts, read.schema("key long, lang string, term string").parquet(named)
 
 
 # --- divergence ---------------------------------------------------------------

@@ -182,3 +182,21 @@ def test_terms_cut_as_arrays(monkeypatch):
                 if row["weight"]:
                     got[row["source"], term.removeprefix("l\x00")] += row["weight"]
         assert got == want
+
+
+def test_vocabularies_stay_small(spark):
+    """Millions of different terms are not one vocabulary in the driver."""
+    letters = "translate(cast(id * 150 + k as string), '0123456789', 'abcdefghij')"
+    texts = spark.range(16_000).selectExpr("'en' as lang", f"array_join(transform(sequence(0, 149), k -> {letters}), ' ') as text")
+    assert A.n_blocks(texts, A.BLOCK_TERMS) > 1  # 2,400,000
+
+
+def test_plans_do_not_grow_with_blocks(spark, monkeypatch, rows):
+    """All blocks are read as one folder, and no block joins the groups again."""
+    fitted, vectors = [], A.vectors
+    monkeypatch.setattr(A, "vectors", lambda block, min_df: fitted.append(block) or vectors(block, min_df))
+    _, counts, names = A.term_counts(frame(spark, rows), block_terms=100)
+    assert len(fitted) > 2
+    for df in (counts, names, *fitted):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 1 and "Join" not in plan
