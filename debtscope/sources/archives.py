@@ -7,14 +7,17 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from debtscope import constants as C
 from debtscope.functions.files import is_code_file
 from debtscope.operators.sampling import measure
+from debtscope.session import shared_folder
 from debtscope.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -28,6 +31,8 @@ DIRECTORY_SCHEMA = (
     "crc bigint, error string"
 )
 DIRECTORY_COLUMNS = ["repo_id", "branch", "file", "pos", "name", "offset", "packed", "size", "method", "crc", "error"]
+#: What lies in a folder; folders have no length.
+LISTED_SCHEMA, LISTED_COLUMNS = "path string, length bigint", ["path", "length"]
 #: Bytes of a ZIP file that one task reads.
 RANGE_BYTES = 64 << 20
 UNREADABLE = (
@@ -58,6 +63,59 @@ def framed(rows: Iterator[tuple], columns: list[str], numbers: list[str]) -> Ite
         yield pd.DataFrame(held, columns=columns).astype(types)
 
 
+def is_read(name: str) -> bool:
+    """Whether Spark's readers take a file of this name."""
+    return not (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name))
+
+
+def _roots(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, or what it matches, as the cluster's file systems have it."""
+    wanted = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = wanted.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(wanted)
+    if not found:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {path}.")
+    rows = [(f.getPath().toString(), None if f.isDirectory() else f.getLen()) for f in found if f.isDirectory() or is_read(f.getPath().getName())]
+    return spark.createDataFrame(rows, LISTED_SCHEMA).coalesce(1)
+
+
+def _children(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """The files and folders in each folder, without those that Spark's readers pass over."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch["path"]:
+            store, path = located(quote(folder, safe="/:@"))
+            for info in store.get_file_info(fs.FileSelector(path)):
+                place = f"{folder.rstrip('/')}/{info.base_name}"
+                if info.type == fs.FileType.Directory:
+                    if is_read(info.base_name) or info.base_name.startswith(("_metadata", "_common_metadata")):
+                        yield place, None
+                elif info.type == fs.FileType.File and info.size > 0 and is_read(info.base_name):
+                    yield place, info.size
+
+
+def _listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield from framed(_children(batches), LISTED_COLUMNS, ["length"])
+
+
+def list_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The files below ``path`` as ``(path, length)``, without empty ones.
+
+    Folders are listed level by level, each by the task that it is dealt to, and what they hold
+    is written; the driver counts the folders of a level and knows no file but those that ``path``
+    itself names or matches.
+    """
+    level, written = _roots(spark, path), []
+    folder = shared_folder(spark, "listing")
+    while True:
+        written.append(f"{folder}/{len(written)}")
+        level.write.parquet(written[-1])
+        folders = spark.read.schema(LISTED_SCHEMA).parquet(written[-1]).filter("length IS NULL")
+        if (n := folders.count()) == 0:
+            return spark.read.schema(LISTED_SCHEMA).parquet(*written).filter("length > 0")
+        level = folders.select("path").repartition(min(n, tasks(folders)), "path").mapInPandas(_listing, LISTED_SCHEMA)
+
+
 def list_archive_files(spark: SparkSession, path: str, name_pattern: str) -> DataFrame:
     """ZIP files as ``(repo_id, branch, first_pos, file, length)``; no content is read.
 
@@ -66,17 +124,12 @@ def list_archive_files(spark: SparkSession, path: str, name_pattern: str) -> Dat
     """
     parts = re.compile(name_pattern).groups >= 3
     first = F.regexp_extract("path", name_pattern, 3).try_cast("bigint") if parts else F.lit(None).cast("bigint")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(
-            F.regexp_extract("path", name_pattern, 1).cast("bigint").alias("repo_id"),
-            F.regexp_extract("path", name_pattern, 2).alias("branch"),
-            F.coalesce(first, F.lit(0)).alias("first_pos"),
-            F.col("path").alias("file"),
-            "length",
-        )
+    return list_tree(spark, path).select(
+        F.regexp_extract("path", name_pattern, 1).cast("bigint").alias("repo_id"),
+        F.regexp_extract("path", name_pattern, 2).alias("branch"),
+        F.coalesce(first, F.lit(0)).alias("first_pos"),
+        F.col("path").alias("file"),
+        "length",
     )
 
 
@@ -93,15 +146,20 @@ def read_archive_files(spark: SparkSession, path: str, name_pattern: str) -> Dat
     )
 
 
-def open_file(uri: str):
-    """A file on any file system, for reads at any place."""
+def located(uri: str):
+    """The file system of a file or folder, and its place there."""
     from pyarrow import fs
 
     if re.match("s3[an]://", uri):
         uri = "s3" + uri[3:]
     if re.match("file:/[^/]", uri):
         uri = "file://" + uri[5:]
-    store, path = fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def open_file(uri: str):
+    """A file on any file system, for reads at any place."""
+    store, path = located(uri)
     return store.open_input_file(path)
 
 
@@ -139,7 +197,7 @@ def archive_directory(files: DataFrame) -> DataFrame:
     """Step one: ``(repo_id, branch, file, pos, name, offset, packed, size, method, crc, error)``.
 
     Only the ends of the files are read.  A repeated name keeps its first place and its last
-    content.  Files are dealt over the tasks by their name; Spark lists no empty ones.  The
+    content.  Files are dealt over the tasks by their name; empty ones are not listed.  The
     number of tasks is given: a row is a file to open, and its few bytes say nothing of that.
     """
     spread = files.repartition(tasks(files), "file")

@@ -8,6 +8,7 @@ import zipfile
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from debtscope import constants as C
@@ -260,6 +261,32 @@ def test_no_task_holds_an_archive(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[1]
 
 
+def test_the_driver_knows_no_archive_file(spark, tmp_path):
+    """Tasks list the folders: the files are those that Spark lists, but none of them is in the plan."""
+    names = [f"{part}/{k}-main-{part}.zip" for part in range(5) for k in range(40)]
+    names += ["7-dev-1.zip", "a/b/c/8-dev-2.zip", "a b/9%20-dev-3.zip", "_k=1/10-dev-4.zip", "_metadata_x/11-dev-5.zip", "é/12-dev-6.zip"]
+    hidden = ["_x/1-main-1.zip", ".x/1-main-1.zip", "_1-main-1.zip", ".1-main-1.zip", "_metadata", "1-main-1.zip._COPYING_", "empty/1-main-1.zip"]
+    for name in names + hidden:
+        (tmp_path / "zips" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "zips" / name).write_bytes(b"" if name.startswith("empty") else archive([("r/a.ts", name)]))
+    (tmp_path / "zips" / "none").mkdir()
+    pattern = r"([0-9]+)[^/]*-([a-z]+)-([0-9]+)[.]zip$"
+    for path in ("zips", "zips/[0-2]", "zips/0/*-main-0.zip", "zips/none", "zips/_*"):
+        listed = A.list_archive_files(spark, f"{tmp_path}/{path}", pattern)
+        by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/{path}").select("path", "length")
+        got = listed.select("file", "length").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, by_spark.collect())), path
+        assert not [f for f in listed.inputFiles() if f.endswith(".zip")]
+    whole = A.list_archive_files(spark, str(tmp_path / "zips"), pattern)
+    assert whole.count() == len(names) and whole.rdd.getNumPartitions() < 40
+    assert {(r.repo_id, r.branch, r.first_pos) for r in whole.filter("branch = 'dev' AND repo_id = 8").collect()} == {(8, "dev", 2)}
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        A.list_archive_files(spark, str(tmp_path / "absent"), pattern)
+    rows = A.read_archive_entries(spark, str(tmp_path / "zips"), pattern)
+    assert not [f for f in rows.inputFiles() if f.endswith(".zip")]
+    assert rows.filter("error IS NULL AND branch = 'main'").count() == 200
+
+
 def test_a_damaged_entry_makes_the_archive_unreadable(spark, tmp_path):
     blob = bytearray(archive([("x/a.ts", "first text"), ("x/b.ts", "second text")]))
     at = blob.index(b"second text")
